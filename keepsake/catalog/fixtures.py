@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..functions import paths as P
 
 ROOT = "/data/Processing"
 GPHOTOS = "Takeout/Google Photos"
@@ -121,13 +122,22 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inventory_now(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files still present later: some media and sidecars have gone."""
+    """Files present later: some media and sidecars have gone, some media
+    were modified (mtime moved by an hour)."""
     inv = inventory(spark, sf_dir)
     gone = ((F.col("origin") == "media") & (F.col("file_id") % 23 == 0)) | \
            ((F.col("origin") == "sidecar") & (F.col("file_id") % 29 == 0))
-    return inv.where(~gone)
+    touched = (F.col("origin") == "media") & (F.col("file_id") % 9 == 4)
+    return inv.where(~gone).withColumn(
+        "mtime", F.when(touched, F.col("mtime") + 3600).otherwise(F.col("mtime")))
 
 
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, content_sha1, phash64, mtime) of media files."""
-    return media_files(spark, sf_dir).select("path", "content_sha1", "phash64", "mtime")
+    """(path, content_sha1, phash64, mtime) of media files as the hashing
+    stage left them: some HEIC files failed to decode (blank hashes)."""
+    failed = (P.lower_suffix(F.col("path")) == ".heic") & (F.col("file_id") % 4 == 1)
+    return media_files(spark, sf_dir).select(
+        "path",
+        F.when(failed, F.lit("")).otherwise(F.col("content_sha1")).alias("content_sha1"),
+        F.when(failed, F.lit("")).otherwise(F.col("phash64")).alias("phash64"),
+        "mtime")

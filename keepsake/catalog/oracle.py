@@ -111,6 +111,16 @@ fpm0 AS (SELECT *, '' AS dedup_group_id, '' AS delete_flag, '' AS duplicate_of,
            + apply_sql("fpm0", "d1_v", "deduped"))
 
 
+STALE = DEDUPED + f""",
+del1 AS (
+  SELECT *, CASE WHEN {flag_is('delete_flag', 'true')} THEN
+              CASE WHEN media_path <> '' AND media_path IN (SELECT path FROM inventory_now)
+                   THEN 'deleted' ELSE 'not_deleted' END ELSE '' END AS deletion_status
+  FROM deduped),
+live1 AS (SELECT * FROM del1 WHERE NOT {flag_is('deletion_status', 'deleted')})""" + \
+    dedup_sql("live1", "phash", "d2") + apply_sql("del1", "d2_v", "stale")
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out["pair_sidecars"] = BASE + """
@@ -119,4 +129,63 @@ SELECT json_path, json_name, media_path, media_name, year_folder FROM pairs"""
     out["dedup_verdicts"] = BASE + DEDUPED + """
 SELECT row_id, media_path, dedup_group_id, delete_flag, duplicate_of, dedup_reason, visual_review_path
 FROM deduped WHERE dedup_group_id <> ''"""
+    out["dedup_groups"] = BASE + FP_MANIFEST + """,
+fpm0 AS (SELECT * FROM fpm)""" + dedup_sql("fpm0", "phash", "d1") + """
+SELECT g.dedup_group_id, s.n_members, s.group_first AS first_row_id, g.keeper_path, g.keeper_media
+FROM d1_g g JOIN d1_sc s ON g.kind = s.kind AND g.fp = s.fp AND s.pref = 1"""
+    out["dedup_last_row_per_path"] = BASE + FP_MANIFEST + """,
+rescanned AS (SELECT * FROM fpm UNION ALL
+         SELECT * REPLACE (row_id + 1000000 AS row_id, '' AS json_filename) FROM fpm WHERE row_type = 'matched')""" + \
+        dedup_sql("rescanned", "phash", "d1") + """
+SELECT p.media_path, p.first_row_id, c.row_id AS last_row_id, p.original_media, p.json_filename
+FROM d1_pp p JOIN (SELECT kind, fp, media_path, max(row_id) AS row_id FROM d1_c2 GROUP BY ALL) c
+  ON p.kind = c.kind AND p.fp = c.fp AND p.media_path = c.media_path"""
+    gid = "trim(coalesce(dedup_group_id, ''))"
+    out["dedup_multi_keeper"] = BASE + STALE + f"""
+SELECT {gid} AS dedup_group_id, count(*) FILTER (WHERE trim(dedup_reason) = 'best_candidate') AS n_best,
+       count(*) AS n_rows
+FROM stale WHERE {gid} <> '' GROUP BY 1 HAVING n_best > 1"""
+    out["dedup_fix_groups"] = BASE + STALE + f""",
+grp AS (SELECT *, {gid} AS gid FROM stale WHERE {gid} <> ''),
+multi AS (SELECT gid FROM grp GROUP BY gid HAVING count(*) FILTER (WHERE trim(dedup_reason) = 'best_candidate') > 1),
+ranked AS (
+  SELECT grp.*, row_number() OVER (PARTITION BY grp.gid ORDER BY {blank('json_filename')},
+           {unclean("lower(coalesce(original_media, ''))")}, length(lower(coalesce(original_media, ''))), row_id) AS pref
+  FROM grp JOIN multi ON grp.gid = multi.gid),
+best AS (SELECT gid, row_id AS best_row, trim(coalesce(original_media, '')) AS best_media FROM ranked WHERE pref = 1)
+SELECT r.row_id, r.dedup_group_id,
+       CASE WHEN r.row_id = b.best_row THEN 'FALSE' ELSE 'TRUE' END AS delete_flag,
+       CASE WHEN r.row_id = b.best_row THEN 'best_candidate' ELSE 'phash' END AS dedup_reason,
+       CASE WHEN r.row_id = b.best_row THEN '' ELSE b.best_media END AS duplicate_of
+FROM ranked r JOIN best b ON r.gid = b.gid"""
+    out["dedup_verify_issues"] = BASE + STALE + f""",
+g AS (
+  SELECT {gid} AS dedup_group_id,
+         count(*) FILTER (WHERE {flag_is('delete_flag', 'false')}) AS n_keepers,
+         count(*) FILTER (WHERE {flag_is('delete_flag', 'true')}) AS n_duplicates,
+         count(*) AS n_members
+  FROM stale WHERE NOT {flag_is('deletion_status', 'deleted')} AND {gid} <> '' GROUP BY 1)
+SELECT *, CAST(n_keepers <> 1 AS BIGINT) + CAST(n_members < 2 AS BIGINT) AS issues
+FROM g WHERE n_keepers <> 1 OR n_members < 2"""
+    out["dedup_deletion_plan"] = BASE + DEDUPED + f""",
+fl AS (
+  SELECT row_id, trim(media_path) AS ml, trim(json_path) AS jl, media_path, json_path,
+         media_path <> '' AND trim(media_path) IN (SELECT path FROM inventory_now) AS dm,
+         json_path <> '' AND trim(json_path) IN (SELECT path FROM inventory_now) AS dj
+  FROM deduped WHERE {flag_is('delete_flag', 'true')})
+SELECT row_id, 'delete' AS op, ml AS src, 'duplicate media' AS reason,
+       CASE WHEN dm THEN 'deleted' ELSE 'not_deleted' END AS deletion_status FROM fl WHERE dm
+UNION ALL
+SELECT row_id, 'delete', jl, 'duplicate sidecar', CASE WHEN dm THEN 'deleted' ELSE 'not_deleted' END
+FROM fl WHERE dj"""
+    out["dedup_review_paths"] = BASE + DEDUPED + """
+SELECT dedup_group_id, 'copy' AS op, media_path AS src, visual_review_path AS dst
+FROM deduped WHERE dedup_group_id <> ''"""
+    out["fingerprint_cache_misses"] = BASE + FP_MANIFEST + f"""
+SELECT m.row_id, m.media_path,
+       CASE WHEN {blank('m.content_sha1')} THEN 'no_hash'
+            WHEN coalesce(m.hash_mtime, -1) <> f.mtime THEN 'mtime_changed' END AS reason
+FROM fpm m JOIN inventory_now f ON trim(m.media_path) = f.path
+WHERE {lower_suffix(basename('trim(m.media_path)'))} IN ('.jpg', '.jpeg', '.png', '.heic', '.mp4', '.mov', '.avi', '.mkv')
+  AND ({blank('m.content_sha1')} OR coalesce(m.hash_mtime, -1) <> f.mtime)"""
     return out

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .. import session
 from ..operators import dedup as D
 from ..operators import pairing
+from ..functions import scalars as S
 from ..schema import ensure_columns
 from . import fixtures as X
 from .stages import stage
@@ -70,9 +71,73 @@ def q_dedup_verdicts(spark, sf_dir):
         "dedup_reason", "visual_review_path")
 
 
+def stale_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest after a second deduplication run: the first run's flagged
+    copies were deleted (where present), the re-run groups only live rows
+    and overwrites only the rows it groups; rows it no longer groups keep
+    their first-run verdicts (group numbers get reused)."""
+    def build():
+        first = D.deletion_status(deduped_manifest(spark, sf_dir), X.inventory_now(spark, sf_dir))
+        live = first.where(~S.flag_is("deletion_status", "deleted"))
+        return D.apply_verdicts(first, D.dedup_verdicts(live))
+    return stage(spark, sf_dir, "stale", build)
+
+
+def q_dedup_groups(spark, sf_dir):
+    per_path = D.last_row_per_path(D.dedup_candidates(fingerprinted_manifest(spark, sf_dir)))
+    g = D.duplicate_groups(per_path)
+    return g.select("dedup_group_id", "n_members", "first_row_id", "keeper_path", "keeper_media")
+
+
+def q_dedup_last_row_per_path(spark, sf_dir):
+    m = fingerprinted_manifest(spark, sf_dir)
+    # the same listing appended again by a re-scan that lost the sidecar names
+    rescan = (m.where(F.col("row_type") == "matched")
+              .withColumn("row_id", F.col("row_id") + 1000000)
+              .withColumn("json_filename", F.lit("")))
+    per_path = D.last_row_per_path(D.dedup_candidates(m.unionByName(rescan)))
+    return per_path.select("media_path", "first_row_id", "last_row_id", "original_media", "json_filename")
+
+
+def q_dedup_multi_keeper(spark, sf_dir):
+    return D.multi_keeper_groups(stale_manifest(spark, sf_dir))
+
+
+def q_dedup_fix_groups(spark, sf_dir):
+    return D.fix_groups(stale_manifest(spark, sf_dir))
+
+
+def q_dedup_verify_issues(spark, sf_dir):
+    return D.verify_groups(stale_manifest(spark, sf_dir))
+
+
+def q_dedup_deletion_plan(spark, sf_dir):
+    return D.deletion_plan(deduped_manifest(spark, sf_dir), X.inventory_now(spark, sf_dir))
+
+
+def q_dedup_review_paths(spark, sf_dir):
+    d = deduped_manifest(spark, sf_dir)
+    return d.where(F.col("dedup_group_id") != "").select(
+        "dedup_group_id", F.lit("copy").alias("op"), F.col("media_path").alias("src"),
+        F.col("visual_review_path").alias("dst"))
+
+
+def q_fingerprint_cache_misses(spark, sf_dir):
+    return D.fingerprint_cache_misses(fingerprinted_manifest(spark, sf_dir),
+                                      X.inventory_now(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "pair_sidecars": q_pair_sidecars,
         "manifest_build": q_manifest_build,
         "dedup_verdicts": q_dedup_verdicts,
+        "dedup_groups": q_dedup_groups,
+        "dedup_last_row_per_path": q_dedup_last_row_per_path,
+        "dedup_multi_keeper": q_dedup_multi_keeper,
+        "dedup_fix_groups": q_dedup_fix_groups,
+        "dedup_verify_issues": q_dedup_verify_issues,
+        "dedup_deletion_plan": q_dedup_deletion_plan,
+        "dedup_review_paths": q_dedup_review_paths,
+        "fingerprint_cache_misses": q_fingerprint_cache_misses,
     }

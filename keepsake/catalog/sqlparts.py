@@ -128,6 +128,12 @@ sidecar_files AS (
         FROM documents WHERE doc_id % 10 < 8) s),
 inventory AS (SELECT * FROM media_files UNION ALL SELECT * FROM sidecar_files),
 inventory_now AS (
-  SELECT * FROM inventory
+  SELECT * REPLACE (CASE WHEN origin = 'media' AND file_id % 9 = 4 THEN mtime + 3600 ELSE mtime END AS mtime)
+  FROM inventory
   WHERE NOT ((origin = 'media' AND file_id % 23 = 0) OR (origin = 'sidecar' AND file_id % 29 = 0))),
-fingerprints AS (SELECT path, content_sha1, phash64, mtime FROM media_files)"""
+fingerprints AS (
+  SELECT path,
+         CASE WHEN lower(regexp_extract(path, '(?s)^.+(\\.[^.]+)$', 1)) = '.heic' AND file_id % 4 = 1 THEN '' ELSE content_sha1 END AS content_sha1,
+         CASE WHEN lower(regexp_extract(path, '(?s)^.+(\\.[^.]+)$', 1)) = '.heic' AND file_id % 4 = 1 THEN '' ELSE phash64 END AS phash64,
+         mtime
+  FROM media_files)"""
