@@ -141,3 +141,30 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(failed, F.lit("")).otherwise(F.col("content_sha1")).alias("content_sha1"),
         F.when(failed, F.lit("")).otherwise(F.col("phash64")).alias("phash64"),
         "mtime")
+
+
+def archive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Member listing of the downloaded archives: every file of archive
+    ``Z00k`` is a member ``Takeout/Google Photos/<year>/<name>`` of
+    ``/data/Zipped/Z00k.zip``."""
+    inv = inventory(spark, sf_dir)
+    rel = F.regexp_extract("path", r"^/data/Processing/(Z[0-9]{3})/(.*)$", 2)
+    z = F.regexp_extract("path", r"^/data/Processing/(Z[0-9]{3})/(.*)$", 1)
+    return inv.select(F.concat(F.lit("/data/Zipped/"), z, F.lit(".zip")).alias("zip_path"),
+                      rel.alias("member"))
+
+
+def downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A download folder listing derived from ``pages``: numbered takeout
+    archives, already-processed ``Z###.zip`` ones, upper-case ``.ZIP``
+    suffixes, names without a number and other archive formats."""
+    p = table(spark, sf_dir, "pages").select("page_id")
+    i = F.col("page_id")
+    num = F.format_string("%03d", i % 1000)
+    stamp = F.concat(F.lit("takeout-2025"), F.format_string("%04d", i % 1200 + 101), F.lit("T000000Z"))
+    name = (F.when(i % 9 == 0, F.concat(F.lit("Z"), num, F.lit(".zip")))
+            .when(i % 11 == 1, F.concat(stamp, F.lit("-"), num, F.lit(".ZIP")))
+            .when(i % 13 == 2, F.concat(stamp, F.lit("-"), num, F.lit(".7z")))
+            .when(i % 17 == 3, F.concat(stamp, F.lit("-extra.zip")))
+            .otherwise(F.concat(stamp, F.lit("-"), num, F.lit(".zip"))))
+    return p.select(F.concat(F.lit("/data/Zipped/"), name).alias("path"))

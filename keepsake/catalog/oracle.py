@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from .sqlparts import (FIXTURE_CTES, ROOT, archive, basename, blank, expected_media,
-                       flag_is, fmt_time, json_ts, lower_suffix, q, unclean, year_folder)
+from .sqlparts import (ARCHIVE_MEMBERS, DOWNLOADS, FIXTURE_CTES, ROOT, append_hist, archive,
+                       basename, blank, expected_media, flag_is, fmt_time, json_ts, lower_suffix,
+                       parent, q, quarantine, stem, strip, suffix, to_wsl, unclean, year_folder)
 
 # ---------------------------------------------------------------- manifest
 
@@ -188,4 +189,234 @@ SELECT m.row_id, m.media_path,
 FROM fpm m JOIN inventory_now f ON trim(m.media_path) = f.path
 WHERE {lower_suffix(basename('trim(m.media_path)'))} IN ('.jpg', '.jpeg', '.png', '.heic', '.mp4', '.mov', '.avi', '.mkv')
   AND ({blank('m.content_sha1')} OR coalesce(m.hash_mtime, -1) <> f.mtime)"""
+    out.update(batch2())
+    return out
+
+
+DEDUPED_COLUMNS = ["row_id", "row_type", "json_filename", "json_path", "original_media", "media_path",
+                   "corrected_path", "timestamp_unix", "formatted_time", "new_ext", "action_taken", "notes",
+                   "content_sha1", "phash64", "hash_mtime", "dedup_group_id", "delete_flag",
+                   "duplicate_of", "dedup_reason", "visual_review_path"]
+
+
+def _renamed(jpath: str, jname: str, media: str) -> tuple[str, str]:
+    sfx = f"regexp_extract({jname}, '^(.+?\\.[^.]+)(\\..+?\\.json)$', 2)"
+    new_fn = f"(CASE WHEN {sfx} <> '' THEN {media} || {sfx} ELSE {jname} END)"
+    changed = f"({new_fn} <> {jname} AND {jname} <> '')"
+    return (f"(CASE WHEN {changed} THEN {new_fn} ELSE {jname} END)",
+            f"(CASE WHEN {changed} THEN concat_ws('/', {parent(jpath)}, {new_fn}) ELSE {jpath} END)")
+
+
+CONVERSION = f""",
+cv0 AS (
+  SELECT d.*, h.header_hex AS hdr FROM deduped d
+  LEFT JOIN (SELECT path, header_hex FROM inventory_now WHERE origin = 'media') h ON d.media_path = h.path),
+cv1 AS (
+  SELECT *, coalesce(media_path, '') AS media0, {basename("coalesce(media_path, '')")} AS name0,
+         upper(hdr) AS h
+  FROM cv0),
+cv2 AS (
+  SELECT *, {lower_suffix('name0')} AS old_ext,
+         starts_with(h, 'FFD8FF') AS is_jpeg,
+         substr(h, 9, 8) = '66747970' AND len(list_filter(range(0, 11), lambda i: substr(h, i * 2 + 1, 4) = '7174')) > 0 AS is_mov
+  FROM cv1),
+cv3 AS (
+  SELECT *, CASE WHEN is_jpeg AND old_ext <> '.jpg' THEN '.jpg' WHEN is_mov AND old_ext <> '.mov' THEN '.mov' END AS fixed_ext
+  FROM cv2),
+cv4 AS (
+  SELECT *, coalesce(media0 <> '' AND fixed_ext IS NOT NULL, false) AS fix FROM cv3),
+cv5 AS (
+  SELECT *, CASE WHEN fix THEN {stem('name0')} || '_' || regexp_replace(old_ext, '^\\.', '') || '_conv' || fixed_ext ELSE name0 END AS name1
+  FROM cv4),
+cv6 AS (
+  SELECT *, CASE WHEN fix THEN {append_hist('action_taken', "'Renamed ' || name0 || ' → ' || name1")} ELSE action_taken END AS act1,
+         CASE WHEN fix THEN fixed_ext ELSE new_ext END AS ext1,
+         {lower_suffix('name1')} AS e1
+  FROM cv5),
+cv7 AS (
+  SELECT *, media0 <> '' AND e1 IN ('.png', '.heic', '.dng', '.tif', '.tiff', '.gif') AS conv,
+         CASE WHEN e1 IN ('.png', '.heic', '.dng') THEN regexp_replace(e1, '^\\.', '')
+              ELSE regexp_replace({suffix('name1')}, '^\\.', '') END AS tag
+  FROM cv6),
+cv8 AS (
+  SELECT *, CASE WHEN conv THEN {stem('name1')} || '_' || tag || '_conv.jpg' ELSE name1 END AS name2 FROM cv7),
+cv9 AS (
+  SELECT *, CASE WHEN conv THEN {append_hist('act1', "'Converted → ' || name2")} ELSE act1 END AS act2,
+         CASE WHEN conv THEN '.jpg' ELSE ext1 END AS ext2,
+         fix OR conv AS moved, coalesce(json_path, '') AS jp0, {basename("coalesce(json_path, '')")} AS jname0
+  FROM cv8),
+cv10 AS (
+  SELECT *, CASE WHEN moved AND jp0 <> '' THEN {_renamed('jp0', 'jname0', 'name2')[0]} ELSE json_filename END AS jn2,
+         CASE WHEN moved THEN {_renamed('jp0', 'jname0', 'name2')[1]} ELSE json_path END AS jp2,
+         {lower_suffix('name2')} AS e2
+  FROM cv9),
+cv11 AS (
+  SELECT *, media0 <> '' AND e2 IN ('.avi', '.mpg', '.mpeg', '.mts', '.3gp') AS vid,
+         regexp_replace(e2, '^\\.', '') AS vtag, coalesce(jp2, '') AS jp2c, {basename("coalesce(jp2, '')")} AS jname2
+  FROM cv10),
+cv12 AS (
+  SELECT *, CASE WHEN vid THEN {stem('name2')} || '_' || vtag || '_conv.mp4' ELSE name2 END AS name3 FROM cv11),
+cv13 AS (
+  SELECT *, CASE WHEN vid THEN {append_hist('act2', "'Converted .' || vtag || ' → .mp4'")} ELSE act2 END AS act3,
+         CASE WHEN vid THEN '.mp4' ELSE ext2 END AS ext3,
+         CASE WHEN vid AND jp2c <> '' THEN {_renamed('jp2c', 'jname2', 'name3')[0]} ELSE jn2 END AS jn3,
+         CASE WHEN vid THEN {_renamed('jp2c', 'jname2', 'name3')[1]} ELSE jp2 END AS jp3
+  FROM cv12),
+changes AS (
+  SELECT row_id, concat_ws('/', {parent('media0')}, name3) AS media_path,
+         concat_ws('/', {parent('media0')}, name3) AS corrected_path, ext3 AS new_ext,
+         jn3 AS json_filename, jp3 AS json_path, act3 AS action_taken
+  FROM cv13 WHERE fix OR conv OR vid)"""
+
+
+def batch2() -> dict[str, str]:
+    out: dict[str, str] = {}
+    F = "WITH " + FIXTURE_CTES
+    out["timestamps_from_json"] = F + f"""
+SELECT path, {json_ts('content')} AS timestamp_unix, {fmt_time(json_ts('content'))} AS formatted_time
+FROM sidecar_files"""
+    out["backfill_timestamps"] = BASE + f""",
+sc_now AS (SELECT path, content FROM inventory_now WHERE origin = 'sidecar')
+SELECT m.row_id, {json_ts('s.content')} AS timestamp_unix, {fmt_time(json_ts('s.content'))} AS formatted_time,
+       CASE WHEN {strip('m.media_path')} <> '' THEN {lower_suffix(basename(strip('m.media_path')))} ELSE '' END AS new_ext
+FROM manifest m JOIN sc_now s ON {strip("coalesce(m.json_path, '')")} = s.path
+WHERE lower(trim(coalesce(m.row_type, ''))) = 'matched' AND {json_ts('s.content')} <> 0"""
+    jpeg = f"{lower_suffix(basename("coalesce(media_path, '')"))} IN ('.jpg', '.jpeg')"
+    t = "coalesce(formatted_time, '')"
+    out["tag_csv"] = BASE + f"""
+SELECT coalesce(media_path, '') AS SourceFile,
+       CASE WHEN {jpeg} THEN {t} ELSE '' END AS DateTimeOriginal,
+       CASE WHEN {jpeg} THEN {t} ELSE '' END AS CreateDate,
+       CASE WHEN {jpeg} THEN {t} ELSE '' END AS ModifyDate,
+       CASE WHEN {jpeg} THEN '' ELSE {t} END AS MediaCreateDate,
+       CASE WHEN {jpeg} THEN '' ELSE {t} END AS TrackCreateDate
+FROM manifest"""
+    ext = "CASE WHEN starts_with(lower(trim(new_ext)), '.') THEN lower(trim(new_ext)) ELSE '.' || lower(trim(new_ext)) END"
+    cls = ("CASE WHEN ext IN ('.jpg', '.jpeg', '.png', '.gif', '.bmp', '.tiff', '.tif', '.webp', '.raw', '.heic', '.heif', '.jfif') "
+           "THEN 'photo' WHEN ext IN ('.mp4', '.avi', '.mov', '.wmv', '.flv', '.mkv', '.webm', '.m4v', '.3gp', '.mpg', '.mpeg', '.mts') "
+           "THEN 'video' ELSE 'other' END")
+    ft = f""",
+ft AS (SELECT {ext} AS ext, count(*) AS n_rows FROM manifest WHERE NOT {blank('new_ext')} GROUP BY 1),
+ftc AS (SELECT ext, n_rows, {cls} AS file_class FROM ft)"""
+    out["file_types"] = BASE + ft + "\nSELECT * FROM ftc"
+    out["file_type_lists"] = BASE + ft + """
+SELECT file_class, string_agg(ext, ', ' ORDER BY ext) AS extensions, count(*) AS n_extensions
+FROM ftc GROUP BY file_class"""
+    out["remove_rows"] = BASE + """
+SELECT row_id, row_type, json_path FROM manifest WHERE lower(trim(coalesce(row_type, ''))) = 'unmatched_json'"""
+    out["clear_column"] = BASE + f"""
+SELECT row_id, 'notes' AS column_name, notes AS old_value FROM manifest WHERE NOT {blank('notes')}"""
+    ex = "(SELECT path FROM inventory_now)"
+    out["prune_missing"] = BASE + f"""
+SELECT row_id, media_path, json_path FROM manifest
+WHERE NOT {blank('media_path')} AND NOT {blank('json_path')}
+  AND NOT ({strip('media_path')} IN {ex} AND {strip('json_path')} IN {ex})"""
+    out["invalid_paths"] = BASE + f""",
+live AS (SELECT * FROM manifest WHERE NOT contains(lower(coalesce(row_type, '')), 'unmatched')),
+long AS (
+  SELECT row_id, 'json_path' AS column_name, {strip('json_path')} AS path FROM live UNION ALL
+  SELECT row_id, 'media_path', {strip('media_path')} FROM live UNION ALL
+  SELECT row_id, 'corrected_path', {strip('corrected_path')} FROM live)
+SELECT * FROM long WHERE path <> '' AND path NOT IN {ex}"""
+    win = """,
+win AS (
+  SELECT row_id,
+         CASE WHEN media_path <> '' THEN 'C:' || replace(media_path, '/', '\\') ELSE media_path END AS media_path,
+         CASE WHEN json_path <> '' THEN ' D:' || replace(json_path, '/', '\\') || ' ' ELSE json_path END AS json_path,
+         corrected_path
+  FROM manifest)"""
+    parts = " UNION ALL ".join(
+        f"SELECT row_id, '{c}' AS column_name, {c} AS old_value, {to_wsl(c)} AS new_value FROM win"
+        for c in ["media_path", "json_path", "corrected_path"])
+    out["windows_to_posix"] = BASE + win + f"""
+SELECT * FROM ({parts}) WHERE old_value IS DISTINCT FROM new_value"""
+    mroot, jroot = f"{ROOT}/__UNMATCHED_MEDIA__", f"{ROOT}/__UNMATCHED_JSON__"
+    def newcol(c, cond, root):
+        old = strip(f"coalesce({c}, '')")
+        return (f"CASE WHEN {cond} AND {quarantine(old, root)} IS NOT NULL AND {quarantine(old, root)} <> {old} "
+                f"THEN {quarantine(old, root)} END")
+    rt = "lower(coalesce(row_type, ''))"
+    quar = f""",
+qa AS (
+  SELECT *, {newcol('media_path', f"contains({rt}, 'unmatched_media')", mroot)} AS n_media,
+            {newcol('corrected_path', f"contains({rt}, 'unmatched_media')", mroot)} AS n_corr,
+            {newcol('json_path', f"contains({rt}, 'unmatched_json')", jroot)} AS n_json
+  FROM manifest),
+qb AS (
+  SELECT *, concat_ws('; ', CASE WHEN n_media IS NOT NULL THEN 'media_path updated to ' || n_media END,
+                            CASE WHEN n_corr IS NOT NULL THEN 'corrected_path updated to ' || n_corr END,
+                            CASE WHEN n_json IS NOT NULL THEN 'json_path updated to ' || n_json END) AS joined
+  FROM qa),
+quar AS (
+  SELECT row_id, row_type, coalesce(n_media, media_path) AS media_path, coalesce(n_corr, corrected_path) AS corrected_path,
+         coalesce(n_json, json_path) AS json_path,
+         CASE WHEN joined <> '' THEN regexp_replace(coalesce(trim(notes), '') || '; ' || joined, '^[; ]+|[; ]+$', '', 'g')
+              ELSE notes END AS notes,
+         joined <> '' AS changed
+  FROM qb)"""
+    out["quarantine_paths"] = BASE + quar + """
+SELECT row_id, media_path, corrected_path, json_path, notes FROM quar WHERE changed"""
+    def restore(src, qroot):
+        rel = f"substr({src}, {len(qroot) + 2})"
+        a = f"regexp_extract({rel}, '^([^/]+)/(.+)$', 1)"
+        r = f"regexp_extract({rel}, '^([^/]+)/(.+)$', 2)"
+        dst = f"CASE WHEN {a} <> '' THEN '{ROOT}/' || {a} || '/Takeout/Google Photos/' || {r} END"
+        return (f"SELECT CASE WHEN ({dst}) IS NOT NULL THEN 'move' ELSE 'skip' END AS op, {src} AS src, "
+                f"coalesce({dst}, '') AS dst, CASE WHEN ({dst}) IS NOT NULL THEN 'restore' ELSE 'unexpected structure' END AS reason")
+    out["restore_paths"] = BASE + quar + f"""
+{restore('media_path', mroot)} FROM quar WHERE row_type = 'unmatched_media' AND starts_with(media_path, '{mroot}/')
+UNION ALL
+{restore('json_path', jroot)} FROM quar WHERE row_type = 'unmatched_json' AND starts_with(json_path, '{jroot}/')"""
+    out["conversion_plan"] = BASE + DEDUPED + CONVERSION + "\nSELECT * FROM changes"
+    cells = " OR ".join(f"regexp_matches(coalesce(CAST({c} AS VARCHAR), ''), '(?i)_conv.\\b')"
+                        for c in DEDUPED_COLUMNS)
+    out["row_regex_count"] = BASE + DEDUPED + CONVERSION + f""",
+applied AS (
+  SELECT d.* REPLACE (coalesce(c.media_path, d.media_path) AS media_path,
+                      coalesce(c.corrected_path, d.corrected_path) AS corrected_path,
+                      CASE WHEN c.row_id IS NOT NULL THEN c.new_ext ELSE d.new_ext END AS new_ext,
+                      CASE WHEN c.row_id IS NOT NULL THEN c.json_filename ELSE d.json_filename END AS json_filename,
+                      CASE WHEN c.row_id IS NOT NULL THEN c.json_path ELSE d.json_path END AS json_path,
+                      CASE WHEN c.row_id IS NOT NULL THEN c.action_taken ELSE d.action_taken END AS action_taken)
+  FROM deduped d LEFT JOIN changes c ON d.row_id = c.row_id)
+SELECT count(*) AS n_rows FROM applied WHERE {cells}"""
+    sample = ", ".join(q(e) for e in [".jpg", ".gif", ".png", ".heic", ".jpeg", ".tif", ".webp", ".jfif", ".tiff",
+                                       ".3gp", ".avi", ".mpg", ".mov", ".mp4", ".mts", ".thm", ".dng", ".nef"])
+    out["sample_per_extension"] = BASE + f""",
+s AS (SELECT *, {lower_suffix(basename("coalesce(media_path, '')"))} AS ext FROM manifest),
+f AS (SELECT ext, min(row_id) AS row_id FROM s WHERE ext IN ({sample}) GROUP BY ext)
+SELECT s.ext, s.row_id, s.media_path FROM s JOIN f ON s.ext = f.ext AND s.row_id = f.row_id
+WHERE s.media_path IN {ex} AND ({blank('s.json_path')} OR s.json_path IN {ex})"""
+    out["archive_intake_plan"] = "WITH " + DOWNLOADS + f""",
+z AS (SELECT path, {basename('path')} AS name, {parent('path')} AS dir FROM downloads),
+n AS (SELECT *, regexp_extract(name, '-(\\d{{3}})\\.zip$', 1) AS num FROM z
+      WHERE {lower_suffix('name')} = '.zip' AND NOT starts_with(name, 'Z')),
+s AS (SELECT *, concat_ws('/', dir, 'Z' || num || '.zip') AS std FROM n),
+t AS (SELECT s.*, s.std IN (SELECT path FROM z) AS taken FROM s)
+SELECT name, 'extract' AS op, '{ROOT}/Z' || num AS dst, 'new archive' AS reason FROM t WHERE num <> ''
+UNION ALL
+SELECT name, CASE WHEN taken THEN 'keep_name' ELSE 'rename' END, std,
+       CASE WHEN taken THEN 'target exists' ELSE 'standard name' END FROM t WHERE num <> ''
+UNION ALL
+SELECT name, 'skip', '', 'no archive number' FROM t WHERE num = ''"""
+    out["search_names"] = F + "," + ARCHIVE_MEMBERS + f"""
+SELECT path AS found, 'file' AS kind FROM inventory WHERE instr(lower({basename('path')}), 'img_0001') > 0
+UNION ALL
+SELECT zip_path || ' ▶ ' || member, 'archive_member' FROM archive_members WHERE instr(lower(member), 'img_0001') > 0"""
+    pat = "takeout/google photos/photos from 2012/img_00012.jpg"
+    out["search_names_exact"] = F + "," + ARCHIVE_MEMBERS + f"""
+SELECT path AS found, 'file' AS kind FROM inventory WHERE lower({basename('path')}) = '{pat}'
+UNION ALL
+SELECT zip_path || ' ▶ ' || member, 'archive_member' FROM archive_members WHERE lower(member) = '{pat}'"""
+    out["stage_stats"] = BASE + DEDUPED + f""",
+fl AS (SELECT * FROM deduped WHERE {flag_is('delete_flag', 'true')})
+SELECT 'media_files' AS metric, count(*) FILTER (WHERE NOT is_json) AS value FROM files
+UNION ALL SELECT 'sidecar_files', count(*) FILTER (WHERE is_json) FROM files
+UNION ALL SELECT 'matched', count(*) FILTER (WHERE row_type = 'matched') FROM manifest
+UNION ALL SELECT 'unmatched_json', count(*) FILTER (WHERE row_type = 'unmatched_json') FROM manifest
+UNION ALL SELECT 'unmatched_media', count(*) FILTER (WHERE row_type = 'unmatched_media') FROM manifest
+UNION ALL SELECT 'rows_with_notes', count(*) FILTER (WHERE coalesce(notes, '') <> '') FROM manifest
+UNION ALL SELECT 'flagged_copies', count(*) FROM fl
+UNION ALL SELECT 'group_rows', count(*) FILTER (WHERE dedup_group_id <> '') FROM deduped
+UNION ALL SELECT 'deleted_media', count(*) FILTER (WHERE media_path <> '' AND trim(media_path) IN (SELECT path FROM inventory_now)) FROM fl"""
     return out

@@ -13,7 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import session
+from ..functions import constants as K
 from ..operators import dedup as D
+from ..operators import edits as E
+from ..operators import reports as R
+from ..operators import search as SR
+from ..operators import timestamps as T
+from ..plans import actions as A
 from ..operators import pairing
 from ..functions import scalars as S
 from ..schema import ensure_columns
@@ -127,8 +133,166 @@ def q_fingerprint_cache_misses(spark, sf_dir):
                                       X.inventory_now(spark, sf_dir))
 
 
+def sidecars_now(spark, sf_dir):
+    inv = X.inventory_now(spark, sf_dir)
+    return inv.where(F.col("origin") == "sidecar").select("path", "content")
+
+
+def q_timestamps_from_json(spark, sf_dir):
+    session.configure(spark)
+    sc = X.sidecar_files(spark, sf_dir)
+    ts = S.json_timestamp(F.col("content"))
+    return sc.select("path", ts.alias("timestamp_unix"), S.format_unix(ts).alias("formatted_time"))
+
+
+def q_backfill_timestamps(spark, sf_dir):
+    m = manifest(spark, sf_dir)
+    for c in ("timestamp_unix", "formatted_time", "new_ext"):
+        m, _ = E.clear_column(m, c)
+    _, report = T.backfill_timestamps(m, sidecars_now(spark, sf_dir))
+    return report
+
+
+def q_tag_csv(spark, sf_dir):
+    return T.tag_csv(manifest(spark, sf_dir))
+
+
+def q_file_types(spark, sf_dir):
+    return R.file_types(manifest(spark, sf_dir))
+
+
+def q_file_type_lists(spark, sf_dir):
+    return R.file_type_lists(manifest(spark, sf_dir))
+
+
+def q_remove_rows(spark, sf_dir):
+    _, removed = E.remove_rows(manifest(spark, sf_dir), "row_type", "UNMATCHED_JSON")
+    return removed.select("row_id", "row_type", "json_path")
+
+
+def q_clear_column(spark, sf_dir):
+    _, report = E.clear_column(manifest(spark, sf_dir), "notes")
+    return report
+
+
+def q_prune_missing(spark, sf_dir):
+    _, removed = E.prune_missing(manifest(spark, sf_dir), X.inventory_now(spark, sf_dir))
+    return removed.select("row_id", "media_path", "json_path")
+
+
+def q_invalid_paths(spark, sf_dir):
+    return E.invalid_paths(manifest(spark, sf_dir), X.inventory_now(spark, sf_dir))
+
+
+def windows_manifest(spark, sf_dir):
+    """The manifest as written on a Windows host: media paths with a drive
+    letter, sidecar paths padded with spaces on another drive."""
+    m = manifest(spark, sf_dir)
+    return (m.withColumn("media_path", F.when(F.col("media_path") != "", F.concat(
+                F.lit("C:"), F.translate("media_path", "/", "\\"))).otherwise(F.col("media_path")))
+             .withColumn("json_path", F.when(F.col("json_path") != "", F.concat(
+                F.lit(" D:"), F.translate("json_path", "/", "\\"), F.lit(" "))).otherwise(F.col("json_path"))))
+
+
+def q_windows_to_posix(spark, sf_dir):
+    _, report = E.windows_to_posix(windows_manifest(spark, sf_dir))
+    return report
+
+
+def q_quarantine_paths(spark, sf_dir):
+    _, report = E.quarantine_unmatched(manifest(spark, sf_dir), X.ROOT)
+    return report.select("row_id", "media_path", "corrected_path", "json_path", "notes")
+
+
+def q_restore_paths(spark, sf_dir):
+    q, _ = E.quarantine_unmatched(manifest(spark, sf_dir), X.ROOT)
+    media = q.where(F.col("row_type") == "unmatched_media").select(F.col("media_path").alias("path"))
+    jsons = q.where(F.col("row_type") == "unmatched_json").select(F.col("json_path").alias("path"))
+    root = X.ROOT
+    return (A.restore_plan(media, f"{root}/{K.UNMATCHED_MEDIA_DIR}", root)
+            .unionByName(A.restore_plan(jsons, f"{root}/{K.UNMATCHED_JSON_DIR}", root)))
+
+
+def converted_changes(spark, sf_dir):
+    headers = X.inventory_now(spark, sf_dir).where(F.col("origin") == "media").select("path", "header_hex")
+    return A.conversion_plan(deduped_manifest(spark, sf_dir), headers)
+
+
+def q_conversion_plan(spark, sf_dir):
+    return converted_changes(spark, sf_dir)
+
+
+def q_row_regex_count(spark, sf_dir):
+    m = A.apply_rows(deduped_manifest(spark, sf_dir), converted_changes(spark, sf_dir))
+    return R.count_matching_rows(m)
+
+
+def q_sample_per_extension(spark, sf_dir):
+    return A.sample_per_extension(manifest(spark, sf_dir), X.inventory_now(spark, sf_dir))
+
+
+def q_archive_intake_plan(spark, sf_dir):
+    return A.archive_intake_plan(X.downloads(spark, sf_dir), X.ROOT)
+
+
+def q_search_names(spark, sf_dir):
+    session.configure(spark)
+    return SR.search_names(X.inventory(spark, sf_dir), X.archive_members(spark, sf_dir), "img_0001")
+
+
+def q_search_names_exact(spark, sf_dir):
+    session.configure(spark)
+    return SR.search_names(X.inventory(spark, sf_dir), X.archive_members(spark, sf_dir),
+                           "Takeout/Google Photos/Photos from 2012/IMG_00012.jpg", exact=True)
+
+
+def q_stage_stats(spark, sf_dir):
+    inv = pairing.describe_files(X.inventory(spark, sf_dir)).where(F.col("year_folder") != "")
+    m = manifest(spark, sf_dir)
+    d = deduped_manifest(spark, sf_dir)
+    plan = D.deletion_plan(d, X.inventory_now(spark, sf_dir))
+
+    def one(df, metric, cond):
+        return df.agg(F.count_if(cond).alias("value")).select(F.lit(metric).alias("metric"), "value")
+
+    parts = [
+        one(inv, "media_files", ~F.col("is_json")),
+        one(inv, "sidecar_files", F.col("is_json")),
+        one(m, "matched", F.col("row_type") == "matched"),
+        one(m, "unmatched_json", F.col("row_type") == "unmatched_json"),
+        one(m, "unmatched_media", F.col("row_type") == "unmatched_media"),
+        one(m, "rows_with_notes", F.coalesce("notes", F.lit("")) != ""),
+        one(d, "flagged_copies", S.flag_is("delete_flag", "true")),
+        one(d, "group_rows", F.col("dedup_group_id") != ""),
+        one(plan, "deleted_media", F.col("reason") == "duplicate media"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "timestamps_from_json": q_timestamps_from_json,
+        "backfill_timestamps": q_backfill_timestamps,
+        "tag_csv": q_tag_csv,
+        "file_types": q_file_types,
+        "file_type_lists": q_file_type_lists,
+        "remove_rows": q_remove_rows,
+        "clear_column": q_clear_column,
+        "prune_missing": q_prune_missing,
+        "invalid_paths": q_invalid_paths,
+        "windows_to_posix": q_windows_to_posix,
+        "quarantine_paths": q_quarantine_paths,
+        "restore_paths": q_restore_paths,
+        "conversion_plan": q_conversion_plan,
+        "row_regex_count": q_row_regex_count,
+        "sample_per_extension": q_sample_per_extension,
+        "archive_intake_plan": q_archive_intake_plan,
+        "search_names": q_search_names,
+        "search_names_exact": q_search_names_exact,
+        "stage_stats": q_stage_stats,
         "pair_sidecars": q_pair_sidecars,
         "manifest_build": q_manifest_build,
         "dedup_verdicts": q_dedup_verdicts,

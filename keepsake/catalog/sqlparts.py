@@ -137,3 +137,46 @@ fingerprints AS (
          CASE WHEN lower(regexp_extract(path, '(?s)^.+(\\.[^.]+)$', 1)) = '.heic' AND file_id % 4 = 1 THEN '' ELSE phash64 END AS phash64,
          mtime
   FROM media_files)"""
+
+
+def strip(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def append_hist(c: str, t: str) -> str:
+    p = f"trim(coalesce({c}, ''))"
+    return f"CASE WHEN {p} = '' THEN {t} ELSE {p} || '; ' || {t} END"
+
+
+def quarantine(p: str, root: str) -> str:
+    strict = f"regexp_extract({p}, '(?:^|/)([Zz][0-9]{{3}})(?:/|$)', 1)"
+    after = f"regexp_extract({p}, '(?:^|/)(?:[Zz][0-9]{{3}})(/.*)?$', 1)"
+    after_loose = f"regexp_extract({p}, '(?:^|/)(?:[Zz][^/]*)(/.*)?$', 1)"
+    tail = f"(CASE WHEN {strict} <> '' THEN {after} ELSE {after_loose} END)"
+    parts = f"list_filter(string_split({tail}, '/'), lambda x: x <> '' AND lower(x) NOT IN ('takeout', 'google photos'))"
+    rel = f"(CASE WHEN len({parts}) > 0 THEN '/' || array_to_string({parts}, '/') ELSE '' END)"
+    return f"(CASE WHEN {archive(p)} = '' THEN NULL ELSE {q(root)} || '/' || {archive(p)} || {rel} END)"
+
+
+def to_wsl(x: str) -> str:
+    s = f"replace({strip(x)}, '\\', '/')"
+    return (f"(CASE WHEN {x} = '' THEN {x} WHEN regexp_matches({s}, '^([a-zA-Z]):/(.+)') THEN "
+            f"'/mnt/' || lower(regexp_extract({s}, '^([a-zA-Z]):/(.+)', 1)) || '/' || "
+            f"regexp_extract({s}, '(?s)^([a-zA-Z]):/(.+)', 2) ELSE {s} END)")
+
+
+ARCHIVE_MEMBERS = f"""
+archive_members AS (
+  SELECT '/data/Zipped/' || regexp_extract(path, '^/data/Processing/(Z[0-9]{{3}})/(.*)$', 1) || '.zip' AS zip_path,
+         regexp_extract(path, '^/data/Processing/(Z[0-9]{{3}})/(.*)$', 2) AS member
+  FROM inventory)"""
+
+DOWNLOADS = """
+downloads AS (
+  SELECT '/data/Zipped/' || CASE
+      WHEN page_id % 9 = 0 THEN 'Z' || printf('%03d', page_id % 1000) || '.zip'
+      WHEN page_id % 11 = 1 THEN 'takeout-2025' || printf('%04d', page_id % 1200 + 101) || 'T000000Z-' || printf('%03d', page_id % 1000) || '.ZIP'
+      WHEN page_id % 13 = 2 THEN 'takeout-2025' || printf('%04d', page_id % 1200 + 101) || 'T000000Z-' || printf('%03d', page_id % 1000) || '.7z'
+      WHEN page_id % 17 = 3 THEN 'takeout-2025' || printf('%04d', page_id % 1200 + 101) || 'T000000Z-extra.zip'
+      ELSE 'takeout-2025' || printf('%04d', page_id % 1200 + 101) || 'T000000Z-' || printf('%03d', page_id % 1000) || '.zip' END AS path
+  FROM pages)"""
