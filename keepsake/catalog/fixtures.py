@@ -168,3 +168,43 @@ def downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(i % 17 == 3, F.concat(stamp, F.lit("-extra.zip")))
             .otherwise(F.concat(stamp, F.lit("-"), num, F.lit(".zip"))))
     return p.select(F.concat(F.lit("/data/Zipped/"), name).alias("path"))
+
+
+def sign_fingerprint(col: str = "embedding"):
+    """63-bit sign pattern of an embedding (bit i set when component i > 0)."""
+    return F.expr(f"aggregate(transform(slice({col}, 1, 63), (x, i) -> if(x > 0, shiftleft(1L, i), 0L)), "
+                  "0L, (a, b) -> a | b)")
+
+
+def similarity_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hashed manifest derived from ``embeddings``: three of four vectors
+    are archive files (a tenth of them videos, without a perceptual hash);
+    every fourth is a quarantined near-copy of the next vector's file, its
+    hash differing in 0..13 low bits, stored in that file's year folder
+    (none for every fifth copy; some copies sit in a masked ``_review``
+    folder). Returns ``row_id, media_path, phash64, formatted_time``."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", sign_fingerprint("embedding").alias("fp"))
+    v = F.col("vec_id")
+    arch = F.concat(F.lit("Z"), F.format_string("%03d", v % 3 + 1))
+    year = F.concat(F.lit("Photos from "), (F.lit(2010) + F.col("label")).cast("string"))
+    is_video = v % 10 == 7
+    cand = e.where(v % 4 != 0).select(
+        v.alias("row_id"),
+        F.concat_ws("/", F.lit(ROOT), arch, F.lit(GPHOTOS), year,
+                    F.concat(F.lit("IMG_V"), F.format_string("%05d", v),
+                             F.when(is_video, ".mp4").otherwise(".jpg"))).alias("media_path"),
+        F.when(is_video, F.lit("")).otherwise(F.lpad(F.lower(F.hex("fp")), 16, "0")).alias("phash64"),
+        F.date_format(F.timestamp_seconds(F.lit(1262304000) + v * 3600), K.TIME_FORMAT).alias("formatted_time"))
+    src = e.select((v - 1).alias("vec_id"), F.col("label").alias("src_label"), F.col("fp").alias("src_fp"))
+    q = e.where(v % 4 == 0).join(src, "vec_id")
+    qhash = F.col("src_fp").bitwiseXOR(F.expr("shiftleft(1L, cast(pmod(floor(vec_id / 4), 14) AS INT)) - 1"))
+    qyear = F.concat(F.lit("Photos from "), (F.lit(2010) + F.col("src_label")).cast("string"))
+    folder = (F.when(v % 20 == 0, F.concat_ws("/", F.lit(ROOT + "/" + K.UNMATCHED_MEDIA_DIR), arch))
+              .when(v % 36 == 8, F.concat_ws("/", F.lit(ROOT + "/" + K.UNMATCHED_MEDIA_DIR), arch, F.lit("_review"), qyear))
+              .otherwise(F.concat_ws("/", F.lit(ROOT + "/" + K.UNMATCHED_MEDIA_DIR), arch, qyear)))
+    quar = q.select(
+        v.alias("row_id"),
+        F.concat_ws("/", folder, F.concat(F.lit("IMG_U"), F.format_string("%05d", v), F.lit(".jpg"))).alias("media_path"),
+        F.lpad(F.lower(F.hex(qhash)), 16, "0").alias("phash64"),
+        F.lit("").alias("formatted_time"))
+    return cand.unionByName(quar)

@@ -190,6 +190,7 @@ FROM fpm m JOIN inventory_now f ON trim(m.media_path) = f.path
 WHERE {lower_suffix(basename('trim(m.media_path)'))} IN ('.jpg', '.jpeg', '.png', '.heic', '.mp4', '.mov', '.avi', '.mkv')
   AND ({blank('m.content_sha1')} OR coalesce(m.hash_mtime, -1) <> f.mtime)"""
     out.update(batch2())
+    out.update(similarity_sql())
     return out
 
 
@@ -420,3 +421,68 @@ UNION ALL SELECT 'flagged_copies', count(*) FROM fl
 UNION ALL SELECT 'group_rows', count(*) FILTER (WHERE dedup_group_id <> '') FROM deduped
 UNION ALL SELECT 'deleted_media', count(*) FILTER (WHERE media_path <> '' AND trim(media_path) IN (SELECT path FROM inventory_now)) FROM fl"""
     return out
+
+
+# ---------------------------------------------------------------- similarity
+
+UROOT = f"{ROOT}/__UNMATCHED_MEDIA__"
+SIM_ROOT = f"{ROOT}/__SIM__"
+
+SIMILARITY = f"""WITH
+e AS (
+  SELECT vec_id, label,
+         CAST(list_sum(list_transform(range(1, 64), lambda i: CASE WHEN embedding[i] > 0
+              THEN (1::BIGINT << (i - 1)::INT)::HUGEINT ELSE 0 END)) AS BIGINT) AS fp
+  FROM embeddings),
+cand AS (
+  SELECT vec_id AS c_order,
+         '{ROOT}/Z' || printf('%03d', vec_id % 3 + 1) || '/Takeout/Google Photos/Photos from ' || CAST(2010 + label AS VARCHAR)
+           || '/IMG_V' || printf('%05d', vec_id) || CASE WHEN vec_id % 10 = 7 THEN '.mp4' ELSE '.jpg' END AS c_path,
+         fp AS c_hash, vec_id % 10 = 7 AS is_video, 'Photos from ' || CAST(2010 + label AS VARCHAR) AS c_year,
+         strftime(epoch_ms((1262304000 + vec_id * 3600) * 1000), '%Y:%m:%d %H:%M:%S') AS c_time
+  FROM e WHERE vec_id % 4 <> 0),
+quar AS (
+  SELECT u.vec_id,
+         '{UROOT}/Z' || printf('%03d', u.vec_id % 3 + 1) ||
+           CASE WHEN u.vec_id % 20 = 0 THEN ''
+                WHEN u.vec_id % 36 = 8 THEN '/_review/Photos from ' || CAST(2010 + s.label AS VARCHAR)
+                ELSE '/Photos from ' || CAST(2010 + s.label AS VARCHAR) END
+           || '/IMG_U' || printf('%05d', u.vec_id) || '.jpg' AS u_path,
+         xor(s.fp, (1::BIGINT << CAST((u.vec_id // 4) % 14 AS INTEGER)) - 1) AS u_hash,
+         CASE WHEN u.vec_id % 20 = 0 THEN '' ELSE 'Photos from ' || CAST(2010 + s.label AS VARCHAR) END AS u_year,
+         u.vec_id % 20 <> 0 AND u.vec_id % 36 = 8 AS masked
+  FROM e u JOIN e s ON s.vec_id = u.vec_id + 1
+  WHERE u.vec_id % 4 = 0)"""
+
+
+def near_sql(t: int) -> str:
+    return SIMILARITY + f""",
+near AS (
+  SELECT q.u_path AS unmatched, c.c_path AS match, bit_count(xor(q.u_hash, c.c_hash)) AS distance,
+         c.c_order, c.c_time
+  FROM quar q, cand c
+  WHERE NOT q.masked AND NOT c.is_video AND bit_count(xor(q.u_hash, c.c_hash)) <= {t}
+    AND (q.u_year = '' OR q.u_year = c.c_year)),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY unmatched ORDER BY distance, c_order, match) AS rank FROM near)"""
+
+
+def similarity_sql() -> dict[str, str]:
+    out = {}
+    out["hamming_nearest"] = near_sql(10) + """
+SELECT unmatched, match, CAST(distance AS BIGINT) AS distance FROM ranked WHERE rank = 1"""
+    out["hamming_nearest_8bands"] = out["hamming_nearest"]
+    out["hamming_top5"] = near_sql(12) + """
+SELECT unmatched, match, CAST(distance AS BIGINT) AS distance, rank FROM ranked WHERE rank <= 5"""
+    rel = f"substr(unmatched, {len(UROOT) + 2})"
+    name = basename(rel)
+    out["reconcile_actions"] = near_sql(10) + f""",
+b AS (SELECT *, {rel} AS rel FROM ranked WHERE rank = 1)
+SELECT unmatched, match, CASE WHEN distance = 0 THEN 'delete' ELSE 'move' END AS op,
+       CASE WHEN distance = 0 THEN '' ELSE concat_ws('/', '{SIM_ROOT}', CASE WHEN {parent('rel')} <> '' THEN {parent('rel')} END,
+            {stem(basename('rel'))} || '_sim' || {suffix(basename('rel'))}) END AS dest,
+       CASE WHEN distance > 0 AND {lower_suffix(basename('match'))} IN ('.jpg', '.jpeg', '.png', '.heic') AND c_time <> ''
+            THEN c_time END AS timestamp,
+       CAST(distance AS BIGINT) AS distance
+FROM b"""
+    return out

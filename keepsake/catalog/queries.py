@@ -18,6 +18,7 @@ from ..operators import dedup as D
 from ..operators import edits as E
 from ..operators import reports as R
 from ..operators import search as SR
+from ..operators import similarity as SIM
 from ..operators import timestamps as T
 from ..plans import actions as A
 from ..operators import pairing
@@ -272,8 +273,40 @@ def q_stage_stats(spark, sf_dir):
     return out
 
 
+UNMATCHED_ROOT = X.ROOT + "/" + K.UNMATCHED_MEDIA_DIR
+SIM_ROOT = X.ROOT + "/" + K.SIM_DIR
+
+
+def q_hamming_nearest(spark, sf_dir):
+    session.configure(spark)
+    near = SIM.near_matches(X.similarity_manifest(spark, sf_dir), UNMATCHED_ROOT, K.HAMMING_THRESHOLD)
+    return SIM.ranked_matches(near, 1).select("unmatched", "match", "distance")
+
+
+def q_hamming_top5(spark, sf_dir):
+    session.configure(spark)
+    near = SIM.near_matches(X.similarity_manifest(spark, sf_dir), UNMATCHED_ROOT, 12)
+    return SIM.ranked_matches(near, 5).select("unmatched", "match", "distance", "rank")
+
+
+def q_hamming_nearest_8bands(spark, sf_dir):
+    session.configure(spark)
+    near = SIM.near_matches(X.similarity_manifest(spark, sf_dir), UNMATCHED_ROOT, K.HAMMING_THRESHOLD, bands=8)
+    return SIM.ranked_matches(near, 1).select("unmatched", "match", "distance")
+
+
+def q_reconcile_actions(spark, sf_dir):
+    session.configure(spark)
+    return SIM.reconcile_actions(X.similarity_manifest(spark, sf_dir), UNMATCHED_ROOT, SIM_ROOT,
+                                 K.HAMMING_THRESHOLD)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "hamming_nearest": q_hamming_nearest,
+        "hamming_top5": q_hamming_top5,
+        "hamming_nearest_8bands": q_hamming_nearest_8bands,
+        "reconcile_actions": q_reconcile_actions,
         "timestamps_from_json": q_timestamps_from_json,
         "backfill_timestamps": q_backfill_timestamps,
         "tag_csv": q_tag_csv,
