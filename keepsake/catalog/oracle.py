@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+QUAR = ''
 from .sqlparts import (ARCHIVE_MEMBERS, DOWNLOADS, FIXTURE_CTES, ROOT, append_hist, archive,
                        basename, blank, expected_media, flag_is, fmt_time, json_ts, lower_suffix,
                        parent, q, quarantine, stem, strip, suffix, to_wsl, unclean, year_folder)
@@ -191,6 +192,14 @@ WHERE {lower_suffix(basename('trim(m.media_path)'))} IN ('.jpg', '.jpeg', '.png'
   AND ({blank('m.content_sha1')} OR coalesce(m.hash_mtime, -1) <> f.mtime)"""
     out.update(batch2())
     out.update(similarity_sql())
+    rec = recovery_sql()
+    out["fuzzy_recover"] = "WITH RECURSIVE" + rec[len("WITH"):] + "\nSELECT * FROM won"
+    rj = lambda c: f"CASE WHEN starts_with({c}, '{ROOT}/__UNMATCHED_JSON__/') THEN '{ROOT}/' || regexp_extract(substr({c}, {len(ROOT + '/__UNMATCHED_JSON__/') + 1}), '^([^/]+)/(.+)$', 1) || '/Takeout/Google Photos/' || regexp_extract(substr({c}, {len(ROOT + '/__UNMATCHED_JSON__/') + 1}), '^([^/]+)/(.+)$', 2) END"
+    rm = lambda c: f"CASE WHEN starts_with({c}, '{ROOT}/__UNMATCHED_MEDIA__/') THEN '{ROOT}/' || regexp_extract(substr({c}, {len(ROOT + '/__UNMATCHED_MEDIA__/') + 1}), '^([^/]+)/(.+)$', 1) || '/Takeout/Google Photos/' || regexp_extract(substr({c}, {len(ROOT + '/__UNMATCHED_MEDIA__/') + 1}), '^([^/]+)/(.+)$', 2) END"
+    out["fuzzy_recover_rows"] = "WITH RECURSIVE" + rec[len("WITH"):] + f"""
+SELECT q.row_id, 'matched' AS row_type, {basename('w.json_path')} AS json_filename, {rj('w.json_path')} AS json_path,
+       {basename(rm('w.media_path'))} AS original_media, {rm('w.media_path')} AS media_path, 'Recovered match' AS notes
+FROM quar q JOIN won w ON lower(q.row_type) = 'unmatched_media' AND q.media_path = w.media_path"""
     return out
 
 
@@ -270,6 +279,36 @@ changes AS (
   FROM cv13 WHERE fix OR conv OR vid)"""
 
 
+def recovery_sql() -> str:
+    """Sequential serial dictatorship as a recursive CTE: sidecar i (path
+    order) takes its first candidate media not taken by sidecars 1..i-1."""
+    jkey = "regexp_replace(regexp_replace(lower(" + basename("path") + "), '\\.+json$', ''), '[^a-zA-Z0-9]', '', 'g')"
+    mkey = "regexp_replace(lower(" + stem(basename("path")) + "), '[^a-zA-Z0-9]', '', 'g')"
+    return BASE + QUAR + f""",
+qfiles AS (
+  SELECT media_path AS path FROM quar WHERE row_type = 'unmatched_media'
+  UNION ALL SELECT json_path FROM quar WHERE row_type = 'unmatched_json'),
+jj AS (
+  SELECT row_number() OVER (ORDER BY path) AS i, path, {jkey} AS k FROM qfiles
+  WHERE starts_with(path, '{ROOT}/__UNMATCHED_JSON__/') AND ends_with(lower(path), '.json')),
+mm AS (
+  SELECT row_number() OVER (ORDER BY path) AS o, path, {mkey} AS k FROM qfiles
+  WHERE starts_with(path, '{ROOT}/__UNMATCHED_MEDIA__/')),
+cand AS (
+  SELECT jj.i, mm.o FROM jj JOIN mm ON jj.k <> '' AND mm.k <> ''
+    AND (jj.k = mm.k OR contains(jj.k, mm.k) OR contains(mm.k, jj.k))),
+r AS (
+  SELECT 0 AS i, CAST([] AS BIGINT[]) AS taken, CAST(NULL AS BIGINT) AS pick
+  UNION ALL
+  SELECT r.i + 1,
+         CASE WHEN p.o IS NULL THEN r.taken ELSE list_append(r.taken, p.o) END,
+         p.o
+  FROM r LEFT JOIN LATERAL (
+      SELECT min(c.o) AS o FROM cand c WHERE c.i = r.i + 1 AND NOT list_contains(r.taken, c.o)) p ON true
+  WHERE r.i < (SELECT coalesce(max(i), 0) FROM jj)),
+won AS (SELECT jj.path AS json_path, mm.path AS media_path FROM r JOIN jj ON jj.i = r.i JOIN mm ON mm.o = r.pick)"""
+
+
 def batch2() -> dict[str, str]:
     out: dict[str, str] = {}
     F = "WITH " + FIXTURE_CTES
@@ -355,6 +394,8 @@ quar AS (
               ELSE notes END AS notes,
          joined <> '' AS changed
   FROM qb)"""
+    global QUAR
+    QUAR = quar
     out["quarantine_paths"] = BASE + quar + """
 SELECT row_id, media_path, corrected_path, json_path, notes FROM quar WHERE changed"""
     def restore(src, qroot):

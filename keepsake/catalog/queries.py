@@ -17,6 +17,7 @@ from ..functions import constants as K
 from ..operators import dedup as D
 from ..operators import edits as E
 from ..operators import reports as R
+from ..operators import recovery as RC
 from ..operators import search as SR
 from ..operators import similarity as SIM
 from ..operators import timestamps as T
@@ -301,8 +302,45 @@ def q_reconcile_actions(spark, sf_dir):
                                  K.HAMMING_THRESHOLD)
 
 
+QJSON_ROOT = X.ROOT + "/" + K.UNMATCHED_JSON_DIR
+
+
+def quarantined(spark, sf_dir):
+    """The manifest after its unmatched rows were pointed at quarantine."""
+    return stage(spark, sf_dir, "quarantined",
+                 lambda: E.quarantine_unmatched(manifest(spark, sf_dir), X.ROOT)[0])
+
+
+def quarantined_files(spark, sf_dir):
+    """Files now in the quarantine folders (the unmatched rows' files)."""
+    q = quarantined(spark, sf_dir)
+    media = q.where(F.col("row_type") == "unmatched_media").select(F.col("media_path").alias("path"))
+    jsons = q.where(F.col("row_type") == "unmatched_json").select(F.col("json_path").alias("path"))
+    return media.unionByName(jsons)
+
+
+def recovered_pairs(spark, sf_dir):
+    return stage(spark, sf_dir, "recovered_pairs", lambda: RC.recover_pairs(
+        quarantined_files(spark, sf_dir), QJSON_ROOT, UNMATCHED_ROOT))
+
+
+def q_fuzzy_recover(spark, sf_dir):
+    session.configure(spark)
+    return RC.recover_pairs(quarantined_files(spark, sf_dir), QJSON_ROOT, UNMATCHED_ROOT)
+
+
+def q_fuzzy_recover_rows(spark, sf_dir):
+    session.configure(spark)
+    _, updated = RC.apply_recovery(quarantined(spark, sf_dir), recovered_pairs(spark, sf_dir),
+                                   QJSON_ROOT, UNMATCHED_ROOT, X.ROOT)
+    return updated.select("row_id", "row_type", "json_filename", "json_path", "original_media",
+                          "media_path", "notes")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "fuzzy_recover": q_fuzzy_recover,
+        "fuzzy_recover_rows": q_fuzzy_recover_rows,
         "hamming_nearest": q_hamming_nearest,
         "hamming_top5": q_hamming_top5,
         "hamming_nearest_8bands": q_hamming_nearest_8bands,
