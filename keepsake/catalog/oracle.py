@@ -202,6 +202,7 @@ SELECT q.row_id, 'matched' AS row_type, {basename('w.json_path')} AS json_filena
 FROM quar q JOIN won w ON lower(q.row_type) = 'unmatched_media' AND q.media_path = w.media_path"""
     out.update(file_sql())
     out["intake_stream"] = out["archive_intake_plan"]
+    out.update(plan_sql())
     return out
 
 
@@ -551,3 +552,43 @@ SELECT media_path AS file,
        CASE WHEN {jpeg} THEN formatted_time END AS date_time_original
 FROM manifest WHERE media_path <> '' AND coalesce(formatted_time, '') <> ''"""
     return out
+
+
+def plan_sql() -> dict[str, str]:
+    out = {}
+    gp = f"'{ROOT}/Z' || printf('%03d', doc_id % 3 + 1) || '/Takeout/Google Photos'"
+    out["photos_root_prune"] = "WITH " + FIXTURE_CTES + f""",
+listing AS (
+  SELECT path FROM inventory
+  UNION ALL SELECT {gp} || '/Album ' || CAST(doc_id % 4 AS VARCHAR) || '/IMG_A' || printf('%05d', doc_id) || '.jpg'
+            FROM documents WHERE doc_id % 25 = 0
+  UNION ALL SELECT {gp} || '/Trash/IMG_T' || printf('%05d', doc_id) || '.jpg' FROM documents WHERE doc_id % 40 = 0),
+parts AS (SELECT string_split(regexp_replace(path, '^/', ''), '/') AS p FROM listing WHERE starts_with(path, '{ROOT}/')),
+dirs AS (
+  SELECT DISTINCT d AS depth, '/' || array_to_string(p[1:d], '/') AS dir
+  FROM parts, unnest(generate_series(1, len(p) - 1)) AS g(d)),
+dirs2 AS (
+  SELECT *, {basename('dir')} AS name, {parent('dir')} AS parent,
+         regexp_extract(dir, '^{ROOT}/([^/]+)', 1) AS archive
+  FROM dirs),
+years AS (SELECT * FROM dirs2 WHERE archive <> '' AND regexp_matches(trim(name), '^Photos from [0-9]{{4}}$')),
+roots AS (SELECT archive, arg_min(parent, (depth, parent)) AS root FROM years GROUP BY archive)
+SELECT d.archive, r.root, 'delete_tree' AS op, d.dir AS dst, 'non-year folder next to year folders' AS reason
+FROM dirs2 d JOIN roots r ON d.archive = r.archive AND d.parent = r.root
+WHERE NOT regexp_matches(trim(d.name), '^Photos from [0-9]{{4}}$')"""
+    mroot = f"{ROOT}/__UNMATCHED_MEDIA__"
+    rel = f"substr(media_path, {len(mroot) + 2})"
+    a = f"regexp_extract({rel}, '^([^/]+)/(.+)$', 1)"
+    r = f"regexp_extract({rel}, '^([^/]+)/(.+)$', 2)"
+    out["restore_collision_plan"] = BASE + QUAR + f""",
+tgt AS (
+  SELECT media_path AS src, '{ROOT}/' || {a} || '/Takeout/Google Photos/' || {r} AS dst
+  FROM quar WHERE row_type = 'unmatched_media' AND starts_with(media_path, '{mroot}/') AND {a} <> ''),
+alt AS (SELECT *, {parent('dst')} || '/' || {stem(basename('dst'))} || '_restored' || {suffix(basename('dst'))} AS dst1,
+               {parent('dst')} || '/' || {stem(basename('dst'))} || '_restored_1' || {suffix(basename('dst'))} AS dst2 FROM tgt)
+SELECT 'move' AS op, src,
+       CASE WHEN dst NOT IN (SELECT path FROM inventory_now) THEN dst
+            WHEN dst1 NOT IN (SELECT path FROM inventory_now) THEN dst1 ELSE dst2 END AS dst,
+       CASE WHEN dst NOT IN (SELECT path FROM inventory_now) THEN 'restore' ELSE 'restore (target exists)' END AS reason
+FROM alt"""
+    return out

@@ -437,8 +437,49 @@ def q_guardrail_pixels(spark, sf_dir):
                     F.when(F.col("unflag"), "guardrail_uncertain").otherwise("keep_flag").alias("verdict"))
 
 
+def extraction_listing(spark, sf_dir):
+    """Files of the extracted archives: the inventory plus album and trash
+    folders that sit next to the year folders (one album copy of every
+    25th document, one trashed file of every 40th)."""
+    d = X.table(spark, sf_dir, "documents").select("doc_id")
+    i = F.col("doc_id")
+    arch = F.concat(F.lit(X.ROOT + "/Z"), F.format_string("%03d", i % 3 + 1), F.lit("/" + X.GPHOTOS))
+    album = d.where(i % 25 == 0).select(F.concat_ws("/", arch, F.concat(F.lit("Album "), (i % 4).cast("string")),
+                                                    F.concat(F.lit("IMG_A"), F.format_string("%05d", i), F.lit(".jpg"))).alias("path"))
+    trash = d.where(i % 40 == 0).select(F.concat_ws("/", arch, F.lit("Trash"),
+                                                    F.concat(F.lit("IMG_T"), F.format_string("%05d", i), F.lit(".jpg"))).alias("path"))
+    return X.inventory(spark, sf_dir).select("path").unionByName(album).unionByName(trash)
+
+
+def q_photos_root_prune(spark, sf_dir):
+    session.configure(spark)
+    return A.photos_root_prune_plan(extraction_listing(spark, sf_dir), X.ROOT)
+
+
+def q_restore_collision_plan(spark, sf_dir):
+    session.configure(spark)
+    q = quarantined(spark, sf_dir)
+    media = q.where(F.col("row_type") == "unmatched_media").select(F.col("media_path").alias("path"))
+    existing = X.inventory_now(spark, sf_dir).select("path")
+    return A.restore_plan_safe(media, f"{X.ROOT}/{K.UNMATCHED_MEDIA_DIR}", X.ROOT, existing)
+
+
+def q_guardrail_first_pass(spark, sf_dir):
+    session.configure(spark)
+    root = FS.image_files(spark, sf_dir)
+    images = PX.read_images(spark, root)
+    orig = images.where(F.col("path").contains("/orig/")).select(F.col("path").alias("a_path"))
+    pairs = orig.select("a_path", F.regexp_replace("a_path", "/orig/", "/copy/").alias("b_path"))
+    g = PX.guardrail(pairs, images, K.PIXEL_DIFF_FIRST_PASS, None, "to_first")
+    return g.select(_below(root, "b_path").alias("file"), F.round("diff", 3).alias("diff"),
+                    F.when(F.col("unflag"), "guardrail_uncertain").otherwise("keep_flag").alias("verdict"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "photos_root_prune": q_photos_root_prune,
+        "restore_collision_plan": q_restore_collision_plan,
+        "guardrail_first_pass": q_guardrail_first_pass,
         "csv_roundtrip": q_csv_roundtrip,
         "sidecar_scan": q_sidecar_scan,
         "inventory_scan": q_inventory_scan,

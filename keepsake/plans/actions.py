@@ -196,3 +196,70 @@ def archive_intake_plan(zips: DataFrame, processing_root: str) -> DataFrame:
     )).otherwise(F.array(F.struct(F.lit("skip").alias("op"), F.lit("").alias("dst"),
                                   F.lit("no archive number").alias("reason"))))
     return new.select("name", F.explode(acts).alias("a")).select("name", "a.op", "a.dst", "a.reason")
+
+
+# ------------------------------------------------------------ extraction pruning
+
+def ancestor_dirs(files: DataFrame) -> DataFrame:
+    """Every ancestor folder of every file (``path``): ``dir, depth, name,
+    parent`` (distinct)."""
+    parts = F.split(F.regexp_replace("path", "^/", ""), "/")
+    d = files.select(F.explode(F.sequence(F.lit(1), F.size(parts) - 1)).alias("depth"), parts.alias("_p"))
+    d = d.select("depth", F.concat(F.lit("/"), F.array_join(F.slice("_p", 1, F.col("depth")), "/")).alias("dir"))
+    return d.distinct().withColumn("name", P.basename("dir")).withColumn("parent", P.parent("dir"))
+
+
+def photos_root_prune_plan(files: DataFrame, archive_root: str) -> DataFrame:
+    """Per extracted archive (first folder below ``archive_root``): the photos
+    root is the shallowest folder with a child named exactly ``Photos from
+    dddd``; its other child folders are planned for deletion.
+    Returns ``archive, root, op, dst, reason`` (``dst`` = the folder)."""
+    base = archive_root.rstrip("/") + "/"
+    dirs = ancestor_dirs(files.where(F.col("path").startswith(base)))
+    dirs = dirs.withColumn("archive", F.regexp_extract("dir", "^" + base + "([^/]+)", 1)).where(F.col("archive") != "")
+    years = dirs.where(P.is_year_folder_name("name"))
+    roots = (years.groupBy("archive").agg(F.min(F.struct(F.col("depth"), F.col("parent"))).alias("_r"))
+             .select("archive", F.col("_r.parent").alias("root")))
+    kids = (dirs.alias("d").join(roots.alias("r"), (F.col("d.archive") == F.col("r.archive"))
+                                 & (F.col("d.parent") == F.col("r.root")))
+            .select(F.col("d.archive").alias("archive"), "root", "dir", "name"))
+    return kids.where(~P.is_year_folder_name("name")).select(
+        "archive", "root", F.lit("delete_tree").alias("op"), F.col("dir").alias("dst"),
+        F.lit("non-year folder next to year folders").alias("reason"))
+
+
+# ------------------------------------------------------------ failed files
+
+def failed_moves(failed: DataFrame, files: DataFrame, failed_root: str) -> DataFrame:
+    """Quarantine of failed conversions: every file in the failed file's
+    folder named ``<stem>.<anything>`` moves to the failed folder (parts from
+    the archive folder on), numbered ``_n`` when the name is taken there.
+    ``failed``: ``path, reason``; ``files``: ``path`` (present files).
+    Returns ``op, src, dst, reason``."""
+    f = failed.select(F.col("path").alias("_fp"), "reason",
+                      P.parent("path").alias("_dir"), P.stem(P.basename("path")).alias("_prefix"))
+    cand = files.select(F.col("path").alias("src"), P.parent("path").alias("_dir"), P.basename("path").alias("_nm"))
+    cand = cand.select("src", "_dir", "_nm", F.posexplode(F.split("_nm", r"\.")).alias("_i", "_x")).where(F.col("_i") > 0)
+    cand = cand.select("src", "_dir", "_nm",
+                       F.array_join(F.slice(F.split("_nm", r"\."), 1, F.col("_i")), ".").alias("_prefix"))
+    j = f.join(cand, ["_dir", "_prefix"]).dropDuplicates(["src"])
+    target = F.concat_ws("/", P.failed_target_dir(F.col("_fp"), failed_root), F.col("_nm"))
+    t = j.select(F.col("src").alias("key"), target.alias("target"), F.col("src").alias("order"), "reason")
+    named = free_names(t.select("key", "target", "order"), files.select("path"), "underscore")
+    return t.join(named, "key").select(F.lit("move").alias("op"), F.col("key").alias("src"), "dst", "reason")
+
+
+# ------------------------------------------------------------ restore with collisions
+
+def restore_plan_safe(paths: DataFrame, quarantine_root: str, processing_root: str,
+                      existing: DataFrame) -> DataFrame:
+    """Restore moves where an occupied destination becomes ``<stem>_restored``
+    (then ``_restored_1``, ...), never overwriting. Returns ``op, src, dst, reason``."""
+    plan = restore_plan(paths, quarantine_root, processing_root)
+    moves = plan.where(F.col("op") == "move")
+    t = moves.select(F.col("src").alias("key"), F.col("dst").alias("target"), F.col("src").alias("order"))
+    named = free_names(t, existing, "restored")
+    return (moves.join(named.withColumnRenamed("key", "src").withColumnRenamed("dst", "_safe"), "src")
+            .select("op", "src", F.col("_safe").alias("dst"),
+                    F.when(F.col("_safe") == F.col("dst"), "restore").otherwise("restore (target exists)").alias("reason"))
+            .unionByName(plan.where(F.col("op") != "move")))
