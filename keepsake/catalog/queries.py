@@ -37,9 +37,31 @@ from .stages import stage
 ORDER = ("archive", "name", "file_id")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Derived inputs are written as stage tables spread over all cores
+    (the driver tables are single-row-group files, read by one task)."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
+def inventory(spark, sf_dir):
+    return stage(spark, sf_dir, "inventory", lambda: _spread(X.inventory(spark, sf_dir)))
+
+
+def inventory_now(spark, sf_dir):
+    return stage(spark, sf_dir, "inventory_now", lambda: _spread(X.inventory_now(spark, sf_dir)))
+
+
+def fingerprints(spark, sf_dir):
+    return stage(spark, sf_dir, "fingerprints", lambda: _spread(X.fingerprints(spark, sf_dir)))
+
+
+def similarity_manifest(spark, sf_dir):
+    return stage(spark, sf_dir, "similarity_manifest", lambda: _spread(X.similarity_manifest(spark, sf_dir)))
+
+
 def build_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     session.configure(spark)
-    return pairing.build_manifest(X.inventory(spark, sf_dir), ORDER)
+    return pairing.build_manifest(inventory(spark, sf_dir), ORDER)
 
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +73,7 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fingerprinted_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manifest plus the hashing stage's columns (fingerprints by path)."""
     m = manifest(spark, sf_dir)
-    fp = X.fingerprints(spark, sf_dir).select(
+    fp = fingerprints(spark, sf_dir).select(
         F.col("path").alias("media_path"), "content_sha1", "phash64", F.col("mtime").alias("hash_mtime"))
     out = m.join(fp, "media_path", "left")
     out = out.withColumn("content_sha1", F.coalesce("content_sha1", F.lit(""))) \
@@ -70,7 +92,7 @@ def deduped_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_pair_sidecars(spark, sf_dir):
     session.configure(spark)
-    return pairing.pair_sidecars(X.inventory(spark, sf_dir), ORDER).select(
+    return pairing.pair_sidecars(inventory(spark, sf_dir), ORDER).select(
         "json_path", "json_name", "media_path", "media_name", "year_folder")
 
 
@@ -91,7 +113,7 @@ def stale_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     and overwrites only the rows it groups; rows it no longer groups keep
     their first-run verdicts (group numbers get reused)."""
     def build():
-        first = D.deletion_status(deduped_manifest(spark, sf_dir), X.inventory_now(spark, sf_dir))
+        first = D.deletion_status(deduped_manifest(spark, sf_dir), inventory_now(spark, sf_dir))
         live = first.where(~S.flag_is("deletion_status", "deleted"))
         return D.apply_verdicts(first, D.dedup_verdicts(live))
     return stage(spark, sf_dir, "stale", build)
@@ -126,7 +148,7 @@ def q_dedup_verify_issues(spark, sf_dir):
 
 
 def q_dedup_deletion_plan(spark, sf_dir):
-    return D.deletion_plan(deduped_manifest(spark, sf_dir), X.inventory_now(spark, sf_dir))
+    return D.deletion_plan(deduped_manifest(spark, sf_dir), inventory_now(spark, sf_dir))
 
 
 def q_dedup_review_paths(spark, sf_dir):
@@ -138,11 +160,11 @@ def q_dedup_review_paths(spark, sf_dir):
 
 def q_fingerprint_cache_misses(spark, sf_dir):
     return D.fingerprint_cache_misses(fingerprinted_manifest(spark, sf_dir),
-                                      X.inventory_now(spark, sf_dir))
+                                      inventory_now(spark, sf_dir))
 
 
 def sidecars_now(spark, sf_dir):
-    inv = X.inventory_now(spark, sf_dir)
+    inv = inventory_now(spark, sf_dir)
     return inv.where(F.col("origin") == "sidecar").select("path", "content")
 
 
@@ -184,12 +206,12 @@ def q_clear_column(spark, sf_dir):
 
 
 def q_prune_missing(spark, sf_dir):
-    _, removed = E.prune_missing(manifest(spark, sf_dir), X.inventory_now(spark, sf_dir))
+    _, removed = E.prune_missing(manifest(spark, sf_dir), inventory_now(spark, sf_dir))
     return removed.select("row_id", "media_path", "json_path")
 
 
 def q_invalid_paths(spark, sf_dir):
-    return E.invalid_paths(manifest(spark, sf_dir), X.inventory_now(spark, sf_dir))
+    return E.invalid_paths(manifest(spark, sf_dir), inventory_now(spark, sf_dir))
 
 
 def windows_manifest(spark, sf_dir):
@@ -222,7 +244,7 @@ def q_restore_paths(spark, sf_dir):
 
 
 def converted_changes(spark, sf_dir):
-    headers = X.inventory_now(spark, sf_dir).where(F.col("origin") == "media").select("path", "header_hex")
+    headers = inventory_now(spark, sf_dir).where(F.col("origin") == "media").select("path", "header_hex")
     return A.conversion_plan(deduped_manifest(spark, sf_dir), headers)
 
 
@@ -236,7 +258,7 @@ def q_row_regex_count(spark, sf_dir):
 
 
 def q_sample_per_extension(spark, sf_dir):
-    return A.sample_per_extension(manifest(spark, sf_dir), X.inventory_now(spark, sf_dir))
+    return A.sample_per_extension(manifest(spark, sf_dir), inventory_now(spark, sf_dir))
 
 
 def q_archive_intake_plan(spark, sf_dir):
@@ -245,20 +267,20 @@ def q_archive_intake_plan(spark, sf_dir):
 
 def q_search_names(spark, sf_dir):
     session.configure(spark)
-    return SR.search_names(X.inventory(spark, sf_dir), X.archive_members(spark, sf_dir), "img_0001")
+    return SR.search_names(inventory(spark, sf_dir), X.archive_members(spark, sf_dir), "img_0001")
 
 
 def q_search_names_exact(spark, sf_dir):
     session.configure(spark)
-    return SR.search_names(X.inventory(spark, sf_dir), X.archive_members(spark, sf_dir),
+    return SR.search_names(inventory(spark, sf_dir), X.archive_members(spark, sf_dir),
                            "Takeout/Google Photos/Photos from 2012/IMG_00012.jpg", exact=True)
 
 
 def q_stage_stats(spark, sf_dir):
-    inv = pairing.describe_files(X.inventory(spark, sf_dir)).where(F.col("year_folder") != "")
+    inv = pairing.describe_files(inventory(spark, sf_dir)).where(F.col("year_folder") != "")
     m = manifest(spark, sf_dir)
     d = deduped_manifest(spark, sf_dir)
-    plan = D.deletion_plan(d, X.inventory_now(spark, sf_dir))
+    plan = D.deletion_plan(d, inventory_now(spark, sf_dir))
 
     def one(df, metric, cond):
         return df.agg(F.count_if(cond).alias("value")).select(F.lit(metric).alias("metric"), "value")
@@ -286,25 +308,25 @@ SIM_ROOT = X.ROOT + "/" + K.SIM_DIR
 
 def q_hamming_nearest(spark, sf_dir):
     session.configure(spark)
-    near = SIM.near_matches(X.similarity_manifest(spark, sf_dir), UNMATCHED_ROOT, K.HAMMING_THRESHOLD)
+    near = SIM.near_matches(similarity_manifest(spark, sf_dir), UNMATCHED_ROOT, K.HAMMING_THRESHOLD)
     return SIM.ranked_matches(near, 1).select("unmatched", "match", "distance")
 
 
 def q_hamming_top5(spark, sf_dir):
     session.configure(spark)
-    near = SIM.near_matches(X.similarity_manifest(spark, sf_dir), UNMATCHED_ROOT, 12)
+    near = SIM.near_matches(similarity_manifest(spark, sf_dir), UNMATCHED_ROOT, 12)
     return SIM.ranked_matches(near, 5).select("unmatched", "match", "distance", "rank")
 
 
 def q_hamming_nearest_8bands(spark, sf_dir):
     session.configure(spark)
-    near = SIM.near_matches(X.similarity_manifest(spark, sf_dir), UNMATCHED_ROOT, K.HAMMING_THRESHOLD, bands=8)
+    near = SIM.near_matches(similarity_manifest(spark, sf_dir), UNMATCHED_ROOT, K.HAMMING_THRESHOLD, bands=8)
     return SIM.ranked_matches(near, 1).select("unmatched", "match", "distance")
 
 
 def q_reconcile_actions(spark, sf_dir):
     session.configure(spark)
-    return SIM.reconcile_actions(X.similarity_manifest(spark, sf_dir), UNMATCHED_ROOT, SIM_ROOT,
+    return SIM.reconcile_actions(similarity_manifest(spark, sf_dir), UNMATCHED_ROOT, SIM_ROOT,
                                  K.HAMMING_THRESHOLD)
 
 
@@ -448,7 +470,7 @@ def extraction_listing(spark, sf_dir):
                                                     F.concat(F.lit("IMG_A"), F.format_string("%05d", i), F.lit(".jpg"))).alias("path"))
     trash = d.where(i % 40 == 0).select(F.concat_ws("/", arch, F.lit("Trash"),
                                                     F.concat(F.lit("IMG_T"), F.format_string("%05d", i), F.lit(".jpg"))).alias("path"))
-    return X.inventory(spark, sf_dir).select("path").unionByName(album).unionByName(trash)
+    return inventory(spark, sf_dir).select("path").unionByName(album).unionByName(trash)
 
 
 def q_photos_root_prune(spark, sf_dir):
@@ -460,7 +482,7 @@ def q_restore_collision_plan(spark, sf_dir):
     session.configure(spark)
     q = quarantined(spark, sf_dir)
     media = q.where(F.col("row_type") == "unmatched_media").select(F.col("media_path").alias("path"))
-    existing = X.inventory_now(spark, sf_dir).select("path")
+    existing = inventory_now(spark, sf_dir).select("path")
     return A.restore_plan_safe(media, f"{X.ROOT}/{K.UNMATCHED_MEDIA_DIR}", X.ROOT, existing)
 
 

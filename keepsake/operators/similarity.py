@@ -41,17 +41,18 @@ def _band_values(h, bands: int):
 
 
 def hamming_pairs(queries: DataFrame, candidates: DataFrame, threshold: int, bands: int = 4,
-                  keys: tuple[str, ...] = ()) -> DataFrame:
+                  keys: tuple[str, ...] = (), carry: tuple[str, ...] = ()) -> DataFrame:
     """All (query, candidate) pairs with ``bit_count(q_hash ^ c_hash) <=
     threshold`` that also agree on ``keys``.
 
     ``queries``: ``q_id, q_hash`` (+ keys); ``candidates``: ``c_id, c_hash``
-    (+ keys). Returns ``q_id, c_id, distance``."""
+    (+ keys, + ``carry`` columns passed through). Returns ``q_id, c_id,
+    distance`` + carry."""
     if 64 % bands:
         raise ValueError("bands must divide 64")
     radius = threshold // bands
     masks = _masks(64 // bands, radius)
-    cb = candidates.select("c_id", "c_hash", *keys, F.posexplode(F.array(*_band_values(F.col("c_hash"), bands)))
+    cb = candidates.select("c_id", "c_hash", *keys, *carry, F.posexplode(F.array(*_band_values(F.col("c_hash"), bands)))
                            .alias("band", "value"))
     qb = (queries.select("q_id", "q_hash", *keys,
                          F.posexplode(F.array(*_band_values(F.col("q_hash"), bands))).alias("band", "qv"))
@@ -60,7 +61,7 @@ def hamming_pairs(queries: DataFrame, candidates: DataFrame, threshold: int, ban
           .select("q_id", "q_hash", *keys, "band", F.col("qv").bitwiseXOR(F.col("_m")).alias("value")))
     pairs = qb.join(cb, ["band", "value", *keys])
     d = S.hamming64(F.col("q_hash"), F.col("c_hash"))
-    return (pairs.select("q_id", "c_id", d.alias("distance"))
+    return (pairs.select("q_id", "c_id", d.alias("distance"), *carry)
             .where(F.col("distance") <= threshold)
             .dropDuplicates(["q_id", "c_id"]))
 
@@ -96,11 +97,10 @@ def near_matches(manifest: DataFrame, unmatched_root: str, threshold: int = K.HA
     threshold, restricted to the file's year folder when it has one.
     Returns ``unmatched, match, distance, c_order``."""
     q, c = reconcile_inputs(manifest, unmatched_root)
-    with_year = hamming_pairs(q.where(F.col("year") != ""), c, threshold, bands, keys=("year",))
-    no_year = hamming_pairs(q.where(F.col("year") == "").drop("year"), c.drop("year"), threshold, bands)
-    pairs = with_year.unionByName(no_year)
-    order = c.select("c_id", "c_order")
-    return (pairs.join(order, "c_id")
+    with_year = hamming_pairs(q.where(F.col("year") != ""), c, threshold, bands, keys=("year",), carry=("c_order",))
+    no_year = hamming_pairs(q.where(F.col("year") == "").drop("year"), c.drop("year"), threshold, bands,
+                            carry=("c_order",))
+    return (with_year.unionByName(no_year)
             .select(F.col("q_id").alias("unmatched"), F.col("c_id").alias("match"), "distance", "c_order"))
 
 
