@@ -203,6 +203,13 @@ FROM quar q JOIN won w ON lower(q.row_type) = 'unmatched_media' AND q.media_path
     out.update(file_sql())
     out["intake_stream"] = out["archive_intake_plan"]
     out.update(plan_sql())
+    gid = "trim(coalesce(dedup_group_id, ''))"
+    out["dedup_guardrail_pairs"] = BASE + STALE + f""",
+g AS (SELECT *, {gid} AS gid FROM stale WHERE {gid} <> ''),
+k AS (SELECT gid, min(media_path) AS keeper_path FROM g WHERE {flag_is('delete_flag', 'false')}
+      GROUP BY gid HAVING count(*) = 1)
+SELECT g.gid AS dedup_group_id, k.keeper_path, g.media_path AS copy_path, g.row_id AS copy_row_id
+FROM g JOIN k ON g.gid = k.gid WHERE {flag_is('g.delete_flag', 'true')}"""
     return out
 
 
@@ -461,6 +468,7 @@ UNION ALL SELECT 'matched', count(*) FILTER (WHERE row_type = 'matched') FROM ma
 UNION ALL SELECT 'unmatched_json', count(*) FILTER (WHERE row_type = 'unmatched_json') FROM manifest
 UNION ALL SELECT 'unmatched_media', count(*) FILTER (WHERE row_type = 'unmatched_media') FROM manifest
 UNION ALL SELECT 'rows_with_notes', count(*) FILTER (WHERE coalesce(notes, '') <> '') FROM manifest
+UNION ALL SELECT 'manifest_rows', count(*) FROM manifest
 UNION ALL SELECT 'flagged_copies', count(*) FROM fl
 UNION ALL SELECT 'group_rows', count(*) FILTER (WHERE dedup_group_id <> '') FROM deduped
 UNION ALL SELECT 'deleted_media', count(*) FILTER (WHERE media_path <> '' AND trim(media_path) IN (SELECT path FROM inventory_now)) FROM fl"""
@@ -499,14 +507,16 @@ quar AS (
   WHERE u.vec_id % 4 = 0)"""
 
 
-def near_sql(t: int) -> str:
+def near_sql(t: int, year_only: bool = False) -> str:
+    extra = ("AND q.u_year <> '' AND regexp_matches(c.c_path, '^/data/Processing/[Zz][^/]*/Takeout/Google Photos/'"
+             " || c.c_year || '/')") if year_only else ""
     return SIMILARITY + f""",
 near AS (
   SELECT q.u_path AS unmatched, c.c_path AS match, bit_count(xor(q.u_hash, c.c_hash)) AS distance,
          c.c_order, c.c_time
   FROM quar q, cand c
   WHERE NOT q.masked AND NOT c.is_video AND bit_count(xor(q.u_hash, c.c_hash)) <= {t}
-    AND (q.u_year = '' OR q.u_year = c.c_year)),
+    AND (q.u_year = '' OR q.u_year = c.c_year) {extra}),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY unmatched ORDER BY distance, c_order, match) AS rank FROM near)"""
 
@@ -516,6 +526,8 @@ def similarity_sql() -> dict[str, str]:
     out["hamming_nearest"] = near_sql(10) + """
 SELECT unmatched, match, CAST(distance AS BIGINT) AS distance FROM ranked WHERE rank = 1"""
     out["hamming_nearest_8bands"] = out["hamming_nearest"]
+    out["hamming_nearest_year_only"] = near_sql(10, year_only=True) + """
+SELECT unmatched, match, CAST(distance AS BIGINT) AS distance FROM ranked WHERE rank = 1"""
     out["hamming_top5"] = near_sql(12) + """
 SELECT unmatched, match, CAST(distance AS BIGINT) AS distance, rank FROM ranked WHERE rank <= 5"""
     rel = f"substr(unmatched, {len(UROOT) + 2})"

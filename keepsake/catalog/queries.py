@@ -292,6 +292,7 @@ def q_stage_stats(spark, sf_dir):
         one(m, "unmatched_json", F.col("row_type") == "unmatched_json"),
         one(m, "unmatched_media", F.col("row_type") == "unmatched_media"),
         one(m, "rows_with_notes", F.coalesce("notes", F.lit("")) != ""),
+        one(m, "manifest_rows", F.lit(True)),
         one(d, "flagged_copies", S.flag_is("delete_flag", "true")),
         one(d, "group_rows", F.col("dedup_group_id") != ""),
         one(plan, "deleted_media", F.col("reason") == "duplicate media"),
@@ -497,8 +498,29 @@ def q_guardrail_first_pass(spark, sf_dir):
                     F.when(F.col("unflag"), "guardrail_uncertain").otherwise("keep_flag").alias("verdict"))
 
 
+def q_hamming_nearest_year_only(spark, sf_dir):
+    session.configure(spark)
+    near = SIM.near_matches(similarity_manifest(spark, sf_dir), UNMATCHED_ROOT, K.HAMMING_THRESHOLD,
+                            year_only=True, processing_root=X.ROOT)
+    return SIM.ranked_matches(near, 1).select("unmatched", "match", "distance")
+
+
+def q_dedup_guardrail_pairs(spark, sf_dir):
+    return D.keeper_pairs(stale_manifest(spark, sf_dir))
+
+
+def q_image_fingerprints(spark, sf_dir):
+    session.configure(spark)
+    root = FS.image_files(spark, sf_dir)
+    fp = PX.image_fingerprints(PX.read_images(spark, root))
+    return fp.select(_below(root).alias("file"), "content_sha1", S.phash_to_hex(F.col("phash")).alias("phash64"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "hamming_nearest_year_only": q_hamming_nearest_year_only,
+        "dedup_guardrail_pairs": q_dedup_guardrail_pairs,
+        "image_fingerprints": q_image_fingerprints,
         "photos_root_prune": q_photos_root_prune,
         "restore_collision_plan": q_restore_collision_plan,
         "guardrail_first_pass": q_guardrail_first_pass,

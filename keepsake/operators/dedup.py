@@ -234,3 +234,19 @@ def fingerprint_cache_misses(manifest: DataFrame, files: DataFrame, force: bool
               .when(F.coalesce(F.col("hash_mtime"), F.lit(-1)) != F.round(F.col("_mtime")).cast("long"),
                     "mtime_changed"))
     return j.select("row_id", "media_path", reason.alias("reason")).where(F.col("reason").isNotNull())
+
+
+def keeper_pairs(manifest: DataFrame) -> DataFrame:
+    """Flagged copies with their group's keeper, found through the group id
+    (the keeper is the group's row flagged false): ``dedup_group_id,
+    keeper_path, copy_path, copy_row_id``. Groups without exactly one
+    keeper give no pairs (they are reported by :func:`verify_groups`)."""
+    gid = F.trim(F.coalesce(F.col("dedup_group_id"), F.lit("")))
+    rows = manifest.where(gid != "").withColumn("_gid", gid)
+    keepers = (rows.where(S.flag_is("delete_flag", "false")).groupBy("_gid")
+               .agg(F.count(F.lit(1)).alias("_nk"), F.min("media_path").alias("keeper_path"))
+               .where(F.col("_nk") == 1))
+    copies = rows.where(S.flag_is("delete_flag", "true"))
+    return copies.join(keepers, "_gid").select(
+        F.col("_gid").alias("dedup_group_id"), "keeper_path", F.col("media_path").alias("copy_path"),
+        F.col("row_id").alias("copy_row_id"))

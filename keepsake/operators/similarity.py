@@ -91,12 +91,31 @@ def reconcile_inputs(manifest: DataFrame, unmatched_root: str) -> tuple[DataFram
     return q, c
 
 
+def year_folder_candidates(c: DataFrame, processing_root: str) -> DataFrame:
+    """Year-restricted mode: candidates must sit in ``<root>/<Z archive>/
+    Takeout/Google Photos/<year folder>/...`` (archive name starting with
+    z/Z, not '_'), have an image or video extension and no '_' folder."""
+    root = processing_root.rstrip("/")
+    pat = "^" + root + r"/([Zz][^/]*)/Takeout/Google Photos/([^/]+)/"
+    ok = (F.col("c_id").rlike(pat) & ~F.regexp_extract("c_id", pat, 1).startswith("_")
+          & (F.regexp_extract("c_id", pat, 2) == F.col("year"))
+          & P.lower_suffix(P.basename("c_id")).isin(*(K.DEDUP_IMAGE_EXTS + K.DEDUP_VIDEO_EXTS))
+          & ~F.exists(F.split(P.parent("c_id"), "/"), lambda p: p.startswith("_")))
+    return c.where(ok)
+
+
 def near_matches(manifest: DataFrame, unmatched_root: str, threshold: int = K.HAMMING_THRESHOLD,
-                 bands: int = 4) -> DataFrame:
+                 bands: int = 4, year_only: bool = False, processing_root: str | None = None) -> DataFrame:
     """Near matches of every quarantined file: candidates within the
     threshold, restricted to the file's year folder when it has one.
-    Returns ``unmatched, match, distance, c_order``."""
+    ``year_only``: files without a year folder are skipped and candidates
+    come only from the archives' year folders (see
+    :func:`year_folder_candidates`). Returns ``unmatched, match, distance,
+    c_order``."""
     q, c = reconcile_inputs(manifest, unmatched_root)
+    if year_only:
+        c = year_folder_candidates(c, processing_root or unmatched_root.rstrip("/").rsplit("/", 1)[0])
+        q = q.where(F.col("year") != "")
     with_year = hamming_pairs(q.where(F.col("year") != ""), c, threshold, bands, keys=("year",), carry=("c_order",))
     no_year = hamming_pairs(q.where(F.col("year") == "").drop("year"), c.drop("year"), threshold, bands,
                             carry=("c_order",))

@@ -158,3 +158,25 @@ def test_free_names_restored(spark):
                                     "key string, target string, order long")
     got = {r["key"]: r["dst"] for r in actions.free_names(targets, existing, "restored").collect()}
     assert got == {"k1": "/d/a_restored_1.jpg", "k2": "/d/a_restored_2.jpg"}
+
+
+def test_backfill_with_sibling_extension(spark):
+    from keepsake.operators import timestamps
+    m = spark.createDataFrame([
+        (1, "matched", "/r/Z001/IMG_9.jpg.supplemental-metadata.json", "", None, "", ""),
+        (2, "matched", "/r/Z001/IMG_8.jpg.json", "/r/Z001/IMG_8.jpg", None, "", ""),
+        (3, "matched", "/r/Z001/gone.json", "/r/Z001/gone.jpg", None, "", ""),
+        (4, "unmatched_json", "/r/Z001/IMG_7.jpg.json", "", None, "", ""),
+    ], "row_id long, row_type string, json_path string, media_path string, timestamp_unix long, "
+       "formatted_time string, new_ext string")
+    side = spark.createDataFrame([
+        ("/r/Z001/IMG_9.jpg.supplemental-metadata.json", '{"photoTakenTime": {"timestamp": "86400"}}'),
+        ("/r/Z001/IMG_9.jpg.supplemental-metadata.HEIC", None),
+        ("/r/Z001/IMG_8.jpg.json", '{"photoTakenTime": {"timestamp": 0}}'),
+        ("/r/Z001/IMG_7.jpg.json", '{"photoTakenTime": {"timestamp": "5"}}'),
+    ], "path string, content string")
+    new, report = timestamps.backfill_timestamps(m, side)
+    got = {r["row_id"]: r for r in report.collect()}
+    assert set(got) == {1}                      # 2: time 0; 3: sidecar missing; 4: not matched
+    assert got[1]["timestamp_unix"] == 86400 and got[1]["formatted_time"] == "1970:01:02 00:00:00"
+    assert got[1]["new_ext"] == ".heic"         # sibling named <sidecar stem>.*, .json excluded
