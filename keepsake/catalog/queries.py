@@ -516,7 +516,22 @@ def q_image_fingerprints(spark, sf_dir):
     return fp.select(_below(root).alias("file"), "content_sha1", S.phash_to_hex(F.col("phash")).alias("phash64"))
 
 
+def _configured(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Every registered query first applies the session settings it relies
+    on (UTC, AQE) and ships the package to the Python workers."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        session.configure(spark)
+        return fn(spark, sf_dir)
+    run.__name__ = fn.__name__
+    run.__doc__ = fn.__doc__
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: _configured(fn) for name, fn in _registry().items()}
+
+
+def _registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "hamming_nearest_year_only": q_hamming_nearest_year_only,
         "dedup_guardrail_pairs": q_dedup_guardrail_pairs,

@@ -21,11 +21,40 @@ ADAPTIVE_CONF = {
 }
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``keepsake`` importable in Python workers (the Pandas-UDF
+    operators run there): the package is zipped once per application,
+    written under the checkpoint folder and added with ``addPyFile``."""
+    import io
+    import zipfile
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    from .sources import fsio
+    uri = scratch_path(spark, "pyfiles") + "/keepsake.zip"
+    fsio.write_bytes(uri, buf.getvalue())
+    sc.addPyFile(uri)
+    _SHIPPED.add(sc.applicationId)
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the session settings operators rely on (idempotent)."""
+    """Apply the session settings operators rely on (idempotent) and ship
+    the package to the Python workers."""
     for k, v in {**REQUIRED_CONF, **ADAPTIVE_CONF}.items():
         if spark.conf.get(k, None) != v:
             spark.conf.set(k, v)
+    ship_package(spark)
     return spark
 
 
