@@ -220,6 +220,22 @@ def deletion_status(manifest: DataFrame, existing: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- cache
 
+def refresh_fingerprints(manifest: DataFrame, computed: DataFrame, files: DataFrame) -> DataFrame:
+    """Write freshly computed fingerprints (``path, content_sha1, phash``)
+    into the manifest's hash columns, with the file's whole-second mtime
+    (``files``: ``path, mtime``); other rows keep their cached values."""
+    c = (computed.join(files.select("path", "mtime"), "path", "left")
+         .select(F.col("path").alias("_p"), F.col("content_sha1").alias("_sha"),
+                 F.when(F.col("phash").isNotNull(), S.phash_to_hex(F.col("phash"))).otherwise(F.lit("")).alias("_ph"),
+                 F.round("mtime").cast("long").alias("_mt")))
+    j = manifest.join(c, P.to_local_path("media_path") == F.col("_p"), "left")
+    hit = F.col("_p").isNotNull()
+    return (j.withColumn("content_sha1", F.when(hit, F.col("_sha")).otherwise(F.col("content_sha1")))
+             .withColumn("phash64", F.when(hit, F.col("_ph")).otherwise(F.col("phash64")))
+             .withColumn("hash_mtime", F.when(hit, F.col("_mt")).otherwise(F.col("hash_mtime")))
+             .select(*manifest.columns))
+
+
 def fingerprint_cache_misses(manifest: DataFrame, files: DataFrame, force: bool = False) -> DataFrame:
     """Media rows whose fingerprint must be (re)computed: forced, no cached
     hash, or the file's whole-second mtime differs from the cached one.

@@ -171,15 +171,20 @@ def restore_plan(paths: DataFrame, quarantine_root: str, processing_root: str) -
 
 # ------------------------------------------------------------ intake
 
-def archive_intake_plan(zips: DataFrame, processing_root: str) -> DataFrame:
+def archive_intake_plan(zips: DataFrame, processing_root: str, processed: DataFrame | None = None) -> DataFrame:
     """New downloads (``.zip`` suffix in any case, name not starting with
     ``Z``) -> extract into ``<root>/Z###`` and rename to ``Z###.zip`` (kept
     when that name exists). A name without a ``-NNN.zip`` number (case
-    sensitive) is a skip row. ``zips``: ``path``. Returns
+    sensitive) is a skip row. ``zips``: ``path``; ``processed`` (optional
+    tracker, ``stem``): archives already extracted are left out. Returns
     ``name, op, dst, reason``."""
     name = P.basename("path")
     z = zips.withColumn("name", name).withColumn("_dir", P.parent("path"))
     new = z.where((P.lower_suffix("name") == ".zip") & ~F.col("name").startswith("Z"))
+    if processed is not None:
+        # the tracker: one row per archive already extracted (its name stem)
+        new = new.join(processed.select(F.col("stem").alias("_done")),
+                       P.stem(F.col("name")) == F.col("_done"), "left_anti")
     num = F.regexp_extract("name", K.ARCHIVE_NUMBER_RE, 1)
     new = new.withColumn("_num", num)
     names = z.select(F.col("path").alias("_taken")).distinct()

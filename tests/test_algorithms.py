@@ -180,3 +180,29 @@ def test_backfill_with_sibling_extension(spark):
     assert set(got) == {1}                      # 2: time 0; 3: sidecar missing; 4: not matched
     assert got[1]["timestamp_unix"] == 86400 and got[1]["formatted_time"] == "1970:01:02 00:00:00"
     assert got[1]["new_ext"] == ".heic"         # sibling named <sidecar stem>.*, .json excluded
+
+
+def test_fingerprint_cache_cycle(spark):
+    from keepsake.operators import dedup
+    m = spark.createDataFrame([
+        (1, "/r/a.jpg", "aa", "0000000000000001", 100), (2, "/r/b.jpg", "", "", None),
+        (3, "/r/c.jpg", "cc", "0000000000000003", 300), (4, "/r/gone.jpg", "", "", None)],
+        "row_id long, media_path string, content_sha1 string, phash64 string, hash_mtime long")
+    files = spark.createDataFrame([("/r/a.jpg", 100), ("/r/b.jpg", 200), ("/r/c.jpg", 999)], "path string, mtime long")
+    miss = {r["row_id"]: r["reason"] for r in dedup.fingerprint_cache_misses(m, files).collect()}
+    assert miss == {2: "no_hash", 3: "mtime_changed"}       # 4: file missing -> nothing
+    computed = spark.createDataFrame([("/r/b.jpg", "bb", 2), ("/r/c.jpg", "cc2", -1)],
+                                     "path string, content_sha1 string, phash long")
+    new = {r["row_id"]: r for r in dedup.refresh_fingerprints(m, computed, files).collect()}
+    assert new[2]["content_sha1"] == "bb" and new[2]["phash64"] == "0000000000000002" and new[2]["hash_mtime"] == 200
+    assert new[3]["phash64"] == "ffffffffffffffff" and new[3]["hash_mtime"] == 999
+    assert new[1]["content_sha1"] == "aa" and new[1]["hash_mtime"] == 100
+    assert dedup.fingerprint_cache_misses(dedup.refresh_fingerprints(m, computed, files), files).count() == 0
+
+
+def test_intake_plan_with_tracker(spark):
+    zips = spark.createDataFrame([("/z/takeout-1-001.zip",), ("/z/takeout-1-002.zip",), ("/z/Z001.zip",),
+                                  ("/z/takeout-x.ZIP",)], "path string")
+    done = spark.createDataFrame([("takeout-1-002",)], "stem string")
+    got = sorted((r["name"], r["op"]) for r in actions.archive_intake_plan(zips, "/p", done).collect())
+    assert got == [("takeout-1-001.zip", "extract"), ("takeout-1-001.zip", "keep_name"), ("takeout-x.ZIP", "skip")]
