@@ -19,32 +19,38 @@ from pyspark.sql import functions as F
 
 def dense_index(df: DataFrame, order: Sequence[Column | str], name: str = "row_id",
                 start: int = 1, num_partitions: int | None = None,
-                materialize: bool = True) -> DataFrame:
+                materialize: bool = False) -> DataFrame:
     """Add ``name`` = position of each row in ``order`` (starting at ``start``).
 
-    The input is read three times (range-bound sampling, partition counts,
-    numbering); with ``materialize`` it is first written once as a table
-    under the checkpoint folder so the passes re-read it instead of
-    recomputing its lineage."""
+    The range partitioning is evaluated exactly once: rows, their partition
+    id and their position inside the partition are written as a table under
+    the checkpoint folder, and the per-partition offsets are computed from
+    that table. (Two evaluations of a range shuffle may choose different
+    bounds -- the partitioner re-samples skewed inputs with a seed taken
+    from the RDD id -- so counts and positions must come from the same
+    evaluation.) ``materialize`` also writes the input first, so the
+    bound sampling and the shuffle do not both recompute an expensive input.
+    """
     from ..session import materialize as _write
     order = [F.col(c) if isinstance(c, str) else c for c in order]
     spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     if materialize:
         df = _write(df, "dense-index-input")
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (df.repartitionByRange(n, *order)
               .sortWithinPartitions(*order)
               .withColumn("_ks_pid", F.spark_partition_id())
               .withColumn("_ks_mid", F.monotonically_increasing_id()))
     # position inside the partition: the id's low 33 bits
     ranged = ranged.withColumn("_ks_pos", F.col("_ks_mid") - F.shiftleft(F.col("_ks_pid").cast("long"), 33))
+    ranged = _write(ranged.drop("_ks_mid"), "dense-index-ranged")
     counts = ranged.groupBy("_ks_pid").agg(F.count(F.lit(1)).alias("_ks_n"))
     # one row per partition: a window over it is a bounded, tiny job
     w = Window.orderBy("_ks_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_ks_pid", F.coalesce(F.sum("_ks_n").over(w), F.lit(0)).alias("_ks_off"))
     out = ranged.join(F.broadcast(offsets), "_ks_pid")
     return out.withColumn(name, (F.col("_ks_off") + F.col("_ks_pos") + F.lit(start)).cast("long")) \
-        .drop("_ks_pid", "_ks_mid", "_ks_pos", "_ks_off")
+        .drop("_ks_pid", "_ks_pos", "_ks_off")
 
 
 def group_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],

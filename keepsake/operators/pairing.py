@@ -53,6 +53,11 @@ def build_manifest(inv: DataFrame, order_by: Sequence[str],
     """The manifest: one row per sidecar (matched or unmatched) and one per
     media file no sidecar took. Files outside a year folder are skipped.
 
+    One full outer join of ranked sidecars and ranked media on
+    ``(year_folder, expected name, rank)`` yields matched rows (both sides),
+    unmatched sidecars (no media) and unmatched media (no sidecar) at once;
+    sidecars whose name has no expected media are unmatched directly.
+
     Row order (``row_id``, 1-based): sidecar rows by year folder then scan
     order, followed by unmatched media by year folder then scan order.
     ``sidecar_docs`` (``path``, ``content``) supplies JSON text when the
@@ -63,50 +68,47 @@ def build_manifest(inv: DataFrame, order_by: Sequence[str],
     elif "content" not in inv.columns:
         inv = inv.withColumn("content", F.lit(None).cast("string"))
     files = describe_files(inv).where(F.col("year_folder") != "")
-    pairs = pair_sidecars(inv, order_by)
-    jsons = files.where("is_json").alias("j")
-    media = files.where(~F.col("is_json")).alias("m")
-
-    # sidecar rows: left join with their pair (path identifies a file)
-    p = pairs.select(F.col("json_path").alias("_jp"), F.col("media_path").alias("_mp"),
-                     F.col("media_name").alias("_mn"))
-    jrows = jsons.join(p, F.col("j.path") == F.col("_jp"), "left")
-    ts = S.json_timestamp(F.col("j.content"))
-    matched = F.col("_mp").isNotNull()
-    sidecar_rows = jrows.select(
-        F.lit(0).alias("_section"), F.col("j.year_folder").alias("_yf"),
-        *[F.col(f"j.{c}").alias(f"_o{i}") for i, c in enumerate(order_by)],
-        F.when(matched, "matched").otherwise("unmatched_json").alias("row_type"),
-        F.col("j.name").alias("json_filename"),
-        F.col("j.path").alias("json_path"),
-        F.coalesce(F.col("_mn"), F.lit("")).alias("original_media"),
-        F.coalesce(F.col("_mp"), F.lit("")).alias("media_path"),
-        F.coalesce(F.col("_mp"), F.lit("")).alias("corrected_path"),
+    key = F.when(F.col("is_json"), F.lower(N.sidecar_expected_media("name"))).otherwise(F.lower("name"))
+    files = files.withColumn("_k", key)
+    keyed = files.where(F.col("_k").isNotNull())
+    ranked = group_rank(keyed, ["year_folder", "_k", "is_json"], order_by, "_rk")
+    ocols = list(order_by)
+    j = ranked.where("is_json").select(
+        "year_folder", "_k", "_rk", *[F.col(c).alias(f"jo_{c}") for c in ocols],
+        F.col("path").alias("j_path"), F.col("name").alias("j_name"), F.col("content").alias("j_content"))
+    m = ranked.where(~F.col("is_json")).select(
+        "year_folder", "_k", "_rk", *[F.col(c).alias(f"mo_{c}") for c in ocols],
+        F.col("path").alias("m_path"), F.col("name").alias("m_name"))
+    both = j.join(m, ["year_folder", "_k", "_rk"], "full_outer")
+    # sidecars without an expected media name never pair
+    nokey = files.where(F.col("is_json") & F.col("_k").isNull()).select(
+        "year_folder", *[F.col(c).alias(f"jo_{c}") for c in ocols],
+        F.col("path").alias("j_path"), F.col("name").alias("j_name"), F.col("content").alias("j_content"),
+        *[F.lit(None).alias(f"mo_{c}") for c in ocols],
+        F.lit(None).cast("string").alias("m_path"), F.lit(None).cast("string").alias("m_name"))
+    rows = both.select("year_folder", *[f"jo_{c}" for c in ocols], "j_path", "j_name", "j_content",
+                       *[f"mo_{c}" for c in ocols], "m_path", "m_name").unionByName(nokey)
+    has_j, has_m = F.col("j_path").isNotNull(), F.col("m_path").isNotNull()
+    matched = has_j & has_m
+    ts = S.json_timestamp(F.col("j_content"))
+    out = rows.select(
+        F.when(has_j, F.lit(0)).otherwise(F.lit(1)).alias("_section"), F.col("year_folder").alias("_yf"),
+        *[F.when(has_j, F.col(f"jo_{c}")).otherwise(F.col(f"mo_{c}")).alias(f"_o{i}") for i, c in enumerate(ocols)],
+        F.when(matched, "matched").when(has_j, "unmatched_json").otherwise("unmatched_media").alias("row_type"),
+        F.coalesce(F.col("j_name"), F.lit("")).alias("json_filename"),
+        F.coalesce(F.col("j_path"), F.lit("")).alias("json_path"),
+        F.coalesce(F.col("m_name"), F.lit("")).alias("original_media"),
+        F.coalesce(F.col("m_path"), F.lit("")).alias("media_path"),
+        F.coalesce(F.col("m_path"), F.lit("")).alias("corrected_path"),
         F.when(matched, ts).alias("timestamp_unix"),
         F.when(matched, S.format_unix(ts)).otherwise("").alias("formatted_time"),
-        F.when(matched, P.lower_suffix(P.basename(F.col("_mp")))).otherwise("").alias("new_ext"),
-        F.lit("").alias("action_taken"),
-        F.when(matched, "").otherwise(
-            F.concat(F.lit("No media match found in "), F.col("j.year_folder"))).alias("notes"),
-    )
-    # media nobody took
-    lone = media.join(p, F.col("m.path") == F.col("_mp"), "left_anti")
-    media_rows = lone.select(
-        F.lit(1).alias("_section"), F.col("year_folder").alias("_yf"),
-        *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order_by)],
-        F.lit("unmatched_media").alias("row_type"),
-        F.lit("").alias("json_filename"), F.lit("").alias("json_path"),
-        F.col("name").alias("original_media"),
-        F.col("path").alias("media_path"), F.col("path").alias("corrected_path"),
-        F.lit(None).cast("long").alias("timestamp_unix"),
-        F.lit("").alias("formatted_time"),
-        P.lower_suffix(F.col("name")).alias("new_ext"),
+        F.when(has_m, P.lower_suffix(F.col("m_name"))).otherwise("").alias("new_ext"),
         F.lit("").alias("action_taken"),
-        F.concat(F.lit("No JSON match found in "), F.col("year_folder")).alias("notes"),
+        F.when(matched, "").when(has_j, F.concat(F.lit("No media match found in "), F.col("year_folder")))
+        .otherwise(F.concat(F.lit("No JSON match found in "), F.col("year_folder"))).alias("notes"),
     )
-    rows = sidecar_rows.unionByName(media_rows)
-    okeys = ["_section", "_yf"] + [f"_o{i}" for i in range(len(order_by))]
-    rows = dense_index(rows, okeys, name="row_id", start=1)
-    return rows.select("row_id", "row_type", "json_filename", "json_path", "original_media",
-                       "media_path", "corrected_path", "timestamp_unix", "formatted_time",
-                       "new_ext", "action_taken", "notes")
+    okeys = ["_section", "_yf"] + [f"_o{i}" for i in range(len(ocols))]
+    out = dense_index(out, okeys, name="row_id", start=1)
+    return out.select("row_id", "row_type", "json_filename", "json_path", "original_media",
+                      "media_path", "corrected_path", "timestamp_unix", "formatted_time",
+                      "new_ext", "action_taken", "notes")
