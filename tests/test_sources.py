@@ -113,3 +113,18 @@ def test_failed_moves_take_all_variants(spark):
     assert got == {"/r/Z001/T/IMG_1.heic": "/r/__FAILED_FILES__/Z001/T/IMG_1.heic",
                    "/r/Z001/T/IMG_1.heic.json": "/r/__FAILED_FILES__/Z001/T/IMG_1.heic.json",
                    "/r/Z001/T/IMG_1.xmp": "/r/__FAILED_FILES__/Z001/T/IMG_1_1.xmp"}
+
+
+def test_sinks_times_csv_and_audit(spark):
+    from keepsake.sources import sinks
+    d = tempfile.mkdtemp(prefix="ks-sink-")
+    rows = spark.createDataFrame([("/a/x.jpg", "2012:01:01 00:00:00", "2012:01:01 00:00:00", "2012:01:01 00:00:00",
+                                   "", "")], "SourceFile string, DateTimeOriginal string, CreateDate string, "
+                                            "ModifyDate string, MediaCreateDate string, TrackCreateDate string")
+    sinks.write_times_csv(rows, d + "/times")
+    back = spark.read.option("header", True).csv(d + "/times").collect()
+    assert back[0]["SourceFile"] == "/a/x.jpg" and back[0]["MediaCreateDate"] is None
+    ev = spark.createDataFrame([("unflag", "/a/x.jpg", "diff=12.0")], "event string, path string, detail string")
+    sinks.append_audit(ev, d + "/audit", "guardrail")
+    sinks.append_audit(ev, d + "/audit", "guardrail")
+    assert spark.read.parquet(d + "/audit").count() == 2
