@@ -6,6 +6,8 @@ whole-stage codegen (built-in string/array/regex functions only).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -90,7 +92,7 @@ def to_local_path(p) -> Column:
     anything else is only trimmed (backslashes untouched)."""
     s = strip_ws(p)
     drive = F.substring(s, 1, 1)
-    rest = F.regexp_replace(F.regexp_replace(F.substring(s, 3, 1 << 30), r"\\", "/"), "^/+", "")
+    rest = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, "^..", ""), r"\\", "/"), "^/+", "")
     return F.when(F.substring(s, 2, 1) == ":",
                   F.concat(F.lit("/mnt/"), F.lower(drive),
                            F.when(rest == "", F.lit("")).otherwise(F.concat(F.lit("/"), rest)))
@@ -121,7 +123,7 @@ def restore_path(p, quarantine_root: str, processing_root: str) -> Column:
     with fewer than two parts below it."""
     p = _c(p)
     q = quarantine_root.rstrip("/") + "/"
-    rel = F.when(p.startswith(q), F.substring(p, len(q) + 1, 1 << 30))
+    rel = F.when(p.startswith(q), F.regexp_replace(p, "^" + re.escape(q), ""))
     arch = F.regexp_extract(rel, r"^([^/]+)/(.+)$", 1)
     rest = F.regexp_extract(rel, r"^([^/]+)/(.+)$", 2)
     return F.when(arch != "", F.concat_ws(

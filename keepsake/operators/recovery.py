@@ -57,15 +57,17 @@ def candidate_pairs(sidecars: DataFrame, media: DataFrame) -> DataFrame:
     return a.select(*cols).unionByName(b.select(*cols)).dropDuplicates(["j_id", "m_id"])
 
 
-def serial_assignment(pairs: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def serial_assignment(pairs: DataFrame) -> DataFrame:
     """Serial-dictatorship matching over candidate ``pairs`` (``j_id,
-    j_order, m_id, m_order``). Returns the accepted ``j_id, m_id``."""
+    j_order, m_id, m_order``). Returns the accepted ``j_id, m_id``.
+
+    Runs to the fixpoint (no round limit): every round accepts at least the
+    lowest remaining sidecar, so the loop ends after at most one round per
+    sidecar."""
     spark = pairs.sparkSession
     remaining = materialize(pairs, "assign-round")
     accepted = []
-    for _ in range(max_rounds):
-        if remaining.isEmpty():
-            break
+    while not remaining.isEmpty():
         fav = (remaining.groupBy("j_id", "j_order")
                .agg(F.min(F.struct("m_order", "m_id")).alias("_f"))
                .select("j_id", "j_order", F.col("_f.m_id").alias("m_id")))

@@ -146,7 +146,7 @@ def reconcile_actions(manifest: DataFrame, unmatched_root: str, sim_root: str,
     times = times.groupBy("match").agg(F.max_by("_t", "_r").alias("_t"))
     b = best.join(times, "match", "left")
     root = unmatched_root.rstrip("/") + "/"
-    rel = F.substring(F.col("unmatched"), len(root) + 1, 1 << 30)
+    rel = F.expr(f"substr(unmatched, {len(root) + 1})")
     name = P.basename(rel)
     rel_dir = P.parent(rel)
     dest = F.concat_ws("/", F.lit(sim_root.rstrip("/")), F.when(rel_dir != "", rel_dir),

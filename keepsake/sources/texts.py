@@ -26,7 +26,7 @@ def tag_dump_sections(spark: SparkSession, root: str, glob: str = "*.txt") -> Da
     sections = df.select(F.explode(F.split("value", "(?m)^" + SECTION_MARK)).alias("s")).where(F.col("s") != "")
     lines = sections.select(F.split("s", "\n").alias("ls"))
     return lines.select(F.trim(F.col("ls")[0]).alias("file"),
-                        F.posexplode(F.slice("ls", 2, 1 << 20)).alias("pos", "line"))
+                        F.posexplode(F.slice("ls", F.lit(2), F.size("ls"))).alias("pos", "line"))
 
 
 def pivot_tags(lines: DataFrame, keys=tuple(K.TAG_DUMP_KEYS)) -> DataFrame:
