@@ -13,6 +13,8 @@ def file_types(manifest: DataFrame, column: str = "new_ext") -> DataFrame:
     """Distinct extensions (dot added, lower-cased before de-duplication;
     blanks ignored) with their class and row count:
     ``ext, file_class, n_rows``."""
+    from ..schema import require_columns
+    require_columns(manifest, [column])
     e = S.normalised_ext(F.trim(F.col(column)))
     return (manifest.where(S.nonblank(column))
             .groupBy(e.alias("ext")).agg(F.count(F.lit(1)).alias("n_rows"))

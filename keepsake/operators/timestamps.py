@@ -37,6 +37,9 @@ def backfill_timestamps(manifest: DataFrame, sidecars: DataFrame) -> tuple[DataF
     present now, ``path`` + ``content`` (JSON text). Rows whose sidecar is
     missing are left alone; a sidecar without a usable time (0) too.
     Report: ``row_id, timestamp_unix, formatted_time, new_ext`` of updated rows."""
+    from ..schema import ensure_columns, require_columns
+    manifest = ensure_columns(manifest, ["new_ext"])
+    require_columns(manifest, ["timestamp_unix", "formatted_time", "row_type", "json_path"])
     pend = (F.col("timestamp_unix").isNull()) & \
         (F.lower(F.trim(F.coalesce("row_type", F.lit("")))) == "matched")
     m = manifest.withColumn("_pend", pend).withColumn("_jp", P.strip_ws(F.coalesce("json_path", F.lit(""))))

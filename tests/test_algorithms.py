@@ -206,3 +206,13 @@ def test_intake_plan_with_tracker(spark):
     done = spark.createDataFrame([("takeout-1-002",)], "stem string")
     got = sorted((r["name"], r["op"]) for r in actions.archive_intake_plan(zips, "/p", done).collect())
     assert got == [("takeout-1-001.zip", "extract"), ("takeout-1-001.zip", "keep_name"), ("takeout-x.ZIP", "skip")]
+
+
+def test_required_columns_are_checked(spark):
+    import pytest
+    from keepsake.operators import reports, timestamps
+    df = spark.createDataFrame([(1, "matched")], "row_id long, row_type string")
+    with pytest.raises(ValueError, match="json_path"):
+        timestamps.backfill_timestamps(df, spark.createDataFrame([], "path string, content string"))
+    with pytest.raises(ValueError, match="new_ext"):
+        reports.file_types(df)
