@@ -33,14 +33,15 @@ def _score_struct(original_media: Column, json_filename: Column, pos: Column) ->
 
 
 def dedup_candidates(manifest: DataFrame, key: str = "phash",
-                     existing: DataFrame | None = None) -> DataFrame:
+                     existing: DataFrame | None = None, images: bool = True,
+                     videos: bool = True) -> DataFrame:
     """Rows that take part in grouping: images keyed by perceptual hash
     (``key='sha1'``: by content SHA-1), videos by content SHA-1; blank
     fingerprints never group. ``existing`` (``path``) restricts to files
-    that are present."""
+    that are present. ``images`` / ``videos`` = False skip that class."""
     ext = P.lower_suffix(P.basename(P.strip_ws("media_path")))
-    kind = (F.when(ext.isin(*K.DEDUP_IMAGE_EXTS), F.lit(0))
-            .when(ext.isin(*K.DEDUP_VIDEO_EXTS), F.lit(1)))
+    kind = (F.when(F.lit(images) & ext.isin(*K.DEDUP_IMAGE_EXTS), F.lit(0))
+            .when(F.lit(videos) & ext.isin(*K.DEDUP_VIDEO_EXTS), F.lit(1)))
     img_fp = F.col("phash64") if key == "phash" else F.col("content_sha1")
     fp = F.when(kind == 0, F.trim(img_fp)).when(kind == 1, F.trim(F.col("content_sha1")))
     c = (manifest.withColumn("_kind", kind).withColumn("_fp", fp)

@@ -140,15 +140,22 @@ def apply_rows(manifest: DataFrame, changes: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------ sampling
 
-def sample_per_extension(manifest: DataFrame, existing: DataFrame) -> DataFrame:
-    """Test mode: the first row (manifest order) of every sample extension;
-    it is kept only if its media and sidecar exist (a blank sidecar path
-    counts as present, as an empty path names the working folder).
-    Returns ``ext, row_id, media_path``."""
+def sample_per_extension(manifest: DataFrame, existing: DataFrame | None,
+                         exts=tuple(K.SAMPLE_EXTS), exclude_deleted: bool = False) -> DataFrame:
+    """Test mode: the first row (manifest order) of every listed extension.
+    Conversion flavour (default): the row is kept only if its media and
+    sidecar exist in ``existing`` (a blank sidecar path counts as present, as
+    an empty path names the working folder). Dedup flavour
+    (``existing=None``, ``exclude_deleted=True``, image or video extensions):
+    deleted rows are skipped before choosing. Returns ``ext, row_id, media_path``."""
     ext = P.lower_suffix(P.basename(F.coalesce(F.col("media_path"), F.lit(""))))
-    m = manifest.withColumn("ext", ext).where(F.col("ext").isin(*K.SAMPLE_EXTS))
+    m = manifest.withColumn("ext", ext).where(F.col("ext").isin(*exts))
+    if exclude_deleted and "deletion_status" in manifest.columns:
+        m = m.where(~S.flag_is("deletion_status", "deleted"))
     first = m.groupBy("ext").agg(F.min("row_id").alias("row_id"))
     rows = m.join(first, ["ext", "row_id"])
+    if existing is None:
+        return rows.select("ext", "row_id", "media_path")
     ex = existing.select(F.col("path").alias("_ex")).distinct()
     rows = rows.join(ex.withColumnRenamed("_ex", "_m"), F.col("media_path") == F.col("_m"), "left") \
                .join(ex.withColumnRenamed("_ex", "_j"), F.col("json_path") == F.col("_j"), "left")

@@ -216,3 +216,18 @@ def test_required_columns_are_checked(spark):
         timestamps.backfill_timestamps(df, spark.createDataFrame([], "path string, content string"))
     with pytest.raises(ValueError, match="new_ext"):
         reports.file_types(df)
+
+
+def test_sampling_and_skip_flags(spark):
+    from keepsake.operators import dedup
+    m = spark.createDataFrame([
+        (1, "/r/a.jpg", "", "deleted", "f1", "s1"), (2, "/r/b.jpg", "", "", "f1", "s1"),
+        (3, "/r/c.mp4", "", "", "", "v1"), (4, "/r/d.mp4", "", "", "", "v1"), (5, "/r/e.png", "", "", "f1", "s1")],
+        "row_id long, media_path string, json_path string, deletion_status string, phash64 string, content_sha1 string")
+    got = {r["ext"]: r["row_id"] for r in actions.sample_per_extension(
+        m, None, exts=(".jpg", ".png", ".mp4"), exclude_deleted=True).collect()}
+    assert got == {".jpg": 2, ".mp4": 3, ".png": 5}
+    kinds = {r["_kind"] for r in dedup.dedup_candidates(m, videos=False).collect()}
+    assert kinds == {0}
+    kinds = {r["_kind"] for r in dedup.dedup_candidates(m, images=False).collect()}
+    assert kinds == {1}
