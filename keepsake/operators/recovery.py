@@ -73,7 +73,7 @@ def serial_assignment(pairs: DataFrame) -> DataFrame:
                .select("j_id", "j_order", F.col("_f.m_id").alias("m_id")))
         low = remaining.groupBy("m_id").agg(F.min("j_order").alias("_low"))
         won = fav.join(low, "m_id").where(F.col("j_order") == F.col("_low")).select("j_id", "m_id")
-        won = materialize(won, "assign-won")
+        # ``won`` is an aggregation over the written round table: no write needed
         accepted.append(won)
         remaining = (remaining.join(won.select("j_id"), "j_id", "left_anti")
                      .join(won.select("m_id"), "m_id", "left_anti"))
