@@ -203,6 +203,7 @@ FROM quar q JOIN won w ON lower(q.row_type) = 'unmatched_media' AND q.media_path
     out.update(file_sql())
     out["intake_stream"] = out["archive_intake_plan"]
     out.update(plan_sql())
+    out["quarantine_move_plan"] = quarantine_move_sql()
     gid = "trim(coalesce(dedup_group_id, ''))"
     out["dedup_guardrail_pairs"] = BASE + STALE + f""",
 g AS (SELECT *, {gid} AS gid FROM stale WHERE {gid} <> ''),
@@ -604,3 +605,27 @@ SELECT 'move' AS op, src,
        CASE WHEN dst NOT IN (SELECT path FROM inventory_now) THEN 'restore' ELSE 'restore (target exists)' END AS reason
 FROM alt"""
     return out
+
+
+def quarantine_move_sql() -> str:
+    mroot, jroot = f"{ROOT}/__UNMATCHED_MEDIA__", f"{ROOT}/__UNMATCHED_JSON__"
+    qm = quarantine("media_path", mroot)
+    qj = quarantine("json_path", jroot)
+    def variant(t, n):
+        return f"{parent(t)} || '/' || {stem(basename(t))} || '_{n}' || {suffix(basename(t))}"
+    return BASE + f""",
+mv AS (
+  SELECT row_id, media_path AS src, {qm} AS target FROM manifest WHERE lower(row_type) = 'unmatched_media'
+  UNION ALL
+  SELECT row_id, json_path, {qj} FROM manifest WHERE lower(row_type) = 'unmatched_json'),
+earlier AS (
+  SELECT {qm} AS path FROM manifest WHERE row_type = 'unmatched_media'),
+ex AS (
+  SELECT path FROM inventory_now
+  UNION ALL SELECT path FROM earlier WHERE regexp_matches(path, '/IMG_[0-9]*[02468]\\.[a-z]+$'))
+SELECT row_id, 'move' AS op, src,
+       CASE WHEN target NOT IN (SELECT path FROM ex) THEN target
+            WHEN {variant('target', 1)} NOT IN (SELECT path FROM ex) THEN {variant('target', 1)}
+            ELSE {variant('target', 2)} END AS dst,
+       CASE WHEN target NOT IN (SELECT path FROM ex) THEN 'quarantine' ELSE 'quarantine (name taken)' END AS reason
+FROM mv WHERE target IS NOT NULL"""

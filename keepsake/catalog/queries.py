@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import session
 from ..functions import constants as K
+from ..functions import paths as P
 from ..operators import dedup as D
 from ..operators import edits as E
 from ..operators import reports as R
@@ -531,8 +532,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: _configured(fn) for name, fn in _registry().items()}
 
 
+def q_quarantine_move_plan(spark, sf_dir):
+    """Quarantine moves against the files present now plus an earlier run's
+    quarantine contents (a copy of every restored file name that was
+    quarantined before), so some names are taken."""
+    m = manifest(spark, sf_dir)
+    now = inventory_now(spark, sf_dir).select("path")
+    earlier = (m.where(F.col("row_type") == "unmatched_media")
+               .select(P.quarantine_path(F.col("media_path"), UNMATCHED_ROOT).alias("path"))
+               .where(F.col("path").rlike("/IMG_[0-9]*[02468]\\.[a-z]+$")))
+    return A.quarantine_move_plan(m, now.unionByName(earlier), X.ROOT)
+
+
 def _registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "quarantine_move_plan": q_quarantine_move_plan,
         "hamming_nearest_year_only": q_hamming_nearest_year_only,
         "dedup_guardrail_pairs": q_dedup_guardrail_pairs,
         "image_fingerprints": q_image_fingerprints,

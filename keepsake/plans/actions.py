@@ -275,3 +275,27 @@ def restore_plan_safe(paths: DataFrame, quarantine_root: str, processing_root: s
             .select("op", "src", F.col("_safe").alias("dst"),
                     F.when(F.col("_safe") == F.col("dst"), "restore").otherwise("restore (target exists)").alias("reason"))
             .unionByName(plan.where(F.col("op") != "move")))
+
+
+# ------------------------------------------------------------ quarantine moves
+
+def quarantine_move_plan(manifest: DataFrame, existing: DataFrame, processing_root: str) -> DataFrame:
+    """Moves of unmatched files into the quarantine folders (media under
+    ``__UNMATCHED_MEDIA__``, sidecars under ``__UNMATCHED_JSON__``, keeping
+    the parts from the archive folder on, without ``Takeout`` / ``Google
+    Photos``); a destination that is taken becomes ``<stem>_1``, ``_2``, ...
+    Returns ``row_id, op, src, dst, reason``."""
+    rt = F.lower(F.coalesce(F.col("row_type"), F.lit("")))
+    root = processing_root.rstrip("/")
+    media = manifest.where(rt == "unmatched_media").select(
+        "row_id", F.col("media_path").alias("src"),
+        P.quarantine_path(F.col("media_path"), f"{root}/{K.UNMATCHED_MEDIA_DIR}").alias("target"))
+    side = manifest.where(rt == "unmatched_json").select(
+        "row_id", F.col("json_path").alias("src"),
+        P.quarantine_path(F.col("json_path"), f"{root}/{K.UNMATCHED_JSON_DIR}").alias("target"))
+    moves = media.unionByName(side).where(F.col("target").isNotNull())
+    named = free_names(moves.select(F.col("src").alias("key"), "target", F.col("row_id").alias("order")),
+                       existing, "underscore")
+    return moves.join(named.withColumnRenamed("key", "src"), "src").select(
+        "row_id", F.lit("move").alias("op"), "src", "dst",
+        F.when(F.col("dst") == F.col("target"), "quarantine").otherwise("quarantine (name taken)").alias("reason"))
