@@ -32,11 +32,16 @@ from ..session import materialize
 
 
 def _substrings(df: DataFrame, key: str, lengths: DataFrame) -> DataFrame:
-    """Every distinct substring of ``key`` whose length is in ``lengths``."""
+    """Every distinct substring of ``key`` whose length is in ``lengths``.
+
+    The distinct key lengths of the other side are collected (a list bounded
+    by the longest name) and only substrings of those lengths are generated."""
+    lens = sorted(r[0] for r in lengths.collect())
     n = F.length(key)
-    pos = df.select("*", F.explode(F.sequence(F.lit(1), n)).alias("_start"))
-    sub = pos.select("*", F.explode(F.sequence(F.lit(1), n - F.col("_start") + 1)).alias("_len"))
-    sub = sub.join(F.broadcast(lengths), "_len")   # at most max-key-length rows
+    wanted = F.filter(F.array(*[F.lit(x) for x in lens]) if lens else F.array().cast("array<int>"),
+                      lambda x: x <= n)
+    sub = df.select("*", F.explode(wanted).alias("_len"))
+    sub = sub.select("*", F.explode(F.sequence(F.lit(1), n - F.col("_len") + 1)).alias("_start"))
     return sub.withColumn("_sub", F.substring(key, F.col("_start"), F.col("_len"))) \
               .drop("_start", "_len").dropDuplicates([c for c in df.columns] + ["_sub"])
 
