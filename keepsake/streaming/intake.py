@@ -4,7 +4,8 @@ New downloads are picked up by a ``binaryFile`` stream over the download
 folder; the stream's checkpoint is the "already processed" tracker, so a
 re-run (``trigger(availableNow=True)``) plans only archives it has not seen.
 Each micro-batch plans its new archives against the folder's current
-listing (a batch read) and appends the plan to a parquet table.
+listing (a batch read) and writes the plan to its own ``batch_id=N``
+folder of a parquet table (idempotent when a batch is replayed).
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ def start_intake(spark: SparkSession, downloads_dir: str, plan_dir: str, checkpo
                    .select(_local(F.col("path")).alias("path")))
         plan = archive_intake_plan(listing, processing_root)
         names = batch.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name")).distinct()
-        (plan.join(names, "name", "left_semi").withColumn("batch_id", F.lit(batch_id).cast("long"))
-         .write.mode("append").parquet(plan_dir))
+        # one folder per micro-batch, overwritten if the batch is replayed
+        # after a failure (foreachBatch is at-least-once)
+        (plan.join(names, "name", "left_semi")
+         .write.mode("overwrite").parquet(f"{plan_dir.rstrip('/')}/batch_id={batch_id}"))
 
     return (new_files.writeStream.foreachBatch(plan_batch)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
