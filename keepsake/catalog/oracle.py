@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-QUAR = ''
 from .sqlparts import (ARCHIVE_MEMBERS, DOWNLOADS, FIXTURE_CTES, ROOT, append_hist, archive,
                        basename, blank, expected_media, flag_is, fmt_time, json_ts, lower_suffix,
                        parent, q, quarantine, stem, strip, suffix, to_wsl, unclean, year_folder)
@@ -295,7 +294,7 @@ def recovery_sql() -> str:
     order) takes its first candidate media not taken by sidecars 1..i-1."""
     jkey = "regexp_replace(regexp_replace(lower(" + basename("path") + "), '\\.+json$', ''), '[^a-zA-Z0-9]', '', 'g')"
     mkey = "regexp_replace(lower(" + stem(basename("path")) + "), '[^a-zA-Z0-9]', '', 'g')"
-    return BASE + QUAR + f""",
+    return BASE + quarantine_ctes() + f""",
 qfiles AS (
   SELECT media_path AS path FROM quar WHERE row_type = 'unmatched_media'
   UNION ALL SELECT json_path FROM quar WHERE row_type = 'unmatched_json'),
@@ -320,6 +319,34 @@ r AS (
 won AS (SELECT jj.path AS json_path, mm.path AS media_path FROM r JOIN jj ON jj.i = r.i JOIN mm ON mm.o = r.pick)"""
 
 
+def quarantine_ctes() -> str:
+    """CTE ``quar``: the manifest after its unmatched rows were pointed at quarantine."""
+    mroot, jroot = f"{ROOT}/__UNMATCHED_MEDIA__", f"{ROOT}/__UNMATCHED_JSON__"
+    def newcol(c, cond, root):
+        old = strip(f"coalesce({c}, '')")
+        return (f"CASE WHEN {cond} AND {quarantine(old, root)} IS NOT NULL AND {quarantine(old, root)} <> {old} "
+                f"THEN {quarantine(old, root)} END")
+    rt = "lower(coalesce(row_type, ''))"
+    return f""",
+qa AS (
+  SELECT *, {newcol('media_path', f"contains({rt}, 'unmatched_media')", mroot)} AS n_media,
+            {newcol('corrected_path', f"contains({rt}, 'unmatched_media')", mroot)} AS n_corr,
+            {newcol('json_path', f"contains({rt}, 'unmatched_json')", jroot)} AS n_json
+  FROM manifest),
+qb AS (
+  SELECT *, concat_ws('; ', CASE WHEN n_media IS NOT NULL THEN 'media_path updated to ' || n_media END,
+                            CASE WHEN n_corr IS NOT NULL THEN 'corrected_path updated to ' || n_corr END,
+                            CASE WHEN n_json IS NOT NULL THEN 'json_path updated to ' || n_json END) AS joined
+  FROM qa),
+quar AS (
+  SELECT row_id, row_type, coalesce(n_media, media_path) AS media_path, coalesce(n_corr, corrected_path) AS corrected_path,
+         coalesce(n_json, json_path) AS json_path,
+         CASE WHEN joined <> '' THEN regexp_replace(coalesce(trim(notes), '') || '; ' || joined, '^[; ]+|[; ]+$', '', 'g')
+              ELSE notes END AS notes,
+         joined <> '' AS changed
+  FROM qb)"""
+
+
 def batch2() -> dict[str, str]:
     out: dict[str, str] = {}
     F = "WITH " + FIXTURE_CTES
@@ -382,31 +409,7 @@ win AS (
     out["windows_to_posix"] = BASE + win + f"""
 SELECT * FROM ({parts}) WHERE old_value IS DISTINCT FROM new_value"""
     mroot, jroot = f"{ROOT}/__UNMATCHED_MEDIA__", f"{ROOT}/__UNMATCHED_JSON__"
-    def newcol(c, cond, root):
-        old = strip(f"coalesce({c}, '')")
-        return (f"CASE WHEN {cond} AND {quarantine(old, root)} IS NOT NULL AND {quarantine(old, root)} <> {old} "
-                f"THEN {quarantine(old, root)} END")
-    rt = "lower(coalesce(row_type, ''))"
-    quar = f""",
-qa AS (
-  SELECT *, {newcol('media_path', f"contains({rt}, 'unmatched_media')", mroot)} AS n_media,
-            {newcol('corrected_path', f"contains({rt}, 'unmatched_media')", mroot)} AS n_corr,
-            {newcol('json_path', f"contains({rt}, 'unmatched_json')", jroot)} AS n_json
-  FROM manifest),
-qb AS (
-  SELECT *, concat_ws('; ', CASE WHEN n_media IS NOT NULL THEN 'media_path updated to ' || n_media END,
-                            CASE WHEN n_corr IS NOT NULL THEN 'corrected_path updated to ' || n_corr END,
-                            CASE WHEN n_json IS NOT NULL THEN 'json_path updated to ' || n_json END) AS joined
-  FROM qa),
-quar AS (
-  SELECT row_id, row_type, coalesce(n_media, media_path) AS media_path, coalesce(n_corr, corrected_path) AS corrected_path,
-         coalesce(n_json, json_path) AS json_path,
-         CASE WHEN joined <> '' THEN regexp_replace(coalesce(trim(notes), '') || '; ' || joined, '^[; ]+|[; ]+$', '', 'g')
-              ELSE notes END AS notes,
-         joined <> '' AS changed
-  FROM qb)"""
-    global QUAR
-    QUAR = quar
+    quar = quarantine_ctes()
     out["quarantine_paths"] = BASE + quar + """
 SELECT row_id, media_path, corrected_path, json_path, notes FROM quar WHERE changed"""
     def restore(src, qroot):
@@ -593,7 +596,7 @@ WHERE NOT regexp_matches(trim(d.name), '^Photos from [0-9]{{4}}$')"""
     rel = f"substr(media_path, {len(mroot) + 2})"
     a = f"regexp_extract({rel}, '^([^/]+)/(.+)$', 1)"
     r = f"regexp_extract({rel}, '^([^/]+)/(.+)$', 2)"
-    out["restore_collision_plan"] = BASE + QUAR + f""",
+    out["restore_collision_plan"] = BASE + quarantine_ctes() + f""",
 tgt AS (
   SELECT media_path AS src, '{ROOT}/' || {a} || '/Takeout/Google Photos/' || {r} AS dst
   FROM quar WHERE row_type = 'unmatched_media' AND starts_with(media_path, '{mroot}/') AND {a} <> ''),
