@@ -150,3 +150,12 @@ def test_intake_stream_is_incremental(spark):
     assert sorted(by_batch) == [0, 1]
     assert by_batch[0] == {"takeout-a-001.zip", "takeout-a-002.zip"}
     assert by_batch[1] == {"takeout-b-003.zip"}          # the tracker skips what was planned
+
+
+def test_dct_matches_reference_definition():
+    # unnormalised DCT-II: y[k] = 2 * sum_n x[n] cos(pi k (2n + 1) / 2N)
+    rnd = np.random.default_rng(3)
+    x = rnd.normal(size=32)
+    n = np.arange(32)
+    expect = np.array([2 * np.sum(x * np.cos(np.pi * k * (2 * n + 1) / 64)) for k in range(32)])
+    assert np.allclose(pixels._dct_matrix(32) @ x, expect)
