@@ -464,18 +464,7 @@ SELECT zip_path || ' ▶ ' || member, 'archive_member' FROM archive_members WHER
 SELECT path AS found, 'file' AS kind FROM inventory WHERE lower({basename('path')}) = '{pat}'
 UNION ALL
 SELECT zip_path || ' ▶ ' || member, 'archive_member' FROM archive_members WHERE lower(member) = '{pat}'"""
-    out["stage_stats"] = BASE + DEDUPED + f""",
-fl AS (SELECT * FROM deduped WHERE {flag_is('delete_flag', 'true')})
-SELECT 'media_files' AS metric, count(*) FILTER (WHERE NOT is_json) AS value FROM files
-UNION ALL SELECT 'sidecar_files', count(*) FILTER (WHERE is_json) FROM files
-UNION ALL SELECT 'matched', count(*) FILTER (WHERE row_type = 'matched') FROM manifest
-UNION ALL SELECT 'unmatched_json', count(*) FILTER (WHERE row_type = 'unmatched_json') FROM manifest
-UNION ALL SELECT 'unmatched_media', count(*) FILTER (WHERE row_type = 'unmatched_media') FROM manifest
-UNION ALL SELECT 'rows_with_notes', count(*) FILTER (WHERE coalesce(notes, '') <> '') FROM manifest
-UNION ALL SELECT 'manifest_rows', count(*) FROM manifest
-UNION ALL SELECT 'flagged_copies', count(*) FROM fl
-UNION ALL SELECT 'group_rows', count(*) FILTER (WHERE dedup_group_id <> '') FROM deduped
-UNION ALL SELECT 'deleted_media', count(*) FILTER (WHERE media_path <> '' AND trim(media_path) IN (SELECT path FROM inventory_now)) FROM fl"""
+    out["stage_stats"] = stage_stats_sql()
     return out
 
 
@@ -632,3 +621,31 @@ SELECT row_id, 'move' AS op, src,
             ELSE {variant('target', 2)} END AS dst,
        CASE WHEN target NOT IN (SELECT path FROM ex) THEN 'quarantine' ELSE 'quarantine (name taken)' END AS reason
 FROM mv WHERE target IS NOT NULL"""
+
+
+def stage_stats_sql() -> str:
+    """One statement: recovery (recursive), dedup, conversion and similarity
+    CTEs side by side, then one count per metric."""
+    import re
+    sim = near_sql(10)[len("WITH"):]
+    sim = re.sub(r"\bcand\b", "s_cand", sim)
+    sim = re.sub(r"\bquar\b", "s_quar", sim)
+    rec = recovery_sql()[len("WITH"):]
+    return "WITH RECURSIVE" + rec + DEDUPED + CONVERSION + "," + sim + f""",
+fl AS (SELECT * FROM deduped WHERE {flag_is('delete_flag', 'true')}),
+dl AS (SELECT *, media_path <> '' AND trim(media_path) IN (SELECT path FROM inventory_now) AS gone FROM fl)
+SELECT 'media_files' AS metric, count(*) FILTER (WHERE NOT is_json) AS value FROM files
+UNION ALL SELECT 'sidecar_files', count(*) FILTER (WHERE is_json) FROM files
+UNION ALL SELECT 'matched', count(*) FILTER (WHERE row_type = 'matched') FROM manifest
+UNION ALL SELECT 'unmatched_json', count(*) FILTER (WHERE row_type = 'unmatched_json') FROM manifest
+UNION ALL SELECT 'unmatched_media', count(*) FILTER (WHERE row_type = 'unmatched_media') FROM manifest
+UNION ALL SELECT 'rows_with_notes', count(*) FILTER (WHERE coalesce(notes, '') <> '') FROM manifest
+UNION ALL SELECT 'manifest_rows', count(*) FROM manifest
+UNION ALL SELECT 'flagged_copies', count(*) FROM fl
+UNION ALL SELECT 'group_rows', count(*) FILTER (WHERE dedup_group_id <> '') FROM deduped
+UNION ALL SELECT 'deleted_media', count(*) FILTER (WHERE gone) FROM dl
+UNION ALL SELECT 'recovered_pairs', count(*) FROM won
+UNION ALL SELECT 'media_rows_after_dedup',
+  (SELECT count(*) FROM deduped WHERE media_path <> '') - (SELECT count(*) FROM dl WHERE gone)
+UNION ALL SELECT 'converted', count(*) FILTER (WHERE contains(action_taken, 'Converted')) FROM changes
+UNION ALL SELECT 'similar_recovered', count(*) FILTER (WHERE rank = 1 AND distance > 0) FROM ranked"""

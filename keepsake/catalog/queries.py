@@ -297,6 +297,12 @@ def q_stage_stats(spark, sf_dir):
         one(d, "flagged_copies", S.flag_is("delete_flag", "true")),
         one(d, "group_rows", F.col("dedup_group_id") != ""),
         one(plan, "deleted_media", F.col("reason") == "duplicate media"),
+        one(recovered_pairs(spark, sf_dir), "recovered_pairs", F.lit(True)),
+        one(D.deletion_status(d, inventory_now(spark, sf_dir)), "media_rows_after_dedup",
+            (F.col("media_path") != "") & ~S.flag_is("deletion_status", "deleted")),
+        one(converted_changes(spark, sf_dir), "converted", F.col("action_taken").contains("Converted")),
+        one(SIM.reconcile_actions(similarity_manifest(spark, sf_dir), UNMATCHED_ROOT, SIM_ROOT, K.HAMMING_THRESHOLD),
+            "similar_recovered", F.col("op") == "move"),
     ]
     out = parts[0]
     for p in parts[1:]:
