@@ -203,6 +203,7 @@ FROM quar q JOIN won w ON lower(q.row_type) = 'unmatched_media' AND q.media_path
     out["intake_stream"] = out["archive_intake_plan"]
     out.update(plan_sql())
     out["quarantine_move_plan"] = quarantine_move_sql()
+    out["type_from_magic"] = type_from_magic_sql()
     gid = "trim(coalesce(dedup_group_id, ''))"
     out["dedup_guardrail_pairs"] = BASE + STALE + f""",
 g AS (SELECT *, {gid} AS gid FROM stale WHERE {gid} <> ''),
@@ -649,3 +650,17 @@ UNION ALL SELECT 'media_rows_after_dedup',
   (SELECT count(*) FROM deduped WHERE media_path <> '') - (SELECT count(*) FROM dl WHERE gone)
 UNION ALL SELECT 'converted', count(*) FILTER (WHERE contains(action_taken, 'Converted')) FROM changes
 UNION ALL SELECT 'similar_recovered', count(*) FILTER (WHERE rank = 1 AND distance > 0) FROM ranked"""
+
+
+def type_from_magic_sql() -> str:
+    ext = lower_suffix(basename("path"))
+    return "WITH " + FIXTURE_CTES + f""",
+h AS (SELECT path, {ext} AS ext, upper(header_hex) AS h FROM media_files),
+t AS (
+  SELECT path, ext,
+         CASE WHEN starts_with(h, 'FFD8FF') AND ext <> '.jpg' THEN '.jpg'
+              WHEN substr(h, 9, 8) = '66747970'
+                   AND len(list_filter(range(0, 11), lambda i: substr(h, i * 2 + 1, 4) = '7174')) > 0
+                   AND ext <> '.mov' THEN '.mov' END AS true_ext
+  FROM h)
+SELECT path, ext AS current_ext, true_ext FROM t WHERE true_ext IS NOT NULL"""

@@ -550,8 +550,20 @@ def q_quarantine_move_plan(spark, sf_dir):
     return A.quarantine_move_plan(m, now.unionByName(earlier), X.ROOT)
 
 
+def q_type_from_magic(spark, sf_dir):
+    """Files whose first bytes contradict their extension: listing of the
+    media files, 12-byte headers read in the executors, true type."""
+    root = FS.media_stub_tree(spark, sf_dir)
+    listing = SRC.inventory(spark, root).select("path", "ext")
+    heads = SRC.file_headers(listing.select("path")).join(listing, "path")
+    true_ext = S.type_from_magic(F.col("header_hex"), F.col("ext"))
+    return heads.where(true_ext.isNotNull()).select(
+        _to_archive_path(_below(root)).alias("path"), F.col("ext").alias("current_ext"), true_ext.alias("true_ext"))
+
+
 def _registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "type_from_magic": q_type_from_magic,
         "quarantine_move_plan": q_quarantine_move_plan,
         "hamming_nearest_year_only": q_hamming_nearest_year_only,
         "dedup_guardrail_pairs": q_dedup_guardrail_pairs,
