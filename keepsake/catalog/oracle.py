@@ -204,6 +204,22 @@ FROM quar q JOIN won w ON lower(q.row_type) = 'unmatched_media' AND q.media_path
     out.update(plan_sql())
     out["quarantine_move_plan"] = quarantine_move_sql()
     out["type_from_magic"] = type_from_magic_sql()
+    out["unmatched_sidecars"] = BASE + """
+SELECT row_id, json_filename, json_path, notes FROM manifest WHERE row_type = 'unmatched_json'"""
+    out["unmatched_media"] = BASE + """
+SELECT row_id, original_media, media_path, new_ext, notes FROM manifest WHERE row_type = 'unmatched_media'"""
+    out["dedup_groups_exact"] = BASE + FP_MANIFEST + """,
+fpm0 AS (SELECT * FROM fpm)""" + dedup_sql("fpm0", "sha1", "d1") + """
+SELECT g.dedup_group_id, s.n_members, s.group_first AS first_row_id, g.keeper_path, g.keeper_media
+FROM d1_g g JOIN d1_sc s ON g.kind = s.kind AND g.fp = s.fp AND s.pref = 1"""
+    out["format_times"] = f"""
+SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS timestamp_unix,
+       {fmt_time("CAST(floor(epoch(ts)) AS BIGINT)")} AS formatted_time
+FROM events"""
+    out["zip_search"] = "WITH " + FIXTURE_CTES + "," + ARCHIVE_MEMBERS + f"""
+SELECT path AS found, 'file' AS kind FROM media_files WHERE instr(lower({basename('path')}), 'img_0001') > 0
+UNION ALL
+SELECT zip_path || ' ▶ ' || member, 'archive_member' FROM archive_members WHERE instr(lower(member), 'img_0001') > 0"""
     gid = "trim(coalesce(dedup_group_id, ''))"
     out["dedup_guardrail_pairs"] = BASE + STALE + f""",
 g AS (SELECT *, {gid} AS gid FROM stale WHERE {gid} <> ''),

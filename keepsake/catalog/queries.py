@@ -561,8 +561,50 @@ def q_type_from_magic(spark, sf_dir):
         _to_archive_path(_below(root)).alias("path"), F.col("ext").alias("current_ext"), true_ext.alias("true_ext"))
 
 
+def q_unmatched_sidecars(spark, sf_dir):
+    return manifest(spark, sf_dir).where(F.col("row_type") == "unmatched_json").select(
+        "row_id", "json_filename", "json_path", "notes")
+
+
+def q_unmatched_media(spark, sf_dir):
+    return manifest(spark, sf_dir).where(F.col("row_type") == "unmatched_media").select(
+        "row_id", "original_media", "media_path", "new_ext", "notes")
+
+
+def q_dedup_groups_exact(spark, sf_dir):
+    """Exact duplicate groups: images keyed by content SHA-1 too."""
+    per_path = D.last_row_per_path(D.dedup_candidates(fingerprinted_manifest(spark, sf_dir), key="sha1"))
+    g = D.duplicate_groups(per_path)
+    return g.select("dedup_group_id", "n_members", "first_row_id", "keeper_path", "keeper_media")
+
+
+def q_format_times(spark, sf_dir):
+    """Capture-time text for every event time (whole UTC seconds)."""
+    ev = X.table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    secs = F.unix_timestamp("ts")
+    return ev.select("event_id", secs.alias("timestamp_unix"), S.format_unix(secs).alias("formatted_time"))
+
+
+def q_zip_search(spark, sf_dir):
+    """Name search over the media files on disk and the members of the
+    downloaded archives (real ZIP central directories)."""
+    stubs = FS.media_stub_tree(spark, sf_dir)
+    files = SRC.inventory(spark, stubs).select(_to_archive_path(_below(stubs)).alias("path"))
+    zroot = FS.zip_archives(spark, sf_dir)
+    members = ARC.archive_members(SRC.inventory(spark, zroot, glob="*.zip").select("path")).where(
+        F.col("error").isNull()).select(
+        F.concat(F.lit("/data/Zipped/"), F.regexp_extract("zip_path", r"/(Z[0-9]{3})-[0-9]+\.zip$", 1),
+                 F.lit(".zip")).alias("zip_path"), "member")
+    return SR.search_names(files, members, "img_0001")
+
+
 def _registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "unmatched_sidecars": q_unmatched_sidecars,
+        "unmatched_media": q_unmatched_media,
+        "dedup_groups_exact": q_dedup_groups_exact,
+        "format_times": q_format_times,
+        "zip_search": q_zip_search,
         "type_from_magic": q_type_from_magic,
         "quarantine_move_plan": q_quarantine_move_plan,
         "hamming_nearest_year_only": q_hamming_nearest_year_only,
