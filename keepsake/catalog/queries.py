@@ -464,7 +464,7 @@ def q_guardrail_pixels(spark, sf_dir):
     g = PX.guardrail(pairs, images, K.PIXEL_DIFF_SECOND_PASS, K.PHASH_DIST_SECOND_PASS, "to_min")
     return g.select(_below(root, "b_path").alias("file"),
                     F.round("diff", 3).alias("diff"), "hash_distance",
-                    F.when(F.col("unflag"), "guardrail_uncertain").otherwise("keep_flag").alias("verdict"))
+                    F.when(F.col("unflag"), K.REASON_UNCERTAIN).otherwise("keep_flag").alias("verdict"))
 
 
 def extraction_listing(spark, sf_dir):
@@ -502,7 +502,7 @@ def q_guardrail_first_pass(spark, sf_dir):
     pairs = orig.select("a_path", F.regexp_replace("a_path", "/orig/", "/copy/").alias("b_path"))
     g = PX.guardrail(pairs, images, K.PIXEL_DIFF_FIRST_PASS, None, "to_first")
     return g.select(_below(root, "b_path").alias("file"), F.round("diff", 3).alias("diff"),
-                    F.when(F.col("unflag"), "guardrail_uncertain").otherwise("keep_flag").alias("verdict"))
+                    F.when(F.col("unflag"), K.REASON_UNCERTAIN).otherwise("keep_flag").alias("verdict"))
 
 
 def q_hamming_nearest_year_only(spark, sf_dir):

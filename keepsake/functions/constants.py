@@ -65,3 +65,32 @@ PHASH_DIST_SECOND_PASS = 4      # second-look perceptual-hash distance
 
 # --- time format of formatted capture times (UTC) ---
 TIME_FORMAT = "yyyy:MM:dd HH:mm:ss"
+
+# --- where the capture time sits in a sidecar JSON document ---
+SIDECAR_TIME_JSON_PATH = "$.photoTakenTime.timestamp"
+
+# --- texts written into the manifest ---
+NOTE_NO_MEDIA = "No media match found in "        # + year folder
+NOTE_NO_JSON = "No JSON match found in "          # + year folder
+NOTE_RECOVERED = "Recovered match"
+NOTE_PATH_UPDATED = " updated to "                # <column> updated to <path>
+REASON_KEEPER = "best_candidate"
+REASON_DUPLICATE = "phash"
+REASON_UNCERTAIN = "guardrail_uncertain"
+GROUP_ID_FORMAT = "group_%04d"
+STATUS_DELETED = "deleted"
+STATUS_NOT_DELETED = "not_deleted"
+ACTION_RENAMED = "Renamed "                       # Renamed <old> → <new>
+ACTION_ARROW = " → "
+ACTION_CONVERTED = "Converted → "                 # + new name
+ACTION_CONVERTED_VIDEO = "Converted ."            # Converted .<ext> → .mp4
+ACTION_TO_MP4 = " → .mp4"
+
+# --- name parts of derived files ---
+CONV_MARK = "_conv"          # <stem>_<tag>_conv<suffix>
+SIM_MARK = "_sim"            # <stem>_sim<suffix>
+RESTORED_MARK = "_restored"  # <stem>_restored<suffix>, then _restored_1 ...
+
+# --- fuzzy keys: trailing ".json" (with any dots before it), kept characters ---
+FUZZY_JSON_SUFFIX_RE = r"\.+json$"
+FUZZY_DROP_RE = "[^a-zA-Z0-9]"

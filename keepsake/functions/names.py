@@ -23,13 +23,13 @@ def sidecar_expected_media(json_name) -> Column:
 
 
 def _alnum(x: Column) -> Column:
-    return F.regexp_replace(x, "[^a-zA-Z0-9]", "")
+    return F.regexp_replace(x, K.FUZZY_DROP_RE, "")
 
 
 def fuzzy_key_sidecar(json_name) -> Column:
     """Lower-case, drop a trailing ``.json`` (with any dots before it), keep
     ASCII letters and digits."""
-    return _alnum(F.regexp_replace(F.lower(_c(json_name)), r"\.+json$", ""))
+    return _alnum(F.regexp_replace(F.lower(_c(json_name)), K.FUZZY_JSON_SUFFIX_RE, ""))
 
 
 def fuzzy_key_media(media_name) -> Column:
@@ -52,15 +52,14 @@ def renamed_sidecar(json_name, new_media_name) -> Column:
 
 def tagged_conversion_name(name, new_suffix, tag) -> Column:
     """``{stem}_{tag}_conv{new_suffix}`` for a file converted or re-typed."""
-    return F.concat(stem(_c(name)), F.lit("_"), _c(tag), F.lit("_conv"), _c(new_suffix))
+    return F.concat(stem(_c(name)), F.lit("_"), _c(tag), F.lit(K.CONV_MARK), _c(new_suffix))
 
 
 def numbered_name(name, n, style: str) -> Column:
     """Collision-free variant number ``n`` (n >= 1) of a name.
 
     style ``underscore``: ``stem_n.ext``; ``paren``: ``stem(n).ext``;
-    ``restored``: ``stem_restored.ext`` for n=1 then ``stem_restored_{n-1}.ext``;
-    ``conv``: ``stem_conv_n.ext`` (base name ``stem_conv.ext``)."""
+    ``restored``: ``stem_restored.ext`` for n=1 then ``stem_restored_{n-1}.ext``."""
     nm = _c(name)
     st, sx, n = stem(nm), suffix(nm), _c(n).cast("string")
     if style == "underscore":
@@ -68,6 +67,6 @@ def numbered_name(name, n, style: str) -> Column:
     if style == "paren":
         return F.concat(st, F.lit("("), n, F.lit(")"), sx)
     if style == "restored":
-        return F.when(_c(n) == "1", F.concat(st, F.lit("_restored"), sx)).otherwise(
-            F.concat(st, F.lit("_restored_"), (_c(n).cast("long") - 1).cast("string"), sx))
+        return F.when(_c(n) == "1", F.concat(st, F.lit(K.RESTORED_MARK), sx)).otherwise(
+            F.concat(st, F.lit(K.RESTORED_MARK + "_"), (_c(n).cast("long") - 1).cast("string"), sx))
     raise ValueError(style)

@@ -27,7 +27,7 @@ def flag_is(c, value: str) -> Column:
 def json_timestamp(doc) -> Column:
     """``photoTakenTime.timestamp`` of a sidecar JSON document as whole
     seconds; 0 for malformed JSON, a missing key or a non-integer value."""
-    raw = F.get_json_object(_c(doc), "$.photoTakenTime.timestamp")
+    raw = F.get_json_object(_c(doc), K.SIDECAR_TIME_JSON_PATH)
     v = F.when(raw.rlike(r"^\s*[+-]?[0-9]+\s*$"), F.trim(raw).try_cast("long"))
     return F.coalesce(v, F.lit(0).cast("long"))
 

@@ -78,7 +78,7 @@ def duplicate_groups(per_path: DataFrame) -> DataFrame:
     # numbered in first-seen order, images before videos
     g = dense_index(g, ["_kind", "first_row_id"], name="_gnum", start=0)
     return g.select("_kind", "_fp", "n_members", "first_row_id",
-                    F.format_string("group_%04d", F.col("_gnum")).alias("dedup_group_id"),
+                    F.format_string(K.GROUP_ID_FORMAT, F.col("_gnum")).alias("dedup_group_id"),
                     F.col("_best.media_path").alias("keeper_path"),
                     F.col("_best.original_media").alias("keeper_media"))
 
@@ -96,7 +96,7 @@ def dedup_verdicts(manifest: DataFrame, key: str = "phash", existing: DataFrame
         "media_path", "dedup_group_id",
         F.when(keeper, "false").otherwise("true").alias("delete_flag"),
         F.when(keeper, "").otherwise(F.col("keeper_media")).alias("duplicate_of"),
-        F.when(keeper, "best_candidate").otherwise("phash").alias("dedup_reason"),
+        F.when(keeper, K.REASON_KEEPER).otherwise(K.REASON_DUPLICATE).alias("dedup_reason"),
         F.concat_ws("/", F.lit(review_root), F.col("dedup_group_id"),
                     P.basename("media_path")).alias("visual_review_path"),
     )
@@ -130,7 +130,7 @@ def multi_keeper_groups(manifest: DataFrame) -> DataFrame:
     """Groups with more than one ``best_candidate`` row (all rows counted)."""
     gid = F.trim(F.coalesce(F.col("dedup_group_id"), F.lit("")))
     return (manifest.where(gid != "").groupBy(gid.alias("dedup_group_id"))
-            .agg(F.count_if(F.trim("dedup_reason") == "best_candidate").alias("n_best"),
+            .agg(F.count_if(F.trim("dedup_reason") == K.REASON_KEEPER).alias("n_best"),
                  F.count(F.lit(1)).alias("n_rows"))
             .where(F.col("n_best") > 1))
 
@@ -145,14 +145,14 @@ def fix_groups(manifest: DataFrame) -> DataFrame:
                           F.col("row_id").alias("row_id"),
                           F.trim(F.coalesce("original_media", F.lit(""))).alias("media")))
     g = (rows.groupBy("_gid")
-         .agg(F.count_if(F.trim("dedup_reason") == "best_candidate").alias("_nb"), best.alias("_b"))
+         .agg(F.count_if(F.trim("dedup_reason") == K.REASON_KEEPER).alias("_nb"), best.alias("_b"))
          .where(F.col("_nb") > 1))
     j = rows.join(g, "_gid")
     keeper = F.col("row_id") == F.col("_b.row_id")
     return j.select(
         "row_id", F.col("dedup_group_id"),
         F.when(keeper, "FALSE").otherwise("TRUE").alias("delete_flag"),
-        F.when(keeper, "best_candidate").otherwise("phash").alias("dedup_reason"),
+        F.when(keeper, K.REASON_KEEPER).otherwise(K.REASON_DUPLICATE).alias("dedup_reason"),
         F.when(keeper, "").otherwise(F.col("_b.media")).alias("duplicate_of"))
 
 
@@ -172,7 +172,7 @@ def verify_groups(manifest: DataFrame) -> DataFrame:
     ``dedup_group_id, n_keepers, n_duplicates, n_members, issues``."""
     live = manifest
     if "deletion_status" in manifest.columns:
-        live = manifest.where(~S.flag_is("deletion_status", "deleted"))
+        live = manifest.where(~S.flag_is("deletion_status", K.STATUS_DELETED))
     gid = F.trim(F.coalesce(F.col("dedup_group_id"), F.lit("")))
     g = (live.where(gid != "").groupBy(gid.alias("dedup_group_id"))
          .agg(F.count_if(S.flag_is("delete_flag", "false")).alias("n_keepers"),
@@ -196,7 +196,7 @@ def deletion_plan(manifest: DataFrame, existing: DataFrame) -> DataFrame:
           .join(ex.withColumnRenamed("_ex", "_jex"), F.col("_jl") == F.col("_jex"), "left"))
     del_media = S.nonblank("media_path") & F.col("_mex").isNotNull()
     del_json = S.nonblank("json_path") & F.col("_jex").isNotNull()
-    status = F.when(del_media, "deleted").otherwise("not_deleted")
+    status = F.when(del_media, K.STATUS_DELETED).otherwise(K.STATUS_NOT_DELETED)
     acts = F.array(
         F.when(del_media, F.struct(F.lit("delete").alias("op"), F.col("_ml").alias("src"),
                                    F.lit("duplicate media").alias("reason"))),
@@ -214,8 +214,8 @@ def deletion_status(manifest: DataFrame, existing: DataFrame) -> DataFrame:
     ex = existing.select(F.col("path").alias("_ex")).distinct()
     flagged = S.flag_is("delete_flag", "true")
     j = m.join(ex, P.to_local_path("media_path") == F.col("_ex"), "left")
-    st = F.when(flagged, F.when(S.nonblank("media_path") & F.col("_ex").isNotNull(), "deleted")
-                .otherwise("not_deleted")).otherwise(F.col("deletion_status"))
+    st = F.when(flagged, F.when(S.nonblank("media_path") & F.col("_ex").isNotNull(), K.STATUS_DELETED)
+                .otherwise(K.STATUS_NOT_DELETED)).otherwise(F.col("deletion_status"))
     return j.withColumn("deletion_status", st).select(*m.columns)
 
 

@@ -104,7 +104,7 @@ def quarantine_unmatched(df: DataFrame, processing_root: str) -> tuple[DataFrame
         out = out.withColumn(f"_new_{col}", F.when(cond & new.isNotNull() & (new != old), new))
     # notes are fixed before the path columns are overwritten
     out = out.withColumn("_joined", F.concat_ws("; ", *[
-        F.when(F.col(f"_new_{c}").isNotNull(), F.concat(F.lit(f"{c} updated to "), F.col(f"_new_{c}")))
+        F.when(F.col(f"_new_{c}").isNotNull(), F.concat(F.lit(c + K.NOTE_PATH_UPDATED), F.col(f"_new_{c}")))
         for c, _, _ in plan]))
     prev = F.coalesce(F.trim("notes"), F.lit(""))
     combined = F.regexp_replace(F.concat(prev, F.lit("; "), F.col("_joined")), r"^[; ]+|[; ]+$", "")

@@ -15,6 +15,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import constants as K
 from ..functions import paths as P
 from ..functions import names as N
 from ..functions import scalars as S
@@ -104,8 +105,8 @@ def build_manifest(inv: DataFrame, order_by: Sequence[str],
         F.when(matched, S.format_unix(ts)).otherwise("").alias("formatted_time"),
         F.when(has_m, P.lower_suffix(F.col("m_name"))).otherwise("").alias("new_ext"),
         F.lit("").alias("action_taken"),
-        F.when(matched, "").when(has_j, F.concat(F.lit("No media match found in "), F.col("year_folder")))
-        .otherwise(F.concat(F.lit("No JSON match found in "), F.col("year_folder"))).alias("notes"),
+        F.when(matched, "").when(has_j, F.concat(F.lit(K.NOTE_NO_MEDIA), F.col("year_folder")))
+        .otherwise(F.concat(F.lit(K.NOTE_NO_JSON), F.col("year_folder"))).alias("notes"),
     )
     okeys = ["_section", "_yf"] + [f"_o{i}" for i in range(len(ocols))]
     out = dense_index(out, okeys, name="row_id", start=1)

@@ -123,7 +123,7 @@ def apply_recovery(manifest: DataFrame, pairs: DataFrame, quarantine_json_root:
     for c, v in [("json_filename", F.col("_jn")), ("json_path", F.col("_nj")),
                  ("original_media", P.basename(F.col("_nm"))), ("media_path", F.col("_nm")),
                  ("corrected_path", F.col("_nm")), ("row_type", F.lit("matched")),
-                 ("notes", F.lit("Recovered match"))]:
+                 ("notes", F.lit(K.NOTE_RECOVERED))]:
         out = out.withColumn(c, F.when(hit, v).otherwise(F.col(c)))
     out = out.withColumn("_hit", hit)
     updated = out.where("_hit").select(*manifest.columns)

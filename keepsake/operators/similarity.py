@@ -150,7 +150,7 @@ def reconcile_actions(manifest: DataFrame, unmatched_root: str, sim_root: str,
     name = P.basename(rel)
     rel_dir = P.parent(rel)
     dest = F.concat_ws("/", F.lit(sim_root.rstrip("/")), F.when(rel_dir != "", rel_dir),
-                       F.concat(P.stem(name), F.lit("_sim"), P.suffix(name)))
+                       F.concat(P.stem(name), F.lit(K.SIM_MARK), P.suffix(name)))
     is_img = P.lower_suffix(P.basename("match")).isin(*K.DEDUP_IMAGE_EXTS)
     op = F.when(F.col("distance") == 0, "delete").otherwise("move")
     ts = F.when((F.col("distance") > 0) & is_img & S.nonblank("_t"), F.col("_t"))

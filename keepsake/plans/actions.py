@@ -86,7 +86,7 @@ def conversion_plan(manifest: DataFrame, headers: DataFrame) -> DataFrame:
     m = (m.withColumn("_fix", fix).withColumn("_name0", name0).withColumn("_name1", name1)
          .withColumn("_dir", P.parent(media0)))
     m = m.withColumn("_act", F.when(F.col("_fix"), S.append_history(
-        "action_taken", F.concat(F.lit("Renamed "), F.col("_name0"), F.lit(" → "), F.col("_name1"))))
+        "action_taken", F.concat(F.lit(K.ACTION_RENAMED), F.col("_name0"), F.lit(K.ACTION_ARROW), F.col("_name1"))))
         .otherwise(F.col("action_taken")))
     m = m.withColumn("_ext1", F.when(F.col("_fix"), fixed_ext).otherwise(F.col("new_ext")))
     # 2. image conversion to JPEG (tag: fixed names for png/heic/dng, else the suffix as written)
@@ -97,7 +97,7 @@ def conversion_plan(manifest: DataFrame, headers: DataFrame) -> DataFrame:
     name2 = F.when(conv, N.tagged_conversion_name(F.col("_name1"), F.lit(".jpg"), tag)).otherwise(F.col("_name1"))
     m = m.withColumn("_conv", conv).withColumn("_name2", name2)
     m = m.withColumn("_act", F.when(F.col("_conv"), S.append_history(
-        "_act", F.concat(F.lit("Converted → "), F.col("_name2")))).otherwise(F.col("_act")))
+        "_act", F.concat(F.lit(K.ACTION_CONVERTED), F.col("_name2")))).otherwise(F.col("_act")))
     m = m.withColumn("_ext2", F.when(F.col("_conv"), F.lit(".jpg")).otherwise(F.col("_ext1")))
     # 3. sidecar follows a renamed media
     moved = F.col("_fix") | F.col("_conv")
@@ -113,7 +113,7 @@ def conversion_plan(manifest: DataFrame, headers: DataFrame) -> DataFrame:
     name3 = F.when(vid, N.tagged_conversion_name(F.col("_name2"), F.lit(".mp4"), vtag)).otherwise(F.col("_name2"))
     m = m.withColumn("_vid", vid).withColumn("_name3", name3)
     m = m.withColumn("_act", F.when(F.col("_vid"), S.append_history(
-        "_act", F.concat(F.lit("Converted ."), vtag, F.lit(" → .mp4")))).otherwise(F.col("_act")))
+        "_act", F.concat(F.lit(K.ACTION_CONVERTED_VIDEO), vtag, F.lit(K.ACTION_TO_MP4)))).otherwise(F.col("_act")))
     m = m.withColumn("_ext3", F.when(F.col("_vid"), F.lit(".mp4")).otherwise(F.col("_ext2")))
     jn3, jp3 = _rename_sidecar(F.coalesce(F.col("_jp2"), F.lit("")), P.basename(F.coalesce(F.col("_jp2"), F.lit(""))),
                                F.col("_name3"))
@@ -151,7 +151,7 @@ def sample_per_extension(manifest: DataFrame, existing: DataFrame | None,
     ext = P.lower_suffix(P.basename(F.coalesce(F.col("media_path"), F.lit(""))))
     m = manifest.withColumn("ext", ext).where(F.col("ext").isin(*exts))
     if exclude_deleted and "deletion_status" in manifest.columns:
-        m = m.where(~S.flag_is("deletion_status", "deleted"))
+        m = m.where(~S.flag_is("deletion_status", K.STATUS_DELETED))
     first = m.groupBy("ext").agg(F.min("row_id").alias("row_id"))
     rows = m.join(first, ["ext", "row_id"])
     if existing is None:
