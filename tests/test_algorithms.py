@@ -231,3 +231,9 @@ def test_sampling_and_skip_flags(spark):
     assert kinds == {0}
     kinds = {r["_kind"] for r in dedup.dedup_candidates(m, images=False).collect()}
     assert kinds == {1}
+
+
+def test_band_choice_follows_candidate_volume():
+    assert similarity.choose_bands(10, 375) == 8
+    assert similarity.choose_bands(10, 3e7) == 4
+    assert similarity.choose_bands(10, 3e8) == 2
