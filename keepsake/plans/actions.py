@@ -24,6 +24,9 @@ _VARIANT_STEM = {
 }
 
 
+NAME_CHUNK = 10_000
+
+
 def free_names(targets: DataFrame, existing: DataFrame, style: str) -> DataFrame:
     """Collision-free destinations (exact, no cap on the number tried).
 
@@ -49,8 +52,14 @@ def free_names(targets: DataFrame, existing: DataFrame, style: str) -> DataFrame
     per_target = (t.groupBy("target").agg(F.count(F.lit(1)).alias("_n_rows"))
                   .join(e_cnt, "target", "left")
                   .withColumn("_e", F.coalesce("_e", F.lit(0))))
-    cand = per_target.select("target", F.explode(
-        F.sequence(F.lit(0), F.col("_n_rows") + F.col("_e"))).alias("_n"))
+    # candidate numbers 0..n+E, generated in chunks spread over tasks so a
+    # target wanted by millions of rows is not expanded inside one task
+    last = F.col("_n_rows") + F.col("_e")
+    chunks = (per_target.select("target", last.alias("_last"),
+                                F.explode(F.sequence(F.lit(0), F.floor(last / NAME_CHUNK).cast("long"))).alias("_c"))
+              .repartition("target", "_c"))
+    cand = chunks.select("target", F.explode(F.sequence(
+        F.col("_c") * NAME_CHUNK, F.least((F.col("_c") + 1) * NAME_CHUNK - 1, F.col("_last")))).alias("_n"))
     cname = F.when(F.col("_n") == 0, F.col("target")).otherwise(
         F.concat_ws("/", P.parent("target"), N.numbered_name(P.basename("target"), F.col("_n"), style)))
     cand = cand.withColumn("_cand", cname).join(ex_names, F.col("_cand") == F.col("_ex"), "left_anti")

@@ -237,3 +237,13 @@ def test_band_choice_follows_candidate_volume():
     assert similarity.choose_bands(10, 375) == 8
     assert similarity.choose_bands(10, 3e7) == 4
     assert similarity.choose_bands(10, 3e8) == 2
+
+
+def test_free_names_many_rows_one_target(spark, monkeypatch):
+    monkeypatch.setattr(actions, "NAME_CHUNK", 7)          # force several chunks
+    n = 40
+    targets = spark.createDataFrame([(f"k{i}", "/d/a.jpg", i) for i in range(n)], "key string, target string, order long")
+    existing = spark.createDataFrame([("/d/a.jpg",), ("/d/a_3.jpg",), ("/d/a_9.jpg",)], "path string")
+    got = {r["key"]: r["dst"] for r in actions.free_names(targets, existing, "underscore").collect()}
+    free = [f"/d/a_{i}.jpg" for i in range(1, n + 3) if i not in (3, 9)][:n]
+    assert got == {f"k{i}": free[i] for i in range(n)}
