@@ -246,7 +246,7 @@ def q_restore_paths(spark, sf_dir):
 
 def converted_changes(spark, sf_dir):
     headers = inventory_now(spark, sf_dir).where(F.col("origin") == "media").select("path", "header_hex")
-    return A.conversion_plan(deduped_manifest(spark, sf_dir), headers)
+    return A.conversion_plan(deduped_manifest(spark, sf_dir), headers, inventory_now(spark, sf_dir).select("path"))
 
 
 def q_conversion_plan(spark, sf_dir):

@@ -267,3 +267,18 @@ def keeper_pairs(manifest: DataFrame) -> DataFrame:
     return copies.join(keepers, "_gid").select(
         F.col("_gid").alias("dedup_group_id"), "keeper_path", F.col("media_path").alias("copy_path"),
         F.col("row_id").alias("copy_row_id"))
+
+
+def apply_guardrail(manifest: DataFrame, checks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Un-flag copies the pixel guardrail found uncertain: ``checks`` has
+    ``b_path`` (the copy's media path) and ``unflag``; those rows get
+    ``delete_flag = 'false'`` and ``dedup_reason = 'guardrail_uncertain'``.
+    Returns ``(new_manifest, cleared_rows)``."""
+    u = checks.where("unflag").select(F.col("b_path").alias("_u")).distinct()
+    j = manifest.join(u, P.to_local_path("media_path") == F.col("_u"), "left")
+    hit = F.col("_u").isNotNull() & S.flag_is("delete_flag", "true")
+    # the condition is fixed in a column before the flag it reads is rewritten
+    out = (j.withColumn("_hit", hit)
+            .withColumn("delete_flag", F.when(F.col("_hit"), F.lit("false")).otherwise(F.col("delete_flag")))
+            .withColumn("dedup_reason", F.when(F.col("_hit"), F.lit(K.REASON_UNCERTAIN)).otherwise(F.col("dedup_reason"))))
+    return out.select(*manifest.columns), out.where("_hit").select(*manifest.columns)

@@ -76,10 +76,13 @@ def _rename_sidecar(json_path: Column, json_name: Column, media_name: Column):
     return F.when(changed, new_fn).otherwise(json_name), new_path
 
 
-def conversion_plan(manifest: DataFrame, headers: DataFrame) -> DataFrame:
+def conversion_plan(manifest: DataFrame, headers: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """Per manifest row: type correction from magic bytes, image format
     conversion to JPEG, sidecar renaming, then video conversion to MP4.
     ``headers``: ``path, header_hex`` (first 12 bytes) of present files.
+    With ``existing`` (``path``), a renamed sidecar whose name is taken gets
+    ``<stem>(1).json``, ``(2)``, ... (the converted media names themselves
+    are not collision-checked, as their tags keep them apart).
     Returns the rewritten rows that changed: ``row_id, media_path,
     corrected_path, new_ext, json_filename, json_path, action_taken``."""
     h = headers.select(F.col("path").alias("_hp"), F.col("header_hex").alias("_hdr"))
@@ -131,10 +134,21 @@ def conversion_plan(manifest: DataFrame, headers: DataFrame) -> DataFrame:
          .withColumn("_jp3", F.when(F.col("_vid"), jp3).otherwise(F.col("_jp2"))))
     changed = F.col("_fix") | F.col("_conv") | F.col("_vid")
     new_media = F.concat_ws("/", F.col("_dir"), F.col("_name3"))
-    return m.where(changed).select(
+    out = m.where(changed).select(
         "row_id", new_media.alias("media_path"), new_media.alias("corrected_path"),
         F.col("_ext3").alias("new_ext"), F.col("_jn3").alias("json_filename"),
-        F.col("_jp3").alias("json_path"), F.col("_act").alias("action_taken"))
+        F.col("_jp3").alias("json_path"), F.col("_act").alias("action_taken"),
+        (F.coalesce(F.col("_jp3"), F.lit("")) != F.coalesce(F.col("json_path"), F.lit(""))).alias("_renamed"))
+    if existing is None:
+        return out.drop("_renamed")
+    ren = out.where("_renamed").select(F.col("row_id").alias("key"), F.col("json_path").alias("target"),
+                                       F.col("row_id").alias("order"))
+    free = free_names(ren, existing, "paren").select(F.col("key").alias("row_id"), F.col("dst").alias("_free"))
+    out = out.join(free, "row_id", "left")
+    return out.select(
+        "row_id", "media_path", "corrected_path", "new_ext",
+        F.when(F.col("_free").isNotNull(), P.basename("_free")).otherwise(F.col("json_filename")).alias("json_filename"),
+        F.coalesce(F.col("_free"), F.col("json_path")).alias("json_path"), "action_taken")
 
 
 def apply_rows(manifest: DataFrame, changes: DataFrame) -> DataFrame:

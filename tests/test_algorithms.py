@@ -247,3 +247,22 @@ def test_free_names_many_rows_one_target(spark, monkeypatch):
     got = {r["key"]: r["dst"] for r in actions.free_names(targets, existing, "underscore").collect()}
     free = [f"/d/a_{i}.jpg" for i in range(1, n + 3) if i not in (3, 9)][:n]
     assert got == {f"k{i}": free[i] for i in range(n)}
+
+
+def test_conversion_sidecar_collision_and_guardrail_apply(spark):
+    from keepsake.operators import dedup
+    m = spark.createDataFrame([
+        (1, "/r/IMG_1.png", "/r/IMG_1.png.supp.json", "IMG_1.png.supp.json", "", ".png", "", "", ""),
+        (2, "/r/IMG_2.jpg", "/r/IMG_2.jpg.supp.json", "IMG_2.jpg.supp.json", "", ".jpg", "g1", "true", "phash"),
+    ], "row_id long, media_path string, json_path string, json_filename string, action_taken string, "
+       "new_ext string, dedup_group_id string, delete_flag string, dedup_reason string")
+    headers = spark.createDataFrame([("/r/IMG_1.png", "89504E470D0A1A0A0000000D")], "path string, header_hex string")
+    existing = spark.createDataFrame([("/r/IMG_1_png_conv.jpg.supp.json",)], "path string")
+    r = actions.conversion_plan(m, headers, existing).collect()
+    assert len(r) == 1 and r[0]["media_path"] == "/r/IMG_1_png_conv.jpg"
+    assert r[0]["json_path"] == "/r/IMG_1_png_conv.jpg.supp(1).json"
+    assert r[0]["json_filename"] == "IMG_1_png_conv.jpg.supp(1).json"
+    checks = spark.createDataFrame([("/r/IMG_9.jpg", "/r/IMG_2.jpg", True)], "a_path string, b_path string, unflag boolean")
+    new, cleared = dedup.apply_guardrail(m, checks)
+    row = {x["row_id"]: x for x in new.collect()}[2]
+    assert row["delete_flag"] == "false" and row["dedup_reason"] == "guardrail_uncertain" and cleared.count() == 1
