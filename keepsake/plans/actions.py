@@ -43,6 +43,11 @@ def free_names(targets: DataFrame, existing: DataFrame, style: str) -> DataFrame
     """
     from ..operators.ids import group_rank
     ex_names = existing.select(F.col("path").alias("_ex")).distinct()
+    # fast path: no target is taken and none is wanted twice -> each keeps its name
+    clash = (targets.groupBy("target").agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") > 1).select("target")
+             .unionByName(targets.join(ex_names, F.col("target") == F.col("_ex"), "left_semi").select("target")))
+    if clash.limit(1).count() == 0:
+        return targets.select("key", F.col("target").alias("dst"))
     nm = P.basename("_ex")
     st, sx = P.stem(nm), P.suffix(nm)
     base_stem = F.regexp_extract(st, _VARIANT_STEM[style], 1)
@@ -141,6 +146,9 @@ def conversion_plan(manifest: DataFrame, headers: DataFrame, existing: DataFrame
         (F.coalesce(F.col("_jp3"), F.lit("")) != F.coalesce(F.col("json_path"), F.lit(""))).alias("_renamed"))
     if existing is None:
         return out.drop("_renamed")
+    # the naming step reads the rewritten rows several times: write them once
+    from ..session import materialize
+    out = materialize(out, "conversion-rows")
     ren = out.where("_renamed").select(F.col("row_id").alias("key"), F.col("json_path").alias("target"),
                                        F.col("row_id").alias("order"))
     free = free_names(ren, existing, "paren").select(F.col("key").alias("row_id"), F.col("dst").alias("_free"))
