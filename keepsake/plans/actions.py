@@ -110,7 +110,7 @@ def conversion_plan(manifest: DataFrame, headers: DataFrame, existing: DataFrame
     e1 = P.lower_suffix(F.col("_name1"))
     raw_tag = F.regexp_replace(P.suffix(F.col("_name1")), r"^\.", "")
     tag = F.when(e1.isin(".png", ".heic", ".dng"), F.regexp_replace(e1, r"^\.", "")).otherwise(raw_tag)
-    conv = (media0 != "") & e1.isin(*K.IMAGE_TO_JPG_EXTS)
+    conv = (media0 != "") & (F.coalesce(S.conversion_target(e1), F.lit("")) == ".jpg")
     name2 = F.when(conv, N.tagged_conversion_name(F.col("_name1"), F.lit(".jpg"), tag)).otherwise(F.col("_name1"))
     m = m.withColumn("_conv", conv).withColumn("_name2", name2)
     m = m.withColumn("_act", F.when(F.col("_conv"), S.append_history(
@@ -125,7 +125,7 @@ def conversion_plan(manifest: DataFrame, headers: DataFrame, existing: DataFrame
          .withColumn("_jp2", F.when(moved, jp).otherwise(F.col("json_path"))))
     # 4. video conversion to MP4
     e2 = P.lower_suffix(F.col("_name2"))
-    vid = (media0 != "") & e2.isin(*K.VIDEO_TO_MP4_EXTS)
+    vid = (media0 != "") & (F.coalesce(S.conversion_target(e2), F.lit("")) == ".mp4")
     vtag = F.regexp_replace(e2, r"^\.", "")
     name3 = F.when(vid, N.tagged_conversion_name(F.col("_name2"), F.lit(".mp4"), vtag)).otherwise(F.col("_name2"))
     m = m.withColumn("_vid", vid).withColumn("_name3", name3)
