@@ -2,8 +2,8 @@
 
 Tag dumps: one or more files, each holding sections that start with a
 ``======== <file>`` line followed by ``Tag Name : value`` lines (the
-multi-file output of a metadata tool). Each dump file is read whole and
-split into sections, so a section never straddles two tasks.
+multi-file output of a metadata tool), read line by line (see
+:func:`tag_dump_sections`).
 
 Tool log: a progress line ends with ``[n/m]``; summary lines contain one of
 the summary words.
@@ -21,12 +21,33 @@ SECTION_MARK = "======== "
 
 
 def tag_dump_sections(spark: SparkSession, root: str, glob: str = "*.txt") -> DataFrame:
-    """``file, line`` for every tag line of every section."""
-    df = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
-    sections = df.select(F.explode(F.split("value", "(?m)^" + SECTION_MARK)).alias("s")).where(F.col("s") != "")
-    lines = sections.select(F.split("s", "\n").alias("ls"))
-    return lines.select(F.trim(F.col("ls")[0]).alias("file"),
-                        F.posexplode(F.slice("ls", F.lit(2), F.size("ls"))).alias("pos", "line"))
+    """``file, pos, line`` for every tag line of every section.
+
+    Lines are read as plain text (files are split into blocks like any text
+    input, so a dump file of any size is read by many tasks). Each line keeps
+    its file, its block start and its read order; the current section header
+    is carried forward inside the block (one block per window partition, at
+    most the split size), and lines at the top of a block that continues a
+    section take the last header of the file's earlier blocks.
+    """
+    from pyspark.sql import Window
+    df = spark.read.text(root, recursiveFileLookup=True, pathGlobFilter=glob)
+    df = df.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("_f"),
+                   F.col("_metadata.file_block_start").alias("_b"),
+                   F.monotonically_increasing_id().alias("_id"))
+    header = F.when(F.col("line").startswith(SECTION_MARK),
+                    F.trim(F.expr(f"substr(line, {len(SECTION_MARK) + 1})")))
+    df = df.withColumn("_h", header)
+    in_block = Window.partitionBy("_f", "_b").orderBy("_id").rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("_cur", F.last("_h", ignorenulls=True).over(in_block))
+    # last header of every block, then the last one of all earlier blocks of the file
+    blocks = df.groupBy("_f", "_b").agg(F.max_by("_h", F.when(F.col("_h").isNotNull(), F.col("_id"))).alias("_last"))
+    before = Window.partitionBy("_f").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("_f", "_b", F.last("_last", ignorenulls=True).over(before).alias("_prev"))
+    df = df.join(blocks, ["_f", "_b"], "left")
+    return (df.where(F.col("_h").isNull())
+            .select(F.coalesce("_cur", "_prev").alias("file"), F.struct("_b", "_id").alias("pos"), "line")
+            .where(F.col("file").isNotNull()))
 
 
 def pivot_tags(lines: DataFrame, keys=tuple(K.TAG_DUMP_KEYS)) -> DataFrame:

@@ -159,3 +159,26 @@ def test_dct_matches_reference_definition():
     n = np.arange(32)
     expect = np.array([2 * np.sum(x * np.cos(np.pi * k * (2 * n + 1) / 64)) for k in range(32)])
     assert np.allclose(pixels._dct_matrix(32) @ x, expect)
+
+
+def test_tag_dump_sections_across_blocks(spark):
+    d = tempfile.mkdtemp(prefix="ks-tags-split-")
+    lines, expect = [], {}
+    for i in range(40):
+        f = f"/a/f{i:03d}.mov"
+        lines.append(f"======== {f}")
+        for k in range(i % 4 + 1):
+            lines.append(f"Track Create Date               : 2012:01:{k + 1:02d} 00:00:{i % 60:02d}")
+            lines.append(f"Other Tag {k}                   : noise {i}")
+        expect[f] = f"2012:01:{i % 4 + 1:02d} 00:00:{i % 60:02d}"     # the last one wins
+    with open(os.path.join(d, "dump.txt"), "w") as fh:
+        fh.write("\n".join(lines) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")       # many blocks, sections straddle them
+    try:
+        got = {r["file"]: r["track_create_date"] for r in texts.pivot_tags(texts.tag_dump_sections(spark, d)).collect()}
+        blocks = spark.read.text(d).select("_metadata.file_block_start").distinct().count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert blocks > 10
+    assert got == expect
