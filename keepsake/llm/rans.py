@@ -17,11 +17,10 @@ from dataclasses import dataclass
 import numpy as np
 
 BITS = 20
-LANES = 64
+LANES = 128
 CHECKPOINT = 1 << 15                    # ids between checkpoints
 LOW = np.uint64(1 << 31)
 _MASK = np.uint64((1 << BITS) - 1)
-_WORD = np.uint64(0xFFFFFFFF)
 
 
 @dataclass
@@ -29,6 +28,7 @@ class Table:
     """Frequencies of symbols 0..n-1 scaled to 2**BITS; used symbols get 1 at least."""
     freq: np.ndarray
     start: np.ndarray
+    gap: np.ndarray                     # 2**BITS - freq
     symbol: np.ndarray                  # by slot
 
     @classmethod
@@ -45,8 +45,9 @@ class Table:
         order = np.lexsort((np.arange(len(counts)), -(share - np.floor(share)), ~used))
         freq[order[:spare]] += 1
         start = np.concatenate([[0], np.cumsum(freq)[:-1]])
-        return cls(freq.astype(np.uint64), start.astype(np.uint64),
-                   np.repeat(np.arange(len(counts), dtype=np.uint32), freq))
+        kind = np.uint16 if len(counts) <= 1 << 16 else np.uint32
+        return cls(freq.astype(np.uint64), start.astype(np.uint64), ((1 << BITS) - freq).astype(np.uint64),
+                   np.repeat(np.arange(len(counts), dtype=kind), freq))
 
 
 def encode_blocks(table: Table, blocks: list[np.ndarray]) -> list[bytes]:
@@ -64,41 +65,45 @@ def encode_blocks(table: Table, blocks: list[np.ndarray]) -> list[bytes]:
 
 
 def _encode_side_by_side(table: Table, blocks: list[np.ndarray], steps: int) -> list[bytes]:
-    n = len(blocks)
-    pad = int(table.symbol[0])                                           # any used symbol
-    ids = np.full((n, steps * LANES), pad, np.int64)
+    n, lanes = len(blocks), len(blocks) * LANES
+    ids = np.full((n, steps * LANES), int(table.symbol[0]), np.uint32)    # padded with any used symbol
     for k, b in enumerate(blocks):
         ids[k, :len(b)] = b
-    ids = ids.reshape(n, steps, LANES)
-    x = np.full((n, LANES), LOW, np.uint64)
+    ids = ids.reshape(n, steps, LANES).transpose(1, 0, 2).reshape(steps, lanes)
+    x = np.full(lanes, LOW, np.uint64)
     words: list[np.ndarray] = []
-    owner: list[np.ndarray] = []
+    spots: list[np.ndarray] = []
     marks: list[tuple[int, np.ndarray]] = []                             # (step, states before decoding it)
     every = CHECKPOINT // LANES
     for t in range(steps - 1, -1, -1):
-        s = ids[:, t]
-        f = table.freq[s]
-        shed = x >= (f << np.uint64(63 - BITS))
-        block, _ = np.nonzero(shed)
-        words.append((x[shed] & _WORD).astype("<u4"))
-        owner.append(block)
-        x = np.where(shed, x >> np.uint64(32), x)
-        q = x // f
-        x = (q << np.uint64(BITS)) + (x - q * f) + table.start[s]
+        s = ids[t]
+        f = table.freq.take(s)
+        spot = np.flatnonzero(x >= (f << np.uint64(63 - BITS)))
+        shed = x.take(spot)
+        words.append(shed.astype(np.uint32))                             # the low 32 bits
+        spots.append(spot)
+        x[spot] = shed >> np.uint64(32)
+        # (x // f << BITS) + x % f + start, with one division
+        x += (x // f) * table.gap.take(s) + table.start.take(s)
         if t and t % every == 0:
-            marks.append((t, x.copy()))
-    words.reverse(), owner.reverse(), marks.reverse()
-    per_step = np.array([np.bincount(o, minlength=n) for o in owner], np.int64).reshape(steps, n)
-    flat, own = (np.concatenate(v) if v else np.empty(0, np.uint32) for v in (words, owner))
+            marks.append((t, x.reshape(n, LANES).copy()))
+    words.reverse(), spots.reverse(), marks.reverse()
+    x = x.reshape(n, LANES)
+    sizes = np.array([len(w) for w in words], np.int64)
+    flat = np.concatenate(words) if words else np.empty(0, np.uint32)
+    own = np.concatenate(spots) // LANES if spots else np.empty(0, np.int64)
+    step_of = np.repeat(np.arange(steps), sizes)
     order = np.argsort(own, kind="stable")
-    flat, ends = flat[order].astype("<u4"), np.cumsum(per_step.sum(axis=0))
+    flat, step_of = flat[order].astype("<u4"), step_of[order]
+    ends = np.cumsum(np.bincount(own, minlength=n))
     out = []
     for k, b in enumerate(blocks):
-        mine = flat[ends[k] - per_step[:, k].sum():ends[k]]
+        lo, hi = (ends[k - 1] if k else 0), ends[k]
         head = [struct.pack("<III", len(b), zlib.crc32(np.asarray(b, "<u4").tobytes()), len(marks)), x[k].astype("<u8").tobytes()]
         for t, state in marks:                                           # words used before step t
-            head += [struct.pack("<II", t, int(per_step[:t, k].sum())), state[k].astype("<u8").tobytes()]
-        out.append(b"".join(head) + mine.tobytes())
+            used = int(np.searchsorted(step_of[lo:hi], t))
+            head += [struct.pack("<II", t, used), state[k].astype("<u8").tobytes()]
+        out.append(b"".join(head) + flat[lo:hi].tobytes())
     return out
 
 
@@ -133,18 +138,25 @@ def decode_blocks(table: Table, payloads: list[bytes]) -> list[np.ndarray]:
             pool = np.concatenate([heads[r[0]][3][r[3]:] for r in part] + [np.zeros(1, "<u4")])
             pos = base[:-1].copy()
             x = np.stack([r[4] for r in part]).astype(np.uint64)
-            got = np.empty((len(part), steps, LANES), np.uint32)
+            got = np.empty((steps, len(part) * LANES), np.uint32)
+            x = x.reshape(-1)
             for t in range(steps):
                 slot = x & _MASK
-                s = table.symbol[slot]
-                got[:, t] = s
-                x = table.freq[s] * (x >> np.uint64(BITS)) + slot - table.start[s]
-                need = x < LOW
-                if need.any():
-                    rank = np.cumsum(need, axis=1)
-                    word = pool[np.minimum((pos[:, None] + rank - 1)[need], len(pool) - 1)].astype(np.uint64)
-                    x[need] = (x[need] << np.uint64(32)) | word
-                    pos += rank[:, -1]
+                s = table.symbol.take(slot)
+                got[t] = s
+                x >>= np.uint64(BITS)
+                x *= table.freq.take(s)
+                x += slot
+                x -= table.start.take(s)
+                spot = np.flatnonzero(x < LOW)
+                if len(spot):
+                    row = spot // LANES
+                    n = np.bincount(row, minlength=len(part))
+                    rank = np.arange(len(spot)) - (np.cumsum(n) - n)[row]        # place among the lanes of its run
+                    at_word = pos[row] + rank
+                    x[spot] = (x[spot] << np.uint64(32)) | pool.take(at_word, mode="clip").astype(np.uint64)
+                    pos += n
+            got = got.reshape(steps, len(part), LANES).transpose(1, 0, 2)
             for k, r in enumerate(part):
                 ids[r[0]][r[1] * LANES:(r[1] + steps) * LANES] = got[k].ravel()
     out = []

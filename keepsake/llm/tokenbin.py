@@ -25,6 +25,7 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from typing import Iterator
 
@@ -34,41 +35,78 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import session
-from .common import drop_written, shuffle_partitions, slices, written
+from .common import drop_written, shuffle_partitions, slices
 from .rans import Table, decode_blocks, encode_blocks
 
 END = 1
 BLOCK_IDS = 1 << 16
-CACHE_CHUNKS = 300_000
-_BLANKS = str.maketrans({c: " " for c in "\t\n\r\x0b\x0c"})
-
-
+CACHE_CHUNKS = 500_000
 class ChunkEncoder:
-    """The tokenizers library behind a cache of blank-separated chunks."""
+    """The tokenizers library behind a cache of blank-separated chunks.
+
+    Chunks that are new in a slice go to the library in few long texts, with a
+    special token between them (its id marks the borders); chunks that may
+    hold a special token themselves go alone."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation(), self.library.no_padding()
-        self.cache: dict[str, bytes] = {}
+        plain = [t for t in self.library.get_added_tokens_decoder().items()
+                 if t[1].special and not (t[1].normalized or t[1].lstrip or t[1].rstrip or t[1].single_word)]
+        self.border = plain[-1] if plain else None
+        self.marks = tuple({t.content[0] for t in self.library.get_added_tokens_decoder().values()})
+        self.number: dict[str, int] = {}
+        self.ids: list[bytes] = []
+
+    def chunks(self, text: str) -> list[str]:
+        """Python's blanks are the library's white space and four control characters."""
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            return [c for c in re.split(r"[\t-\r ]+", text) if c]
+        return (text.lower() if text.isascii() and not self.folded(text) else text).split()
+
+    def folded(self, text: str) -> bool:
+        """Lower-casing first must not make a special token."""
+        return any(c in text for c in self.marks)
+
+    def encode_new(self, words: list[str]) -> None:
+        odd = [w for w in words if self.border is None or any(c in w for c in self.marks)]
+        found = {w: np.array(e.ids, "<u4").tobytes() for w, e in
+                 zip(odd, self.library.encode_batch_fast(odd, add_special_tokens=False))}
+        rest = [w for w in words if w not in found]
+        for at in range(0, len(rest), 2000):
+            part = rest[at:at + 2000]
+            ids = np.array(self.library.encode_batch_fast([self.border[1].content.join(part)], add_special_tokens=False)[0].ids, "<u4")
+            data, ends = ids.tobytes(), (np.flatnonzero(ids == self.border[0]) * 4).tolist() + [4 * len(ids)]
+            start = 0
+            for w, end in zip(part, ends):
+                found[w] = data[start:end]
+                start = end + 4
+        self.ids += [found[w] for w in words]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         out = []
-        for a, b in slices([len(t) for t in texts], 4 << 20):
-            parts = [[c for c in t.translate(_BLANKS).split(" ") if c] for t in texts[a:b]]
-            all_ = {c for p in parts for c in p}
-            new = all_.difference(self.cache)
-            if len(self.cache) + len(new) > CACHE_CHUNKS:
-                self.cache.clear()
-                new = all_
-            todo = sorted(new)
-            for at in range(0, len(todo), 20_000):
-                part = todo[at:at + 20_000]
-                for chunk, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                    self.cache[chunk] = np.array(e.ids, "<u4").tobytes()
-            ids_of = self.cache.__getitem__
-            out += [b"".join(map(ids_of, p)) for p in parts]
+        for a, b in slices([len(t) for t in texts], 2 << 20):
+            if len(self.ids) > CACHE_CHUNKS:
+                self.number.clear()
+                self.ids.clear()
+            number, todo = self.number, []
+            rows = []
+            for text in texts[a:b]:
+                parts = self.chunks(text)
+                try:
+                    rows.append([number[c] for c in parts])
+                except KeyError:
+                    for c in parts:
+                        if c not in number:
+                            number[c] = len(number)
+                            todo.append(c)
+                    rows.append([number[c] for c in parts])
+            if todo:
+                self.encode_new(todo)
+            ids_of = self.ids.__getitem__
+            out += [b"".join(map(ids_of, row)) for row in rows]
         return out
 
 
@@ -83,29 +121,30 @@ def encoder(path: str) -> ChunkEncoder:
     return _ENCODERS[path]
 
 
+def id_kind(path: str) -> str:
+    """Two bytes an id where the vocabulary allows it."""
+    return "<u2" if encoder(path).library.get_vocab_size() <= 1 << 16 else "<u4"
+
+
 def tokenize(docs: DataFrame, path: str) -> DataFrame:
-    """``doc_id, ids``: the ids of each text with the end id, as bytes."""
-    end = np.array([END], "<u4").tobytes()
+    """``doc_id, ids``: the ids of each text with the end id, as bytes of :func:`id_kind`."""
+    end, kind = np.array([END], "<u4").tobytes(), id_kind(path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(path)
         for pdf in batches:
             got = enc.encode_batch([t if isinstance(t, str) else "" for t in pdf["text"]])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [zlib.compress(b + end, 1) for b in got]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [np.frombuffer(b + end, "<u4").astype(kind).tobytes() for b in got]})
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
         .mapInPandas(run, "doc_id long, ids binary")
 
 
-def _ids(data) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(bytes(data)), "<u4")
-
-
-def symbol_counts(tokens: DataFrame) -> DataFrame:
+def symbol_counts(tokens: DataFrame, kind: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(1, np.int64)
+        total = np.zeros(1 << 16, np.int64)
         for pdf in batches:
-            for data in pdf["ids"]:
-                n = np.bincount(_ids(data))
+            for at in range(0, len(pdf), 256):
+                n = np.bincount(np.frombuffer(b"".join(pdf["ids"].iloc[at:at + 256]), kind))
                 if len(n) > len(total):
                     total = np.concatenate([total, np.zeros(len(n) - len(total), np.int64)])
                 total[:len(n)] += n
@@ -119,8 +158,10 @@ def write_corpus(docs: DataFrame, path: str, block_ids: int = BLOCK_IDS) -> str:
     spark = docs.sparkSession
     session.configure(spark)
     folder = session.scratch_path(spark, "token-corpus")
-    tokens = written(tokenize(docs, path), "token-corpus-staged")
-    symbol_counts(tokens).write.parquet(f"{folder}/table")
+    kind, staged = id_kind(path), session.scratch_path(spark, "token-corpus-staged")
+    tokenize(docs, path).write.option("compression", "zstd").parquet(staged)
+    tokens = spark.read.parquet(staged)
+    symbol_counts(tokens, kind).write.parquet(f"{folder}/table")
     table = spark.sparkContext.broadcast(read_table(spark, folder))             # size of the vocabulary
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -140,9 +181,9 @@ def write_corpus(docs: DataFrame, path: str, block_ids: int = BLOCK_IDS) -> str:
         size = 0
         for pdf in batches:
             for doc_id, no_id, data in zip(pdf["doc_id"], pdf["no_id"], pdf["ids"]):
-                held.append((None if no_id else int(doc_id), _ids(data)))
+                held.append((None if no_id else int(doc_id), np.frombuffer(data, kind)))
                 size += len(held[-1][1])
-                if size >= 32 * block_ids:
+                if size >= 64 * block_ids:
                     yield blocks(held)
                     held, size = [], 0
         if held:
@@ -166,9 +207,10 @@ def read_table(spark, folder: str) -> Table:
     return Table.of_counts(counts)
 
 
-def read_corpus(spark, folder: str) -> DataFrame:
-    """Decoded documents: ``doc_id, start, n_tokens, ids`` (little-endian
-    unsigned 32-bit); every block is decoded and its checksum verified."""
+def read_corpus(spark, folder: str, digest: bool = False) -> DataFrame:
+    """Decoded documents: ``doc_id, start, n_tokens`` and ``ids`` (little-endian
+    unsigned 32-bit), or ``ids_crc32`` with ``digest``; every block is decoded
+    and its checksum verified."""
     table = spark.sparkContext.broadcast(read_table(spark, folder))
     files = spark.read.parquet(f"{folder}/files")
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
@@ -178,18 +220,19 @@ def read_corpus(spark, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for at in range(0, len(pdf), 32):
-                part = pdf.iloc[at:at + 32]
+            for at in range(0, len(pdf), 64):
+                part = pdf.iloc[at:at + 64]
                 for ids, start, docs, none, lengths in zip(decode_blocks(table.value, [bytes(p) for p in part["payload"]]),
                                                            part["start"], part["doc_ids"], part["no_id"], part["lengths"]):
-                    ends = np.cumsum(lengths)
+                    ends, data = np.cumsum(lengths), ids.astype("<u4").tobytes()
+                    own = [data[4 * (b - n):4 * b] for b, n in zip(ends.tolist(), lengths.tolist())]
                     yield pd.DataFrame({
                         "doc_id": pd.array([None if no else int(d) for d, no in zip(docs, none)], "Int64"),
                         "start": start + ends - lengths, "n_tokens": lengths,
-                        "ids": [ids[b - n:b].astype("<u4").tobytes() for b, n in zip(ends, lengths)]})
-    return blocks.mapInPandas(run, "doc_id long, start long, n_tokens long, ids binary")
+                        **({"ids_crc32": [zlib.crc32(x) for x in own]} if digest else {"ids": own})})
+    return blocks.mapInPandas(run, "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids binary"))
 
 
 def corpus_index(spark, folder: str) -> DataFrame:
     """Per document, from the files: ``doc_id, start, n_tokens, ids_crc32``."""
-    return read_corpus(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_corpus(spark, folder, digest=True)
