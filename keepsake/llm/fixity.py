@@ -1,19 +1,20 @@
 """Merkle fixity audit of web archives in two replicas.
 
-Records of a WARC file are laid out one after another; a leaf is the SHA-256
-of one record's bytes with its offset range, and ``fanout`` consecutive nodes
-(ordered by offset) make a parent: the SHA-256 over their ranges and hashes.
-The audit compares the roots of each file and descends only below nodes that
-differ, level by level, down to the records; files with equal roots are never
-opened further. Trees are tables (file, level, node), built by aggregations
-of at most ``fanout`` rows, so a file may have any number of records.
-
-Records are keyed by (file, position); replica rows with the same position
-are compared as they stand. Defined cases: a null payload is an empty record;
-a record that only one replica has is ``missing`` (not in the copy) or
-``extra``; a file that only one replica has differs as a whole; a null page_id
-is a page, before all others; repeated rows are records of their own; an empty
-table gives no rows; other columns are ignored.
+Records of a WARC file are laid out one after another; the index holds each
+record's offset range. A leaf is the SHA-256 of the bytes a replica has for
+one record, with its offset range, and ``fanout`` consecutive nodes (ordered
+by offset) make a parent: the SHA-256 over their ranges and hashes. The audit
+compares the roots of each file and descends only below nodes that differ,
+level by level, down to the records; files with equal roots are never opened
+further. Trees are tables (file, level, node), built by aggregations of at
+most ``fanout`` rows. Record bytes are hashed where they are read; only
+hashes, lengths and positions are shuffled.
+
+Records are keyed by (file, position). Defined cases: a null payload is an
+empty record; a record that only one replica has is ``missing`` (not in the
+copy) or ``extra``; a file that only one replica has differs as a whole; a
+null page_id is a page, before all others; repeated rows are records of their
+own; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,29 +38,37 @@ def record(url: Column, body: Column) -> Column:
 
 
 def warc_records(pages: DataFrame, per_file: int = PER_FILE) -> DataFrame:
-    """Records laid out in files of ``per_file``, in the order of page_id
-    (null first), url and payload hash: ``file, pos, offset, length, page_id,
-    bytes``. Written once; equal rows are interchangeable."""
+    """Records dealt over files of ``per_file``, in the order of page_id (null
+    first), url and payload hash: ``file, pos, page_id, bytes``. The order is
+    written once; equal rows are interchangeable."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                         F.col("html").cast("string").cast("binary").alias("body"))
     rows = rows.withColumn("tie", F.sha2("body", 256)).withColumn("row", F.monotonically_increasing_id())
     rows = dense_index(rows, ["page_id", "url", "tie", "row"], name="n", start=0)
-    rows = rows.select("page_id", F.floor(F.col("n") / per_file).alias("file"), (F.col("n") % per_file).alias("pos"),
-                       record(F.col("url"), F.col("body")).alias("bytes")) \
-        .withColumn("length", F.octet_length("bytes").cast("long"))
-    before = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)   # per_file rows
-    offsets = rows.select("file", "pos", "length").withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
-    return rows.drop("length").join(offsets, ["file", "pos"]) \
-        .select("file", "pos", F.col("offset").cast("long"), "length", "page_id", "bytes")
+    return rows.select(F.floor(F.col("n") / per_file).alias("file"), (F.col("n") % per_file).alias("pos"), "page_id",
+                       record(F.col("url"), F.col("body")).alias("bytes"))
 
 
-def tree(records: DataFrame, fanout: int = FANOUT, per_file: int = PER_FILE) -> list[DataFrame]:
+def record_index(records: DataFrame) -> DataFrame:
+    """``file, pos, page_id, offset, length, hash`` of the records, in one pass over their bytes."""
+    sizes = written(records.select("file", "pos", "page_id", F.octet_length("bytes").cast("long").alias("length"),
+                                   F.sha2("bytes", 256).alias("hash")), "fixity-sizes")
+    before = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)   # per_file narrow rows
+    return written(sizes.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long")), "fixity-index")
+
+
+def record_hashes(index: DataFrame, replica: DataFrame) -> DataFrame:
+    """Leaves of a replica (``file, pos, bytes``): its hashes with the index's ranges."""
+    hashes = replica.select("file", "pos", F.sha2("bytes", 256).alias("copy"))
+    return hashes.join(index.drop("hash", "page_id"), ["file", "pos"], "left").withColumnRenamed("copy", "hash")
+
+
+def tree(leaves: DataFrame, fanout: int = FANOUT, per_file: int = PER_FILE) -> list[DataFrame]:
     """Levels of the trees of all files, leaves first; the height is that of a
     file of ``per_file`` records: ``file, node, first, last, hash`` with
     ``first`` / ``last`` the offset range and ``hash`` lowercase hex."""
-    levels = [written(records.select("file", F.col("pos").alias("node"), F.col("offset").alias("first"),
-                                     (F.col("offset") + F.col("length")).alias("last"),
-                                     F.sha2("bytes", 256).alias("hash")), "fixity-leaves")]
+    levels = [written(leaves.select("file", F.col("pos").alias("node"), F.col("offset").alias("first"),
+                                    (F.col("offset") + F.col("length")).alias("last"), "hash"), "fixity-leaves")]
     width = per_file
     while width > 1:
         child = F.struct("node", "first", "last", "hash")
@@ -88,15 +97,17 @@ def audit(ours: list[DataFrame], theirs: list[DataFrame], fanout: int = FANOUT)
                         F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "extra").otherwise("corrupt").alias("status"))
 
 
-def fixity_report(ours: DataFrame, theirs: DataFrame, fanout: int = FANOUT, per_file: int = PER_FILE) -> DataFrame:
-    """One row per record of either replica: ``file, pos, page_id, offset,
-    length, sha256, replica_sha256, root, replica_root, status``."""
-    mine, copy = tree(ours, fanout, per_file), tree(theirs, fanout, per_file)
+def fixity_report(index: DataFrame, replica: DataFrame, fanout: int = FANOUT, per_file: int = PER_FILE) -> DataFrame:
+    """One row per record of the index or of the other replica (``file, pos,
+    bytes``): ``file, pos, page_id, offset, length, sha256, replica_sha256,
+    root, replica_root, status``; ``index`` comes from :func:`record_index`."""
+    mine = tree(index, fanout, per_file)
+    copy = tree(record_hashes(index, replica), fanout, per_file)
     bad = audit(mine, copy, fanout).select("file", F.col("node").alias("pos"), "status", "theirs_hash")
     place = ["file", "pos", "page_id", "offset", "length"]
-    leaf = mine[0].select("file", F.col("node").alias("pos"), F.col("hash").alias("sha256"))
-    have = ours.select(*place).join(leaf, ["file", "pos"]).join(bad, ["file", "pos"], "left")
-    extra = theirs.select(*place).join(bad.where("status = 'extra'"), ["file", "pos"]).withColumn("sha256", F.lit(None).cast("string"))
+    have = index.select(*place, F.col("hash").alias("sha256")).join(bad, ["file", "pos"], "left")
+    none = {"page_id": "long", "offset": "long", "length": "long", "sha256": "string"}
+    extra = bad.where("status = 'extra'").withColumns({c: F.lit(None).cast(t) for c, t in none.items()})
     out = have.unionByName(extra).withColumn("status", F.coalesce("status", F.lit("ok")))
     out = out.withColumn("replica_sha256", F.when(F.col("status") == "ok", F.col("sha256")).otherwise(F.col("theirs_hash")))
     tops = [levels[-1].select("file", F.col("hash").alias(name)) for levels, name in ((mine, "root"), (copy, "replica_root"))]

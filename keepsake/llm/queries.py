@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, fixity, langid, licenses, mixing, simhash, tokenbin, toxicity, vecdedup
-from .common import id_fold, table, written
+from .common import id_fold, table
 
 
 def in_fold(doc_id, folds: int, fold: int):
@@ -65,13 +65,13 @@ def damaged(records: DataFrame) -> DataFrame:
     bit rot and loss. Records of pages at 7 modulo 97 have their fifth last
     byte changed; those at 11 modulo 211 are lost."""
     page = F.coalesce("page_id", F.lit(0))
-    rotten = F.concat(F.expr("substring(bytes, 1, length - 5)"), F.lit("?\r\n\r\n").cast("binary"))
+    rotten = F.concat(F.expr("substring(bytes, 1, octet_length(bytes) - 5)"), F.lit("?\r\n\r\n").cast("binary"))
     return records.where(page % 211 != 11).withColumn("bytes", F.when(page % 97 == 7, rotten).otherwise(F.col("bytes")))
 
 
 def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ours = written(fixity.warc_records(table(spark, sf_dir, "pages")), "warc")
-    return fixity.fixity_report(ours, damaged(ours))
+    ours = fixity.warc_records(table(spark, sf_dir, "pages"))
+    return fixity.fixity_report(fixity.record_index(ours), damaged(ours))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
