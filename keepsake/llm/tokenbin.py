@@ -40,73 +40,74 @@ from .rans import Table, decode_blocks, encode_blocks
 
 END = 1
 BLOCK_IDS = 1 << 16
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 800_000
+CLOSING = ",.;:!?"
 class ChunkEncoder:
     """The tokenizers library behind a cache of blank-separated chunks.
 
     Chunks that are new in a slice go to the library in few long texts, with a
     special token between them (its id marks the borders); chunks that may
-    hold a special token themselves go alone."""
+    hold a special token themselves go alone. A word with one closing mark is
+    the word and the mark, which the vocabulary's pre-tokenizer parts anyway.
+    Latin-1 texts are lower-cased beforehand, as the vocabulary does."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation(), self.library.no_padding()
-        plain = [t for t in self.library.get_added_tokens_decoder().items()
-                 if t[1].special and not (t[1].normalized or t[1].lstrip or t[1].rstrip or t[1].single_word)]
+        added = self.library.get_added_tokens_decoder()
+        plain = [t for t in added.items() if t[1].special and not (t[1].normalized or t[1].lstrip or t[1].rstrip or t[1].single_word)]
         self.border = plain[-1] if plain else None
-        self.marks = tuple({t.content[0] for t in self.library.get_added_tokens_decoder().values()})
-        self.number: dict[str, int] = {}
-        self.ids: list[bytes] = []
+        self.marks = tuple({t.content[0] for t in added.values()})
+        self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
+        self.cache: dict[str, bytes] = {}
 
     def chunks(self, text: str) -> list[str]:
         """Python's blanks are the library's white space and four control characters."""
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return [c for c in re.split(r"[\t-\r ]+", text) if c]
-        return (text.lower() if text.isascii() and not self.folded(text) else text).split()
-
-    def folded(self, text: str) -> bool:
-        """Lower-casing first must not make a special token."""
-        return any(c in text for c in self.marks)
-
-    def encode_new(self, words: list[str]) -> None:
+        if not any(c in text for c in self.marks):       # lower-casing must not make a special token
+            try:
+                text.encode("latin-1")                   # no combining marks, one lower case each
+                text = text.lower()
+            except UnicodeEncodeError:
+                pass
+        return text.split()
+
+    def ask(self, words: list[str]) -> None:
+        """Ids of words from the library."""
         odd = [w for w in words if self.border is None or any(c in w for c in self.marks)]
-        found = {w: np.array(e.ids, "<u4").tobytes() for w, e in
-                 zip(odd, self.library.encode_batch_fast(odd, add_special_tokens=False))}
-        rest = [w for w in words if w not in found]
+        for w, e in zip(odd, self.library.encode_batch_fast(odd, add_special_tokens=False)):
+            self.cache[w] = np.array(e.ids, self.kind).tobytes()
+        rest = [w for w in words if w not in self.cache]
+        size = np.dtype(self.kind).itemsize
         for at in range(0, len(rest), 2000):
             part = rest[at:at + 2000]
-            ids = np.array(self.library.encode_batch_fast([self.border[1].content.join(part)], add_special_tokens=False)[0].ids, "<u4")
-            data, ends = ids.tobytes(), (np.flatnonzero(ids == self.border[0]) * 4).tolist() + [4 * len(ids)]
+            ids = np.array(self.library.encode_batch_fast([self.border[1].content.join(part)], add_special_tokens=False)[0].ids, self.kind)
+            data, ends = ids.tobytes(), (np.flatnonzero(ids == self.border[0]) * size).tolist() + [size * len(ids)]
             start = 0
             for w, end in zip(part, ends):
-                found[w] = data[start:end]
-                start = end + 4
-        self.ids += [found[w] for w in words]
+                self.cache[w] = data[start:end]
+                start = end + size
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+        """Ids of each text as little-endian unsigned integers of ``kind``."""
         out = []
         for a, b in slices([len(t) for t in texts], 2 << 20):
-            if len(self.ids) > CACHE_CHUNKS:
-                self.number.clear()
-                self.ids.clear()
-            number, todo = self.number, []
-            rows = []
-            for text in texts[a:b]:
-                parts = self.chunks(text)
-                try:
-                    rows.append([number[c] for c in parts])
-                except KeyError:
-                    for c in parts:
-                        if c not in number:
-                            number[c] = len(number)
-                            todo.append(c)
-                    rows.append([number[c] for c in parts])
+            if len(self.cache) > CACHE_CHUNKS:
+                self.cache.clear()
+            cache, rows = self.cache, [self.chunks(t) for t in texts[a:b]]
+            found = [list(map(cache.get, row)) for row in rows]
+            todo = {c for row, ids in zip(rows, found) for c, v in zip(row, ids) if v is None}
             if todo:
-                self.encode_new(todo)
-            ids_of = self.ids.__getitem__
-            out += [b"".join(map(ids_of, row)) for row in rows]
+                marked = [c for c in todo if c[-1] in CLOSING and c[:-1].lower().isalpha()]
+                todo.difference_update(marked)
+                todo.update(c for c in CLOSING if c not in cache)
+                todo.update(core for c in marked if (core := c[:-1]) not in cache)
+                self.ask(list(todo))
+                for c in marked:
+                    cache[c] = cache[c[:-1]] + cache[c[-1]]
+            out += [b"".join([cache[c] if v is None else v for c, v in zip(row, ids)]) for row, ids in zip(rows, found)]
         return out
 
 
@@ -121,20 +122,14 @@ def encoder(path: str) -> ChunkEncoder:
     return _ENCODERS[path]
 
 
-def id_kind(path: str) -> str:
-    """Two bytes an id where the vocabulary allows it."""
-    return "<u2" if encoder(path).library.get_vocab_size() <= 1 << 16 else "<u4"
-
-
 def tokenize(docs: DataFrame, path: str) -> DataFrame:
-    """``doc_id, ids``: the ids of each text with the end id, as bytes of :func:`id_kind`."""
-    end, kind = np.array([END], "<u4").tobytes(), id_kind(path)
-
+    """``doc_id, ids``: the ids of each text with the end id, as bytes of the encoder's kind."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(path)
+        end = np.array([END], enc.kind).tobytes()
         for pdf in batches:
             got = enc.encode_batch([t if isinstance(t, str) else "" for t in pdf["text"]])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [np.frombuffer(b + end, "<u4").astype(kind).tobytes() for b in got]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [b + end for b in got]})
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
         .mapInPandas(run, "doc_id long, ids binary")
 
@@ -158,7 +153,7 @@ def write_corpus(docs: DataFrame, path: str, block_ids: int = BLOCK_IDS) -> str:
     spark = docs.sparkSession
     session.configure(spark)
     folder = session.scratch_path(spark, "token-corpus")
-    kind, staged = id_kind(path), session.scratch_path(spark, "token-corpus-staged")
+    kind, staged = encoder(path).kind, session.scratch_path(spark, "token-corpus-staged")
     tokenize(docs, path).write.option("compression", "zstd").parquet(staged)
     tokens = spark.read.parquet(staged)
     symbol_counts(tokens, kind).write.parquet(f"{folder}/table")
