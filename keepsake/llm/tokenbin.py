@@ -42,6 +42,7 @@ END = 1
 BLOCK_IDS = 1 << 16
 CACHE_CHUNKS = 800_000
 CLOSING = ",.;:!?"
+SMALL_LETTERS = re.compile("[a-zªµºß-öø-ÿ]+").fullmatch
 class ChunkEncoder:
     """The tokenizers library behind a cache of blank-separated chunks.
 
@@ -49,16 +50,29 @@ class ChunkEncoder:
     special token between them (its id marks the borders); chunks that may
     hold a special token themselves go alone. A word with one closing mark is
     the word and the mark, which the vocabulary's pre-tokenizer parts anyway.
-    Latin-1 texts are lower-cased beforehand, as the vocabulary does."""
+    Latin-1 texts are lower-cased beforehand, as the vocabulary does. Words of
+    small Latin-1 letters need no normalizer and no pattern: they go through
+    the same library and model with a blank between them, and the ids that
+    close a word (end-of-word suffix) mark the borders."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation(), self.library.no_padding()
         added = self.library.get_added_tokens_decoder()
         plain = [t for t in added.items() if t[1].special and not (t[1].normalized or t[1].lstrip or t[1].rstrip or t[1].single_word)]
         self.border = plain[-1] if plain else None
         self.marks = tuple({t.content[0] for t in added.values()})
+        suffix = getattr(self.library.model, "end_of_word_suffix", None)
+        self.words = None
+        if suffix:
+            self.words = Tokenizer.from_file(path)
+            self.words.no_truncation(), self.words.no_padding()
+            self.words.normalizer = None
+            self.words.pre_tokenizer = pre_tokenizers.Sequence(
+                [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.closes = np.zeros(self.library.get_vocab_size() + 1, bool)
+            self.closes[[i for token, i in self.library.get_vocab().items() if token.endswith(suffix)]] = True
         self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
         self.cache: dict[str, bytes] = {}
 
@@ -76,19 +90,25 @@ class ChunkEncoder:
 
     def ask(self, words: list[str]) -> None:
         """Ids of words from the library."""
-        odd = [w for w in words if self.border is None or any(c in w for c in self.marks)]
+        plain = [w for w in words if SMALL_LETTERS(w)] if self.words else []
+        for at in range(0, len(plain), 20_000):
+            part = plain[at:at + 20_000]
+            ids = np.array(self.words.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.kind)
+            self._store(part, ids, np.flatnonzero(self.closes[ids]) + 1, 0)
+        odd = [w for w in words if w not in self.cache and (self.border is None or any(c in w for c in self.marks))]
         for w, e in zip(odd, self.library.encode_batch_fast(odd, add_special_tokens=False)):
             self.cache[w] = np.array(e.ids, self.kind).tobytes()
         rest = [w for w in words if w not in self.cache]
-        size = np.dtype(self.kind).itemsize
         for at in range(0, len(rest), 2000):
             part = rest[at:at + 2000]
             ids = np.array(self.library.encode_batch_fast([self.border[1].content.join(part)], add_special_tokens=False)[0].ids, self.kind)
-            data, ends = ids.tobytes(), (np.flatnonzero(ids == self.border[0]) * size).tolist() + [size * len(ids)]
-            start = 0
-            for w, end in zip(part, ends):
-                self.cache[w] = data[start:end]
-                start = end + size
+            self._store(part, ids, np.append(np.flatnonzero(ids == self.border[0]), len(ids)), 1)
+
+    def _store(self, words: list[str], ids: np.ndarray, ends: np.ndarray, gap: int) -> None:
+        size, data, start = ids.itemsize, ids.tobytes(), 0
+        for w, end in zip(words, (ends * ids.itemsize).tolist(), strict=True):
+            self.cache[w] = data[start:end]
+            start = end + gap * size
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned integers of ``kind``."""
