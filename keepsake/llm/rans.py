@@ -17,10 +17,10 @@ from dataclasses import dataclass
 import numpy as np
 
 BITS = 20
-LANES = 128
+LANE_BITS = 7
+LANES = 1 << LANE_BITS
 CHECKPOINT = 1 << 15                    # ids between checkpoints
 LOW = np.uint64(1 << 31)
-_MASK = np.uint64((1 << BITS) - 1)
 
 
 @dataclass
@@ -91,7 +91,7 @@ def _encode_side_by_side(table: Table, blocks: list[np.ndarray], steps: int) ->
     x = x.reshape(n, LANES)
     sizes = np.array([len(w) for w in words], np.int64)
     flat = np.concatenate(words) if words else np.empty(0, np.uint32)
-    own = np.concatenate(spots) // LANES if spots else np.empty(0, np.int64)
+    own = np.concatenate(spots) >> LANE_BITS if spots else np.empty(0, np.int64)
     step_of = np.repeat(np.arange(steps), sizes)
     order = np.argsort(own, kind="stable")
     flat, step_of = flat[order].astype("<u4"), step_of[order]
@@ -135,26 +135,28 @@ def decode_blocks(table: Table, payloads: list[bytes]) -> list[np.ndarray]:
         for at in range(0, len(group), 64):
             part = group[at:at + 64]
             base = np.cumsum([0] + [len(heads[r[0]][3]) - r[3] for r in part])
-            pool = np.concatenate([heads[r[0]][3][r[3]:] for r in part] + [np.zeros(1, "<u4")])
+            pool = np.concatenate([heads[r[0]][3][r[3]:] for r in part] + [np.zeros(1, "<u4")]).astype(np.int64)
             pos = base[:-1].copy()
             x = np.stack([r[4] for r in part]).astype(np.uint64)
             got = np.empty((steps, len(part) * LANES), np.uint32)
-            x = x.reshape(-1)
+            x = x.reshape(-1).astype(np.int64)                           # states are below 2**63
+            freq, start = table.freq.astype(np.int64), table.start.astype(np.int64)
             for t in range(steps):
-                slot = x & _MASK
+                slot = x & np.int64((1 << BITS) - 1)
                 s = table.symbol.take(slot)
                 got[t] = s
-                x >>= np.uint64(BITS)
-                x *= table.freq.take(s)
+                s = s.astype(np.int64)
+                x >>= np.int64(BITS)
+                x *= freq.take(s)
                 x += slot
-                x -= table.start.take(s)
-                spot = np.flatnonzero(x < LOW)
+                x -= start.take(s)
+                spot = np.flatnonzero(x < np.int64(LOW))
                 if len(spot):
-                    row = spot // LANES
+                    row = spot >> LANE_BITS
                     n = np.bincount(row, minlength=len(part))
-                    rank = np.arange(len(spot)) - (np.cumsum(n) - n)[row]        # place among the lanes of its run
-                    at_word = pos[row] + rank
-                    x[spot] = (x[spot] << np.uint64(32)) | pool.take(at_word, mode="clip").astype(np.uint64)
+                    first = pos - (np.cumsum(n) - n)                     # so first[row] + place is the word's position
+                    word = pool.take(first.take(row) + np.arange(len(spot)), mode="clip")
+                    x[spot] = (x.take(spot) << np.int64(32)) | word
                     pos += n
             got = got.reshape(steps, len(part), LANES).transpose(1, 0, 2)
             for k, r in enumerate(part):

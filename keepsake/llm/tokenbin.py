@@ -40,7 +40,7 @@ from .rans import Table, decode_blocks, encode_blocks
 
 END = 1
 BLOCK_IDS = 1 << 16
-CACHE_CHUNKS = 800_000
+CACHE_CHUNKS = 1_500_000
 CLOSING = ",.;:!?"
 SMALL_LETTERS = re.compile("[a-zªµºß-öø-ÿ]+").fullmatch
 class ChunkEncoder:
