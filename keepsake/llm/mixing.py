@@ -8,7 +8,7 @@
    gives its proportional share, long lengths close the gap to ``window``
    words, and a bounded knapsack over the remaining counts (sums reachable up
    to the rest of the budget, with the item that first reached each) finds the
-   nearest sum from below. One task handles one source's counts, whose rows
+   nearest sum. One task handles one source's counts, whose rows
    are its distinct lengths.
 3. The chosen number of documents of each length is filled in the order of a
    seeded hash: counts per hash bucket decide whole buckets, and only the
@@ -64,7 +64,7 @@ def targets(sizes: Sequence[int], weights: Sequence[float], max_repeats: float =
 
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = 1 << 16) -> np.ndarray:
     """How many documents of each length to take: 0 <= k <= counts, and
-    sum(k * lengths) the nearest to ``budget`` from below that step 2 reaches."""
+    sum(k * lengths) the nearest to ``budget`` that step 2 reaches."""
     lengths, counts = [int(x) for x in lengths], [int(x) for x in counts]
     total = sum(a * b for a, b in zip(lengths, counts))
     budget = max(0, min(int(budget), total))
@@ -81,12 +81,14 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int
             rest -= more * lengths[i]
     if rest > window:
         return np.array(k, np.int64)
-    reach = np.zeros(rest + 1, bool)
+    spare = [l for l, c, taken in zip(lengths, counts, k) if l and c > taken]
+    top = rest + (min(spare) if spare else 0)              # a sum just above may be nearer
+    reach = np.zeros(top + 1, bool)
     reach[0] = True
-    first = np.full(rest + 1, -1, np.int32)
+    first = np.full(top + 1, -1, np.int32)
     items: list[tuple[int, int]] = []                      # (index of the length, documents in the item)
     for i in np.argsort(lengths, kind="stable")[::-1]:
-        have = min(counts[i] - k[i], rest // lengths[i]) if lengths[i] else 0
+        have = min(counts[i] - k[i], top // lengths[i]) if lengths[i] else 0
         part = 1
         while have > 0 and not reach[rest]:                # binary splitting of the bounded count
             n = min(part, have)
@@ -98,7 +100,8 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int
             have, part = have - n, part * 2
         if reach[rest]:
             break
-    at = int(np.flatnonzero(reach)[-1])
+    sums = np.flatnonzero(reach)
+    at = int(sums[np.argmin(np.abs(sums - rest))])         # the smaller of two equally near
     while at:
         i, n = items[first[at]]
         k[i] += n
