@@ -186,7 +186,8 @@ def train(docs: DataFrame, folds: int = 4, held_out: int = 2, per_lang: int = 15
                 data = text.split()
                 at = h % max(1, len(data) - 3)
                 rows.append((lang, h, str(doc_id), grams_of(" ".join(data[at:at + 4])).astype("<u2")[:grams].tobytes()))
-            yield pd.DataFrame(rows, columns=["lang", "h", "d", "g"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["lang", "h", "d", "g"])
     rows = sorted(map(tuple, sample.mapInPandas(draw, "lang string, h long, d string, g binary").collect()))
     y = np.array([langs.index(r[0]) for r in rows], np.int64)
     return fit(langs, y, [np.frombuffer(bytes(r[3]), "<u2").astype(np.int64) for r in rows], seed)

@@ -219,10 +219,9 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0,
         for pdf in batches:
             for text, y in zip(pdf["text"], pdf["toxic"]):
                 seen[y].update({f for t in set(TOKEN.findall(text.lower())) for f in features(t[:40])})
-        names = list(seen[1])
-        yield pd.DataFrame({"f": names, "t": [seen[1][f] for f in names], "c": [seen[0][f] for f in names]})
-        rest = [f for f in seen[0] if f not in seen[1]]
-        yield pd.DataFrame({"f": rest, "t": 0, "c": [seen[0][f] for f in rest]})
+        names = sorted(seen[0].keys() | seen[1].keys())
+        if names:
+            yield pd.DataFrame({"f": pd.Series(names, dtype=object), "t": [seen[1][f] for f in names], "c": [seen[0][f] for f in names]})
     n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if not n.get(0) or not n.get(1):
         return ToxicModel()

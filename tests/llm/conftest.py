@@ -1,0 +1,12 @@
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+
+@pytest.fixture(scope="session")
+def spark():
+    from keepsake.session import local_session
+    yield local_session(cores=8, shuffle_partitions=8, app="keepsake-tests")
