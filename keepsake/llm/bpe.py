@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from .common import slices
 
 SHORT = 64
-CACHE_WORDS = 300_000
-SLICE = 4 << 20
+CACHE_WORDS = 200_000
+SLICE = 1 << 20
 NONE = np.int32(2**31 - 1)
 
 # White space and the pre-token pattern of the vocabulary.
@@ -254,10 +254,12 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(path)
         for pdf in batches:
-            ids = enc.encode_batch([t if isinstance(t, str) else "" for t in pdf["text"]])
-            yield pd.DataFrame({
-                "doc_id": pdf["doc_id"], "n_tokens": [len(b) // 4 for b in ids],
-                "ids_sha256": [hashlib.sha256(b).hexdigest() for b in ids],
-                "decoded_sha256": [hashlib.sha256(enc.decode(b).encode("utf-8")).hexdigest() for b in ids]})
+            texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
+            for a, b in slices([len(t) for t in texts], SLICE):
+                ids = enc.encode_batch(texts[a:b])
+                yield pd.DataFrame({
+                    "doc_id": pdf["doc_id"].iloc[a:b], "n_tokens": [len(x) // 4 for x in ids],
+                    "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
+                    "decoded_sha256": [hashlib.sha256(enc.decode(x).encode("utf-8")).hexdigest() for x in ids]})
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
         .mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

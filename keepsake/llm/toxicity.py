@@ -43,6 +43,7 @@ from .common import id_fold, written
 TOKEN = re.compile(r"\w+")
 PREFIXES = (4, 5)
 WINDOW = 48
+FLUSH = 100_000
 
 
 def features(token: str) -> list[str]:
@@ -216,12 +217,19 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0,
 
     def document_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: list[Counter] = [Counter(), Counter()]
+
+        def counted() -> pd.DataFrame:
+            names = sorted(seen[0].keys() | seen[1].keys())
+            out = pd.DataFrame({"f": pd.Series(names, dtype=object), "t": [seen[1][f] for f in names], "c": [seen[0][f] for f in names]})
+            seen[0].clear(), seen[1].clear()
+            return out
         for pdf in batches:
             for text, y in zip(pdf["text"], pdf["toxic"]):
                 seen[y].update({f for t in set(TOKEN.findall(text.lower())) for f in features(t[:40])})
-        names = sorted(seen[0].keys() | seen[1].keys())
-        if names:
-            yield pd.DataFrame({"f": pd.Series(names, dtype=object), "t": [seen[1][f] for f in names], "c": [seen[0][f] for f in names]})
+                if len(seen[0]) + len(seen[1]) > FLUSH:         # the sums are taken in Spark
+                    yield counted()
+        if seen[0] or seen[1]:
+            yield counted()
     n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if not n.get(0) or not n.get(1):
         return ToxicModel()
