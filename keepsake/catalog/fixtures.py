@@ -171,8 +171,8 @@ def downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sign_fingerprint(col: str = "embedding"):
-    """63-bit sign pattern of an embedding (bit i set when component i > 0)."""
-    return F.expr(f"aggregate(transform(slice({col}, 1, 63), (x, i) -> if(x > 0, shiftleft(1L, i), 0L)), "
+    """64-bit sign pattern of an embedding (bit i set when component i > 0)."""
+    return F.expr(f"aggregate(transform({col}, (x, i) -> if(x > 0, shiftleft(1L, i), 0L)), "
                   "0L, (a, b) -> a | b)")
 
 

@@ -136,7 +136,7 @@ SELECT g.dedup_group_id, s.n_members, s.group_first AS first_row_id, g.keeper_pa
 FROM d1_g g JOIN d1_sc s ON g.kind = s.kind AND g.fp = s.fp AND s.pref = 1"""
     out["dedup_last_row_per_path"] = BASE + FP_MANIFEST + """,
 rescanned AS (SELECT * FROM fpm UNION ALL
-         SELECT * REPLACE (row_id + 1000000 AS row_id, '' AS json_filename) FROM fpm WHERE row_type = 'matched')""" + \
+         SELECT * REPLACE (row_id + (SELECT max(row_id) FROM fpm) AS row_id, '' AS json_filename) FROM fpm WHERE row_type = 'matched')""" + \
         dedup_sql("rescanned", "phash", "d1") + """
 SELECT p.media_path, p.first_row_id, c.row_id AS last_row_id, p.original_media, p.json_filename
 FROM d1_pp p JOIN (SELECT kind, fp, media_path, max(row_id) AS row_id FROM d1_c2 GROUP BY ALL) c
@@ -465,7 +465,7 @@ z AS (SELECT path, {basename('path')} AS name, {parent('path')} AS dir FROM down
 n AS (SELECT *, regexp_extract(name, '-(\\d{{3}})\\.zip$', 1) AS num FROM z
       WHERE {lower_suffix('name')} = '.zip' AND NOT starts_with(name, 'Z')),
 s AS (SELECT *, concat_ws('/', dir, 'Z' || num || '.zip') AS std FROM n),
-t AS (SELECT s.*, s.std IN (SELECT path FROM z) AS taken FROM s)
+t AS (SELECT s.*, s.std IN (SELECT path FROM z) OR name <> min(name) OVER (PARTITION BY std) AS taken FROM s)
 SELECT name, 'extract' AS op, '{ROOT}/Z' || num AS dst, 'new archive' AS reason FROM t WHERE num <> ''
 UNION ALL
 SELECT name, CASE WHEN taken THEN 'keep_name' ELSE 'rename' END, std,
@@ -493,8 +493,8 @@ SIM_ROOT = f"{ROOT}/__SIM__"
 SIMILARITY = f"""WITH
 e AS (
   SELECT vec_id, label,
-         CAST(list_sum(list_transform(range(1, 64), lambda i: CASE WHEN embedding[i] > 0
-              THEN (1::BIGINT << (i - 1)::INT)::HUGEINT ELSE 0 END)) AS BIGINT) AS fp
+         CAST(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN embedding[i] > 0
+              THEN CASE WHEN i = 64 THEN (-9223372036854775808)::HUGEINT ELSE (1::BIGINT << (i - 1)::INT)::HUGEINT END ELSE 0 END)) AS BIGINT) AS fp
   FROM embeddings),
 cand AS (
   SELECT vec_id AS c_order,

@@ -130,7 +130,7 @@ def q_dedup_last_row_per_path(spark, sf_dir):
     m = fingerprinted_manifest(spark, sf_dir)
     # the same listing appended again by a re-scan that lost the sidecar names
     rescan = (m.where(F.col("row_type") == "matched")
-              .withColumn("row_id", F.col("row_id") + 1000000)
+              .withColumn("row_id", F.col("row_id") + m.agg(F.max("row_id")).first()[0])
               .withColumn("json_filename", F.lit("")))
     per_path = D.last_row_per_path(D.dedup_candidates(m.unionByName(rescan)))
     return per_path.select("media_path", "first_row_id", "last_row_id", "original_media", "json_filename")

@@ -26,17 +26,22 @@ def flag_is(c, value: str) -> Column:
 
 def json_timestamp(doc) -> Column:
     """``photoTakenTime.timestamp`` of a sidecar JSON document as whole
-    seconds; 0 for malformed JSON, a missing key or a non-integer value."""
+    seconds; 0 for malformed JSON, a missing key or a value that is no number."""
     raw = F.get_json_object(_c(doc), K.SIDECAR_TIME_JSON_PATH)
     v = F.when(raw.rlike(r"^\s*[+-]?[0-9]+\s*$"), F.trim(raw).try_cast("long"))
+    # a JSON number with a fraction is cut to whole seconds; a quoted one is not a number
+    quoted = F.get_json_object(_c(doc), K.SIDECAR_TIME_JSON_PATH.rsplit(".", 1)[0]).rlike(r'"timestamp"\s*:\s*"')
+    number = raw.rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$") & ~quoted
+    v = F.coalesce(v, F.when(number, raw.try_cast("double").try_cast("long")))
     return F.coalesce(v, F.lit(0).cast("long"))
 
 
 def format_unix(ts) -> Column:
-    """UTC ``yyyy:MM:dd HH:mm:ss`` of unix seconds; '' for 0 or null.
-    Relies on the session time zone being UTC (see session.configure)."""
+    """UTC ``yyyy:MM:dd HH:mm:ss`` of unix seconds; '' for 0, null and times
+    outside the years 1 to 9999. Relies on the session time zone being UTC
+    (see session.configure)."""
     ts = _c(ts)
-    return F.when(ts.isNull() | (ts == 0), F.lit("")).otherwise(
+    return F.when(ts.isNull() | (ts == 0) | ~ts.between(-62135596800, 253402300799), F.lit("")).otherwise(
         F.date_format(F.timestamp_seconds(ts), K.TIME_FORMAT))
 
 

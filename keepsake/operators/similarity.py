@@ -13,6 +13,7 @@ pair set over all candidates is ever formed.
 
 from __future__ import annotations
 
+import re
 from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
@@ -23,6 +24,10 @@ from ..functions import paths as P
 from ..functions import scalars as S
 
 
+#: Bands of the search: 4 runs of 16 bits, 137 probes a band at distance 10.
+BANDS = 4
+
+
 def _masks(width: int, radius: int) -> list[int]:
     out = [0]
     for k in range(1, radius + 1):
@@ -34,20 +39,6 @@ def _masks(width: int, radius: int) -> list[int]:
     return out
 
 
-def band_cost(bands: int, threshold: int, n_candidates: float) -> float:
-    """Expected rows per query hash: probe rows (band values within the
-    radius) plus candidate rows they meet (uniform-hash assumption)."""
-    from math import comb
-    width = 64 // bands
-    probes = bands * sum(comb(width, k) for k in range(threshold // bands + 1))
-    return probes + probes * n_candidates / float(2 ** width)
-
-
-def choose_bands(threshold: int, n_candidates: float) -> int:
-    """Band count (2, 4, 8 or 16) with the lowest :func:`band_cost`."""
-    return min((2, 4, 8, 16), key=lambda b: band_cost(b, threshold, n_candidates))
-
-
 def _band_values(h, bands: int):
     width = 64 // bands
     mask = (1 << width) - 1
@@ -110,7 +101,7 @@ def year_folder_candidates(c: DataFrame, processing_root: str) -> DataFrame:
     Takeout/Google Photos/<year folder>/...`` (archive name starting with
     z/Z, not '_'), have an image or video extension and no '_' folder."""
     root = processing_root.rstrip("/")
-    pat = "^" + root + r"/([Zz][^/]*)/Takeout/Google Photos/([^/]+)/"
+    pat = "^" + re.escape(root) + r"/([Zz][^/]*)/Takeout/Google Photos/([^/]+)/"
     ok = (F.col("c_id").rlike(pat) & ~F.regexp_extract("c_id", pat, 1).startswith("_")
           & (F.regexp_extract("c_id", pat, 2) == F.col("year"))
           & P.lower_suffix(P.basename("c_id")).isin(*(K.DEDUP_IMAGE_EXTS + K.DEDUP_VIDEO_EXTS))
@@ -119,31 +110,21 @@ def year_folder_candidates(c: DataFrame, processing_root: str) -> DataFrame:
 
 
 def near_matches(manifest: DataFrame, unmatched_root: str, threshold: int = K.HAMMING_THRESHOLD,
-                 bands: int | None = None, year_only: bool = False,
+                 bands: int = BANDS, year_only: bool = False,
                  processing_root: str | None = None) -> DataFrame:
     """Near matches of every quarantined file: candidates within the
     threshold, restricted to the file's year folder when it has one.
     ``year_only``: files without a year folder are skipped and candidates
     come only from the archives' year folders (see
-    :func:`year_folder_candidates`). ``bands=None`` picks the band count
-    from the candidate volume (:func:`choose_bands`); every choice is exact.
+    :func:`year_folder_candidates`). Every ``bands`` is exact.
     Returns ``unmatched, match, distance, c_order``."""
     q, c = reconcile_inputs(manifest, unmatched_root)
     if year_only:
         c = year_folder_candidates(c, processing_root or unmatched_root.rstrip("/").rsplit("/", 1)[0])
         q = q.where(F.col("year") != "")
-    if bands is None:
-        # the candidates one probe meets decide the band width: those of one
-        # year folder for files with a year, all of them for the others
-        stats = c.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("year").alias("k")).first()
-        n = stats["n"] or 0
-        bands_year = choose_bands(threshold, n / max(stats["k"] or 1, 1))
-        bands_all = choose_bands(threshold, n)
-    else:
-        bands_year = bands_all = bands
-    with_year = hamming_pairs(q.where(F.col("year") != ""), c, threshold, bands_year, keys=("year",),
+    with_year = hamming_pairs(q.where(F.col("year") != ""), c, threshold, bands, keys=("year",),
                               carry=("c_order",))
-    no_year = hamming_pairs(q.where(F.col("year") == "").drop("year"), c.drop("year"), threshold, bands_all,
+    no_year = hamming_pairs(q.where(F.col("year") == "").drop("year"), c.drop("year"), threshold, bands,
                             carry=("c_order",))
     return (with_year.unionByName(no_year)
             .select(F.col("q_id").alias("unmatched"), F.col("c_id").alias("match"), "distance", "c_order"))
@@ -160,7 +141,7 @@ def ranked_matches(near: DataFrame, k: int) -> DataFrame:
 
 
 def reconcile_actions(manifest: DataFrame, unmatched_root: str, sim_root: str,
-                      threshold: int = K.HAMMING_THRESHOLD, bands: int | None = None) -> DataFrame:
+                      threshold: int = K.HAMMING_THRESHOLD, bands: int = BANDS) -> DataFrame:
     """Action per quarantined file with a near match: distance 0 ->
     ``delete`` (exact duplicate), otherwise ``move`` to
     ``<sim_root>/<relative folder>/<stem>_sim<suffix>`` carrying the

@@ -4,6 +4,9 @@ mover. Collision-free names are found by joins with the inventory."""
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +20,11 @@ ACTION_COLUMNS = ["row_id", "op", "src", "dst", "reason"]
 
 # ------------------------------------------------------------ free names
 
+_VARIANT_TAIL = {
+    "underscore": r"(?:_[0-9]+)+$",
+    "paren": r"(?:\([0-9]+\))+$",
+    "restored": r"(?:_restored(?:_[0-9]+)?)+$",
+}
 _VARIANT_STEM = {
     "underscore": r"^(.*)_[0-9]+$",
     "paren": r"^(.*)\([0-9]+\)$",
@@ -24,35 +32,84 @@ _VARIANT_STEM = {
 }
 
 
+#: Candidates generated by one task at a time; batching only, none is dropped.
 NAME_CHUNK = 10_000
 
 
+def _named_like(path: Column, stem: Column) -> Column:
+    return F.concat_ws("/", P.parent(path), F.concat(stem, P.suffix(P.basename(path))))
+
+
+def name_family(path: Column, style: str) -> Column:
+    """The path without any variant numbers: two targets can only compete for
+    a name if their families are equal."""
+    stem = P.stem(P.basename(path))
+    bare = F.regexp_replace(stem, _VARIANT_TAIL[style], "")
+    return _named_like(path, F.when(bare != "", bare).otherwise(stem))
+
+
+def _numbered(path: Column, number: Column, style: str) -> Column:
+    return F.when(number == 0, path).otherwise(
+        F.concat_ws("/", P.parent(path), N.numbered_name(P.basename(path), number, style)))
+
+
 def free_names(targets: DataFrame, existing: DataFrame, style: str) -> DataFrame:
     """Collision-free destinations (exact, no cap on the number tried).
 
     ``targets``: ``(key, target, order)``; ``existing``: ``path``. Targets
     are served in ``order``; each gets the lowest-numbered name -- the plain
     target first, then its numbered variants in ``style`` -- that neither
-    exists nor was given to an earlier target. Returns ``(key, dst)``.
+    exists nor was given to an earlier target, whatever target that name was
+    a variant of. Returns ``(key, dst)``; no ``dst`` repeats.
 
-    For a target wanted by ``n`` rows, with ``E`` existing files that are
-    the target or one of its variants (found by stripping the variant
-    number from existing names: an equi join on the base path), the first
-    ``n + E`` candidates always hold ``n`` free names, so exactly that many
-    are generated per distinct target -- never one list per row.
+    Names only meet inside a family (``a.jpg``, ``a_1.jpg``, ``a_1_1.jpg``).
+    In a family with one target the n-th row gets the n-th free variant, by
+    joins. Families in which plain names and variants are both wanted are
+    assigned in order by :func:`_in_order`.
     """
-    from ..operators.ids import group_rank
     ex_names = existing.select(F.col("path").alias("_ex")).distinct()
-    # fast path: no target is taken and none is wanted twice -> each keeps its name
-    clash = (targets.groupBy("target").agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") > 1).select("target")
-             .unionByName(targets.join(ex_names, F.col("target") == F.col("_ex"), "left_semi").select("target")))
-    if clash.limit(1).count() == 0:
-        return targets.select("key", F.col("target").alias("dst"))
-    nm = P.basename("_ex")
-    st, sx = P.stem(nm), P.suffix(nm)
+    t = targets.withColumn("_fam", name_family(F.col("target"), style))
+    mixed = t.groupBy("_fam").agg((F.min("target") != F.max("target")).alias("_mixed"))
+    t = t.join(mixed, "_fam")
+    alone = _by_rank(t.where(~F.col("_mixed")).drop("_fam", "_mixed"), ex_names, style)
+    return alone.unionByName(_in_order(t.where("_mixed"), ex_names, style))
+
+
+def _in_order(t: DataFrame, ex_names: DataFrame, style: str) -> DataFrame:
+    """Ordered assignment inside families with several targets: the present
+    names and the wanted ones of a family (names only) go through one task in
+    order."""
+    taken = ex_names.select(name_family(F.col("_ex"), style).alias("_fam2"), F.col("_ex").alias("path"))
+
+    def assign(want: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
+        used, tried, out = set(have["path"]), {}, []
+        want = want.sort_values(["order", "key"], kind="stable")
+        for target in want["target"]:
+            n = tried.get(target, 0)
+            while (name := N.numbered_path(target, n, style)) in used:
+                n += 1
+            tried[target] = n + 1
+            used.add(name)
+            out.append(name)
+        return pd.DataFrame({"key": want["key"].to_numpy(), "dst": out})
+    kind = t.schema["key"].dataType.simpleString()
+    return t.groupBy("_fam").cogroup(taken.join(t.select(F.col("_fam").alias("_fam2")).distinct(), "_fam2", "left_semi")
+                                     .groupBy("_fam2")).applyInPandas(assign, f"key {kind}, dst string")
+
+
+def _by_rank(targets: DataFrame, ex_names: DataFrame, style: str) -> DataFrame:
+    """For a target wanted by ``n`` rows, with ``E`` existing files that are
+    the target or one of its variants (found by stripping the variant number
+    from existing names: an equi join on the base path), the first ``n + E``
+    candidates always hold ``n`` free names, so exactly that many are
+    generated per distinct target -- never one list per row."""
+    from ..operators.ids import group_rank
+    st = P.stem(P.basename("_ex"))
     base_stem = F.regexp_extract(st, _VARIANT_STEM[style], 1)
-    base = F.concat_ws("/", P.parent("_ex"), F.concat(F.when(base_stem != "", base_stem).otherwise(st), sx))
-    e_cnt = ex_names.select(base.alias("target")).groupBy("target").agg(F.count(F.lit(1)).alias("_e"))
+    base = _named_like(F.col("_ex"), F.when(base_stem != "", base_stem).otherwise(st))
+    # an existing name counts for its base and, as a plain name, for itself
+    hits = ex_names.select(F.explode(F.array_distinct(F.array(base, F.col("_ex")))).alias("target"))
+    e_cnt = hits.groupBy("target").agg(F.count(F.lit(1)).alias("_e"))
     t = group_rank(targets, ["target"], ["order", "key"], "_nth")
     per_target = (t.groupBy("target").agg(F.count(F.lit(1)).alias("_n_rows"))
                   .join(e_cnt, "target", "left")
@@ -65,9 +122,8 @@ def free_names(targets: DataFrame, existing: DataFrame, style: str) -> DataFrame
               .repartition("target", "_c"))
     cand = chunks.select("target", F.explode(F.sequence(
         F.col("_c") * NAME_CHUNK, F.least((F.col("_c") + 1) * NAME_CHUNK - 1, F.col("_last")))).alias("_n"))
-    cname = F.when(F.col("_n") == 0, F.col("target")).otherwise(
-        F.concat_ws("/", P.parent("target"), N.numbered_name(P.basename("target"), F.col("_n"), style)))
-    cand = cand.withColumn("_cand", cname).join(ex_names, F.col("_cand") == F.col("_ex"), "left_anti")
+    cand = cand.withColumn("_cand", _numbered(F.col("target"), F.col("_n"), style)) \
+        .join(ex_names, F.col("_cand") == F.col("_ex"), "left_anti")
     cand = group_rank(cand, ["target"], ["_n"], "_nth")
     return t.join(cand, ["target", "_nth"]).select("key", F.col("_cand").alias("dst"))
 
@@ -211,8 +267,8 @@ def restore_plan(paths: DataFrame, quarantine_root: str, processing_root: str) -
 
 def archive_intake_plan(zips: DataFrame, processing_root: str, processed: DataFrame | None = None) -> DataFrame:
     """New downloads (``.zip`` suffix in any case, name not starting with
-    ``Z``) -> extract into ``<root>/Z###`` and rename to ``Z###.zip`` (kept
-    when that name exists). A name without a ``-NNN.zip`` number (case
+    ``Z``) -> extract into ``<root>/Z###`` and rename to ``Z###.zip`` (the
+    name is kept when that one exists or an earlier new archive takes it). A name without a ``-NNN.zip`` number (case
     sensitive) is a skip row. ``zips``: ``path``; ``processed`` (optional
     tracker, ``stem``): archives already extracted are left out. Returns
     ``name, op, dst, reason``."""
@@ -228,14 +284,18 @@ def archive_intake_plan(zips: DataFrame, processing_root: str, processed: DataFr
     names = z.select(F.col("path").alias("_taken")).distinct()
     std = F.concat_ws("/", F.col("_dir"), F.concat(F.lit("Z"), F.col("_num"), F.lit(".zip")))
     new = new.withColumn("_std", std).join(names, F.col("_std") == F.col("_taken"), "left")
+    # of several new archives of one number, the first in name order takes the name
+    first = new.groupBy(F.col("_std").alias("_of")).agg(F.min("name").alias("_first"))
+    new = new.join(first, F.col("_std") == F.col("_of"))
+    free = F.col("_taken").isNull() & (F.col("name") == F.col("_first"))
     ok = F.col("_num") != ""
     acts = F.when(ok, F.array(
         F.struct(F.lit("extract").alias("op"),
                  F.concat(F.lit(processing_root.rstrip("/") + "/Z"), F.col("_num")).alias("dst"),
                  F.lit("new archive").alias("reason")),
-        F.struct(F.when(F.col("_taken").isNull(), "rename").otherwise("keep_name").alias("op"),
+        F.struct(F.when(free, "rename").otherwise("keep_name").alias("op"),
                  F.col("_std").alias("dst"),
-                 F.when(F.col("_taken").isNull(), "standard name").otherwise("target exists").alias("reason")),
+                 F.when(free, "standard name").otherwise("target exists").alias("reason")),
     )).otherwise(F.array(F.struct(F.lit("skip").alias("op"), F.lit("").alias("dst"),
                                   F.lit("no archive number").alias("reason"))))
     return new.select("name", F.explode(acts).alias("a")).select("name", "a.op", "a.dst", "a.reason")
@@ -259,7 +319,7 @@ def photos_root_prune_plan(files: DataFrame, archive_root: str) -> DataFrame:
     Returns ``archive, root, op, dst, reason`` (``dst`` = the folder)."""
     base = archive_root.rstrip("/") + "/"
     dirs = ancestor_dirs(files.where(F.col("path").startswith(base)))
-    dirs = dirs.withColumn("archive", F.regexp_extract("dir", "^" + base + "([^/]+)", 1)).where(F.col("archive") != "")
+    dirs = dirs.withColumn("archive", F.regexp_extract("dir", "^" + re.escape(base) + "([^/]+)", 1)).where(F.col("archive") != "")
     years = dirs.where(P.is_year_folder_name("name"))
     roots = (years.groupBy("archive").agg(F.min(F.struct(F.col("depth"), F.col("parent"))).alias("_r"))
              .select("archive", F.col("_r.parent").alias("root")))

@@ -21,6 +21,12 @@ ADAPTIVE_CONF = {
 }
 
 
+# Whole texts, images and member lists go to Python workers: few rows a batch.
+BATCH_CONF = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+}
+
+
 _SHIPPED: set[str] = set()
 
 
@@ -51,7 +57,7 @@ def ship_package(spark: SparkSession) -> None:
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the session settings operators rely on (idempotent) and ship
     the package to the Python workers."""
-    for k, v in {**REQUIRED_CONF, **ADAPTIVE_CONF}.items():
+    for k, v in {**REQUIRED_CONF, **ADAPTIVE_CONF, **BATCH_CONF}.items():
         if spark.conf.get(k, None) != v:
             spark.conf.set(k, v)
     ship_package(spark)

@@ -34,29 +34,27 @@ def _eval(spark, names, exprs):
     return {r["n"]: r for r in df.select("n", *[e.alias(k) for k, e in exprs.items()]).collect()}
 
 
-def py_expected(name):
-    m = re.match(r"^(?P<base>.+)\.(?P<ext>[^.]+)\.[^.]*?(?:\((?P<dup>\d+)\))?\.json$", name, re.IGNORECASE)
-    if not m:
-        return None
-    b, e, d = m.group("base"), m.group("ext"), m.group("dup")
-    return f"{b}({d}).{e}" if d else f"{b}.{e}"
-
-
-def py_json_key(name):
-    return re.sub(r"[^a-zA-Z0-9]", "", re.sub(r"\.+json$", "", name.lower()))
-
-
-def py_media_key(name):
-    return re.sub(r"[^a-zA-Z0-9]", "", PurePosixPath(name).stem.lower())
-
-
-def py_sidecar_suffix(name):
-    m = re.match(r"^(?P<base>.+?\.[^\.]+)(?P<suffix>\..+?\.json)$", name)
-    return m.group("suffix") if m else ""
-
-
-def test_name_functions_match_python(spark):
-    names = EDGE_NAMES + random_names(400)
+# name -> (media it belongs to, sidecar key, media key, kept sidecar suffix)
+NAME_TABLE = {
+    "IMG.jpg.supplemental-metadata.json": ("IMG.jpg", "imgjpgsupplementalmetadata", "imgjpgsupplementalmetadata", ".supplemental-metadata.json"),
+    "IMG.jpg.supp(1).json": ("IMG(1).jpg", "imgjpgsupp1", "imgjpgsupp1", ".supp(1).json"),
+    "IMG.jpg.x(1)(2).json": ("IMG(2).jpg", "imgjpgx12", "imgjpgx12", ".x(1)(2).json"),
+    "IMG.jpg.json": (None, "imgjpg", "imgjpg", ""),
+    "a.b.JPG.s.JSON": ("a.b.JPG", "abjpgs", "abjpgs", ""),
+    ".hidden": (None, "hidden", "hidden", ""),
+    "no_ext": (None, "noext", "noext", ""),
+    "a_conv.jpg": (None, "aconvjpg", "aconv", ""),
+    "Photos from 2017": (None, "photosfrom2017", "photosfrom2017", ""),
+    "___.jpg": (None, "jpg", "", ""),
+    "IMG_0001(1).JPG": (None, "img00011jpg", "img00011", ""),
+    "x.tar.gz": (None, "xtargz", "xtar", ""),
+    "x.tar.gz...json": (None, "xtargz", "xtargz", ".gz...json"),
+    "one.two.three.json": ("one.two", "onetwothree", "onetwothree", ".three.json"),
+}
+
+
+def test_name_functions(spark):
+    names = EDGE_NAMES + random_names(400) + list(NAME_TABLE)
     got = _eval(spark, names, {
         "suffix": P.suffix(F.col("n")), "stem": P.stem(F.col("n")),
         "exp": N.sidecar_expected_media(F.col("n")),
@@ -67,12 +65,11 @@ def test_name_functions_match_python(spark):
         r = got[n]
         p = PurePosixPath(n) if n not in ("", ".") and "/" not in n else None
         if p is not None and p.name == n:
-            assert r["suffix"] == p.suffix, n
-            assert r["stem"] == p.stem, n
-            assert r["mk"] == py_media_key(n), n
-        assert r["exp"] == py_expected(n), n
-        assert r["jk"] == py_json_key(n), n
-        assert r["sfx"] == py_sidecar_suffix(n), n
+            assert (r["stem"], r["suffix"]) == (p.stem, p.suffix), n
+        assert n.endswith(r["sfx"]) and (r["jk"] + r["mk"] == "" or (r["jk"] + r["mk"]).isalnum()), n
+    for n, want in NAME_TABLE.items():
+        r = got[n]
+        assert (r["exp"], r["jk"], r["mk"], r["sfx"]) == want, n
 
 
 def test_year_folder_functions(spark):
@@ -101,49 +98,41 @@ def test_year_folder_functions(spark):
         assert got[p]["full"] == bool(re.fullmatch(r"Photos from \d{4}", parent_name.strip())), p
 
 
-def py_rewrite(path, prefix):
-    parts = PurePosixPath(path).parts
-    try:
-        z = next(i for i, p in enumerate(parts) if p.upper().startswith("Z"))
-    except StopIteration:
-        return None
-    rel = [parts[z]] + [p for p in parts[z + 1:] if p.lower() not in {"takeout", "google photos"}]
-    return str(PurePosixPath(prefix).joinpath(*rel))
+QUARANTINED = {
+    "/data/Processing/Z001/Takeout/Google Photos/Photos from 2012/IMG_1.jpg": "/data/Processing/__UNMATCHED_MEDIA__/Z001/Photos from 2012/IMG_1.jpg",
+    "/data/Processing/Z123/Takeout/x.json": "/data/Processing/__UNMATCHED_MEDIA__/Z123/x.json",
+    "/data/Processing/none/a.jpg": None,
+    "/data/Processing/Z002/Google Photos/Takeout/Photos from 2011/b c.png": "/data/Processing/__UNMATCHED_MEDIA__/Z002/Photos from 2011/b c.png",
+}
 
 
 def test_quarantine_and_restore_paths(spark):
     root = "/data/Processing"
-    paths = ["/data/Processing/Z001/Takeout/Google Photos/Photos from 2012/IMG_1.jpg",
-             "/data/Processing/Z123/Takeout/x.json", "/data/Processing/none/a.jpg",
-             "/data/Processing/Z002/Google Photos/Takeout/Photos from 2011/b c.png"]
-    got = _eval(spark, paths, {"q": P.quarantine_path(F.col("n"), root + "/__UNMATCHED_MEDIA__")})
-    for p in paths:
-        assert got[p]["q"] == py_rewrite(p, root + "/__UNMATCHED_MEDIA__"), p
-    back = _eval(spark, [got[paths[0]]["q"]], {"r": P.restore_path(F.col("n"), root + "/__UNMATCHED_MEDIA__", root)})
-    assert back[got[paths[0]]["q"]]["r"] == paths[0]
+    got = _eval(spark, list(QUARANTINED), {"q": P.quarantine_path(F.col("n"), root + "/__UNMATCHED_MEDIA__")})
+    assert {p: r["q"] for p, r in got.items()} == QUARANTINED
+    first = next(iter(QUARANTINED))
+    back = _eval(spark, [QUARANTINED[first]], {"r": P.restore_path(F.col("n"), root + "/__UNMATCHED_MEDIA__", root)})
+    assert back[QUARANTINED[first]]["r"] == first
 
 
-def py_wsl(s):
-    if not s:
-        return s
-    s = s.strip().replace("\\", "/")
-    m = re.match(r"^([a-zA-Z]):/(.+)", s)
-    return f"/mnt/{m.group(1).lower()}/{m.group(2)}" if m else s
+POSIX = {
+    "C:\\Users\\a b\\x.jpg": "/mnt/c/Users/a b/x.jpg", " D:\\q\\r.json ": "/mnt/d/q/r.json", "/mnt/c/x": "/mnt/c/x",
+    "": "", "relative\\p": "relative/p", "c:/x/y": "/mnt/c/x/y",
+}
 
 
 def test_windows_to_posix(spark):
-    vals = ["C:\\Users\\a b\\x.jpg", " D:\\q\\r.json ", "/mnt/c/x", "", "relative\\p", "c:/x/y"]
-    got = _eval(spark, vals, {"w": P.windows_to_posix(F.col("n"))})
-    for v in vals:
-        assert got[v]["w"] == py_wsl(v), v
+    got = _eval(spark, list(POSIX), {"w": P.windows_to_posix(F.col("n"))})
+    assert {v: r["w"] for v, r in got.items()} == POSIX
 
 
 def test_json_timestamp_and_format(spark):
     docs = ['{"photoTakenTime": {"timestamp": "1262304000"}}', '{"photoTakenTime": {"timestamp": 86400}}',
             '{"photoTakenTime": {"timestamp": ', '{"title": "x"}', '{"photoTakenTime": {"timestamp": "-1"}}',
-            '{"photoTakenTime": {"timestamp": "abc"}}']
+            '{"photoTakenTime": {"timestamp": "abc"}}', '{"photoTakenTime": {"timestamp": 12.7}}',
+            '{"photoTakenTime": {"timestamp": "12.7"}}', '{"photoTakenTime": {"timestamp": 1.5e3}}']
     got = _eval(spark, docs, {"ts": S.json_timestamp(F.col("n"))})
-    exp = [1262304000, 86400, 0, 0, -1, 0]
+    exp = [1262304000, 86400, 0, 0, -1, 0, 12, 0, 1500]
     for d, e in zip(docs, exp):
         assert got[d]["ts"] == e, d
     df = spark.createDataFrame([(1262304000,), (0,), (-1,), (None,)], "t long")
