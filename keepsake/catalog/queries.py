@@ -30,6 +30,7 @@ from ..sources import manifest_csv as CSV
 from ..sources import texts as TX
 from . import filesets as FS
 from ..operators import pairing
+from ..operators.joins import left_join_set
 from ..functions import scalars as S
 from ..schema import ensure_columns
 from . import fixtures as X
@@ -75,8 +76,8 @@ def fingerprinted_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manifest plus the hashing stage's columns (fingerprints by path)."""
     m = manifest(spark, sf_dir)
     fp = fingerprints(spark, sf_dir).select(
-        F.col("path").alias("media_path"), "content_sha1", "phash64", F.col("mtime").alias("hash_mtime"))
-    out = m.join(fp, "media_path", "left")
+        F.col("path").alias("_fp_path"), "content_sha1", "phash64", F.col("mtime").alias("hash_mtime"))
+    out = left_join_set(m, F.col("media_path"), fp, "_fp_path")
     out = out.withColumn("content_sha1", F.coalesce("content_sha1", F.lit(""))) \
              .withColumn("phash64", F.coalesce("phash64", F.lit("")))
     return ensure_columns(out.select(*m.columns, "content_sha1", "phash64", "hash_mtime"),

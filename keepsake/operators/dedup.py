@@ -16,6 +16,7 @@ from ..functions import constants as K
 from ..functions import paths as P
 from ..functions import scalars as S
 from .ids import dense_index
+from .joins import left_join_set
 
 REVIEW_ROOT_DEFAULT = "/data/Processing/" + K.DUPLICATE_GROUPS_DIR
 
@@ -111,8 +112,8 @@ def apply_verdicts(manifest: DataFrame, verdicts: DataFrame) -> DataFrame:
     rows outside all groups keep their previous values."""
     from ..schema import ensure_columns
     m = ensure_columns(manifest, VERDICT_COLUMNS)
-    v = verdicts.select("media_path", *[F.col(c).alias(f"_v_{c}") for c in VERDICT_COLUMNS])
-    out = m.join(v, "media_path", "left")
+    v = verdicts.select(F.col("media_path").alias("_v_path"), *[F.col(c).alias(f"_v_{c}") for c in VERDICT_COLUMNS])
+    out = left_join_set(m, F.col("media_path"), v, "_v_path")
     hit = F.col("_v_dedup_group_id").isNotNull()
     for c in VERDICT_COLUMNS:
         out = out.withColumn(c, F.when(hit, F.col(f"_v_{c}")).otherwise(F.col(c)))
@@ -192,8 +193,8 @@ def deletion_plan(manifest: DataFrame, existing: DataFrame) -> DataFrame:
     flagged = manifest.where(S.flag_is("delete_flag", "true"))
     m = flagged.withColumn("_ml", P.to_local_path("media_path")) \
                .withColumn("_jl", P.to_local_path("json_path"))
-    m = (m.join(ex.withColumnRenamed("_ex", "_mex"), F.col("_ml") == F.col("_mex"), "left")
-          .join(ex.withColumnRenamed("_ex", "_jex"), F.col("_jl") == F.col("_jex"), "left"))
+    m = left_join_set(m, F.col("_ml"), ex.withColumnRenamed("_ex", "_mex"), "_mex")
+    m = left_join_set(m, F.col("_jl"), ex.withColumnRenamed("_ex", "_jex"), "_jex")
     del_media = S.nonblank("media_path") & F.col("_mex").isNotNull()
     del_json = S.nonblank("json_path") & F.col("_jex").isNotNull()
     status = F.when(del_media, K.STATUS_DELETED).otherwise(K.STATUS_NOT_DELETED)
@@ -213,7 +214,7 @@ def deletion_status(manifest: DataFrame, existing: DataFrame) -> DataFrame:
     m = ensure_columns(manifest, ["deletion_status"])
     ex = existing.select(F.col("path").alias("_ex")).distinct()
     flagged = S.flag_is("delete_flag", "true")
-    j = m.join(ex, P.to_local_path("media_path") == F.col("_ex"), "left")
+    j = left_join_set(m, P.to_local_path("media_path"), ex, "_ex", only=flagged)
     st = F.when(flagged, F.when(S.nonblank("media_path") & F.col("_ex").isNotNull(), K.STATUS_DELETED)
                 .otherwise(K.STATUS_NOT_DELETED)).otherwise(F.col("deletion_status"))
     return j.withColumn("deletion_status", st).select(*m.columns)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import paths as P
 from ..functions import scalars as S
+from .joins import left_join_set
 
 PATH_COLUMNS_WSL = ["media_path", "json_path", "corrected_path", "visual_review_path", "duplicate_of"]
 PATH_COLUMNS_AUDIT = ["json_path", "media_path", "corrected_path"]
@@ -44,7 +45,7 @@ def clear_column(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
 
 def _exists(df: DataFrame, col: str, existing: DataFrame, flag: str) -> DataFrame:
     ex = existing.select(F.col("path").alias(f"_{flag}_p")).distinct()
-    return (df.join(ex, P.to_local_path(col) == F.col(f"_{flag}_p"), "left")
+    return (left_join_set(df, P.to_local_path(col), ex, f"_{flag}_p")
             .withColumn(flag, F.col(f"_{flag}_p").isNotNull()).drop(f"_{flag}_p"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import scalars as S
+from .joins import left_join_set
 
 TAG_COLUMNS = ["SourceFile", "DateTimeOriginal", "CreateDate", "ModifyDate",
                "MediaCreateDate", "TrackCreateDate"]
@@ -43,13 +44,13 @@ def backfill_timestamps(manifest: DataFrame, sidecars: DataFrame) -> tuple[DataF
     pend = (F.col("timestamp_unix").isNull()) & \
         (F.lower(F.trim(F.coalesce("row_type", F.lit("")))) == "matched")
     m = manifest.withColumn("_pend", pend).withColumn("_jp", P.strip_ws(F.coalesce("json_path", F.lit(""))))
-    docs = sidecars.select(F.col("path").alias("_jp"), F.col("content").alias("_doc"),
-                           F.lit(True).alias("_present"))
-    m = m.join(docs, "_jp", "left")
-    ts = S.json_timestamp(F.col("_doc"))
-    upd = F.col("_pend") & F.col("_present").isNotNull() & (ts != 0)
+    # the time is read where the text is: eight bytes a sidecar are shuffled
+    docs = sidecars.select(F.col("path").alias("_doc_path"), S.json_timestamp(F.col("content")).alias("_ts"))
+    m = left_join_set(m, F.col("_jp"), docs, "_doc_path", only=F.col("_pend"))
+    ts = F.col("_ts")
+    upd = F.col("_pend") & F.coalesce(ts != 0, F.lit(False))
     sib = sibling_extensions(m.where(upd & S.blank("new_ext") & S.blank("media_path")), sidecars)
-    m = m.join(sib, "_jp", "left")
+    m = left_join_set(m, F.col("_jp"), sib.withColumnRenamed("_jp", "_sib_path"), "_sib_path", only=upd)
     ext = F.when(S.nonblank("media_path"), P.lower_suffix(P.basename(P.strip_ws("media_path")))) \
         .otherwise(F.coalesce(F.col("_sib_ext"), F.lit("")))
     out = (m.withColumn("_upd", upd)

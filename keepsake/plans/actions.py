@@ -14,6 +14,7 @@ from ..functions import constants as K
 from ..functions import names as N
 from ..functions import paths as P
 from ..functions import scalars as S
+from ..operators.joins import left_join_set
 
 ACTION_COLUMNS = ["row_id", "op", "src", "dst", "reason"]
 
@@ -147,7 +148,7 @@ def conversion_plan(manifest: DataFrame, headers: DataFrame, existing: DataFrame
     Returns the rewritten rows that changed: ``row_id, media_path,
     corrected_path, new_ext, json_filename, json_path, action_taken``."""
     h = headers.select(F.col("path").alias("_hp"), F.col("header_hex").alias("_hdr"))
-    m = manifest.join(h, F.col("media_path") == F.col("_hp"), "left")
+    m = left_join_set(manifest, F.col("media_path"), h, "_hp")
     media0 = F.coalesce(F.col("media_path"), F.lit(""))
     name0 = P.basename(media0)
     old_ext = P.lower_suffix(name0)
