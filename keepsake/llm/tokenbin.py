@@ -27,6 +27,8 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import compress
+from operator import not_
 from typing import Iterator
 
 import numpy as np
@@ -118,7 +120,8 @@ class ChunkEncoder:
                 self.cache.clear()
             cache, rows = self.cache, [self.chunks(t) for t in texts[a:b]]
             found = [list(map(cache.get, row)) for row in rows]
-            todo = {c for row, ids in zip(rows, found) for c, v in zip(row, ids) if v is None}
+            gaps = [list(compress(range(len(ids)), map(not_, ids))) for ids in found]
+            todo = {row[k] for row, gap in zip(rows, gaps) for k in gap}
             if todo:
                 marked = [c for c in todo if c[-1] in CLOSING and c[:-1].lower().isalpha()]
                 todo.difference_update(marked)
@@ -127,7 +130,10 @@ class ChunkEncoder:
                 self.ask(list(todo))
                 for c in marked:
                     cache[c] = cache[c[:-1]] + cache[c[-1]]
-            out += [b"".join([cache[c] if v is None else v for c, v in zip(row, ids)]) for row, ids in zip(rows, found)]
+            for row, ids, gap in zip(rows, found, gaps):
+                for k in gap:
+                    ids[k] = cache[row[k]]
+                out.append(b"".join(ids))
         return out
 
 
@@ -237,14 +243,17 @@ def read_corpus(spark, folder: str, digest: bool = False) -> DataFrame:
         for pdf in batches:
             for at in range(0, len(pdf), 64):
                 part = pdf.iloc[at:at + 64]
+                names, starts, sizes, data = [], [], [], []
                 for ids, start, docs, none, lengths in zip(decode_blocks(table.value, [bytes(p) for p in part["payload"]]),
                                                            part["start"], part["doc_ids"], part["no_id"], part["lengths"]):
-                    ends, data = np.cumsum(lengths), ids.astype("<u4").tobytes()
-                    own = [data[4 * (b - n):4 * b] for b, n in zip(ends.tolist(), lengths.tolist())]
-                    yield pd.DataFrame({
-                        "doc_id": pd.array([None if no else int(d) for d, no in zip(docs, none)], "Int64"),
-                        "start": start + ends - lengths, "n_tokens": lengths,
-                        **({"ids_crc32": [zlib.crc32(x) for x in own]} if digest else {"ids": own})})
+                    names += [None if no else d for d, no in zip(docs.tolist(), none.tolist())]
+                    ends, raw = np.cumsum(lengths), ids.astype("<u4").tobytes()
+                    starts.append(start + ends - lengths)
+                    sizes.append(lengths)
+                    own = [raw[4 * (b - n):4 * b] for b, n in zip(ends.tolist(), lengths.tolist())]
+                    data += map(zlib.crc32, own) if digest else own
+                yield pd.DataFrame({"doc_id": pd.array(names, "Int64"), "start": np.concatenate(starts),
+                                    "n_tokens": np.concatenate(sizes), "ids_crc32" if digest else "ids": data})
     return blocks.mapInPandas(run, "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids binary"))
 
 
