@@ -50,8 +50,10 @@ def phrase_places(words: Column, phrases: dict[str, str]) -> Column:
 
 
 def intervals(text: Column, pattern: Column) -> Column:
-    """``(start, end)`` in characters of all matches of ``pattern``, whole words only."""
-    probe = F.concat(F.lit(r"\G.*?((?<= )(?:"), pattern, F.lit(r")(?= ))"))
+    """``(start, end)`` in characters of all matches of ``pattern``, whole words only.
+
+    Words may hold U+0085, U+2028 and U+2029, so the dot has to match them too."""
+    probe = F.concat(F.lit(r"(?s)\G.*?((?<= )(?:"), pattern, F.lit(r")(?= ))"))
     used = F.transform(F.regexp_extract_all(text, probe, F.lit(0)), F.length)
     size = F.transform(F.regexp_extract_all(text, probe, F.lit(1)), F.length)
     empty = F.array().cast("array<struct<start:int,end:int>>")

@@ -132,6 +132,16 @@ def test_license_scan(spark):
     assert licenses.scan(documents(spark, [])).count() == 0
 
 
+def test_license_scan_goes_on_behind_line_separators(spark):
+    texts = [x for c in "\x85\u2028\u2029" for x in (f"a{c} mit license b", f"mit license a{c} mit license b", f"a {c} b{c}c gplv3 or later",
+                                                    f"{c}mit license {c} spdx license identifier mit {c}")]
+    got = {r["doc_id"]: r for r in licenses.scan(documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
+    for i, t in enumerate(texts):
+        assert tuple(got[i])[1:-1] == brute_scan(t), repr(t)
+        assert got[i]["detections"]
+    assert len(got[1]["detections"]) == 2
+
+
 def test_rules_hold_their_keyword():
     all_ = rules()
     assert len(all_) > 300 and len(set(all_)) == len(all_)
