@@ -15,10 +15,7 @@ priority decide between detections that contain each other.
 from __future__ import annotations
 
 import re
-from typing import NamedTuple
-
-#: Texts without one of these words hold no detection; rules are not tried on them.
-TRIGGERS = ("licen", "copyleft", "spdx", "public domain", "gpl", "redistribution", "hereby granted", "creativecommons")
+from typing import Iterable, NamedTuple
 
 GRANT = ("(?:licen[cs]ed|released|distributed|available|published|provided|issued|covered|offered|made available)"
          "(?: to you)? (?:under|by|according to|subject to)(?: the)?(?: terms(?: and conditions)? of)?(?: the)? ")
@@ -184,3 +181,16 @@ def rules() -> list[Rule]:
             out += [Rule(label, priority, keyword(alt), alt) for alt in alternatives(field)]
         out += [Rule(label, 2, keyword(alt), GRANT + alt) for alt in alternatives(name)]
     return sorted(out, key=lambda r: r.priority)
+
+
+def shortest(words: Iterable[str]) -> list[str]:
+    """The words that hold no other: a text holds one of ``words`` just when it holds one of these."""
+    out: list[str] = []
+    for w in sorted(set(words), key=lambda w: (len(w), w)):
+        if not any(o in w for o in out):
+            out.append(w)
+    return out
+
+
+#: A text without one of these holds no keyword, so no rule can match it.
+TRIGGERS = tuple(shortest(r.keyword for r in rules()))

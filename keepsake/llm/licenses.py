@@ -3,9 +3,9 @@
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z
 lower-cased; rules are matched on the words joined by single blanks. Base
 phrases are sequences of words; every place where one stands counts and its
-label always stays. The rules (:mod:`license_rules`) are tried only on texts
-that hold a trigger word and, one by one, only where the rule's keyword
-occurs. A detection is dropped if a detection of equal or stronger priority
+label always stays. Each rule (:mod:`license_rules`) is tried on every text in
+which its keyword occurs; keywords that hold a shorter one are looked for only
+where that occurs. A detection is dropped if a detection of equal or stronger priority
 contains its interval (equal intervals: the earlier rule stays); intervals
 that merely overlap both stay. Everything is done inside the row: no shuffle,
 no window over a text's detections, whole texts of any length.
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import lower_ascii
-from .license_rules import CONFIDENCE, TRIGGERS, Rule, rules
+from .license_rules import CONFIDENCE, Rule, rules, shortest
 
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -70,10 +70,16 @@ def detections(text: Column, rule_list: list[Rule]) -> Column:
     by_word: dict[str, list[dict]] = {}
     for i, r in enumerate(rule_list):
         by_word.setdefault(r.keyword, []).append({"number": i, "label": r.label, "priority": r.priority, "pattern": r.pattern})
+    heads = shortest(by_word)
+    by_head: dict[str, list[dict]] = {h: [] for h in heads}
+    for word in sorted(by_word):
+        by_head[next(h for h in heads if h in word)].append({"word": word, "rules": by_word[word]})
     # one literal each, folded once, instead of thousands of expression nodes
-    table = F.from_json(F.lit(json.dumps(by_word)), "map<string,array<struct<number:int,label:string,priority:int,pattern:string>>>")
-    words = F.filter(F.from_json(F.lit(json.dumps(sorted(by_word))), "array<string>"), lambda w: F.contains(text, w))
-    active = F.flatten(F.transform(words, lambda w: F.element_at(table, w)))
+    rule = "array<struct<number:int,label:string,priority:int,pattern:string>>"
+    table = F.from_json(F.lit(json.dumps(by_head)), f"map<string,array<struct<word:string,rules:{rule}>>>")
+    found = F.filter(F.from_json(F.lit(json.dumps(heads)), "array<string>"), lambda h: F.contains(text, h))
+    words = F.filter(F.flatten(F.transform(found, lambda h: F.element_at(table, h))), lambda w: F.contains(text, w["word"]))
+    active = F.flatten(F.transform(words, lambda w: w["rules"]))
     active = F.filter(active, lambda r: F.rlike(text, F.concat(F.lit(" (?:"), r["pattern"], F.lit(") "))))
     return F.flatten(F.transform(active, lambda r: F.transform(intervals(text, r["pattern"]), lambda m: F.struct(
         m["start"].alias("start"), (-m["end"]).alias("below"), r["priority"].alias("priority"), r["number"].alias("number"),
@@ -99,17 +105,16 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, rule_list: list[Rul
     base_labels, labels, score, detections`` (label, first and last character
     of the joined words, priority)."""
     rule_list = rules() if rule_list is None else rule_list
-    triggers = sorted({*TRIGGERS, *(p.split(" ")[-1] for p in phrases)})
+    ends = sorted({p.split(" ")[-1] for p in phrases})
     t = F.col("t")
     rows = docs.select("doc_id", joined_words(F.col("text").cast("string")).alias("t"))
-    gate = reduce(or_, [F.contains(t, F.lit(w)) for w in triggers])
+    gate = reduce(or_, [F.contains(t, F.lit(w)) for w in ends])
     rows = rows.select("doc_id", "t", F.greatest(F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) - 1, F.lit(0))
                        .cast("long").alias("n_words"), gate.alias("gate"))
     rows = rows.withColumn("w", F.when(F.col("gate"), F.split(F.btrim(t, F.lit(" ")), " ")))
     places = F.array().cast("array<struct<start:int,label:string>>")
     rows = rows.withColumn("base", F.when(F.col("gate"), phrase_places(F.col("w"), phrases)).otherwise(places))
-    none = F.array().cast("array<struct<start:int,below:int,priority:int,number:int,label:string>>")
-    rows = rows.withColumn("hits", F.when(F.col("gate"), suppress(detections(t, rule_list))).otherwise(none))
+    rows = rows.withColumn("hits", suppress(detections(t, rule_list)))
     confidence = F.create_map(*[F.lit(x) for pair in CONFIDENCE.items() for x in pair])
     known = F.array_sort(F.array_distinct(F.col("base.label")))
     every = F.array_sort(F.array_distinct(F.concat("base.label", "hits.label")))

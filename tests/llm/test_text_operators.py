@@ -142,6 +142,24 @@ def test_license_scan_goes_on_behind_line_separators(spark):
     assert len(got[1]["detections"]) == 2
 
 
+def test_every_rule_is_tried_on_every_text(spark):
+    texts = ["released under CC BY-SA 4.0", "distributed under WTFPL", "CC0 1.0 Universal", "http://wtfpl.net", "mozilla.org/MPL/2.0",
+             "eclipse.org/legal/epl-v10", "scripts.sil.org/OFL", "w3.org/Consortium/Legal", "Simplified BSD", "the 2-clause BSD",
+             "This product includes software developed by the Apache Software Foundation", "same terms as Perl itself",
+             "All advertising materials mentioning features or use of this software must display",
+             "The Software shall be used for Good, not Evil", "plain words of no rule", "open later apache epl", None]
+    names = licenses.rules()
+    got = {r["doc_id"]: r for r in licenses.scan(documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
+    for i, t in enumerate(texts):
+        line = " " + " ".join(re.findall("[a-z0-9]+", (t or "").lower())) + " "
+        hits = [(m.start(), m.end(), r.priority, n, r.label) for n, r in enumerate(names)
+                for m in re.finditer(f"(?<= )(?:{r.pattern})(?= )", line)]
+        kept = [h for h in hits if not any(g[0] <= h[0] and g[1] >= h[1] and g != h and (g[2] < h[2] or g[2] == h[2] and (
+            (g[0], g[1]) != (h[0], h[1]) or g[3] < h[3])) for g in hits)]
+        assert bool(kept) == (i < 14), t
+        assert sorted(map(tuple, got[i]["detections"])) == sorted((h[4], h[0], h[1], h[2]) for h in kept), t
+
+
 def test_rules_hold_their_keyword():
     all_ = rules()
     assert len(all_) > 300 and len(set(all_)) == len(all_)
