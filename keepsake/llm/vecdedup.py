@@ -1,15 +1,24 @@
 """Embedding near-duplicates by sorted projection passes.
 
-Equal vectors of one label are one class (grouped exactly). In each of
-``passes`` passes the classes of a label are ordered lexicographically by the
-63 sign bits of random projections (a hash of its own per pass) and each is
-compared with the following ``window`` ones; as long as a block of
-comparisons still finds links the window goes on, so a dense run is compared
-to its end and nothing is capped. Pairs are kept only if their cosine in
-double precision on the original vectors reaches the threshold; pairs of all
-passes are united. A pass sorts by range partitioning over (pass, label, hash),
-so a hot label spreads over many tasks; comparisons do not cross the border
-of two range partitions, which fall elsewhere in every pass.
+Equal vectors of one label are one class (grouped exactly). In each pass the
+classes of a label are ordered lexicographically by the 63 sign bits of random
+projections (a hash of its own per pass) and each is compared with the
+following ``window`` ones; as long as a block of comparisons still finds links
+the window goes on, so a dense run is compared to its end and nothing is
+capped. Pairs are kept only if their cosine in double precision on the original
+vectors reaches the threshold; pairs of all passes are united.
+
+A pass numbers the rows of each label in order (range partitions and offsets,
+hashes only), cuts them into cells of ``CELL`` numbers and hands each cell the
+``window`` rows that follow it, so a hot label spreads over many tasks and no
+comparison depends on where partitions end. Cells whose last comparisons still
+find links go on with the next cell, then with the next 2, 4, ... cells.
+
+There are at least ``passes`` passes. Two rows at the threshold differ in a
+sign bit with probability q = acos(threshold) / pi and stand within the window
+if they share about L = log2(classes / window) leading bits, so one pass finds
+them with about (1 - q) ** L; passes are added until the expected recall of
+such pairs in the largest label is ``RECALL``.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components, and rows with a null label or null vec_id, link with nothing (one
@@ -20,6 +29,7 @@ rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from typing import Iterator
 
 import numpy as np
@@ -27,12 +37,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ids import dense_index
 from .common import shuffle_partitions, written
 from .components import components
-from .vectors import matrix, unpack, vectors
+from .vectors import matrix, vectors
 
 BITS = 63
 BLOCK = 256
+CELL = 1024
+RECALL = 0.999
+PLACE = ["p", "label", "dim"]
 
 
 def _projection(dim: int, number: int, seed: int) -> np.ndarray:
@@ -52,60 +66,132 @@ def _rows_per_pass(passes: int, seed: int):
                     few = part.iloc[at:at + 2000]
                     x = matrix(few["v"])
                     u = x / np.linalg.norm(x, axis=1, keepdims=True)
-                    packed = [r.astype("<f8").tobytes() for r in x]
                     for p in range(passes):
                         yield pd.DataFrame({"p": p, "label": few["label"], "dim": dim, "h": _hash(u, p, seed),
-                                            "rep": few["rep"], "n": few["n"], "v": packed})
+                                            "rep": few["rep"], "h1": few["h1"], "h2": few["h2"]})
     return run
 
 
-def links_in_order(u: np.ndarray, threshold: float, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i < j) of unit rows with cosine >= threshold, each row
-    compared with the next ``window`` rows and on while links are found."""
-    a, b, n = [], [], len(u)
-    for lo in range(0, n, BLOCK):
-        hi = min(n, lo + BLOCK)
+def passes_for(classes: int, threshold: float, passes: int, window: int) -> int:
+    """Passes for a label of ``classes`` classes: ``passes``, or as many as ``RECALL`` needs."""
+    q = math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    once = (1 - q) ** max(0.0, math.log2(max(1, classes) / window))
+    return passes if once >= 1 else max(passes, math.ceil(math.log(1 - RECALL) / math.log1p(-once)))
+
+
+def _links(u: np.ndarray, owners: int, threshold: float, window: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """:func:`links_in_order` of the first ``owners`` rows with those behind
+    them, and whether links are still found where the rows end."""
+    a, b, n, more = [], [], len(u), False
+    for lo in range(0, owners, BLOCK):
+        hi = min(owners, lo + BLOCK)
         to, upto = lo, min(n, hi + window)
         while to < upto:
             i, j = np.nonzero(u[lo:hi] @ u[to:upto].T >= threshold)
             i, j = i + lo, j + to
             keep = j > i
             a.append(i[keep]), b.append(j[keep])
-            tail = keep & (j >= upto - max(1, (upto - to) // 4))        # links in the last quarter
-            to, upto = upto, (min(n, upto + BLOCK) if tail.any() else upto)
-    return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, int), np.empty(0, int))
+            tail = (keep & (j >= upto - max(1, (upto - to) // 4))).any()       # links in the last quarter
+            more |= bool(tail and upto == n)
+            to, upto = upto, (min(n, upto + BLOCK) if tail else upto)
+    return (np.concatenate(a), np.concatenate(b), more) if a else (np.empty(0, int), np.empty(0, int), False)
 
 
-def _compare(threshold: float, window: int):
+def links_in_order(u: np.ndarray, threshold: float, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i < j) of unit rows with cosine >= threshold, each row
+    compared with the next ``window`` rows and on while links are found."""
+    return _links(u, len(u), threshold, window)[:2]
+
+
+def _compare(threshold: float, window: int, first: bool):
+    """Links of each (pass, label, dim, cell, far): of the cell's own rows with
+    each other and the rows behind them (far 0), or with those of the cell
+    ``far`` cells later. A row with null ``a`` says that links are still found
+    where those rows end."""
+    key = [*PLACE, "cell", "far"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
-        key = None
+        now = None
 
         def links() -> pd.DataFrame:
             pdf = pd.concat(held, ignore_index=True)
-            x = unpack(pdf["v"], int(pdf["dim"].iloc[0]))
-            i, j = links_in_order(x / np.linalg.norm(x, axis=1, keepdims=True), threshold, window)
+            x = matrix(pdf["v"])
+            u, owners = x / np.linalg.norm(x, axis=1, keepdims=True), int(pdf["own"].sum())
+            if first:
+                i, j, more = _links(u, owners, threshold, window)
+            else:
+                i, j = np.nonzero(u[:owners] @ u[owners:].T >= threshold)
+                j, more = j + owners, False
+                more = bool((j >= len(u) - max(1, (len(u) - owners) // 4)).any())
             rep, n = pdf["rep"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
             swap = rep[i] > rep[j]
             i, j = np.where(swap, j, i), np.where(swap, i, j)
-            return pd.DataFrame({"a": rep[i], "b": rep[j], "na": n[i], "nb": n[j]})
-        for pdf in batches:                                   # sorted: runs of (pass, label, dim)
-            change = (pdf[["p", "label", "dim"]].diff().fillna(0) != 0).any(axis=1).to_numpy()
+            out = pd.DataFrame({"a": rep[i], "b": rep[j], "na": n[i], "nb": n[j]}).reindex(columns=["a", "b", "na", "nb", *key])
+            if more:
+                out.loc[len(out), key] = now
+            return out.astype("Int64")
+        for pdf in batches:                                   # sorted: runs of key, own rows first
+            change = (pdf[key].diff().fillna(0) != 0).any(axis=1).to_numpy()
             for part in np.split(np.arange(len(pdf)), np.flatnonzero(change)):
                 if not len(part):
                     continue
                 rows = pdf.iloc[part[0]:part[-1] + 1]
-                now = tuple(rows[["p", "label", "dim"]].iloc[0])
-                if held and now != key:
+                this = tuple(int(x) for x in rows[key].iloc[0])
+                if held and this != now:
                     yield links()
                     held = []
-                key = now
+                now = this
                 held.append(rows)
         if held:
             yield links()
     return run
 
 
+def _pairs(classes: DataFrame, threshold: float, passes: int, window: int, seed: int) -> DataFrame:
+    """Distinct linked classes ``a < b`` (representatives) with their sizes."""
+    spark, kinds = classes.sparkSession, ["label", "dim", "h1", "h2"]
+    largest = classes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
+    hashed = classes.select(*kinds, "rep", "v").mapInPandas(
+        _rows_per_pass(passes_for(largest, threshold, passes, window), seed),
+        "p int, label long, dim int, h long, rep long, h1 long, h2 long")
+    order = [*PLACE, "h", "rep", "h1", "h2"]
+    numbered = dense_index(written(hashed, "vector-hashes"), order, "at", 0).drop("h", "rep")
+    starts = numbered.groupBy(*PLACE).agg(F.min("at").alias("start"))
+    places = written(numbered.join(starts, PLACE).withColumn("at", F.col("at") - F.col("start")).drop("start")
+                     .withColumn("own_cell", F.expr(f"at div {CELL}")), "vector-places")
+    kind = "a long, b long, na long, nb long, p int, label long, dim int, cell long, far long"
+
+    def compared(cells: DataFrame, first: bool) -> DataFrame:
+        rows = cells.join(classes, kinds).select(*PLACE, "cell", "far", "own", "at", "rep", "n", "v")
+        rows = rows.repartition(shuffle_partitions(spark), *PLACE, "cell", "far") \
+            .sortWithinPartitions(*PLACE, "cell", "far", F.desc("own"), "at")
+        return written(rows.mapInPandas(_compare(threshold, window, first), kind), "vector-links")
+
+    # a cell and the `window` rows behind it, over as many cells as that takes
+    back = F.sequence(F.greatest(F.lit(0), F.expr(f"(at - {window}) div {CELL}")), F.col("own_cell"))
+    cells = places.withColumn("cell", F.explode(back)) \
+        .withColumn("own", F.col("cell") == F.col("own_cell")).withColumn("far", F.lit(0).cast("long"))
+    found = [compared(cells, True)]
+    lo, hi = 1, 2
+    while True:
+        # cells that still found links at the farthest place they have seen
+        open_ = found[-1].where(F.col("a").isNull() & (F.col("far") == lo - 1)).select(*PLACE, "cell").distinct()
+        if open_.isEmpty():
+            break
+        todo = open_.withColumn("far", F.explode(F.sequence(F.lit(lo).cast("long"), F.lit(hi - 1).cast("long"))))
+        left = todo.join(places, [*[todo[c] == places[c] for c in PLACE], todo["cell"] == places["own_cell"]]) \
+            .select(*[places[c] for c in places.columns], todo["cell"], todo["far"], F.lit(True).alias("own"))
+        right = todo.join(places, [*[todo[c] == places[c] for c in PLACE], todo["cell"] + todo["far"] == places["own_cell"]]) \
+            .select(*[places[c] for c in places.columns], todo["cell"], todo["far"], F.lit(False).alias("own"))
+        found.append(compared(left.unionByName(right), False))
+        lo, hi = hi, 2 * hi
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return written(every.where("a is not null").select("a", "b", "na", "nb").distinct(), "vector-pairs")
+
+
 def near_vectors(embeddings: DataFrame, threshold: float = 0.98, passes: int = 12, window: int = 64,
                  seed: int = 42) -> DataFrame:
     """Per row of ``embeddings``: ``vec_id, n_links, component_id, kept``."""
@@ -115,11 +201,7 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.98, passes: int = 1
     kinds = ["label", "dim", "h1", "h2"]
     classes = written(rows.where("ok").groupBy(*kinds).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"),
                                                            F.first("v").alias("v")), "vector-classes")
-    sorted_ = classes.select("label", "dim", "rep", "n", "v") \
-        .mapInPandas(_rows_per_pass(passes, seed), "p int, label long, dim int, h long, rep long, n long, v binary") \
-        .repartitionByRange(shuffle_partitions(embeddings.sparkSession), "p", "label", "dim", "h", "rep") \
-        .sortWithinPartitions("p", "label", "dim", "h", "rep")
-    pairs = written(sorted_.mapInPandas(_compare(threshold, window), "a long, b long, na long, nb long").distinct(), "vector-links")
+    pairs = _pairs(classes, threshold, passes, window, seed)
     linked = pairs.select(F.col("a").alias("rep"), F.col("nb").alias("m")) \
         .unionByName(pairs.select(F.col("b").alias("rep"), F.col("na").alias("m"))).groupBy("rep").agg(F.sum("m").alias("m"))
     # class representatives are the smallest ids of their classes, so the smallest node is the smallest vec_id

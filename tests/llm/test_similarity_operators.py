@@ -145,6 +145,41 @@ def test_vector_dedup(spark):
     assert {r["n_links"] for r in vecdedup.near_vectors(vectors_table(spark, [(1, [1.0, 2.0], 1)] * 3)).collect()} == {2}
 
 
+def near_pairs(rows):
+    x = {r[0]: np.array(r[1], np.float64) / np.linalg.norm(r[1]) for r in rows}
+    return [(a, b) for a, b in itertools.combinations(sorted(x), 2) if x[a] @ x[b] >= 0.98]
+
+
+def test_vectors_of_small_labels_link_whatever_the_partitions(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(8, 16))
+    rows = [(i, [float(x) for x in (base[i % 8] + rng.normal(size=16) * 0.02).astype(np.float32)], 1) for i in range(16)]
+    links = near_pairs(rows)
+    assert len(links) >= 8
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        got = {r["vec_id"]: r["n_links"] for r in vecdedup.near_vectors(vectors_table(spark, rows)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == {i: sum(i in pair for pair in links) for i in range(16)}
+
+
+def test_a_dense_run_goes_on_over_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(vecdedup, "CELL", 16)
+    rng = np.random.default_rng(6)
+    mid = rng.normal(size=16)
+    rows = [(i, [float(x) for x in (mid + rng.normal(size=16) * 0.005).astype(np.float32)], 1) for i in range(150)]
+    got = vecdedup.near_vectors(vectors_table(spark, rows), passes=1, window=4).collect()
+    assert len(near_pairs(rows)) == 150 * 149 // 2 and {r["n_links"] for r in got} == {149}
+
+
+def test_passes_grow_with_the_largest_label():
+    assert vecdedup.passes_for(0, 0.98, 12, 64) == vecdedup.passes_for(1000, 0.98, 12, 64) == 12
+    assert vecdedup.passes_for(10**6, 0.98, 12, 64) < vecdedup.passes_for(10**8, 0.98, 12, 64) < 40
+    assert vecdedup.passes_for(10**6, 1.0, 12, 64) == 12
+
+
 def test_a_dense_run_is_compared_to_its_end():
     rng = np.random.default_rng(2)
     u = rng.normal(size=16) + rng.normal(size=(1500, 16)) * 0.01
