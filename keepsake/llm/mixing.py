@@ -7,9 +7,13 @@
    remaining budget is fitted from counts per exact length: each length first
    gives its proportional share, long lengths close the gap to ``window``
    words, and a bounded knapsack over the remaining counts (sums reachable up
-   to the rest of the budget, with the item that first reached each) finds the
-   nearest sum. One task handles one source's counts, whose rows
-   are its distinct lengths.
+   to twice the rest of the budget, as only sums nearer than none matter, with
+   the item that first reached each) finds the nearest sum. If more than
+   ``window`` words stay because every document left is longer, the documents
+   above ``window`` words are chosen anew by a knapsack over sparse sums (one
+   sum in each unit of a 2**20th of the range) and the shorter ones fill what
+   they leave. One task handles one source's counts, whose rows are its
+   distinct lengths.
 3. The chosen number of documents of each length is filled in the order of a
    seeded hash: counts per hash bucket decide whole buckets, and only the
    bucket that the count ends in is ranked, so no length, however common, is
@@ -37,6 +41,7 @@ from .common import written
 
 WEIGHTS = (5, 2, 1)
 BUCKET_ROWS = 1000
+UNITS = 1 << 20
 
 
 def word_count(text: Column) -> Column:
@@ -80,9 +85,8 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int
             k[i] += more
             rest -= more * lengths[i]
     if rest > window:
-        return np.array(k, np.int64)
-    spare = [l for l, c, taken in zip(lengths, counts, k) if l and c > taken]
-    top = rest + (min(spare) if spare else 0)              # a sum just above may be nearer
+        return _fit_long(lengths, counts, budget, window, np.array(k, np.int64))
+    top = 2 * rest                                         # sums above may be nearer, up to as far as none
     reach = np.zeros(top + 1, bool)
     reach[0] = True
     first = np.full(top + 1, -1, np.int32)
@@ -109,6 +113,55 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int
     return np.array(k, np.int64)
 
 
+def _fit_long(lengths: list[int], counts: list[int], budget: int, window: int, fallback: np.ndarray) -> np.ndarray:
+    """The fit where documents above ``window`` words decide, ``fallback``
+    unless a sum is nearer."""
+    size = np.array(lengths, np.int64)
+    k = np.zeros(len(size), np.int64)
+    short = size <= window
+    fill = int((size[short] * np.array(counts, np.int64)[short]).sum())       # what the short ones can add
+    miss = abs(budget - int((fallback * size).sum()))
+    top = budget + miss                                    # sums above this are no nearer
+    unit = top // UNITS + 1
+    sums = np.full(top // unit + 1, -1, np.int64)          # the first sum found in each unit, how, and from which
+    how, base = np.full(len(sums), -1, np.int32), np.full(len(sums), -1, np.int32)
+    sums[0] = 0
+    items: list[tuple[int, int]] = []
+
+    def gaps(s: np.ndarray) -> np.ndarray:
+        return np.where(s > budget, s - budget, np.maximum(0, budget - s - fill))
+    best, least = 0, int(gaps(sums[:1])[0])
+    for i in np.argsort(-size, kind="stable"):
+        if short[i] or least < unit:
+            break
+        have, part = min(counts[i], top // lengths[i]), 1
+        while have > 0 and least >= unit:                  # binary splitting of the bounded count
+            n = min(part, have)
+            old = np.flatnonzero(sums >= 0)
+            new = sums[old] + n * lengths[i]
+            keep = new <= top
+            at, first = np.unique(new[keep] // unit, return_index=True)
+            old, new = old[keep][first], new[keep][first]
+            free = sums[at] < 0
+            at, old, new = at[free], old[free], new[free]
+            if len(at):
+                sums[at], how[at], base[at] = new, len(items), old
+                gap = gaps(new)
+                near = int(gap.argmin())
+                if gap[near] < least:
+                    best, least = int(at[near]), int(gap[near])
+            items.append((int(i), n))
+            have, part = have - n, part * 2
+    taken = int(sums[best])
+    while how[best] >= 0:
+        i, n = items[how[best]]
+        k[i] += n
+        best = int(base[best])
+    if short.any() and taken < budget:
+        k[short] = fit_budget(size[short], np.array(counts)[short], budget - taken, window)
+    return k if abs(budget - int((k * size).sum())) < miss else fallback
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeats: int = 3, seed: int = 42,
         window: int = 1 << 16) -> DataFrame:
     """Per row of ``docs`` (doc_id, text, source): ``doc_id, source, size,

@@ -29,6 +29,29 @@ def test_fit_budget_hits_large_budgets():
     assert (k * lengths).sum() == budget and (k >= 0).all() and (k <= counts).all()
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(65_537, 3_000_000), st.integers(1, 2), min_size=1, max_size=3),
+       st.lists(st.integers(1, 60_000), max_size=2, unique=True), st.floats(0, 1))
+def test_fit_budget_of_very_long_documents(long, short, share):
+    counts = long | {l: 1 for l in short}
+    lengths, n = np.array(list(counts)), np.array(list(counts.values()))
+    total = int((lengths * n).sum())
+    budget = int(total * share)
+    k = mixing.fit_budget(lengths, n, budget)
+    assert ((0 <= k) & (k <= n)).all()
+    gaps = [abs(budget - sum(a * b for a, b in zip(counts, pick))) for pick in itertools.product(*[range(c + 1) for c in n])]
+    # within a window of the best: the proportional part is kept where it comes that near
+    assert abs(budget - int((k * lengths).sum())) <= min(gaps) + (1 << 16)
+
+
+def test_fit_budget_takes_the_long_document_that_just_misses():
+    fit = lambda counts, budget: mixing.fit_budget(np.array(list(counts)), np.array(list(counts.values())), budget).tolist()     # noqa: E731
+    assert fit({100_000: 1, 10_000_000: 1}, 9_000_000) == [0, 1]
+    assert fit({1_000_000: 1}, 900_000) == [1] and fit({1_000_000: 1}, 400_000) == [0]
+    assert fit({50: 1, 100_000: 1}, 60_000) == [0, 1]
+    assert fit({70_000: 1, 300_000: 1, 500_000: 1}, 790_000) == [0, 1, 1]
+
+
 def test_targets_reshare_the_excess():
     t = mixing.targets([10, 100, 1000], [5, 2, 1], 3)
     assert t[0] == 30 and t[1] == 300 and abs(sum(t) - 1110) < 1e-9
