@@ -2,8 +2,9 @@
 
 Labels come per document, so tokens are labelled first: a feature of a token
 (the lower-cased word, or its first 4 or 5 characters) counts as an offence
-mark if at least ``support`` of the toxic and few of the clean training
-documents have it (log odds over ``min_odds``); a token of a toxic document
+mark if at least ``support`` toxic and few of the clean training documents
+have it (smoothed log odds of at least ``min_odds``); the bar is a number of
+documents, so it does not grow with the sample. A token of a toxic document
 with such a mark is labelled toxic, every other token clean.
 
 The CRF (two states; weights of the marks, a state bias and transitions) is
@@ -199,7 +200,7 @@ def _fit_layer(x: np.ndarray, y: np.ndarray, l2: float = 1e-3) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, per_class: int = 6000,
-          support: float = 0.02, min_odds: float = 1.5, max_marks: int = 4000, seed: int = 42) -> ToxicModel:
+          support: int = 5, min_odds: float = 1.5, max_marks: int = 4000, seed: int = 42) -> ToxicModel:
     """Fit on labelled documents whose id is not in the held-out fold."""
     doc_id = F.col("doc_id").cast("long")
     known = labels.select(doc_id.alias("doc_id"), F.col("toxic").cast("int").alias("toxic")) \
@@ -236,7 +237,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0,
     odds = F.log((F.col("t") + 0.5) / (n[1] + 1)) - F.log((F.col("c") + 0.5) / (n[0] + 1))
     marks = sample.mapInPandas(document_counts, "f string, t long, c long").groupBy("f") \
         .agg(F.sum("t").alias("t"), F.sum("c").alias("c")) \
-        .where((F.col("t") >= max(5, support * n[1])) & (odds >= min_odds)) \
+        .where((F.col("t") >= support) & (odds >= min_odds)) \
         .orderBy(F.desc("t"), "f").limit(max_marks).select("f").collect()
     marks = sorted(r["f"] for r in marks)
     if not marks:

@@ -252,3 +252,23 @@ def test_toxicity(spark):
     untrained = toxicity.train(docs, marks.where("toxic = 0"))
     assert toxicity.score(docs, untrained).where("toxic_score <> 0").count() == 0
     assert toxicity.score(documents(spark, []), model).count() == 0
+
+
+def test_rare_offences_of_a_large_sample_are_marks(spark):
+    rng = random.Random(9)
+    syllables = [a + b for a in "bdfgklmnprstvz" for b in "aeiou"]
+    names = sorted({"".join(rng.choices(syllables, k=4)) for _ in range(900)})
+    bad, clean = names[::5][:150], [w for i, w in enumerate(names) if i % 5]
+    rows, labels = [], []
+    for i in range(4000):
+        words = rng.choices(clean, k=rng.randint(5, 30))
+        if i % 2 == 0:                                  # each word in under 1 % of the toxic documents
+            words.insert(rng.randrange(len(words)), bad[i // 2 % len(bad)])
+        rows.append((i, " ".join(words), "en", "s"))
+        labels.append((i, 1, int(i % 2 == 0)))
+    docs = documents(spark, rows)
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    held = [i for i in range(4000) if fold(i, 5) == 0]
+    right = [(model.score(rows[i][1])[0] >= 0.5) == (i % 2 == 0) for i in held]
+    assert sum("=" + w in model.marks for w in bad) >= 0.95 * len(bad)
+    assert sum(right) >= 0.95 * len(held), sum(right) / len(held)
