@@ -55,19 +55,6 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def _unassigned() -> re.Pattern:
-    """Code points that this Python does not know: libraries may class them differently."""
-    runs, start = [], None
-    for cp in range(0x80, 0x110001):
-        new = cp < 0x110000 and unicodedata.category(chr(cp)) in ("Cn", "Cs")
-        if new and start is None:
-            start = cp
-        elif not new and start is not None:
-            runs.append(f"\\U{start:08x}-\\U{cp - 1:08x}")
-            start = None
-    return re.compile("[" + "".join(runs) + "]")
-
-
 class RankArrayBPE:
     """Encoder and decoder of one byte-level vocabulary file."""
 
@@ -93,7 +80,8 @@ class RankArrayBPE:
         for token, i in self.special.items():
             self.pieces[i] = token.encode()
         self.cut = re.compile("|".join(map(re.escape, self.special)) or r"(?!)")
-        self.words, self.ascii_words, self.odd = regex.compile(PATTERN), re.compile(ASCII_PATTERN), _unassigned()
+        self.words, self.ascii_words = regex.compile(PATTERN), re.compile(ASCII_PATTERN)
+        self.assigned: set[str] = set()                                             # at most all of Unicode
         self.path, self.library = path, None
         self.cache: dict[str, bytes] = {}
 
@@ -173,11 +161,19 @@ class RankArrayBPE:
                 for k, i in enumerate(rows.tolist()):
                     self.cache[group[i][0]] = data[k * step:(k + 1) * step]
 
+    def odd(self, text: str) -> bool:
+        """Whether a code point is one that this Python does not know:
+        libraries may class those differently."""
+        new = set(text).difference(self.assigned)
+        strange = {c for c in new if unicodedata.category(c) in ("Cn", "Cs")}
+        self.assigned |= new - strange
+        return bool(strange)
+
     def split(self, text: str) -> list[str]:
         """Pre-token words of a text without special tokens."""
         if text.isascii():
             return self.ascii_words.findall(text)
-        if self.odd.search(text):
+        if self.odd(text):
             if self.library is None:
                 from tokenizers import pre_tokenizers
                 self.library = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)

@@ -7,14 +7,20 @@ the whole text goes through a linear softmax. Embeddings and weights are
 trained by stochastic gradient descent in numpy on a bounded sample: at most
 ``per_lang`` documents of each language, taken by a seeded hash, and of each at
 most ``grams`` n-grams spread over the whole text plus one short run, so that
-short texts are learned too. A fifth of the sample calibrates: a temperature
-is fitted by log loss, and the rejection threshold is the ``reject`` quantile
-of the held-out scores of right predictions, at most ``max_threshold``.
+short texts are learned too. A fifth of the sample's documents calibrates: a
+temperature is fitted by log loss, and the rejection thresholds are the
+``reject`` quantiles over held-out samples that are rightly predicted, of the
+score and of how usual the text's n-grams are (the mean log share of their
+buckets in training: a softmax over the learned languages alone is sure of
+letter noise and of unlearned languages too).
 
 For scoring the mean embedding is linear in the n-grams, so one table of
 2**15 x languages logits is sent to the tasks; texts are scored in slices of
 bounded size, each whole.
 
+Training collects at most 2 ``per_lang`` lists of ``grams`` buckets per
+language (about 5 MB each).
+
 Defined cases: a text that is null or has no letter (any script) is ``und``
 with score 0 and is rejected; repeated rows are scored alike; with no labelled
 row every text is ``und``; an empty table gives no rows; other columns are
@@ -87,6 +93,8 @@ class LanguageModel:
     bias: np.ndarray
     temperature: float = 1.0
     threshold: float = 0.0
+    usual: np.ndarray | None = None      # log share of each bucket in training
+    least_usual: float = -np.inf
 
     def _softmax(self, logits: np.ndarray) -> np.ndarray:
         z = logits / self.temperature
@@ -99,7 +107,7 @@ class LanguageModel:
         if not self.langs:
             return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
         raw = [b" " + _bytes(t) + b"   " if ok else b"" for t, ok in zip(texts, has)]
-        total, count = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts))
+        total, count, known = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts)), np.zeros(len(texts))
         for a, b in slices([len(r) for r in raw], SLICE):
             live = [i for i in range(a, b) if raw[i]]
             if not live:
@@ -111,20 +119,25 @@ class LanguageModel:
                 for k in range(len(self.langs)):
                     total[live, k] += np.add.reduceat(np.where(ok, self.table[:, k][h], 0.0), at)
                 count[live] += np.add.reduceat(ok.astype(np.float64), at)
+                if self.usual is not None:
+                    known[live] += np.add.reduceat(np.where(ok, self.usual[h], 0.0), at)
         p = self._softmax(total / np.maximum(count, 1)[:, None] + self.bias)
         best, has = p.argmax(axis=1), np.array(has, bool)
         score = np.where(has, p[np.arange(len(p)), best], 0.0) if len(p) else np.zeros(0)
-        return ([self.langs[k] if ok else "und" for k, ok in zip(best, has)], score, has & (score >= self.threshold))
+        return ([self.langs[k] if ok else "und" for k, ok in zip(best, has)], score,
+                has & (score >= self.threshold) & (known / np.maximum(count, 1) >= self.least_usual))
 
 
 def fit(langs: list[str], y: np.ndarray, x: list[np.ndarray], seed: int = 42, epochs: int = 6, lr: float = 0.5,
-        reject: float = 0.002, max_threshold: float = 0.35) -> LanguageModel:
-    """Train on bucket lists ``x`` with language numbers ``y``."""
+        reject: float = 0.002, owner: np.ndarray | None = None) -> LanguageModel:
+    """Train on bucket lists ``x`` with language numbers ``y``; lists of one
+    ``owner`` (document) are all trained on or all held out."""
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 1 / DIM, (BUCKETS, DIM))
     w, b = np.zeros((DIM, len(langs))), np.zeros(len(langs))
-    order = rng.permutation(len(x))
-    held, train = order[:len(x) // 5], order[len(x) // 5:]
+    owners, owner = np.unique(np.arange(len(x)) if owner is None else owner, return_inverse=True)
+    apart = np.isin(owner, rng.permutation(len(owners))[:len(owners) // 5])
+    held, train = np.flatnonzero(apart), np.flatnonzero(~apart)
     bags = [np.unique(v, return_counts=True) for v in x]
     for epoch in range(epochs):
         step = lr * (1 - epoch / epochs)
@@ -142,7 +155,10 @@ def fit(langs: list[str], y: np.ndarray, x: list[np.ndarray], seed: int = 42, ep
             w -= step * np.outer(mean, p)
             b -= step * 0.1 * p
             emb[ids] -= step * 10 * np.outer(share, back)
-    model = LanguageModel(langs, emb @ w, b)
+    seen = np.zeros(BUCKETS)
+    for i in train:
+        seen[bags[i][0]] += bags[i][1]
+    model = LanguageModel(langs, emb @ w, b, usual=np.log((seen + 0.5) / (seen.sum() + 0.5 * BUCKETS)))
     held = [i for i in held if len(bags[i][0])]
     if held:
         logits = np.array([(bags[i][1] / bags[i][1].sum()) @ model.table[bags[i][0]] for i in held]) + b
@@ -155,7 +171,9 @@ def fit(langs: list[str], y: np.ndarray, x: list[np.ndarray], seed: int = 42, ep
         p = model._softmax(logits)
         right = p.argmax(axis=1) == truth
         if right.any():
-            model.threshold = float(min(max_threshold, np.quantile(p[right].max(axis=1), reject)))
+            known = np.array([(bags[i][1] / bags[i][1].sum()) @ model.usual[bags[i][0]] for i in held])
+            model.threshold = float(np.quantile(p[right].max(axis=1), reject))
+            model.least_usual = float(np.quantile(known[right], reject))
     return model
 
 
@@ -185,12 +203,15 @@ def train(docs: DataFrame, folds: int = 4, held_out: int = 2, per_lang: int = 15
                 rows.append((lang, h, str(doc_id), spread.tobytes()))
                 data = text.split()
                 at = h % max(1, len(data) - 3)
-                rows.append((lang, h, str(doc_id), grams_of(" ".join(data[at:at + 4])).astype("<u2")[:grams].tobytes()))
+                few = grams_of(" ".join(data[at:at + 4])).astype("<u2")
+                few = few[np.linspace(0, len(few) - 1, min(grams, len(few))).astype(int)]
+                rows.append((lang, h, str(doc_id), few.tobytes()))
             if rows:
                 yield pd.DataFrame(rows, columns=["lang", "h", "d", "g"])
     rows = sorted(map(tuple, sample.mapInPandas(draw, "lang string, h long, d string, g binary").collect()))
     y = np.array([langs.index(r[0]) for r in rows], np.int64)
-    return fit(langs, y, [np.frombuffer(bytes(r[3]), "<u2").astype(np.int64) for r in rows], seed)
+    return fit(langs, y, [np.frombuffer(bytes(r[3]), "<u2").astype(np.int64) for r in rows], seed,
+               owner=np.array([r[2] for r in rows]))
 
 
 def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None) -> DataFrame:

@@ -36,8 +36,10 @@ from .common import LOWER, UPPER, shuffle_partitions, written
 from .components import components, forest
 
 SEED = 42
-#: Block keys are counted by hash cell; cells far above the mean are cut into chunks.
+#: Block keys are counted by hash cell; cells above ``chunk`` rows are cut into chunks.
 CELLS = 1 << 18
+#: Hot cells (at most 35 fingerprints / chunk) are broadcast up to this number, 12 bytes each.
+HOT_CELLS = 2_000_000
 _SPACE = bytes.maketrans(UPPER.encode() + b"\t\n\x0b\x0c\r", LOWER.encode() + b"     ")
 
 
@@ -134,11 +136,13 @@ def near_edges(fps: DataFrame, max_bits: int = 4, blocks: int = 7, chunk: int =
     masks = block_masks(blocks, max_bits)
     dealt = fps.select("fp", F.posexplode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("m", "mask")) \
         .select("m", F.col("fp").bitwiseAND(F.col("mask")).alias("b"), "fp")
-    cell = F.pmod(F.xxhash64("m", "b"), F.lit(CELLS))
-    limit = max(chunk, 4 * len(masks) * fps.count() // CELLS)       # so at most CELLS / 4 cells are hot
-    hot = dealt.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit) \
+    # cells grow with the rows, a quarter chunk each on average, so a hot cell holds a hot key
+    cell = F.pmod(F.xxhash64("m", "b"), F.lit(max(CELLS, 4 * len(masks) * fps.count() // chunk)))
+    hot = dealt.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk) \
         .select("cell", F.ceil(F.col("n") / chunk).cast("int").alias("parts"))
-    rows = dealt.withColumn("cell", cell).join(F.broadcast(hot), "cell", "left") \
+    hot = written(hot, "simhash-hot-cells")
+    hot = F.broadcast(hot) if hot.count() <= HOT_CELLS else hot
+    rows = dealt.withColumn("cell", cell).join(hot, "cell", "left") \
         .withColumn("parts", F.coalesce("parts", F.lit(1)))
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     # chunk pair (i <= j) is numbered i * parts + j; a chunk meets itself (side 0) and every other
@@ -167,10 +171,12 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, max_bits: int = 4, blocks:
 
 def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose doc_id is their group's component id, with their
-    columns; rows repeating a kept doc_id stay once, rows without doc_id stay."""
+    columns; of rows repeating a kept doc_id the one of smallest hash over its
+    columns stays, rows without doc_id stay."""
     kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select(row, F.col("doc_id").cast("long").alias("id"))
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if not f.dataType.simpleString().startswith(("map", "variant", "struct", "array"))]
+    rows = docs.select(row, F.col("doc_id").cast("long").alias("id"), F.xxhash64(*plain).alias("order"))
     once = rows.where("id is not null").join(kept, F.col("id") == F.col("kept_id"), "left_semi") \
-        .groupBy("id").agg(F.first("row").alias("row")).select("row.*")
+        .groupBy("id").agg(F.min_by("row", "order").alias("row")).select("row.*")
     return once.unionByName(rows.where("id is null").select("row.*"))

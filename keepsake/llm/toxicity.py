@@ -17,7 +17,7 @@ The marginals of the toxic state at marked tokens give the offending offsets
 rate, the document's score.
 
 Training reads at most ``per_class`` documents of each label, taken by a
-seeded hash, texts counted once; the model holds at most ``max_marks`` marks.
+seeded hash, texts counted once; the model holds every mark of that sample.
 
 Defined cases: null, empty and unmarked texts get the score of a text without
 offence; repeated rows are scored alike; a document with several labels
@@ -47,6 +47,12 @@ WINDOW = 48
 FLUSH = 100_000
 
 
+def tokens_of(text: str) -> list[str]:
+    """The tokens, lower-cased after they are cut: case folding can add
+    characters that would cut them elsewhere."""
+    return "\n".join(TOKEN.findall(text)).lower().split("\n") if TOKEN.search(text) else []
+
+
 def features(token: str) -> list[str]:
     """Feature names of one lower-cased token."""
     return ["=" + token, *(token[:n] for n in PREFIXES if len(token) >= n)]
@@ -68,20 +74,20 @@ class ToxicModel:
         self.powers: dict[int, np.ndarray] = {0: np.eye(2)}
 
     def power(self, k: int) -> np.ndarray:
-        k = min(k, 4096)                   # the scaled powers have settled long before
         if k not in self.powers:
+            if len(self.powers) > 4096:    # gaps of one length recur; the memory stays bounded
+                self.powers.clear()
             self.powers[k] = np.linalg.matrix_power(self.quiet, k)
         return self.powers[k]
 
     def marked(self, text: str) -> tuple[list[tuple[int, int, int, float]], int]:
         """``(token number, start, end, weight)`` of marked tokens, and the number of tokens."""
         heads = self.heads
-        tokens = TOKEN.findall(text.lower())
+        tokens = tokens_of(text)
         if not any(t[:4] in heads for t in tokens):
             return [], len(tokens)
         out, n = [], 0
-        for n, m in enumerate(TOKEN.finditer(text), 1):
-            token = m.group().lower()
+        for n, (token, m) in enumerate(zip(tokens, TOKEN.finditer(text)), 1):
             if token[:4] in heads:
                 w = [self.marks[f] for f in features(token) if f in self.marks]
                 if w:
@@ -130,7 +136,7 @@ def _windows(texts: list[str], toxic: list[int], marks: list[str], rng) -> tuple
     width = 1 + len(PREFIXES)
     ids, labels, mask = [], [], []
     for text, y in zip(texts, toxic):
-        tokens = TOKEN.findall(text.lower())
+        tokens = tokens_of(text)
         if not tokens:
             continue
         found = [i for i, t in enumerate(tokens) if any(f in at for f in features(t))] or [len(tokens) // 2]
@@ -200,7 +206,7 @@ def _fit_layer(x: np.ndarray, y: np.ndarray, l2: float = 1e-3) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, per_class: int = 6000,
-          support: int = 5, min_odds: float = 1.5, max_marks: int = 4000, seed: int = 42) -> ToxicModel:
+          support: int = 5, min_odds: float = 1.5, seed: int = 42) -> ToxicModel:
     """Fit on labelled documents whose id is not in the held-out fold."""
     doc_id = F.col("doc_id").cast("long")
     known = labels.select(doc_id.alias("doc_id"), F.col("toxic").cast("int").alias("toxic")) \
@@ -226,7 +232,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0,
             return out
         for pdf in batches:
             for text, y in zip(pdf["text"], pdf["toxic"]):
-                seen[y].update({f for t in set(TOKEN.findall(text.lower())) for f in features(t[:40])})
+                seen[y].update({f for t in set(tokens_of(text)) for f in features(t)})
                 if len(seen[0]) + len(seen[1]) > FLUSH:         # the sums are taken in Spark
                     yield counted()
         if seen[0] or seen[1]:
@@ -238,7 +244,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0,
     marks = sample.mapInPandas(document_counts, "f string, t long, c long").groupBy("f") \
         .agg(F.sum("t").alias("t"), F.sum("c").alias("c")) \
         .where((F.col("t") >= support) & (odds >= min_odds)) \
-        .orderBy(F.desc("t"), "f").limit(max_marks).select("f").collect()
+        .select("f").collect()                     # each has ``support`` of the sample's documents
     marks = sorted(r["f"] for r in marks)
     if not marks:
         model = ToxicModel(trained=True)
@@ -250,15 +256,15 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0,
             for h, text, y in zip(pdf["h"], pdf["text"], pdf["toxic"]):
                 ids, lab, mask = _windows([text], [y], marks, np.random.default_rng([seed, h & 0xFFFFFFFF]))
                 if len(ids):
-                    yield pd.DataFrame({"h": h, "y": y, "ids": [x.astype(np.int16).tobytes() for x in ids],
+                    yield pd.DataFrame({"h": h, "y": y, "ids": [x.astype(np.int32).tobytes() for x in ids],
                                         "lab": [x.astype(np.int8).tobytes() for x in lab],
                                         "mask": [x.astype(np.int8).tobytes() for x in mask]})
     got = sample.mapInPandas(windows, "h long, y int, ids binary, lab binary, mask binary").collect()
     got.sort(key=lambda r: (r["h"], bytes(r["ids"])))
-    ids = np.array([np.frombuffer(r["ids"], np.int16) for r in got]).reshape(len(got), WINDOW, -1).astype(int)
+    ids = np.array([np.frombuffer(r["ids"], np.int32) for r in got]).reshape(len(got), WINDOW, -1).astype(int)
     model = fit_crf(ids, np.array([np.frombuffer(r["lab"], np.int8) for r in got]).astype(int),
                     np.array([np.frombuffer(r["mask"], np.int8) for r in got]).astype(float), marks)
-    shared = docs.sparkSession.sparkContext.broadcast(model)                # at most max_marks numbers
+    shared = docs.sparkSession.sparkContext.broadcast(model)                # one number per mark
 
     def summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

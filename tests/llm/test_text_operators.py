@@ -272,3 +272,44 @@ def test_rare_offences_of_a_large_sample_are_marks(spark):
     right = [(model.score(rows[i][1])[0] >= 0.5) == (i % 2 == 0) for i in held]
     assert sum("=" + w in model.marks for w in bad) >= 0.95 * len(bad)
     assert sum(right) >= 0.95 * len(held), sum(right) / len(held)
+
+
+def test_language_rejection(spark):
+    """Letter noise and a language left out of training are rejected, clean texts stay."""
+    rng = random.Random(8)
+    words = {"de": "der die das und nicht haus wald strasse kommen gehen schnell über können morgen abend wasser".split(),
+             "en": "the and of house forest street come going quickly about could morning evening water with from".split()}
+    text = lambda lang: " ".join(rng.choice(words[lang]) for _ in range(40))      # noqa: E731
+    docs = documents(spark, [(i, text(lang), lang, None) for i, lang in enumerate(["de", "en"] * 200)])
+    model = langid.train(docs)
+    clean = [text(lang) for lang in ["de", "en"] * 40]
+    noise = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) * 1 + " " +
+             " ".join("".join(rng.choice("qxzjkvwpfbgy") for _ in range(7)) for _ in range(30)) for _ in range(40)]
+    russian = [" ".join(rng.choice("дом лес улица вода утро вечер быстро идти".split()) for _ in range(40)) for _ in range(40)]
+    assert sum(model.predict(clean)[2]) >= 78
+    assert sum(model.predict(noise)[2]) == 0 and sum(model.predict(russian)[2]) == 0
+
+
+def test_language_score_equals_brute_force(spark):
+    """The score is the softmax of the mean logits of all n-grams, one text at a time."""
+    docs = documents(spark, [(i, t, lang, None) for i, (t, lang) in enumerate(
+        [("the quick water of the house", "en"), ("der schnelle wald und das haus", "de")] * 30)])
+    model = langid.train(docs)
+    texts = ["the wald", "Haus!", "über 7 water " * 400, "z", "the quick water of the house"]
+    pred, score, accepted = model.predict(texts + texts[:2])
+    assert pred[:2] == pred[5:] and (score[:2] == score[5:]).all()
+    for t, lang, p in zip(texts, pred, score):
+        g = langid.grams_of(t).astype(int)
+        z = (model.table[g].sum(axis=0) / max(1, len(g)) + model.bias) / model.temperature
+        want = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert abs(p - want.max()) < 1e-9 and lang == model.langs[int(want.argmax())]
+
+
+def test_toxicity_learns_long_tokens_and_cuts_before_folding():
+    long = "grawl" + "x" * 60
+    assert toxicity.tokens_of("İstanbul ΑΣ " + long.upper()) == ["i̇stanbul", "ας", long]
+    model = toxicity.ToxicModel({"=" + long: 3.0}, -1.0, np.array([[2.0, -6.0], [-6.0, 2.0]]), trained=True)
+    found, n = model.marked("a " * 9000 + long)
+    assert n == 9001 and [m[0] for m in found] == [9000]
+    # a sticky chain: powers beyond 4,096 are exact
+    assert np.allclose(model.power(9000), np.linalg.matrix_power(model.quiet, 4500) @ np.linalg.matrix_power(model.quiet, 4500))
