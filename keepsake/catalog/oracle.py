@@ -538,7 +538,7 @@ SELECT unmatched, match, CAST(distance AS BIGINT) AS distance FROM ranked WHERE
     out["hamming_nearest_8bands"] = out["hamming_nearest"]
     out["hamming_nearest_year_only"] = near_sql(10, year_only=True) + """
 SELECT unmatched, match, CAST(distance AS BIGINT) AS distance FROM ranked WHERE rank = 1"""
-    out["hamming_top5"] = near_sql(12) + """
+    out["hamming_top5"] = near_sql(64) + """
 SELECT unmatched, match, CAST(distance AS BIGINT) AS distance, rank FROM ranked WHERE rank <= 5"""
     rel = f"substr(unmatched, {len(UROOT) + 2})"
     name = basename(rel)

@@ -317,20 +317,18 @@ SIM_ROOT = X.ROOT + "/" + K.SIM_DIR
 
 def q_hamming_nearest(spark, sf_dir):
     session.configure(spark)
-    near = SIM.near_matches(similarity_manifest(spark, sf_dir), UNMATCHED_ROOT, K.HAMMING_THRESHOLD)
-    return SIM.ranked_matches(near, 1).select("unmatched", "match", "distance")
+    return SIM.best_matches(similarity_manifest(spark, sf_dir), UNMATCHED_ROOT).select("unmatched", "match", "distance")
 
 
 def q_hamming_top5(spark, sf_dir):
     session.configure(spark)
-    near = SIM.near_matches(similarity_manifest(spark, sf_dir), UNMATCHED_ROOT, 12)
-    return SIM.ranked_matches(near, 5).select("unmatched", "match", "distance", "rank")
+    near = SIM.best_matches(similarity_manifest(spark, sf_dir), UNMATCHED_ROOT, 5, threshold=None)
+    return near.select("unmatched", "match", "distance", "rank")
 
 
 def q_hamming_nearest_8bands(spark, sf_dir):
     session.configure(spark)
-    near = SIM.near_matches(similarity_manifest(spark, sf_dir), UNMATCHED_ROOT, K.HAMMING_THRESHOLD, bands=8)
-    return SIM.ranked_matches(near, 1).select("unmatched", "match", "distance")
+    return SIM.best_matches(similarity_manifest(spark, sf_dir), UNMATCHED_ROOT, bands=8).select("unmatched", "match", "distance")
 
 
 def q_reconcile_actions(spark, sf_dir):
@@ -508,9 +506,8 @@ def q_guardrail_first_pass(spark, sf_dir):
 
 def q_hamming_nearest_year_only(spark, sf_dir):
     session.configure(spark)
-    near = SIM.near_matches(similarity_manifest(spark, sf_dir), UNMATCHED_ROOT, K.HAMMING_THRESHOLD,
-                            year_only=True, processing_root=X.ROOT)
-    return SIM.ranked_matches(near, 1).select("unmatched", "match", "distance")
+    near = SIM.best_matches(similarity_manifest(spark, sf_dir), UNMATCHED_ROOT, year_only=True, processing_root=X.ROOT)
+    return near.select("unmatched", "match", "distance")
 
 
 def q_dedup_guardrail_pairs(spark, sf_dir):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pathlib import PurePosixPath
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -72,14 +70,3 @@ def numbered_name(name, n, style: str) -> Column:
         return F.when(_c(n) == "1", F.concat(st, F.lit(K.RESTORED_MARK), sx)).otherwise(
             F.concat(st, F.lit(K.RESTORED_MARK + "_"), (_c(n).cast("long") - 1).cast("string"), sx))
     raise ValueError(style)
-
-
-def numbered_path(path: str, n: int, style: str) -> str:
-    """Variant ``n`` of one path as text: the same names as :func:`numbered_name`; 0 is the path itself."""
-    if not n:
-        return path
-    folder, _, name = path.rpartition("/")
-    p = PurePosixPath(name)
-    mark = {"underscore": f"_{n}", "paren": f"({n})",
-            "restored": K.RESTORED_MARK + (f"_{n - 1}" if n > 1 else "")}[style]
-    return f"{folder}/{p.stem}{mark}{p.suffix}"

@@ -6,18 +6,21 @@ media file match when one key equals or contains the other. Sidecars are
 served in order; each takes the first remaining matching media (in media
 order) -- serial dictatorship.
 
-Candidate pairs: "a contains b" is found exactly by exploding every
-substring of the longer key whose length occurs among the other side's
-keys, then equi-joining on the substring (both directions, equality is
-the full-length case). No all-pairs join is formed.
-
-Assignment: in each round every remaining sidecar points at its first
-remaining candidate; a sidecar that is the lowest remaining sidecar among
-*all* sidecars listing that media is served exactly as the sequential loop
-would serve it, so those pairs are fixed and removed with anti joins.
-The lowest remaining sidecar always qualifies, so every round makes
-progress; rounds repeat to the fixpoint. Each round's remaining pairs are
-written under the checkpoint folder so lineage stays one round deep.
+Everything is found on distinct keys: the files of one key are a class with an
+ordered queue. "a contains b" is found exactly by exploding every substring of
+the longer key whose length occurs among the other side's keys, then
+equi-joining on the substring (both directions, equality is the full-length
+case). Edges join keys, never files.
+
+Assignment: the n-th sidecar of a class tries the n-th media of the queues its
+class has edges to, taken together in media order; a class of n sidecars needs
+the first n of each queue only. If no two sidecars of a component of keys try
+the same media, that is what the sequential loop gives them. Otherwise it is
+so for all sidecars before the component's first loser (the earliest sidecar
+that tries a media an earlier one tries): they are served, and the component's
+others try again with what is left. The loser's rival is always served, so
+every round makes progress; only contested components see a second round, and
+homonyms alone never contest. Rounds are written under the checkpoint folder.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ from ..functions import constants as K
 from ..functions import names as N
 from ..functions import paths as P
 from ..session import materialize
+from .ids import group_rank
 
 
 def _substrings(df: DataFrame, key: str, lengths: DataFrame) -> DataFrame:
@@ -46,49 +50,54 @@ def _substrings(df: DataFrame, key: str, lengths: DataFrame) -> DataFrame:
               .drop("_start", "_len").dropDuplicates([c for c in df.columns] + ["_sub"])
 
 
-def candidate_pairs(sidecars: DataFrame, media: DataFrame) -> DataFrame:
-    """``sidecars``: ``j_id, j_order, j_key``; ``media``: ``m_id, m_order,
-    m_key`` (blank keys removed). Returns distinct ``j_id, j_order, m_id,
-    m_order`` with one key containing the other."""
-    j = sidecars.where(F.col("j_key") != "")
-    m = media.where(F.col("m_key") != "")
+def key_edges(j_keys: DataFrame, m_keys: DataFrame) -> DataFrame:
+    """``j_key, m_key`` of distinct keys (blank ones left out) of which one
+    equals or contains the other."""
+    j = j_keys.select("j_key").where(F.col("j_key") != "").distinct()
+    m = m_keys.select("m_key").where(F.col("m_key") != "").distinct()
     m_len = m.select(F.length("m_key").alias("_len")).distinct()
     j_len = j.select(F.length("j_key").alias("_len")).distinct()
-    # media key inside sidecar key
+    # media key inside sidecar key, then sidecar key inside media key
     a = _substrings(j, "j_key", m_len).join(m, F.col("_sub") == F.col("m_key"))
-    # sidecar key inside media key
     b = _substrings(m, "m_key", j_len).join(j, F.col("_sub") == F.col("j_key"))
-    cols = ["j_id", "j_order", "m_id", "m_order"]
-    return a.select(*cols).unionByName(b.select(*cols)).dropDuplicates(["j_id", "m_id"])
-
-
-def serial_assignment(pairs: DataFrame) -> DataFrame:
-    """Serial-dictatorship matching over candidate ``pairs`` (``j_id,
-    j_order, m_id, m_order``). Returns the accepted ``j_id, m_id``.
-
-    Runs to the fixpoint (no round limit): every round accepts at least the
-    lowest remaining sidecar, so the loop ends after at most one round per
-    sidecar."""
-    spark = pairs.sparkSession
-    remaining = materialize(pairs, "assign-round")
-    accepted = []
-    while not remaining.isEmpty():
-        fav = (remaining.groupBy("j_id", "j_order")
-               .agg(F.min(F.struct("m_order", "m_id")).alias("_f"))
-               .select("j_id", "j_order", F.col("_f.m_id").alias("m_id")))
-        low = remaining.groupBy("m_id").agg(F.min("j_order").alias("_low"))
-        won = fav.join(low, "m_id").where(F.col("j_order") == F.col("_low")).select("j_id", "m_id")
-        # ``won`` is an aggregation over the written round table: no write needed
-        accepted.append(won)
-        remaining = (remaining.join(won.select("j_id"), "j_id", "left_anti")
-                     .join(won.select("m_id"), "m_id", "left_anti"))
-        remaining = materialize(remaining, "assign-round")
-    if not accepted:
-        return spark.createDataFrame([], "j_id string, m_id string")
-    out = accepted[0]
-    for w in accepted[1:]:
-        out = out.unionByName(w)
-    return out
+    return a.select("j_key", "m_key").unionByName(b.select("j_key", "m_key")).distinct()
+
+
+def key_components(edges: DataFrame) -> DataFrame:
+    """``j_key, part``: the smallest sidecar key reachable over the edges."""
+    part = edges.select("j_key").distinct().withColumn("part", F.col("j_key"))
+    while True:
+        around = edges.join(part, "j_key").groupBy("m_key").agg(F.min("part").alias("part"))
+        new = edges.join(around, "m_key").groupBy("j_key").agg(F.min("part").alias("part"))
+        new = materialize(new.join(part.withColumnRenamed("part", "_old"), "j_key"), "recovery-parts")
+        part = new.select("j_key", "part")
+        if new.where(F.col("part") != F.col("_old")).isEmpty():
+            return part
+
+
+def assign_in_order(sidecars: DataFrame, media: DataFrame, edges: DataFrame) -> DataFrame:
+    """Accepted ``j_id, m_id``. ``sidecars``: ``j_id, j_order, j_key``;
+    ``media``: ``m_id, m_order, m_key``; ids are unique. Runs to the fixpoint."""
+    edges = materialize(edges, "recovery-edges")
+    j = materialize(sidecars.join(key_components(edges), "j_key"), "recovery-sidecars")
+    m = materialize(media.join(edges.select("m_key").distinct(), "m_key", "left_semi"), "recovery-media")
+    turn, accepted = F.struct("j_order", "j_id"), None
+    while True:
+        want = j.groupBy("j_key").agg(F.count(F.lit(1)).alias("_want"))
+        queue = group_rank(m, ["m_key"], ["m_order", "m_id"], "_place")
+        offer = edges.join(want, "j_key").join(queue, "m_key").where(F.col("_place") <= F.col("_want"))
+        offer = group_rank(materialize(offer, "recovery-offers"), ["j_key"], ["m_order", "m_id"], "_nth")
+        tried = group_rank(j, ["j_key"], ["j_order", "j_id"], "_nth").join(offer.select("j_key", "_nth", "m_id"), ["j_key", "_nth"])
+        tried = materialize(tried.select("part", "j_id", "j_order", "m_id"), "recovery-tried")
+        first = tried.groupBy("m_id").agg(F.min(turn).alias("_first"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
+        lost = tried.join(first, "m_id").where(turn > F.col("_first")).groupBy("part").agg(F.min(turn).alias("_lost"))
+        lost = materialize(lost, "recovery-lost")
+        won = tried.join(lost, "part", "left").where(F.coalesce(turn < F.col("_lost"), F.lit(True))).select("j_id", "m_id")
+        accepted = won if accepted is None else accepted.unionByName(won)
+        if lost.isEmpty():
+            return accepted
+        j = materialize(j.join(lost, "part", "left_semi").join(won, "j_id", "left_anti"), "recovery-sidecars")
+        m = materialize(m.join(won, "m_id", "left_anti"), "recovery-media")
 
 
 def recover_pairs(files: DataFrame, json_root: str, media_root: str) -> DataFrame:
@@ -102,7 +111,7 @@ def recover_pairs(files: DataFrame, json_root: str, media_root: str) -> DataFram
     m = (files.where(F.col("path").startswith(mr))
          .select(F.col("path").alias("m_id"), F.col("path").alias("m_order"),
                  N.fuzzy_key_media(P.basename("path")).alias("m_key")))
-    won = serial_assignment(candidate_pairs(j, m))
+    won = assign_in_order(j, m, key_edges(j, m))
     return won.select(F.col("j_id").alias("json_path"), F.col("m_id").alias("media_path"))
 
 

@@ -6,7 +6,6 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,39 +20,34 @@ ACTION_COLUMNS = ["row_id", "op", "src", "dst", "reason"]
 
 # ------------------------------------------------------------ free names
 
-_VARIANT_TAIL = {
-    "underscore": r"(?:_[0-9]+)+$",
-    "paren": r"(?:\([0-9]+\))+$",
-    "restored": r"(?:_restored(?:_[0-9]+)?)+$",
-}
-_VARIANT_STEM = {
-    "underscore": r"^(.*)_[0-9]+$",
-    "paren": r"^(.*)\([0-9]+\)$",
-    "restored": r"^(.*)_restored(?:_[0-9]+)?$",
+#: One variant mark at the end of a stem: what stands before it, and its number.
+_VARIANT = {
+    "underscore": r"(?s)^(.+)_([1-9][0-9]*)$",
+    "paren": r"(?s)^(.+)\(([1-9][0-9]*)\)$",
+    "restored": r"(?s)^(.+)_restored(?:_([1-9][0-9]*))?$",
 }
+#: Variant marks counted to order nested targets.
+_MARK = {"underscore": r"_[0-9]+", "paren": r"\([0-9]+\)", "restored": r"_restored(_[0-9]+)?"}
 
 
 #: Candidates generated by one task at a time; batching only, none is dropped.
 NAME_CHUNK = 10_000
 
 
-def _named_like(path: Column, stem: Column) -> Column:
-    return F.concat_ws("/", P.parent(path), F.concat(stem, P.suffix(P.basename(path))))
-
-
-def name_family(path: Column, style: str) -> Column:
-    """The path without any variant numbers: two targets can only compete for
-    a name if their families are equal."""
-    stem = P.stem(P.basename(path))
-    bare = F.regexp_replace(stem, _VARIANT_TAIL[style], "")
-    return _named_like(path, F.when(bare != "", bare).otherwise(stem))
-
-
 def _numbered(path: Column, number: Column, style: str) -> Column:
     return F.when(number == 0, path).otherwise(
         F.concat_ws("/", P.parent(path), N.numbered_name(P.basename(path), number, style)))
 
 
+def _variant_of(path: Column, style: str) -> Column:
+    """The target that ``path`` is a numbered variant of; null if of none."""
+    st = P.stem(P.basename(path))
+    base = F.regexp_extract(st, _VARIANT[style], 1)
+    # a name ending in a dot has no suffix, but its variants look as if they had one
+    dotted = P.suffix(P.basename(path)).rlike(r"^\." + _MARK[style] + "$")
+    return F.when(dotted, F.concat_ws("/", P.parent(path), F.concat(st, F.lit(".")))).when(base != "", F.concat_ws("/", P.parent(path), F.concat(base, P.suffix(P.basename(path)))))
+
+
 def free_names(targets: DataFrame, existing: DataFrame, style: str) -> DataFrame:
     """Collision-free destinations (exact, no cap on the number tried).
 
@@ -63,70 +57,83 @@ def free_names(targets: DataFrame, existing: DataFrame, style: str) -> DataFrame
     exists nor was given to an earlier target, whatever target that name was
     a variant of. Returns ``(key, dst)``; no ``dst`` repeats.
 
-    Names only meet inside a family (``a.jpg``, ``a_1.jpg``, ``a_1_1.jpg``).
-    In a family with one target the n-th row gets the n-th free variant, by
-    joins. Families in which plain names and variants are both wanted are
-    assigned in order by :func:`_in_order`.
+    A target wanted once, free, and not handed to a row of the target it is a
+    variant of keeps its name: it only passes joins. The others are crowded,
+    and a row can lose its plain name only to the target one mark shorter
+    (``a_1.jpg`` to ``a.jpg``), so crowded targets are settled from the
+    shortest nesting on. At each nesting the n-th row of a target takes its
+    n-th free name; a name that another target's row wants plainly is free
+    for earlier rows only, and rows that come too late for one move on, in
+    rounds, until none does.
     """
-    ex_names = existing.select(F.col("path").alias("_ex")).distinct()
-    t = targets.withColumn("_fam", name_family(F.col("target"), style))
-    mixed = t.groupBy("_fam").agg((F.min("target") != F.max("target")).alias("_mixed"))
-    t = t.join(mixed, "_fam")
-    alone = _by_rank(t.where(~F.col("_mixed")).drop("_fam", "_mixed"), ex_names, style)
-    return alone.unionByName(_in_order(t.where("_mixed"), ex_names, style))
-
-
-def _in_order(t: DataFrame, ex_names: DataFrame, style: str) -> DataFrame:
-    """Ordered assignment inside families with several targets: the present
-    names and the wanted ones of a family (names only) go through one task in
-    order."""
-    taken = ex_names.select(name_family(F.col("_ex"), style).alias("_fam2"), F.col("_ex").alias("path"))
-
-    def assign(want: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
-        used, tried, out = set(have["path"]), {}, []
-        want = want.sort_values(["order", "key"], kind="stable")
-        for target in want["target"]:
-            n = tried.get(target, 0)
-            while (name := N.numbered_path(target, n, style)) in used:
-                n += 1
-            tried[target] = n + 1
-            used.add(name)
-            out.append(name)
-        return pd.DataFrame({"key": want["key"].to_numpy(), "dst": out})
-    kind = t.schema["key"].dataType.simpleString()
-    return t.groupBy("_fam").cogroup(taken.join(t.select(F.col("_fam").alias("_fam2")).distinct(), "_fam2", "left_semi")
-                                     .groupBy("_fam2")).applyInPandas(assign, f"key {kind}, dst string")
-
-
-def _by_rank(targets: DataFrame, ex_names: DataFrame, style: str) -> DataFrame:
-    """For a target wanted by ``n`` rows, with ``E`` existing files that are
-    the target or one of its variants (found by stripping the variant number
-    from existing names: an equi join on the base path), the first ``n + E``
-    candidates always hold ``n`` free names, so exactly that many are
-    generated per distinct target -- never one list per row."""
+    from ..session import materialize
+    ex = existing.select(F.col("path").alias("_ex")).distinct()
+    rank = F.struct("order", "key")
+    classes = targets.groupBy("target").agg(F.count(F.lit(1)).alias("_n"), F.min(rank).alias("_first"))
+    marks = F.regexp_count(P.basename("target"), F.lit(_MARK[style]))
+    classes = materialize(classes.join(ex, F.col("target") == F.col("_ex"), "left").select(
+        "target", "_n", "_first", F.col("_ex").isNotNull().alias("_taken"), _variant_of(F.col("target"), style).alias("_base"),
+        marks.alias("_depth")), "name-classes")
+    crowded = classes.where((F.col("_n") > 1) | F.col("_taken"))
+    depths = {r[0] for r in crowded.select("_depth").distinct().collect()}       # nesting levels
+    lost = served = done = None
+    while depths:
+        depth = min(depths)
+        depths.discard(depth)
+        now = crowded.where(F.col("_depth") == depth).select("target", "_n", F.lit(False).alias("_lost"))
+        if lost is not None:
+            now = now.join(lost, "target", "left_anti").unionByName(
+                classes.where(F.col("_depth") == depth).join(lost, "target").select("target", "_n", F.lit(True).alias("_lost")))
+        now = materialize(now, "names-crowded")
+        got = materialize(_settle(targets, now, classes, ex, style), "names-settled")
+        part = got.select("key", "dst")
+        served = now.select("target") if served is None else served.unionByName(now.select("target"))
+        done = part if done is None else done.unionByName(part)
+        # plain names that rows of this nesting took; their own rows are served later
+        lost = got.where("_of is not null").select(F.col("dst").alias("target"))
+        depths |= {r[0] for r in classes.join(lost, "target", "left_semi").select("_depth").distinct().collect()}
+    if done is None:
+        return targets.select("key", F.col("target").alias("dst"))
+    return targets.join(served.distinct(), "target", "left_anti").select("key", F.col("target").alias("dst")).unionByName(done)
+
+
+def _settle(targets: DataFrame, now: DataFrame, classes: DataFrame, ex: DataFrame, style: str) -> DataFrame:
+    """``key, dst, _of`` of all rows of the crowded targets ``now``; ``_of`` is
+    set where ``dst`` is wanted plainly by another target's row.
+
+    For a target wanted by ``n`` rows, with ``E`` existing files and ``W``
+    wanted targets among its variants, the first ``n + E + W + 2`` candidates
+    always hold ``n`` free names, so exactly that many are generated per
+    distinct target -- never one list per row."""
     from ..operators.ids import group_rank
-    st = P.stem(P.basename("_ex"))
-    base_stem = F.regexp_extract(st, _VARIANT_STEM[style], 1)
-    base = _named_like(F.col("_ex"), F.when(base_stem != "", base_stem).otherwise(st))
-    # an existing name counts for its base and, as a plain name, for itself
-    hits = ex_names.select(F.explode(F.array_distinct(F.array(base, F.col("_ex")))).alias("target"))
-    e_cnt = hits.groupBy("target").agg(F.count(F.lit(1)).alias("_e"))
-    t = group_rank(targets, ["target"], ["order", "key"], "_nth")
-    per_target = (t.groupBy("target").agg(F.count(F.lit(1)).alias("_n_rows"))
-                  .join(e_cnt, "target", "left")
-                  .withColumn("_e", F.coalesce("_e", F.lit(0))))
-    # candidate numbers 0..n+E, generated in chunks spread over tasks so a
-    # target wanted by millions of rows is not expanded inside one task
-    last = F.col("_n_rows") + F.col("_e")
-    chunks = (per_target.select("target", last.alias("_last"),
-                                F.explode(F.sequence(F.lit(0), F.floor(last / NAME_CHUNK).cast("long"))).alias("_c"))
-              .repartition("target", "_c"))
-    cand = chunks.select("target", F.explode(F.sequence(
-        F.col("_c") * NAME_CHUNK, F.least((F.col("_c") + 1) * NAME_CHUNK - 1, F.col("_last")))).alias("_n"))
-    cand = cand.withColumn("_cand", _numbered(F.col("target"), F.col("_n"), style)) \
-        .join(ex_names, F.col("_cand") == F.col("_ex"), "left_anti")
-    cand = group_rank(cand, ["target"], ["_n"], "_nth")
-    return t.join(cand, ["target", "_nth"]).select("key", F.col("_cand").alias("dst"))
+    from ..session import materialize
+    near = ex.select(_variant_of(F.col("_ex"), style).alias("target")).unionByName(
+        classes.select(F.col("_base").alias("target"))).where("target is not null") \
+        .join(now, "target", "left_semi").groupBy("target").agg(F.count(F.lit(1)).alias("_near"))
+    last = F.col("_n") + F.coalesce("_near", F.lit(0)) + 1
+    # candidate numbers are generated in chunks spread over tasks, so a target
+    # wanted by millions of rows is not expanded inside one task
+    chunks = now.join(near, "target", "left").select("target", "_lost", last.alias("_last"), F.explode(
+        F.sequence(F.lit(0), F.floor(last / NAME_CHUNK).cast("long"))).alias("_c")).repartition("target", "_c")
+    names = chunks.select("target", "_lost", F.explode(F.sequence(
+        F.col("_c") * NAME_CHUNK, F.least((F.col("_c") + 1) * NAME_CHUNK - 1, F.col("_last")))).alias("_k"))
+    names = names.withColumn("dst", _numbered(F.col("target"), F.col("_k"), style)) \
+        .where((F.col("_k") > 0) | ~F.col("_lost")).join(ex, F.col("dst") == F.col("_ex"), "left_anti")
+    limits = classes.select(F.col("target").alias("_of"), F.col("_first").alias("_limit"))
+    names = names.join(limits, (F.col("dst") == F.col("_of")) & (F.col("_k") > 0), "left").select("target", "_k", "dst", "_of", "_limit")
+    names = materialize(names, "names-free")
+    rows = group_rank(targets.join(now, "target", "left_semi"), ["target"], ["order", "key"], "_nth")
+    rows = materialize(rows.select("target", "key", F.struct("order", "key").alias("_rank"), "_nth"), "names-rows")
+    while True:
+        pairs = rows.join(group_rank(names, ["target"], ["_k"], "_nth"), ["target", "_nth"])
+        pairs = materialize(pairs, "names-tried")
+        late = pairs.where(F.col("_limit") < F.col("_rank"))
+        if late.isEmpty():
+            return pairs.select("key", "dst", "_of")
+        # below a target's first refusal all is settled; names closed to its row are closed to later rows too
+        first = late.groupBy("target").agg(F.min(F.struct("_k", "_rank")).alias("_at"))
+        closed = F.coalesce((F.col("_k") >= F.col("_at._k")) & (F.col("_limit") < F.col("_at._rank")), F.lit(False))
+        names = materialize(names.join(first, "target", "left").where(~closed).drop("_at"), "names-free")
 
 
 # ------------------------------------------------------------ conversion
@@ -139,78 +146,56 @@ def _rename_sidecar(json_path: Column, json_name: Column, media_name: Column):
 
 
 def conversion_plan(manifest: DataFrame, headers: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """Per manifest row: type correction from magic bytes, image format
-    conversion to JPEG, sidecar renaming, then video conversion to MP4.
-    ``headers``: ``path, header_hex`` (first 12 bytes) of present files.
-    With ``existing`` (``path``), a renamed sidecar whose name is taken gets
-    ``<stem>(1).json``, ``(2)``, ... (the converted media names themselves
-    are not collision-checked, as their tags keep them apart).
+    """Per manifest row one of: type correction from magic bytes, conversion of
+    an image format to JPEG, of a video format to MP4; the sidecar follows the
+    new media name. ``headers``: ``path, header_hex`` (first 12 bytes) of
+    present files. With ``existing`` (``path``), no new name repeats or exists:
+    media names that are taken become ``<stem>_1``, ``_2``, ... and sidecars
+    ``<stem>(1).json``, ``(2)``, ...
     Returns the rewritten rows that changed: ``row_id, media_path,
     corrected_path, new_ext, json_filename, json_path, action_taken``."""
+    from ..session import materialize
     h = headers.select(F.col("path").alias("_hp"), F.col("header_hex").alias("_hdr"))
     m = left_join_set(manifest, F.col("media_path"), h, "_hp")
-    media0 = F.coalesce(F.col("media_path"), F.lit(""))
-    name0 = P.basename(media0)
-    old_ext = P.lower_suffix(name0)
-    # 1. extension from magic bytes
+    media = F.coalesce(F.col("media_path"), F.lit(""))
+    old_ext = P.lower_suffix(P.basename(media))
     fixed_ext = S.type_from_magic(F.col("_hdr"), old_ext)
-    fix = (media0 != "") & fixed_ext.isNotNull()
-    name1 = F.when(fix, N.tagged_conversion_name(name0, fixed_ext, F.regexp_replace(old_ext, r"^\.", ""))) \
-        .otherwise(name0)
-    m = (m.withColumn("_fix", fix).withColumn("_name0", name0).withColumn("_name1", name1)
-         .withColumn("_dir", P.parent(media0)))
-    m = m.withColumn("_act", F.when(F.col("_fix"), S.append_history(
-        "action_taken", F.concat(F.lit(K.ACTION_RENAMED), F.col("_name0"), F.lit(K.ACTION_ARROW), F.col("_name1"))))
-        .otherwise(F.col("action_taken")))
-    m = m.withColumn("_ext1", F.when(F.col("_fix"), fixed_ext).otherwise(F.col("new_ext")))
-    # 2. image conversion to JPEG (tag: fixed names for png/heic/dng, else the suffix as written)
-    e1 = P.lower_suffix(F.col("_name1"))
-    raw_tag = F.regexp_replace(P.suffix(F.col("_name1")), r"^\.", "")
-    tag = F.when(e1.isin(".png", ".heic", ".dng"), F.regexp_replace(e1, r"^\.", "")).otherwise(raw_tag)
-    conv = (media0 != "") & (F.coalesce(S.conversion_target(e1), F.lit("")) == ".jpg")
-    name2 = F.when(conv, N.tagged_conversion_name(F.col("_name1"), F.lit(".jpg"), tag)).otherwise(F.col("_name1"))
-    m = m.withColumn("_conv", conv).withColumn("_name2", name2)
-    m = m.withColumn("_act", F.when(F.col("_conv"), S.append_history(
-        "_act", F.concat(F.lit(K.ACTION_CONVERTED), F.col("_name2")))).otherwise(F.col("_act")))
-    m = m.withColumn("_ext2", F.when(F.col("_conv"), F.lit(".jpg")).otherwise(F.col("_ext1")))
-    # 3. sidecar follows a renamed media
-    moved = F.col("_fix") | F.col("_conv")
-    jname0 = P.basename(F.coalesce(F.col("json_path"), F.lit("")))
-    jn, jp = _rename_sidecar(F.coalesce(F.col("json_path"), F.lit("")), jname0, F.col("_name2"))
-    m = (m.withColumn("_jn2", F.when(moved & (F.coalesce(F.col("json_path"), F.lit("")) != ""), jn)
-                      .otherwise(F.col("json_filename")))
-         .withColumn("_jp2", F.when(moved, jp).otherwise(F.col("json_path"))))
-    # 4. video conversion to MP4
-    e2 = P.lower_suffix(F.col("_name2"))
-    vid = (media0 != "") & (F.coalesce(S.conversion_target(e2), F.lit("")) == ".mp4")
-    vtag = F.regexp_replace(e2, r"^\.", "")
-    name3 = F.when(vid, N.tagged_conversion_name(F.col("_name2"), F.lit(".mp4"), vtag)).otherwise(F.col("_name2"))
-    m = m.withColumn("_vid", vid).withColumn("_name3", name3)
-    m = m.withColumn("_act", F.when(F.col("_vid"), S.append_history(
-        "_act", F.concat(F.lit(K.ACTION_CONVERTED_VIDEO), vtag, F.lit(K.ACTION_TO_MP4)))).otherwise(F.col("_act")))
-    m = m.withColumn("_ext3", F.when(F.col("_vid"), F.lit(".mp4")).otherwise(F.col("_ext2")))
-    jn3, jp3 = _rename_sidecar(F.coalesce(F.col("_jp2"), F.lit("")), P.basename(F.coalesce(F.col("_jp2"), F.lit(""))),
-                               F.col("_name3"))
-    m = (m.withColumn("_jn3", F.when(F.col("_vid") & (F.coalesce(F.col("_jp2"), F.lit("")) != ""), jn3)
-                      .otherwise(F.col("_jn2")))
-         .withColumn("_jp3", F.when(F.col("_vid"), jp3).otherwise(F.col("_jp2"))))
-    changed = F.col("_fix") | F.col("_conv") | F.col("_vid")
-    new_media = F.concat_ws("/", F.col("_dir"), F.col("_name3"))
-    out = m.where(changed).select(
-        "row_id", new_media.alias("media_path"), new_media.alias("corrected_path"),
-        F.col("_ext3").alias("new_ext"), F.col("_jn3").alias("json_filename"),
-        F.col("_jp3").alias("json_path"), F.col("_act").alias("action_taken"),
-        (F.coalesce(F.col("_jp3"), F.lit("")) != F.coalesce(F.col("json_path"), F.lit(""))).alias("_renamed"))
+    m = m.select(*manifest.columns, F.when(media != "", fixed_ext).alias("_fixed"),
+                 F.when(media != "", S.conversion_target(old_ext)).alias("_to"), P.basename(media).alias("_name"),
+                 old_ext.alias("_old"), P.parent(media).alias("_dir"))
+    # a corrected file is a .jpg or .mov, which no conversion takes
+    m = m.withColumn("_kind", F.when(F.col("_fixed").isNotNull(), "fix").when(F.col("_to") == ".jpg", "image")
+                     .when(F.col("_to") == ".mp4", "video")).where("_kind is not null")
+    bare = F.regexp_replace(F.col("_old"), r"^\.", "")
+    # the tag: the lower-case suffix, but as written for images other than png, heic and dng
+    tag = F.when((F.col("_kind") == "image") & ~F.col("_old").isin(".png", ".heic", ".dng"),
+                 F.regexp_replace(P.suffix(F.col("_name")), r"^\.", "")).otherwise(bare)
+    ext = F.coalesce("_fixed", "_to")
+    m = m.withColumn("_new", F.concat_ws("/", "_dir", N.tagged_conversion_name(F.col("_name"), ext, tag)))
+    if existing is not None:
+        # the naming steps read the changed rows several times: write them once
+        m = materialize(m, "conversion-rows")
+        free = free_names(m.select(F.col("row_id").alias("key"), F.col("_new").alias("target"), F.col("row_id").alias("order")),
+                          existing, "underscore")
+        m = m.drop("_new").join(free.select(F.col("key").alias("row_id"), F.col("dst").alias("_new")), "row_id")
+    new_name = P.basename("_new")
+    done = F.when(F.col("_kind") == "fix", F.concat(F.lit(K.ACTION_RENAMED), F.col("_name"), F.lit(K.ACTION_ARROW), new_name)) \
+        .when(F.col("_kind") == "image", F.concat(F.lit(K.ACTION_CONVERTED), new_name)) \
+        .otherwise(F.concat(F.lit(K.ACTION_CONVERTED_VIDEO), bare, F.lit(K.ACTION_TO_MP4)))
+    old_json = F.coalesce(F.col("json_path"), F.lit(""))
+    jn, jp = _rename_sidecar(old_json, P.basename(old_json), new_name)
+    has = old_json != ""
+    out = m.select("row_id", F.col("_new").alias("media_path"), F.col("_new").alias("corrected_path"), ext.alias("new_ext"),
+                   F.when(has, jn).otherwise(F.col("json_filename")).alias("json_filename"),
+                   F.when(has, jp).otherwise(F.col("json_path")).alias("json_path"),
+                   S.append_history("action_taken", done).alias("action_taken"), (has & (jp != old_json)).alias("_renamed"))
     if existing is None:
         return out.drop("_renamed")
-    # the naming step reads the rewritten rows several times: write them once
-    from ..session import materialize
-    out = materialize(out, "conversion-rows")
+    out = materialize(out, "conversion-sidecars")
     ren = out.where("_renamed").select(F.col("row_id").alias("key"), F.col("json_path").alias("target"),
                                        F.col("row_id").alias("order"))
     free = free_names(ren, existing, "paren").select(F.col("key").alias("row_id"), F.col("dst").alias("_free"))
-    out = out.join(free, "row_id", "left")
-    return out.select(
+    return out.join(free, "row_id", "left").select(
         "row_id", "media_path", "corrected_path", "new_ext",
         F.when(F.col("_free").isNotNull(), P.basename("_free")).otherwise(F.col("json_filename")).alias("json_filename"),
         F.coalesce(F.col("_free"), F.col("json_path")).alias("json_path"), "action_taken")

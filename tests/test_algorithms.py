@@ -1,6 +1,7 @@
 """Custom algorithms vs sequential / brute-force oracles on random inputs."""
 
 import random
+from pathlib import PurePosixPath
 
 
 from pyspark.sql import functions as F
@@ -70,8 +71,8 @@ def test_pairing_equals_greedy_loop(spark):
 
 # ---------------------------------------------------------------- recovery
 
-def test_serial_assignment_equals_sequential_loop(spark):
-    for seed in range(3):
+def test_recovery_gives_each_sidecar_its_first_free_media(spark):
+    for seed in range(1):
         rnd = random.Random(seed)
         jsons = [f"IMG_{rnd.randint(0, 40)}{rnd.choice(['', '1', '(1)'])}.jpg.json" for _ in range(60)]
         media = [f"IMG_{rnd.randint(0, 40)}{rnd.choice(['', '1', '_1', '(1)'])}.{rnd.choice(['jpg', 'png'])}"
@@ -115,6 +116,66 @@ def test_hamming_pairs_equal_brute_force(spark):
         assert exp
 
 
+def brute_best(files, k, limit):
+    """Per quarantined file the k nearest others of its year (of all years without one)."""
+    year = lambda p: next((x for x in reversed(p.split("/")[:-1]) if x.startswith("Photos from ")), "")      # noqa: E731
+    out = {}
+    for _, q, hq in files:
+        if q.startswith("/r/Q/"):
+            near = sorted((bin(int(hq, 16) ^ int(h, 16)).count("1"), n, p) for n, p, h in files
+                          if not p.startswith("/r/Q/") and year(q) in ("", year(p)))
+            out.update({(q, r): (p, d) for r, (d, n, p) in enumerate(near[:k], 1) if d <= limit})
+    return out
+
+
+def test_best_matches_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK", 16), monkeypatch.setattr(similarity, "BAND_CHUNK", 9)
+    rnd = random.Random(2)
+    hot = [rnd.getrandbits(64) for _ in range(3)]
+    files = []
+    for i in range(260):
+        h = rnd.choice(hot) if i % 3 == 0 else rnd.getrandbits(64) if i % 3 == 1 else hot[0] ^ (rnd.getrandbits(16) << 16)
+        folder = rnd.choice(["Photos from 2010", "Photos from 2011", "Photos from 2012", "x"])
+        files.append((i, f"/r/{'Q/' if i % 4 == 0 else ''}Z001/{folder}/f{rnd.randint(0, 10**9)}.jpg", f"{h:016x}"))
+    m = spark.createDataFrame(files, "row_id long, media_path string, phash64 string")
+    for k, limit in ((1, 10), (3, 10), (5, None)):
+        got = {(r["unmatched"], r["rank"]): (r["match"], r["distance"])
+               for r in similarity.best_matches(m, "/r/Q", k, threshold=limit).collect()}
+        assert got == brute_best(files, k, 64 if limit is None else limit), (k, limit)
+
+
+def test_equal_hashes_stay_linear(spark):
+    """Files of one hash are one row of the search; each file gets k rows."""
+    files = [(i, f"/r/{'Q/' if i % 2 else ''}Z001/Photos from 2010/f{i:05d}.jpg", "00ff00ff00ff00ff") for i in range(4000)]
+    m = spark.createDataFrame(files, "row_id long, media_path string, phash64 string")
+    got = similarity.best_matches(m, "/r/Q", 2).collect()
+    assert len(got) == 4000 and {(r["rank"], r["match"]) for r in got} == {(1, files[0][1]), (2, files[2][1])}
+
+
+def test_recovery_of_homonyms_and_contested_keys(spark, monkeypatch):
+    rounds = []
+    write = recovery.materialize
+    monkeypatch.setattr(recovery, "materialize", lambda df, name: rounds.append(name) or write(df, name))
+    paths = [f"/q/J/Z{i:03d}/IMG_1.jpg.json" for i in range(500)] + [f"/q/M/Z{i:03d}/IMG_1.jpg" for i in range(400)]
+    got = recovery.recover_pairs(spark.createDataFrame([(p,) for p in paths], "path string"), "/q/J", "/q/M").collect()
+    assert {r["json_path"]: r["media_path"] for r in got} == {paths[i]: paths[500 + i].replace("IMG_1.jpg.json", "IMG_1.jpg") for i in range(400)}
+    assert rounds.count("recovery-lost") == 1 and rounds.count("recovery-parts") <= 2
+    for seed in range(1):
+        rnd = random.Random(seed)
+        j = sorted({f"/q/J/{rnd.randint(0, 30):02d}/{'1' * rnd.randint(1, 4)}{rnd.choice(['', 'a'])}.json" for _ in range(16)})
+        m = sorted({f"/q/M/{rnd.randint(0, 30):02d}/{'1' * rnd.randint(1, 5)}{rnd.choice(['', 'a', 'b'])}.x" for _ in range(12)})
+        got = {r["json_path"]: r["media_path"] for r in recovery.recover_pairs(
+            spark.createDataFrame([(p,) for p in j + m], "path string"), "/q/J", "/q/M").collect()}
+        key = lambda p: p.rsplit("/", 1)[1].split(".")[0]      # noqa: E731
+        left, want = list(m), {}
+        for p in j:
+            first = next((x for x in left if key(p) in key(x) or key(x) in key(p)), None)
+            if first:
+                want[p] = first
+                left.remove(first)
+        assert got == want
+
+
 # ---------------------------------------------------------------- free names
 
 def test_free_names_underscore(spark):
@@ -207,22 +268,52 @@ def test_sampling_and_skip_flags(spark):
     assert kinds == {1}
 
 
+def numbered_path(path, n, style):
+    """Variant ``n`` of a path from the definition; 0 is the path itself."""
+    folder, _, name = path.rpartition("/")
+    p = PurePosixPath(name)
+    mark = {"underscore": f"_{n}", "paren": f"({n})", "restored": "_restored" + (f"_{n - 1}" if n > 1 else "")}[style] if n else ""
+    return f"{folder}/{p.stem}{mark}{p.suffix}"
+
+
+def check_names(spark, rows, present, style):
+    """Every row, in order, has the first variant that neither exists nor went to an earlier row."""
+    got = {r["key"]: r["dst"] for r in actions.free_names(
+        spark.createDataFrame(rows, "key string, target string, order long").repartition(7),
+        spark.createDataFrame([(p,) for p in present], "path string"), style).collect()}
+    assert len(got) == len(rows) and len(set(got.values())) == len(got)
+    held = set(present)
+    for k, target, _ in sorted(rows, key=lambda r: (r[2], r[0])):
+        n = 0
+        while numbered_path(target, n, style) in held:
+            n += 1
+        assert got[k] == numbered_path(target, n, style), (style, k, target)
+        held.add(got[k])
+
+
+def test_free_names_of_camera_names(spark, monkeypatch):
+    """Only contested targets go through the rounds; long rows of wanted variants are passed in one."""
+    seen = []
+    settle = actions._settle
+    monkeypatch.setattr(actions, "_settle", lambda t, now, *a: seen.append(now.count()) or settle(t, now, *a))
+    rows = [(f"k{i:05d}", f"/d/IMG_{i:05d}.jpg", i) for i in range(3000)]
+    check_names(spark, rows, [f"/d/IMG_{i:05d}.jpg" for i in range(0, 3000, 300)], "underscore")
+    assert sum(seen) == 10
+    rows = [(f"p{i}", f"/d/IMG_{i}.jpg", 2 * i) for i in range(1, 60)] + [(f"q{i}", "/d/IMG.jpg", 31 * i) for i in range(6)] \
+        + [("dot1", "/d/n.", 1), ("dot2", "/d/n.", 3), ("dot3", "/d/n._1", 2), ("dot4", "/d/n._1", 4)]
+    check_names(spark, rows, ["/d/IMG_7.jpg"], "underscore")
+    check_names(spark, [("a", "/d/x.jpg", 1)], [], "paren")
+
+
 def test_free_names_never_repeat(spark):
     rnd = random.Random(5)
     pool = [f"/d{k}/{n}{v}.jpg" for k in range(3) for n in ("a", "b", "a_b") for v in ("", "_1", "_2", "_1_1", "_7")]
     for style in ("underscore", "paren", "restored"):
         rows = [(f"k{i:03d}", rnd.choice(pool if style == "underscore" else
-                                         [x.replace("_1", N.numbered_path("/x", 1, style)[2:]) for x in pool]), i) for i in range(120)]
+                                         [x.replace("_1", numbered_path("/x", 1, style)[2:]) for x in pool]), i) for i in range(120)]
         present = rnd.sample(pool, 12) + ["/d0/a_3.jpg", "/d0/a(1).jpg", "/d1/b_restored.jpg"]
-        got = {r["key"]: r["dst"] for r in actions.free_names(
-            spark.createDataFrame(rows, "key string, target string, order long").repartition(7),
-            spark.createDataFrame([(p,) for p in present], "path string"), style).collect()}
-        assert len(set(got.values())) == len(got) == len(rows) and not set(got.values()) & set(present)
-        held = set(present)
-        for k, target, _ in rows:                     # in order: no earlier variant was free
-            variants = [N.numbered_path(target, n, style) for n in range(200)]
-            assert got[k] == next(v for v in variants if v not in held), (style, k)
-            held.add(got[k])
+        rnd.shuffle(rows)
+        check_names(spark, rows, present, style)
     probe = spark.createDataFrame([("1", "/q/a.jpg", 1), ("2", "/q/a.jpg", 2), ("3", "/q/a_1.jpg", 3)], "key string, target string, order long")
     none = spark.createDataFrame([], "path string")
     assert {r["key"]: r["dst"] for r in actions.free_names(probe, none, "underscore").collect()} == {
@@ -256,6 +347,19 @@ def test_free_names_many_rows_one_target(spark, monkeypatch):
     assert got == {f"k{i}": free[i] for i in range(n)}
 
 
+def test_converted_media_names_do_not_collide(spark):
+    names = ["/d/IMG.PNG", "/d/IMG.png", "/d/x.heic", "/d/y.avi", "/d/z.png"]
+    m = spark.createDataFrame([(i, p, p + ".supp.json", p[3:] + ".supp.json", "", "") for i, p in enumerate(names)],
+                              "row_id long, media_path string, json_path string, json_filename string, action_taken string, new_ext string")
+    headers = spark.createDataFrame([("/d/z.png", "FFD8FFE000104A4649460001")], "path string, header_hex string")
+    existing = spark.createDataFrame([(p,) for p in [*names, "/d/x_heic_conv.jpg", "/d/z_png_conv.jpg.supp.json"]], "path string")
+    got = {r["row_id"]: (r["media_path"], r["json_path"], r["action_taken"]) for r in actions.conversion_plan(m, headers, existing).collect()}
+    assert {k: v[0] for k, v in got.items()} == {0: "/d/IMG_png_conv.jpg", 1: "/d/IMG_png_conv_1.jpg", 2: "/d/x_heic_conv_1.jpg",
+                                                 3: "/d/y_avi_conv.mp4", 4: "/d/z_png_conv.jpg"}
+    assert got[1][1] == "/d/IMG_png_conv_1.jpg.supp.json" and got[4][1] == "/d/z_png_conv.jpg.supp(1).json"
+    assert got[2][2].endswith("x_heic_conv_1.jpg") and "z_png_conv.jpg" in got[4][2]
+
+
 def test_conversion_sidecar_collision_and_guardrail_apply(spark):
     from keepsake.operators import dedup
     m = spark.createDataFrame([
