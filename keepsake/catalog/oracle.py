@@ -202,6 +202,8 @@ FROM quar q JOIN won w ON lower(q.row_type) = 'unmatched_media' AND q.media_path
     out.update(file_sql())
     out["intake_stream"] = out["archive_intake_plan"]
     out.update(plan_sql())
+    out.update(picture_sql())
+    out["tag_csv_file"] = out["tag_csv"]
     out["quarantine_move_plan"] = quarantine_move_sql()
     out["type_from_magic"] = type_from_magic_sql()
     out["unmatched_sidecars"] = BASE + """
@@ -576,6 +578,61 @@ FROM manifest WHERE media_path <> '' AND coalesce(formatted_time, '') <> ''"""
     return out
 
 
+def picture_sql() -> dict[str, str]:
+    """The pixel queries from the block pictures' definition (64 components:
+    8 x 8 blocks): SHA-1 over the pixel bytes, the 8 x 8 low DCT coefficients as
+    sums over blocks, pixel differences block by block."""
+    scale = "(x - list_min({v})) / (list_max({v}) - list_min({v}) + 1e-12) * 200 + 20"
+    pic = lambda v: f"list_transform({v}, lambda x: {scale.format(v=v)})"      # noqa: E731
+    base = f"""
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+both_e AS (SELECT e.vec_id, e.v, coalesce(n.v, list_reverse(e.v)) AS nv FROM e LEFT JOIN e n ON n.vec_id = e.vec_id + 1),
+f AS (SELECT vec_id, {pic("v")} AS a, {pic("nv")} AS n FROM both_e),
+pics AS (
+  SELECT 2 * vec_id AS id, 'orig/v' || printf('%05d', vec_id) || '.png' AS file, 8 AS px,
+         list_transform(a, lambda x: trunc(x)::INTEGER) AS b FROM f
+  UNION ALL
+  SELECT 2 * vec_id + 1, 'copy/v' || printf('%05d', vec_id) || '.png', CASE WHEN vec_id % 3 = 1 THEN 12 ELSE 8 END,
+         CASE vec_id % 3 WHEN 0 THEN list_transform(a, lambda x: trunc(least(x + 6, 255))::INTEGER)
+                         WHEN 1 THEN list_transform(a, lambda x: trunc(x)::INTEGER)
+                         ELSE list_transform(n, lambda x: trunc(x)::INTEGER) END FROM f),
+side AS (SELECT unnest(range(8)) AS r),
+g AS (SELECT u.r AS u, p.r, list_sum(list_transform(range(4 * p.r, 4 * p.r + 4), lambda i: 2 * cos(pi() * (2 * i + 1) * u.r / 64))) AS w
+      FROM side u, side p),
+cells AS (SELECT id, k // 8 AS r, k % 8 AS c, b[k + 1] AS x FROM pics, range(64) t(k)),
+coef AS (SELECT id, gu.u AS u, gv.u AS v, sum(x * gu.w * gv.w) AS f FROM cells JOIN g gu ON gu.r = cells.r JOIN g gv ON gv.r = cells.c
+         GROUP BY id, gu.u, gv.u),
+bits AS (SELECT id, 8 * u + v AS k, (f > median(f) OVER (PARTITION BY id))::INTEGER AS bit FROM coef),
+hashes AS (SELECT id, string_agg(printf('%x', nib), '' ORDER BY j) AS h
+           FROM (SELECT id, k // 4 AS j, sum(bit << (3 - k % 4)::INTEGER)::INTEGER AS nib FROM bits GROUP BY id, k // 4) GROUP BY id)"""
+    checked = base + """,
+pairs AS (SELECT c.id, c.file, list_sum(list_transform(range(1, 65), lambda i: abs(a.b[i] - c.b[i]))) / 64.0 AS diff
+          FROM pics a JOIN pics c ON c.id = a.id + 1 AND a.id % 2 = 0),
+far AS (SELECT c.id AS id, sum((a.bit <> c.bit)::INTEGER)::BIGINT AS distance
+        FROM bits a JOIN bits c ON c.id = a.id + 1 AND a.id % 2 = 0 AND a.k = c.k GROUP BY c.id)"""
+    out = {"image_phash": base + "\nSELECT file, h AS phash64 FROM pics JOIN hashes USING (id)"}
+    line = "list_aggregate(list_transform(range(8), lambda c: repeat(printf('%02x', b[8 * r + c + 1]), 3 * px)), 'string_agg', '')"
+    out["image_fingerprints"] = base + f""",
+lines AS (SELECT id, string_agg(repeat({line}, px), '' ORDER BY r) AS bytes FROM pics, side GROUP BY id)
+SELECT file, sha1(unhex(repeat(printf('%02x', 8 * px) || '000000', 2) || bytes)) AS content_sha1, h AS phash64
+FROM pics JOIN hashes USING (id) JOIN lines USING (id)"""
+    out["guardrail_pixels"] = checked + """
+SELECT file, round(diff, 3) AS diff, distance AS hash_distance,
+       CASE WHEN diff > 10 OR distance > 4 THEN 'guardrail_uncertain' ELSE 'keep_flag' END AS verdict
+FROM pairs JOIN far USING (id)"""
+    out["guardrail_first_pass"] = checked + """
+SELECT file, round(diff, 3) AS diff, CASE WHEN diff > 3 THEN 'guardrail_uncertain' ELSE 'keep_flag' END AS verdict FROM pairs"""
+    out["guardrail_writeback"] = base + """,
+same AS (SELECT id, file, b, min(id) OVER (PARTITION BY h) AS keeper, count(*) OVER (PARTITION BY h) AS n FROM pics JOIN hashes USING (id)),
+judged AS (SELECT s.id, s.file, s.id = s.keeper AS kept,
+                  list_sum(list_transform(range(1, 65), lambda i: abs(a.b[i] - s.b[i]))) / 64.0 > 3 AS apart
+           FROM same s JOIN pics a ON a.id = s.keeper WHERE s.n > 1)
+SELECT id AS row_id, '/data/Pictures/' || file AS media_path, CASE WHEN kept OR apart THEN 'false' ELSE 'true' END AS delete_flag,
+       CASE WHEN kept THEN 'best_candidate' WHEN apart THEN 'guardrail_uncertain' ELSE 'phash' END AS dedup_reason
+FROM judged"""
+    return out
+
+
 def plan_sql() -> dict[str, str]:
     out = {}
     gp = f"'{ROOT}/Z' || printf('%03d', doc_id % 3 + 1) || '/Takeout/Google Photos'"

@@ -28,6 +28,7 @@ from ..sources import archives as ARC
 from ..sources import files as SRC
 from ..sources import manifest_csv as CSV
 from ..sources import texts as TX
+from ..sources.sinks import write_times_csv
 from . import filesets as FS
 from ..operators import pairing
 from ..operators.joins import left_join_set
@@ -282,28 +283,26 @@ def q_stage_stats(spark, sf_dir):
     inv = pairing.describe_files(inventory(spark, sf_dir)).where(F.col("year_folder") != "")
     m = manifest(spark, sf_dir)
     d = deduped_manifest(spark, sf_dir)
-    plan = D.deletion_plan(d, inventory_now(spark, sf_dir))
 
-    def one(df, metric, cond):
-        return df.agg(F.count_if(cond).alias("value")).select(F.lit(metric).alias("metric"), "value")
+    def counts(df, **metrics):
+        """One aggregate over a table, one row per metric."""
+        row = df.agg(*[F.count_if(c).alias(n) for n, c in metrics.items()])
+        return row.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in metrics])).alias("r")) \
+            .select("r.*")
 
+    kind, every = F.col("row_type"), F.lit(True)
+    status = D.deletion_status(d, inventory_now(spark, sf_dir))
     parts = [
-        one(inv, "media_files", ~F.col("is_json")),
-        one(inv, "sidecar_files", F.col("is_json")),
-        one(m, "matched", F.col("row_type") == "matched"),
-        one(m, "unmatched_json", F.col("row_type") == "unmatched_json"),
-        one(m, "unmatched_media", F.col("row_type") == "unmatched_media"),
-        one(m, "rows_with_notes", F.coalesce("notes", F.lit("")) != ""),
-        one(m, "manifest_rows", F.lit(True)),
-        one(d, "flagged_copies", S.flag_is("delete_flag", "true")),
-        one(d, "group_rows", F.col("dedup_group_id") != ""),
-        one(plan, "deleted_media", F.col("reason") == "duplicate media"),
-        one(recovered_pairs(spark, sf_dir), "recovered_pairs", F.lit(True)),
-        one(D.deletion_status(d, inventory_now(spark, sf_dir)), "media_rows_after_dedup",
-            (F.col("media_path") != "") & ~S.flag_is("deletion_status", "deleted")),
-        one(converted_changes(spark, sf_dir), "converted", F.col("action_taken").contains("Converted")),
-        one(SIM.reconcile_actions(similarity_manifest(spark, sf_dir), UNMATCHED_ROOT, SIM_ROOT, K.HAMMING_THRESHOLD),
-            "similar_recovered", F.col("op") == "move"),
+        counts(inv, media_files=~F.col("is_json"), sidecar_files=F.col("is_json")),
+        counts(m, matched=kind == "matched", unmatched_json=kind == "unmatched_json", unmatched_media=kind == "unmatched_media",
+               rows_with_notes=F.coalesce("notes", F.lit("")) != "", manifest_rows=every),
+        counts(status, flagged_copies=S.flag_is("delete_flag", "true"), group_rows=F.col("dedup_group_id") != "",
+               deleted_media=S.flag_is("deletion_status", "deleted"),
+               media_rows_after_dedup=(F.col("media_path") != "") & ~S.flag_is("deletion_status", "deleted")),
+        counts(recovered_pairs(spark, sf_dir), recovered_pairs=every),
+        counts(converted_changes(spark, sf_dir), converted=F.col("action_taken").contains("Converted")),
+        counts(SIM.reconcile_actions(similarity_manifest(spark, sf_dir), UNMATCHED_ROOT, SIM_ROOT, K.HAMMING_THRESHOLD),
+               similar_recovered=F.col("op") == "move"),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -521,6 +520,37 @@ def q_image_fingerprints(spark, sf_dir):
     return fp.select(_below(root).alias("file"), "content_sha1", S.phash_to_hex(F.col("phash")).alias("phash64"))
 
 
+def picture_manifest(spark, sf_dir):
+    """Decoded pictures and a fingerprinted manifest of them: one row per
+    file, the original of a picture before its copy."""
+    root = FS.image_files(spark, sf_dir)
+    images = PX.read_images(spark, root).withColumn("path", F.concat(F.lit("/data/Pictures/"), _below(root)))
+    fp = stage(spark, sf_dir, "picture_fingerprints", lambda: PX.image_fingerprints(images))
+    number = F.regexp_extract("path", r"v([0-9]+)\.png$", 1).cast("long")
+    m = fp.select((number * 2 + F.col("path").contains("/copy/").cast("long")).alias("row_id"), F.col("path").alias("media_path"),
+                  P.basename("path").alias("original_media"), F.lit("").alias("json_path"), F.lit("").alias("json_filename"),
+                  "content_sha1", F.coalesce(S.phash_to_hex(F.col("phash")), F.lit("")).alias("phash64"))
+    return images, ensure_columns(m, D.VERDICT_COLUMNS)
+
+
+def q_guardrail_writeback(spark, sf_dir):
+    """Fingerprints, groups, keeper of each flagged copy, pixel check, and the
+    verdicts written back into the manifest."""
+    images, m = picture_manifest(spark, sf_dir)
+    d = session.materialize(D.deduplicate(m), "picture-verdicts")
+    pairs = D.keeper_pairs(d).select(F.col("keeper_path").alias("a_path"), F.col("copy_path").alias("b_path"))
+    checks = PX.guardrail(pairs, images, K.PIXEL_DIFF_FIRST_PASS, None, "to_first")
+    new, _ = D.apply_guardrail(d, checks)
+    return new.where(F.col("dedup_group_id") != "").select("row_id", "media_path", "delete_flag", "dedup_reason")
+
+
+def q_tag_csv_file(spark, sf_dir):
+    """The tag CSV written by its sink and read back as text cells."""
+    out = session.scratch_path(spark, "times-csv")
+    write_times_csv(T.tag_csv(manifest(spark, sf_dir)), out)
+    return CSV.read_manifest(spark, out, typed=False)
+
+
 def _configured(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """Every registered query first applies the session settings it relies
     on (UTC, AQE) and ships the package to the Python workers."""
@@ -620,6 +650,7 @@ def _registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "intake_stream": q_intake_stream,
         "image_phash": q_image_phash,
         "guardrail_pixels": q_guardrail_pixels,
+        "guardrail_writeback": q_guardrail_writeback,
         "fuzzy_recover": q_fuzzy_recover,
         "fuzzy_recover_rows": q_fuzzy_recover_rows,
         "hamming_nearest": q_hamming_nearest,
@@ -629,6 +660,7 @@ def _registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "timestamps_from_json": q_timestamps_from_json,
         "backfill_timestamps": q_backfill_timestamps,
         "tag_csv": q_tag_csv,
+        "tag_csv_file": q_tag_csv_file,
         "file_types": q_file_types,
         "file_type_lists": q_file_type_lists,
         "remove_rows": q_remove_rows,
