@@ -204,6 +204,17 @@ FROM quar q JOIN won w ON lower(q.row_type) = 'unmatched_media' AND q.media_path
     out.update(plan_sql())
     out.update(picture_sql())
     out["tag_csv_file"] = out["tag_csv"]
+    out["pair_sidecars_same_archive"] = same_archive_sql()
+    out["audit_events"] = f"""
+WITH ev AS (
+  SELECT 'verify' AS stage, 'missing path' AS event, row_id, column_name, path, '' AS detail FROM ({out["invalid_paths"]})
+  UNION ALL
+  SELECT 'prune', 'row removed', row_id, '', media_path, json_path FROM ({out["prune_missing"]})
+  UNION ALL
+  SELECT 'clear', 'cell cleared', row_id, column_name, '', old_value FROM ({out["clear_column"]})
+  UNION ALL
+  SELECT 'quarantine', 'path updated', row_id, '', media_path, notes FROM ({out["quarantine_paths"]}))
+SELECT 'r1' AS run, * FROM ev UNION ALL SELECT 'r2', * FROM ev"""
     out["quarantine_move_plan"] = quarantine_move_sql()
     out["type_from_magic"] = type_from_magic_sql()
     out["unmatched_sidecars"] = BASE + """
@@ -578,6 +589,27 @@ FROM manifest WHERE media_path <> '' AND coalesce(formatted_time, '') <> ''"""
     return out
 
 
+def same_archive_sql() -> str:
+    """Pairing inside each archive first, then of what is left; bare sidecars too."""
+    return "WITH " + FIXTURE_CTES + "," + FILES + f""",
+named AS (
+  SELECT file_id, path, name, archive, year_folder, is_json,
+         CASE WHEN NOT is_json THEN lower(name) ELSE lower(coalesce({expected_media('name')},
+           CASE WHEN regexp_matches(lower(name), '^.+[.][^.]+[.]json$') THEN left(name, length(name) - 5) END)) END AS k
+  FROM files),
+home AS (
+  SELECT *, row_number() OVER (PARTITION BY archive, year_folder, k, is_json ORDER BY name, file_id) AS rk,
+         least(count(*) FILTER (is_json) OVER w, count(*) FILTER (NOT is_json) OVER w) AS room
+  FROM named WHERE k IS NOT NULL WINDOW w AS (PARTITION BY archive, year_folder, k)),
+tiers AS (
+  SELECT path, name, year_folder, k, is_json, archive AS tier, rk FROM home WHERE rk <= room
+  UNION ALL
+  SELECT path, name, year_folder, k, is_json, '', row_number() OVER (PARTITION BY year_folder, k, is_json ORDER BY archive, name, file_id)
+  FROM home WHERE rk > room)
+SELECT j.path AS json_path, j.name AS json_name, m.path AS media_path, m.name AS media_name, year_folder
+FROM tiers j JOIN tiers m USING (year_folder, k, tier, rk) WHERE j.is_json AND NOT m.is_json"""
+
+
 def picture_sql() -> dict[str, str]:
     """The pixel queries from the block pictures' definition (64 components:
     8 x 8 blocks): SHA-1 over the pixel bytes, the 8 x 8 low DCT coefficients as

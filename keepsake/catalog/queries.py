@@ -28,7 +28,7 @@ from ..sources import archives as ARC
 from ..sources import files as SRC
 from ..sources import manifest_csv as CSV
 from ..sources import texts as TX
-from ..sources.sinks import write_times_csv
+from ..sources.sinks import record_events, row_events, write_times_csv
 from . import filesets as FS
 from ..operators import pairing
 from ..operators.joins import left_join_set
@@ -99,6 +99,12 @@ def q_pair_sidecars(spark, sf_dir):
         "json_path", "json_name", "media_path", "media_name", "year_folder")
 
 
+def q_pair_sidecars_same_archive(spark, sf_dir):
+    """Pairing with both options: inside each archive first, bare sidecars too."""
+    return pairing.pair_sidecars(inventory(spark, sf_dir), ORDER, prefer_same_archive=True, allow_bare=True).select(
+        "json_path", "json_name", "media_path", "media_name", "year_folder")
+
+
 def q_manifest_build(spark, sf_dir):
     return build_manifest(spark, sf_dir)
 
@@ -551,6 +557,23 @@ def q_tag_csv_file(spark, sf_dir):
     return CSV.read_manifest(spark, out, typed=False)
 
 
+def q_audit_events(spark, sf_dir):
+    """The audit table after two runs, the second of them replayed: path audit,
+    pruning, clearing of notes and path fixes of unmatched rows."""
+    m, now = manifest(spark, sf_dir), inventory_now(spark, sf_dir)
+    out = session.scratch_path(spark, "audit")
+    stages = {
+        "verify": row_events(E.invalid_paths(m, now), "missing path", path="path"),
+        "prune": row_events(E.prune_missing(m, now)[1], "row removed", path="media_path", detail="json_path"),
+        "clear": row_events(E.clear_column(m, "notes")[1], "cell cleared", detail="old_value"),
+        "quarantine": row_events(E.quarantine_unmatched(m, X.ROOT)[1], "path updated", path="media_path", detail="notes"),
+    }
+    for run in ("r1", "r2", "r2"):
+        for name, events in stages.items():
+            record_events(events, out, run, name)
+    return spark.read.parquet(out).select("run", "stage", "event", "row_id", "column_name", "path", "detail")
+
+
 def _configured(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """Every registered query first applies the session settings it relies
     on (UTC, AQE) and ships the package to the Python workers."""
@@ -661,6 +684,7 @@ def _registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "backfill_timestamps": q_backfill_timestamps,
         "tag_csv": q_tag_csv,
         "tag_csv_file": q_tag_csv_file,
+        "audit_events": q_audit_events,
         "file_types": q_file_types,
         "file_type_lists": q_file_type_lists,
         "remove_rows": q_remove_rows,
@@ -678,6 +702,7 @@ def _registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "search_names_exact": q_search_names_exact,
         "stage_stats": q_stage_stats,
         "pair_sidecars": q_pair_sidecars,
+        "pair_sidecars_same_archive": q_pair_sidecars_same_archive,
         "manifest_build": q_manifest_build,
         "dedup_verdicts": q_dedup_verdicts,
         "dedup_groups": q_dedup_groups,

@@ -22,6 +22,13 @@ def sidecar_expected_media(json_name) -> Column:
                   .otherwise(F.concat(base, F.lit("."), ext)))
 
 
+def bare_sidecar_media(json_name) -> Column:
+    """Media name of a sidecar without a middle part: ``base.ext.json`` ->
+    ``base.ext``; null for other shapes."""
+    base = F.regexp_extract(_c(json_name), r"(?is)^(.+\.[^.]+)\.json$", 1)
+    return F.when(base != "", base)
+
+
 def _alnum(x: Column) -> Column:
     return F.regexp_replace(x, K.FUZZY_DROP_RE, "")
 

@@ -19,6 +19,7 @@ from ..functions import constants as K
 from ..functions import paths as P
 from ..functions import names as N
 from ..functions import scalars as S
+from ..session import materialize
 from .ids import dense_index, group_rank
 
 
@@ -31,19 +32,42 @@ def describe_files(inv: DataFrame, path_col: str = "path") -> DataFrame:
             .withColumn("is_json", F.lower(F.col("name")).endswith(".json")))
 
 
-def pair_sidecars(inv: DataFrame, order_by: Sequence[str]) -> DataFrame:
+def _ranked(keyed: DataFrame, order_by: Sequence[str], prefer_same_archive: bool) -> DataFrame:
+    """Files with ``_tier`` and ``_rk``: a sidecar and a media file pair if they
+    agree on year folder, ``_k``, ``_tier`` and ``_rk``.
+
+    One ranking pass serves both sides: the side is part of the group key.
+    With ``prefer_same_archive`` the first tier ranks within the archive and
+    holds as many files of a side as the other side has there; what is left
+    of all archives is ranked anew in the tier ``''``."""
+    by = ["year_folder", "_k", "is_json"]
+    if not prefer_same_archive:
+        return group_rank(keyed, by, order_by, "_rk").withColumn("_tier", F.lit(""))
+    home = ["archive", "year_folder", "_k"]
+    room = keyed.groupBy(*home).agg(F.least(F.count_if("is_json"), F.count_if(~F.col("is_json"))).alias("_room"))
+    own = materialize(group_rank(keyed, [*home, "is_json"], order_by, "_rk").join(room, home), "paired-at-home")
+    here = own.where(F.col("_rk") <= F.col("_room")).drop("_room").withColumn("_tier", F.col("archive"))
+    rest = group_rank(own.where(F.col("_rk") > F.col("_room")).drop("_room", "_rk"), by, order_by, "_rk")
+    return here.unionByName(rest.withColumn("_tier", F.lit("")))
+
+
+def pair_sidecars(inv: DataFrame, order_by: Sequence[str], prefer_same_archive: bool = False,
+                  allow_bare: bool = False) -> DataFrame:
     """Pairs ``(json_path, json_name, media_path, media_name, year_folder)``
-    plus the sidecar's ``content`` when the inventory carries it."""
+    plus the sidecar's ``content`` when the inventory carries it. By default
+    all archives of a year folder are one pool; ``prefer_same_archive`` first
+    pairs inside each archive. ``allow_bare``: ``a.jpg.json`` names ``a.jpg``."""
     files = describe_files(inv).where(F.col("year_folder") != "")
-    key = F.when(F.col("is_json"), F.lower(N.sidecar_expected_media("name"))) \
-        .otherwise(F.lower("name"))
+    expected = N.sidecar_expected_media("name")
+    if allow_bare:
+        expected = F.coalesce(expected, N.bare_sidecar_media("name"))
+    key = F.when(F.col("is_json"), F.lower(expected)).otherwise(F.lower("name"))
     both = files.withColumn("_k", key).where(F.col("_k").isNotNull())
-    # one ranking pass serves both sides: the side is part of the group key
-    ranked = group_rank(both, ["year_folder", "_k", "is_json"], order_by, "_rk")
+    ranked = _ranked(both, order_by, prefer_same_archive)
     jr = ranked.where("is_json")
     mr = ranked.where(~F.col("is_json"))
     content = F.col("j.content") if "content" in inv.columns else F.lit(None).cast("string")
-    return (jr.alias("j").join(mr.alias("m"), ["year_folder", "_k", "_rk"])
+    return (jr.alias("j").join(mr.alias("m"), ["year_folder", "_k", "_tier", "_rk"])
             .select(F.col("j.path").alias("json_path"), F.col("j.name").alias("json_name"),
                     F.col("m.path").alias("media_path"), F.col("m.name").alias("media_name"),
                     "year_folder", content.alias("content")))
