@@ -205,6 +205,12 @@ FROM quar q JOIN won w ON lower(q.row_type) = 'unmatched_media' AND q.media_path
     out.update(picture_sql())
     out["tag_csv_file"] = out["tag_csv"]
     out["pair_sidecars_same_archive"] = same_archive_sql()
+    out["fingerprint_refresh"] = BASE + FP_MANIFEST + f""",
+misses AS (SELECT DISTINCT media_path AS p FROM ({out["fingerprint_cache_misses"]}))
+SELECT m.row_id, m.media_path, CASE WHEN p IS NULL THEN m.content_sha1 ELSE f.content_sha1 END AS content_sha1,
+       CASE WHEN p IS NULL THEN m.phash64 ELSE f.phash64 END AS phash64,
+       CASE WHEN p IS NULL THEN m.hash_mtime ELSE f.mtime END AS hash_mtime, 1 AS version
+FROM fpm m LEFT JOIN misses ON m.media_path = p LEFT JOIN inventory_now f ON f.path = p"""
     out["audit_events"] = f"""
 WITH ev AS (
   SELECT 'verify' AS stage, 'missing path' AS event, row_id, column_name, path, '' AS detail FROM ({out["invalid_paths"]})
@@ -575,7 +581,9 @@ def file_sql() -> dict[str, str]:
 SELECT path, {json_ts('content')} AS timestamp_unix, {fmt_time(json_ts('content'))} AS formatted_time
 FROM sidecar_files"""
     out["inventory_scan"] = F_ + """
-SELECT path, CAST(strlen(content) AS BIGINT) AS length FROM sidecar_files"""
+SELECT path, CAST(strlen(content) AS BIGINT) AS length FROM sidecar_files
+UNION ALL
+SELECT m.path, CAST(12 + strlen(d.text) AS BIGINT) FROM media_files m JOIN documents d ON d.doc_id = m.file_id"""
     out["zip_listing"] = F_ + "," + ARCHIVE_MEMBERS + """
 SELECT regexp_extract(zip_path, '/(Z[0-9]{3})\\.zip$', 1) AS archive, member, 'ok' AS status FROM archive_members
 UNION ALL SELECT 'Z999', NULL, 'error'"""

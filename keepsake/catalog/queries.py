@@ -410,11 +410,13 @@ def q_sidecar_scan(spark, sf_dir):
 
 
 def q_inventory_scan(spark, sf_dir):
+    """Both trees on disk, sidecars and media."""
     session.configure(spark)
-    root = FS.sidecar_tree(spark, sf_dir)
-    inv = SRC.inventory(spark, root)
-    rel = _below(root)
-    return inv.select(_to_archive_path(rel).alias("path"), "length")
+    out = None
+    for root in (FS.sidecar_tree(spark, sf_dir), FS.media_stub_tree(spark, sf_dir)):
+        part = SRC.inventory(spark, root).select(_to_archive_path(_below(root)).alias("path"), "length")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def q_zip_listing(spark, sf_dir):
@@ -557,6 +559,24 @@ def q_tag_csv_file(spark, sf_dir):
     return CSV.read_manifest(spark, out, typed=False)
 
 
+def q_fingerprint_refresh(spark, sf_dir):
+    """The next version of the fingerprint table: rows whose file changed or had
+    no hash are computed from the files present now, the others kept; a second
+    pass over the new version finds nothing left to compute (its misses, if
+    any, come as rows of version 2)."""
+    m, now = fingerprinted_manifest(spark, sf_dir), inventory_now(spark, sf_dir)
+    cols = ["row_id", "media_path", "content_sha1", "phash64", "hash_mtime"]
+
+    def computed(misses):
+        files = now.where(F.col("origin") == "media").select("path", "content_sha1", S.phash_from_hex("phash64").alias("phash"))
+        return files.join(misses.select(F.col("media_path").alias("path")).distinct(), "path", "left_semi")
+    first = D.fingerprint_cache_misses(m, now)
+    new = session.materialize(D.refresh_fingerprints(m, computed(first), now), "fingerprints-v1")
+    again = D.fingerprint_cache_misses(new, now).select("row_id").withColumn("version", F.lit(2))
+    return new.select(*cols, F.lit(1).alias("version")).unionByName(
+        new.join(again, "row_id").select(*cols, "version"))
+
+
 def q_audit_events(spark, sf_dir):
     """The audit table after two runs, the second of them replayed: path audit,
     pruning, clearing of notes and path fixes of unmatched rows."""
@@ -605,8 +625,7 @@ def q_type_from_magic(spark, sf_dir):
     """Files whose first bytes contradict their extension: listing of the
     media files, 12-byte headers read in the executors, true type."""
     root = FS.media_stub_tree(spark, sf_dir)
-    listing = SRC.inventory(spark, root).select("path", "ext")
-    heads = SRC.file_headers(listing.select("path")).join(listing, "path")
+    heads = SRC.file_headers(SRC.inventory(spark, root).select("path")).withColumn("ext", P.lower_suffix(P.basename("path")))
     true_ext = S.type_from_magic(F.col("header_hex"), F.col("ext"))
     return heads.where(true_ext.isNotNull()).select(
         _to_archive_path(_below(root)).alias("path"), F.col("ext").alias("current_ext"), true_ext.alias("true_ext"))
@@ -685,6 +704,7 @@ def _registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "tag_csv": q_tag_csv,
         "tag_csv_file": q_tag_csv_file,
         "audit_events": q_audit_events,
+        "fingerprint_refresh": q_fingerprint_refresh,
         "file_types": q_file_types,
         "file_type_lists": q_file_type_lists,
         "remove_rows": q_remove_rows,

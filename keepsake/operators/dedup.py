@@ -230,7 +230,7 @@ def refresh_fingerprints(manifest: DataFrame, computed: DataFrame, files: DataFr
          .select(F.col("path").alias("_p"), F.col("content_sha1").alias("_sha"),
                  F.when(F.col("phash").isNotNull(), S.phash_to_hex(F.col("phash"))).otherwise(F.lit("")).alias("_ph"),
                  F.round("mtime").cast("long").alias("_mt")))
-    j = manifest.join(c, P.to_local_path("media_path") == F.col("_p"), "left")
+    j = left_join_set(manifest, P.to_local_path("media_path"), c, "_p")
     hit = F.col("_p").isNotNull()
     return (j.withColumn("content_sha1", F.when(hit, F.col("_sha")).otherwise(F.col("content_sha1")))
              .withColumn("phash64", F.when(hit, F.col("_ph")).otherwise(F.col("phash64")))

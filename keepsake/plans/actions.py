@@ -251,13 +251,15 @@ def restore_plan(paths: DataFrame, quarantine_root: str, processing_root: str) -
 
 # ------------------------------------------------------------ intake
 
-def archive_intake_plan(zips: DataFrame, processing_root: str, processed: DataFrame | None = None) -> DataFrame:
+def archive_intake_plan(zips: DataFrame, processing_root: str, processed: DataFrame | None = None,
+                        taken: DataFrame | None = None) -> DataFrame:
     """New downloads (``.zip`` suffix in any case, name not starting with
     ``Z``) -> extract into ``<root>/Z###`` and rename to ``Z###.zip`` (the
     name is kept when that one exists or an earlier new archive takes it). A name without a ``-NNN.zip`` number (case
     sensitive) is a skip row. ``zips``: ``path``; ``processed`` (optional
-    tracker, ``stem``): archives already extracted are left out. Returns
-    ``name, op, dst, reason``."""
+    tracker, ``stem``): archives already extracted are left out. ``taken``
+    (optional, ``path``): names of earlier batches, present or promised to
+    them. Returns ``name, op, dst, reason``."""
     name = P.basename("path")
     z = zips.withColumn("name", name).withColumn("_dir", P.parent("path"))
     new = z.where((P.lower_suffix("name") == ".zip") & ~F.col("name").startswith("Z"))
@@ -267,7 +269,8 @@ def archive_intake_plan(zips: DataFrame, processing_root: str, processed: DataFr
                        P.stem(F.col("name")) == F.col("_done"), "left_anti")
     num = F.regexp_extract("name", K.ARCHIVE_NUMBER_RE, 1)
     new = new.withColumn("_num", num)
-    names = z.select(F.col("path").alias("_taken")).distinct()
+    names = (z.select("path") if taken is None else z.select("path").unionByName(taken.select("path"))) \
+        .select(F.col("path").alias("_taken")).distinct()
     std = F.concat_ws("/", F.col("_dir"), F.concat(F.lit("Z"), F.col("_num"), F.lit(".zip")))
     new = new.withColumn("_std", std).join(names, F.col("_std") == F.col("_taken"), "left")
     # of several new archives of one number, the first in name order takes the name

@@ -36,3 +36,16 @@ def open_input(uri: str):
 
 def join(uri: str, *parts: str) -> str:
     return posixpath.join(uri, *parts)
+
+
+def list_dir(uri: str) -> list[tuple[str, bool, int, int]]:
+    """``(path, is folder, bytes, whole-second mtime)`` of what a folder holds;
+    nothing if it does not exist. Local paths come without a scheme."""
+    fs, p = resolve(uri)
+    scheme = "" if isinstance(fs, pafs.LocalFileSystem) else uri[:len(uri) - len(p)] if uri.endswith(p) else uri.split("://")[0] + "://"
+    out = []
+    for info in fs.get_file_info(pafs.FileSelector(p, allow_not_found=True)):
+        folder = info.type == pafs.FileType.Directory
+        out.append((scheme + info.path, folder, 0 if folder else int(info.size or 0),
+                    int(info.mtime_ns // 10**9) if info.mtime_ns is not None else 0))
+    return out

@@ -3,9 +3,13 @@
 New downloads are picked up by a ``binaryFile`` stream over the download
 folder; the stream's checkpoint is the "already processed" tracker, so a
 re-run (``trigger(availableNow=True)``) plans only archives it has not seen.
-Each micro-batch plans its new archives against the folder's current
-listing (a batch read) and writes the plan to its own ``batch_id=N``
-folder of a parquet table (idempotent when a batch is replayed).
+Each micro-batch reads its own new files and the state of the batches before
+it: the names seen and the standard names promised, one narrow row each, kept
+in a table of one ``batch_id=N`` folder a batch. It plans its archives against
+that and writes plan and state to its own folders, which a replayed batch
+overwrites with equal rows (it reads only lower batch numbers). Of several
+archives of one number the first batch takes the standard name, within a batch
+the first in name order.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.actions import archive_intake_plan
+from ..session import materialize
 from ..sources.files import BINARY_SCHEMA, _local
 
 
@@ -24,15 +29,17 @@ def start_intake(spark: SparkSession, downloads_dir: str, plan_dir: str, checkpo
                  .option("maxFilesPerTrigger", 10000)
                  .load(downloads_dir).select(_local(F.col("path")).alias("path")))
 
+    plans, names = plan_dir.rstrip("/"), checkpoint.rstrip("/") + "-names"
+
     def plan_batch(batch: DataFrame, batch_id: int) -> None:
-        listing = (spark.read.format("binaryFile").load(downloads_dir)
-                   .select(_local(F.col("path")).alias("path")))
-        plan = archive_intake_plan(listing, processing_root)
-        names = batch.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name")).distinct()
-        # one folder per micro-batch, overwritten if the batch is replayed
-        # after a failure (foreachBatch is at-least-once)
-        (plan.join(names, "name", "left_semi")
-         .write.mode("overwrite").parquet(f"{plan_dir.rstrip('/')}/batch_id={batch_id}"))
+        batch = materialize(batch, "intake-batch")
+        seen = spark.createDataFrame([], "path string") if batch_id == 0 else \
+            spark.read.schema("path string, batch_id long").parquet(names).where(F.col("batch_id") < batch_id).select("path")
+        plan = materialize(archive_intake_plan(batch, processing_root, taken=seen), "intake-plan")
+        promised = plan.where(F.col("op") == "rename").select(F.col("dst").alias("path"))
+        batch.unionByName(promised).write.mode("overwrite").parquet(f"{names}/batch_id={batch_id}")
+        # foreachBatch is at-least-once
+        plan.write.mode("overwrite").parquet(f"{plans}/batch_id={batch_id}")
 
     return (new_files.writeStream.foreachBatch(plan_batch)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

@@ -150,6 +150,28 @@ def test_intake_stream_is_incremental(spark):
     assert sorted(by_batch) == [0, 1]
     assert by_batch[0] == {"takeout-a-001.zip", "takeout-a-002.zip"}
     assert by_batch[1] == {"takeout-b-003.zip"}          # the tracker skips what was planned
+    with open(os.path.join(dl, "a-first-002.zip"), "wb") as fh:
+        fh.write(EMPTY_ZIP)
+    run_intake(spark, dl, out, ck, "/p")
+    late = {r["op"] for r in spark.read.parquet(out).where("name = 'a-first-002.zip'").collect()}
+    assert late == {"extract", "keep_name"}              # an earlier batch was promised Z002.zip
+
+
+def test_trees_are_listed_in_tasks(spark):
+    d = tempfile.mkdtemp(prefix="ks-list-")
+    want = {}
+    for k, rel in enumerate(["a.jpg", "__UNMATCHED_MEDIA__/Z001/b c+%20.jpg", "x/y/z/.hidden", "x/y/w.JSON", "x/v.zip", "x/n.zip.txt"]):
+        os.makedirs(os.path.dirname(os.path.join(d, rel)), exist_ok=True)
+        with open(os.path.join(d, rel), "w") as fh:
+            fh.write("q" * k)
+        os.utime(os.path.join(d, rel), (1_600_000_000 + k, 1_600_000_000.9 + k))
+        want[os.path.join(d, rel)] = (k, 1_600_000_000 + k)
+    os.makedirs(d + "/empty/deeper")
+    got = {r["path"]: (r["length"], r["mtime"]) for r in files.inventory(spark, d).collect()}
+    assert got == want
+    assert [r["name"] for r in files.inventory(spark, d, glob="*.zip").collect()] == ["v.zip"]
+    assert [r["content"] for r in files.sidecar_documents(spark, d).collect()] == ["qqq"]
+    assert files.inventory(spark, d + "/nowhere").count() == 0
 
 
 def test_dct_matches_reference_definition():
