@@ -7,8 +7,9 @@ by offset) make a parent: the SHA-256 over their ranges and hashes. The audit
 compares the roots of each file and descends only below nodes that differ,
 level by level, down to the records; files with equal roots are never opened
 further. Trees are tables (file, level, node), built by aggregations of at
-most ``fanout`` rows. Record bytes are hashed where they are read; only
-hashes, lengths and positions are shuffled.
+most ``fanout`` rows. Laying the records out in files is one range shuffle of
+the pages; after that record bytes are hashed where they are read, and the
+audit shuffles only hashes, lengths and positions.
 
 Records are keyed by (file, position). Defined cases: a null payload is an
 empty record; a record that only one replica has is ``missing`` (not in the
@@ -29,11 +30,18 @@ FANOUT = 16
 PER_FILE = 1000
 
 
-def record(url: Column, body: Column) -> Column:
-    """The bytes of one response record (header block, blank line, payload)."""
+# Header lines of a record. Pages carry no time, so the date is the epoch.
+HEADS = ("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:", ">\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nWARC-Target-URI: ",
+         "\r\nContent-Type: text/html\r\nContent-Length: ", "\r\n\r\n")
+
+
+def record(number: Column, url: Column, body: Column) -> Column:
+    """The bytes of one resource record (header block, blank line, payload);
+    the record's id follows from its number, URL and payload."""
     url, body = F.coalesce(url.cast("string"), F.lit("")), F.coalesce(body, F.lit("").cast("binary"))
-    head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: "), url,
-                    F.lit("\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
+    digest = F.md5(F.concat_ws("|", number.cast("string"), url, F.sha2(body, 256)).cast("binary"))
+    uuid = F.regexp_replace(digest, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    head = F.concat(F.lit(HEADS[0]), uuid, F.lit(HEADS[1]), url, F.lit(HEADS[2]), F.octet_length(body).cast("string"), F.lit(HEADS[3]))
     return F.concat(head.cast("binary"), body, F.lit("\r\n\r\n").cast("binary"))
 
 
@@ -46,7 +54,7 @@ def warc_records(pages: DataFrame, per_file: int = PER_FILE) -> DataFrame:
     rows = rows.withColumn("tie", F.sha2("body", 256)).withColumn("row", F.monotonically_increasing_id())
     rows = dense_index(rows, ["page_id", "url", "tie", "row"], name="n", start=0)
     return rows.select(F.floor(F.col("n") / per_file).alias("file"), (F.col("n") % per_file).alias("pos"), "page_id",
-                       record(F.col("url"), F.col("body")).alias("bytes"))
+                       record(F.col("n"), F.col("url"), F.col("body")).alias("bytes"))
 
 
 def record_index(records: DataFrame) -> DataFrame:

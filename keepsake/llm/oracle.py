@@ -17,6 +17,11 @@ def _up(source: str, name: str) -> str:
   FROM {source} GROUP BY file, node // {fixity.FANOUT})"""
 
 
+def _lines(k: int) -> str:
+    """Header text as a DuckDB expression."""
+    return f" || {EOL} || ".join(f"'{part}'" for part in fixity.HEADS[k].split("\r\n"))
+
+
 def fixity_sql() -> str:
     levels, width = [], fixity.PER_FILE
     names = {"m": "m0", "c": "c0"}
@@ -27,11 +32,15 @@ def fixity_sql() -> str:
             levels.append(_up(names[side], up))
             names[side] = up
     return f"""
-WITH parts AS (
-  SELECT page_id, 'WARC/1.1' || {EOL} || 'WARC-Type: response' || {EOL} || 'WARC-Target-URI: ' || coalesce(url, '') || {EOL}
-           || 'Content-Length: ' || strlen(coalesce(html, ''))::VARCHAR || {EOL} || {EOL} || coalesce(html, '') || {EOL} || {EOL} AS rec,
+WITH numbered AS (
+  SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html,
          row_number() OVER (ORDER BY page_id NULLS FIRST, url NULLS FIRST, sha256(html) NULLS FIRST) - 1 AS n
   FROM pages),
+parts AS (
+  SELECT page_id, n, {_lines(0)} || regexp_replace(md5(n::VARCHAR || '|' || url || '|' || sha256(html)),
+           '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5')
+           || {_lines(1)} || url || {_lines(2)} || strlen(html)::VARCHAR || {_lines(3)} || html || {EOL} || {EOL} AS rec
+  FROM numbered),
 recs AS (
   SELECT page_id, n // {fixity.PER_FILE} AS file, n % {fixity.PER_FILE} AS pos, strlen(rec)::BIGINT AS length, rec,
          coalesce(page_id, 0) % 211 = 11 AS lost, coalesce(page_id, 0) % 97 = 7 AS rotten

@@ -81,3 +81,28 @@ def test_registered():
     names = set(entry.queries())
     assert "pipeline" in names and all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))
     assert set(entry.oracle_sql()) <= names
+
+
+def test_stages_on_odd_tables(spark):
+    """Empty tables, null ids and texts, long and repeated texts pass every stage."""
+    import corpus_pipeline
+    sf = "/root/testdata/sf0.001"
+    words = "the water of a house and the street came from this morning".split()
+    rows = [(None, None, None, None), (1, "", "en", "a"), (2, " ".join(words * 20_000), "en", None), (3, "the house", "en", "a"),
+            (3, "the house", "en", "a"), (None, "the house and the water", "en", "b"), (4, "!!", None, "b"),
+            *[(100 + i, " ".join(words[i % 7:] + words) + f" n{i}", "en", "ab"[i % 2]) for i in range(40)]]
+    odd = spark.createDataFrame([(*r, len(r[1] or ""), 7) for r in rows],
+                                "doc_id long, text string, lang string, source string, n_chars long, size int")
+    for docs in (odd, odd.where("false")):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, sf)
+            got = out.collect()
+            if name != "bpe":
+                assert out.columns == docs.columns, name
+            if name in ("toxicity", "bpe"):
+                assert len(got) == docs.count(), name
+            if name == "language_id":
+                assert all(r["text"] and r["text"] != "!!" for r in got)
+                assert len(got) in (0, len([r for r in rows if r[1] and r[1] != "!!"]))
+            if name == "simhash" and got:
+                assert sum(r["doc_id"] == 3 for r in got) == 1 and sum(r["doc_id"] is None for r in got) == 2
