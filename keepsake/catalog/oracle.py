@@ -202,6 +202,7 @@ FROM quar q JOIN won w ON lower(q.row_type) = 'unmatched_media' AND q.media_path
     out.update(file_sql())
     out["intake_stream"] = out["archive_intake_plan"]
     out.update(plan_sql())
+    out.update(option_sql())
     out.update(picture_sql())
     out["tag_csv_file"] = out["tag_csv"]
     out["pair_sidecars_same_archive"] = same_archive_sql()
@@ -713,6 +714,67 @@ FROM alt"""
     return out
 
 
+def option_sql() -> dict[str, str]:
+    """Options of the back-fill and of deduplication, failed conversions, a widened header."""
+    out = {}
+    jp = strip("coalesce(m.json_path, '')")
+    out["backfill_retry_zero"] = BASE + f""",
+side AS (
+  SELECT file_id, path, CASE WHEN {json_ts('content')} = 0 AND file_id % 2 = 0
+           THEN '{{"photoTakenTime": {{"timestamp": "' || CAST(1262304000 + file_id * 86400 AS VARCHAR) || '"}}}}'
+           ELSE content END AS content
+  FROM inventory_now WHERE origin = 'sidecar'),
+near AS (SELECT file_id, {parent('path')} || '/' || {stem(basename('path'))} AS p FROM side),
+present AS (
+  SELECT path FROM inventory_now
+  UNION ALL SELECT p || '.MP4' FROM near WHERE file_id % 5 = 1
+  UNION ALL SELECT p || '.A.jpg' FROM near WHERE file_id % 10 = 1),
+others AS (SELECT path, {parent('path')} AS dir, {basename('path')} AS name FROM present
+           WHERE lower({basename('path')}) NOT LIKE '%.json'),
+todo AS (
+  SELECT m.row_id, {jp} AS jp, {json_ts('s.content')} AS ts,
+         CASE WHEN m.row_id % 3 <> 0 THEN m.media_path ELSE '' END AS media
+  FROM manifest m JOIN side s ON {jp} = s.path
+  WHERE m.row_type = 'matched' AND (m.row_id % 2 = 0 OR m.timestamp_unix IS NULL OR m.timestamp_unix = 0)),
+sib AS (
+  SELECT t.row_id, arg_min({lower_suffix('o.name')}, o.path) AS ext
+  FROM todo t JOIN others o ON o.dir = {parent('t.jp')} AND starts_with(o.name, {stem(basename('t.jp'))} || '.')
+  GROUP BY t.row_id)
+SELECT t.row_id, t.ts AS timestamp_unix, {fmt_time('t.ts')} AS formatted_time,
+       CASE WHEN t.media <> '' THEN {lower_suffix(basename('t.media'))} ELSE coalesce(sib.ext, '') END AS new_ext
+FROM todo t LEFT JOIN sib ON t.row_id = sib.row_id WHERE t.ts <> 0"""
+    failed = f"""
+failed AS (
+  SELECT path, {parent('path')} AS dir, {stem(basename('path'))} AS stem,
+         CASE WHEN file_id % 12 = 5 THEN 'encoder stopped' ELSE 'picture not decoded' END AS reason
+  FROM inventory_now WHERE origin = 'media' AND (file_id % 12 = 5 OR file_id % 18 = 3))"""
+    def there(p):
+        return f"'{ROOT}/__FAILED_FILES__/' || substr({p}, {len(ROOT) + 2})"
+    dst = there("n.path")
+    out["failed_moves"] = "WITH " + FIXTURE_CTES + "," + failed + f""",
+earlier AS (SELECT {there('path')} AS path FROM inventory_now WHERE origin = 'media' AND file_id % 24 = 5)
+SELECT 'move' AS op, n.path AS src,
+       CASE WHEN {dst} IN (SELECT path FROM earlier)
+            THEN {parent(dst)} || '/' || {stem(basename('n.path'))} || '_1' || {suffix(basename('n.path'))}
+            ELSE {dst} END AS dst, min(f.reason) AS reason
+FROM inventory_now n JOIN failed f ON {parent('n.path')} = f.dir AND starts_with({basename('n.path')}, f.stem || '.')
+GROUP BY n.path"""
+    out["conversion_failures"] = BASE + "," + failed + """
+SELECT 'conversion failed' AS event, m.row_id, m.media_path AS path, f.reason AS detail,
+       trim(coalesce(m.notes, '')) <> '' AS noted
+FROM manifest m JOIN failed f ON m.media_path = f.path"""
+    out["dedup_reset"] = BASE + STALE + """
+SELECT m.row_id, m.media_path, coalesce(v.dedup_group_id, '') AS dedup_group_id,
+       coalesce(v.delete_flag, '') AS delete_flag, coalesce(v.duplicate_of, '') AS duplicate_of, m.deletion_status
+FROM del1 m LEFT JOIN d2_v v ON m.media_path = v.media_path"""
+    out["csv_widened"] = BASE + FP_MANIFEST + """
+SELECT CAST(row_id AS VARCHAR) AS row_id, media_path, notes, content_sha1, phash64,
+       coalesce(CAST(hash_mtime AS VARCHAR), '') AS hash_mtime,
+       'notes,media_path,row_id,content_sha1,phash64,hash_mtime' AS header
+FROM fpm"""
+    return out
+
+
 def quarantine_move_sql() -> str:
     mroot, jroot = f"{ROOT}/__UNMATCHED_MEDIA__", f"{ROOT}/__UNMATCHED_JSON__"
     qm = quarantine("media_path", mroot)

@@ -177,6 +177,15 @@ def sidecars_now(spark, sf_dir):
     return inv.where(F.col("origin") == "sidecar").select("path", "content")
 
 
+def q_dedup_reset(spark, sf_dir):
+    """The second deduplication run of the stale manifest with ``reset``: rows
+    that it no longer groups lose the first run's verdicts."""
+    first = D.deletion_status(deduped_manifest(spark, sf_dir), inventory_now(spark, sf_dir))
+    live = first.where(~S.flag_is("deletion_status", "deleted"))
+    return D.apply_verdicts(first, D.dedup_verdicts(live), reset=True).select(
+        "row_id", "media_path", "dedup_group_id", "delete_flag", "duplicate_of", "deletion_status")
+
+
 def q_timestamps_from_json(spark, sf_dir):
     session.configure(spark)
     sc = X.sidecar_files(spark, sf_dir)
@@ -192,6 +201,31 @@ def q_backfill_timestamps(spark, sf_dir):
     return report
 
 
+def repaired_sidecars(spark, sf_dir):
+    """The sidecars present now, half of those without a usable time exported anew."""
+    inv = inventory_now(spark, sf_dir).where(F.col("origin") == "sidecar")
+    anew = F.concat(F.lit('{"photoTakenTime": {"timestamp": "'),
+                    (F.lit(1262304000) + F.col("file_id") * 86400).cast("string"), F.lit('"}}'))
+    bad = (S.json_timestamp(F.col("content")) == 0) & (F.col("file_id") % 2 == 0)
+    return inv.select("file_id", "path", F.when(bad, anew).otherwise(F.col("content")).alias("content"))
+
+
+def q_backfill_retry_zero(spark, sf_dir):
+    """Back-fill with both options: rows that hold time 0 are tried again, and
+    rows without a media path take the extension of a file named after their
+    sidecar (some sidecars have one or two such files next to them)."""
+    side = repaired_sidecars(spark, sf_dir)
+    m = (manifest(spark, sf_dir)
+         .withColumn("timestamp_unix", F.when(F.col("row_id") % 2 == 1, F.col("timestamp_unix")))
+         .withColumn("media_path", F.when(F.col("row_id") % 3 != 0, F.col("media_path")).otherwise(""))
+         .withColumn("new_ext", F.lit("")))
+    named = F.concat_ws("/", P.parent("path"), P.stem(P.basename("path")))
+    near = side.where(F.col("file_id") % 5 == 1).select(F.concat(named, F.lit(".MP4")).alias("path")).unionByName(
+        side.where(F.col("file_id") % 10 == 1).select(F.concat(named, F.lit(".A.jpg")).alias("path")))
+    files = inventory_now(spark, sf_dir).select("path").unionByName(near)
+    return T.backfill_timestamps(m, side.select("path", "content"), files, retry_zero=True)[1]
+
+
 def q_tag_csv(spark, sf_dir):
     return T.tag_csv(manifest(spark, sf_dir))
 
@@ -261,6 +295,36 @@ def q_conversion_plan(spark, sf_dir):
     return converted_changes(spark, sf_dir)
 
 
+FAILED_ROOT = f"{X.ROOT}/{K.FAILED_DIR}"
+
+
+def failed_conversions(spark, sf_dir):
+    """Converted files that failed: some videos in the encoder, some pictures in the decoder."""
+    i = F.col("file_id")
+    return inventory_now(spark, sf_dir).where((F.col("origin") == "media") & ((i % 12 == 5) | (i % 18 == 3))).select(
+        "path", F.when(i % 12 == 5, "encoder stopped").otherwise("picture not decoded").alias("reason"))
+
+
+def q_failed_moves(spark, sf_dir):
+    """Failed files and all files named after them move to the failed folder,
+    where an earlier run left some of the names."""
+    now = inventory_now(spark, sf_dir)
+    earlier = now.where((F.col("origin") == "media") & (F.col("file_id") % 24 == 5)).select(
+        F.concat_ws("/", P.failed_target_dir("path", FAILED_ROOT), P.basename("path")).alias("path"))
+    return A.failed_moves(failed_conversions(spark, sf_dir), now.select("path").unionByName(earlier), FAILED_ROOT)
+
+
+def q_conversion_failures(spark, sf_dir):
+    """Failure events of a conversion run recorded twice (a replay adds none),
+    read back beside the rows' notes, which are something else."""
+    failed = R.conversion_failures(manifest(spark, sf_dir), failed_conversions(spark, sf_dir))
+    out = session.scratch_path(spark, "failures")
+    for _ in range(2):
+        record_events(row_events(failed, "conversion failed", path="media_path", detail="reason"), out, "r1", "convert")
+    return spark.read.parquet(out).join(failed.select("row_id", "noted"), "row_id").select(
+        "event", "row_id", "path", "detail", "noted")
+
+
 def q_row_regex_count(spark, sf_dir):
     m = A.apply_rows(deduped_manifest(spark, sf_dir), converted_changes(spark, sf_dir))
     return R.count_matching_rows(m)
@@ -399,6 +463,17 @@ def q_csv_roundtrip(spark, sf_dir):
     return back.select(*m.columns)
 
 
+def q_csv_widened(spark, sf_dir):
+    """A later stage's manifest written under an earlier header: the earlier
+    columns first and in their order, then the new ones; read back as text."""
+    old = ["notes", "media_path", "row_id"]
+    out = session.scratch_path(spark, "csv-widened")
+    rows = fingerprinted_manifest(spark, sf_dir).select("content_sha1", "row_id", "phash64", "media_path", "hash_mtime", "notes")
+    CSV.write_manifest(rows, out, original_header=old)
+    back = CSV.read_manifest(spark, out, typed=False)
+    return back.withColumn("header", F.lit(",".join(back.columns)))
+
+
 def q_sidecar_scan(spark, sf_dir):
     session.configure(spark)
     root = FS.sidecar_tree(spark, sf_dir)
@@ -684,6 +759,7 @@ def _registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "restore_collision_plan": q_restore_collision_plan,
         "guardrail_first_pass": q_guardrail_first_pass,
         "csv_roundtrip": q_csv_roundtrip,
+        "csv_widened": q_csv_widened,
         "sidecar_scan": q_sidecar_scan,
         "inventory_scan": q_inventory_scan,
         "zip_listing": q_zip_listing,
@@ -701,6 +777,10 @@ def _registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "reconcile_actions": q_reconcile_actions,
         "timestamps_from_json": q_timestamps_from_json,
         "backfill_timestamps": q_backfill_timestamps,
+        "backfill_retry_zero": q_backfill_retry_zero,
+        "failed_moves": q_failed_moves,
+        "conversion_failures": q_conversion_failures,
+        "dedup_reset": q_dedup_reset,
         "tag_csv": q_tag_csv,
         "tag_csv_file": q_tag_csv_file,
         "audit_events": q_audit_events,

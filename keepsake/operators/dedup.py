@@ -107,22 +107,23 @@ VERDICT_COLUMNS = ["dedup_group_id", "delete_flag", "duplicate_of", "dedup_reaso
                    "visual_review_path"]
 
 
-def apply_verdicts(manifest: DataFrame, verdicts: DataFrame) -> DataFrame:
+def apply_verdicts(manifest: DataFrame, verdicts: DataFrame, reset: bool = False) -> DataFrame:
     """Write verdicts back by ``media_path`` (every row with that path);
-    rows outside all groups keep their previous values."""
+    rows outside all groups keep their previous values, or lose them with
+    ``reset``, so that only the groups of this run stand."""
     from ..schema import ensure_columns
     m = ensure_columns(manifest, VERDICT_COLUMNS)
     v = verdicts.select(F.col("media_path").alias("_v_path"), *[F.col(c).alias(f"_v_{c}") for c in VERDICT_COLUMNS])
     out = left_join_set(m, F.col("media_path"), v, "_v_path")
     hit = F.col("_v_dedup_group_id").isNotNull()
     for c in VERDICT_COLUMNS:
-        out = out.withColumn(c, F.when(hit, F.col(f"_v_{c}")).otherwise(F.col(c)))
+        out = out.withColumn(c, F.when(hit, F.col(f"_v_{c}")).otherwise(F.lit("") if reset else F.col(c)))
     return out.select(*m.columns)
 
 
 def deduplicate(manifest: DataFrame, key: str = "phash", existing: DataFrame | None = None,
-                review_root: str = REVIEW_ROOT_DEFAULT) -> DataFrame:
-    return apply_verdicts(manifest, dedup_verdicts(manifest, key, existing, review_root))
+                review_root: str = REVIEW_ROOT_DEFAULT, reset: bool = False) -> DataFrame:
+    return apply_verdicts(manifest, dedup_verdicts(manifest, key, existing, review_root), reset)
 
 
 # ---------------------------------------------------------------- repair

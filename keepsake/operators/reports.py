@@ -42,3 +42,13 @@ def count_matching_rows(df: DataFrame, pattern: str = K.CONVERSION_MARKER_RE) ->
 def notes_count(manifest: DataFrame) -> DataFrame:
     """Rows with a non-empty note (what the conversion log counts)."""
     return manifest.agg(F.count_if(F.coalesce(F.col("notes"), F.lit("")) != "").alias("n_rows"))
+
+
+def conversion_failures(manifest: DataFrame, failed: DataFrame) -> DataFrame:
+    """The manifest rows whose conversion failed, apart from what their notes
+    say (notes also record recoveries and missing partners): ``row_id,
+    media_path, reason, noted``. ``failed``: ``path, reason``; of several
+    reasons for a path the first by text order is given."""
+    why = failed.groupBy(F.col("path").alias("_failed")).agg(F.min("reason").alias("reason"))
+    return manifest.join(why, F.col("media_path") == F.col("_failed")).select(
+        "row_id", "media_path", "reason", F.coalesce(S.nonblank("notes"), F.lit(False)).alias("noted"))

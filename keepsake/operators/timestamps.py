@@ -31,25 +31,32 @@ def sibling_extensions(pending: DataFrame, files: DataFrame) -> DataFrame:
     return j.groupBy("_jp").agg(F.min_by(P.lower_suffix("_nm"), F.col("_fp")).alias("_sib_ext"))
 
 
-def backfill_timestamps(manifest: DataFrame, sidecars: DataFrame) -> tuple[DataFrame, DataFrame]:
+def backfill_timestamps(manifest: DataFrame, sidecars: DataFrame, files: DataFrame | None = None,
+                        retry_zero: bool = False) -> tuple[DataFrame, DataFrame]:
     """Fill ``timestamp_unix`` / ``formatted_time`` of matched rows that
     have none from their sidecar; when ``new_ext`` is blank also fill it
     (media suffix, else a sibling file's suffix). ``sidecars``: the files
     present now, ``path`` + ``content`` (JSON text). Rows whose sidecar is
     missing are left alone; a sidecar without a usable time (0) too.
+    ``files`` (``path``): where siblings are looked up, by default the
+    sidecars' own listing. ``retry_zero``: rows that hold time 0, as an
+    unreadable sidecar leaves behind, are pending like rows without a time.
     Report: ``row_id, timestamp_unix, formatted_time, new_ext`` of updated rows."""
     from ..schema import ensure_columns, require_columns
     manifest = ensure_columns(manifest, ["new_ext"])
     require_columns(manifest, ["timestamp_unix", "formatted_time", "row_type", "json_path"])
-    pend = (F.col("timestamp_unix").isNull()) & \
-        (F.lower(F.trim(F.coalesce("row_type", F.lit("")))) == "matched")
+    untimed = F.col("timestamp_unix").isNull()
+    if retry_zero:
+        untimed = untimed | (F.col("timestamp_unix") == 0)
+    pend = untimed & (F.lower(F.trim(F.coalesce("row_type", F.lit("")))) == "matched")
     m = manifest.withColumn("_pend", pend).withColumn("_jp", P.strip_ws(F.coalesce("json_path", F.lit(""))))
     # the time is read where the text is: eight bytes a sidecar are shuffled
     docs = sidecars.select(F.col("path").alias("_doc_path"), S.json_timestamp(F.col("content")).alias("_ts"))
     m = left_join_set(m, F.col("_jp"), docs, "_doc_path", only=F.col("_pend"))
     ts = F.col("_ts")
     upd = F.col("_pend") & F.coalesce(ts != 0, F.lit(False))
-    sib = sibling_extensions(m.where(upd & S.blank("new_ext") & S.blank("media_path")), sidecars)
+    sib = sibling_extensions(m.where(upd & S.blank("new_ext") & S.blank("media_path")),
+                             sidecars if files is None else files)
     m = left_join_set(m, F.col("_jp"), sib.withColumnRenamed("_jp", "_sib_path"), "_sib_path", only=upd)
     ext = F.when(S.nonblank("media_path"), P.lower_suffix(P.basename(P.strip_ws("media_path")))) \
         .otherwise(F.coalesce(F.col("_sib_ext"), F.lit("")))

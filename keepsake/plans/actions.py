@@ -327,14 +327,16 @@ def failed_moves(failed: DataFrame, files: DataFrame, failed_root: str) -> DataF
     folder named ``<stem>.<anything>`` moves to the failed folder (parts from
     the archive folder on), numbered ``_n`` when the name is taken there.
     ``failed``: ``path, reason``; ``files``: ``path`` (present files).
-    Returns ``op, src, dst, reason``."""
+    A file that several failed files claim moves once, for the first of them
+    by path. Returns ``op, src, dst, reason``."""
     f = failed.select(F.col("path").alias("_fp"), "reason",
                       P.parent("path").alias("_dir"), P.stem(P.basename("path")).alias("_prefix"))
     cand = files.select(F.col("path").alias("src"), P.parent("path").alias("_dir"), P.basename("path").alias("_nm"))
     cand = cand.select("src", "_dir", "_nm", F.posexplode(F.split("_nm", r"\.")).alias("_i", "_x")).where(F.col("_i") > 0)
     cand = cand.select("src", "_dir", "_nm",
                        F.array_join(F.slice(F.split("_nm", r"\."), 1, F.col("_i")), ".").alias("_prefix"))
-    j = f.join(cand, ["_dir", "_prefix"]).dropDuplicates(["src"])
+    j = (f.join(cand, ["_dir", "_prefix"]).groupBy("src", "_nm")
+         .agg(F.min(F.struct("_fp", "reason")).alias("_of")).select("src", "_nm", "_of.*"))
     target = F.concat_ws("/", P.failed_target_dir(F.col("_fp"), failed_root), F.col("_nm"))
     t = j.select(F.col("src").alias("key"), target.alias("target"), F.col("src").alias("order"), "reason")
     named = free_names(t.select("key", "target", "order"), files.select("path"), "underscore")

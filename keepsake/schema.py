@@ -37,10 +37,3 @@ def require_columns(df: DataFrame, columns) -> None:
     missing = sorted(set(columns) - set(df.columns))
     if missing:
         raise ValueError(f"manifest is missing column(s): {', '.join(missing)}")
-
-
-def widen(rows: DataFrame, original_order) -> DataFrame:
-    """Schema-evolving column order: the original header first, then any
-    column not seen before, in first-seen order."""
-    order = list(original_order) + [c for c in rows.columns if c not in original_order]
-    return rows.select(*order)

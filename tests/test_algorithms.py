@@ -217,6 +217,47 @@ def test_backfill_with_sibling_extension(spark):
     assert got[1]["new_ext"] == ".heic"         # sibling named <sidecar stem>.*, .json excluded
 
 
+def test_backfill_retries_zero_and_looks_where_told(spark):
+    from keepsake.operators import timestamps
+    m = spark.createDataFrame([
+        (1, "matched", "/r/a.json", "", 0, "", ""), (2, "matched", "/r/b.json", "/r/b.PNG", 0, "", ""),
+        (3, "matched", "/r/c.json", "/r/c.jpg", 7, "", ""), (4, "unmatched_json", "/r/d.json", "", 0, "", ""),
+        (5, "matched", "/r/e.json", "", 0, "", ".kept"), (6, "matched", None, "", None, "", "")],
+        "row_id long, row_type string, json_path string, media_path string, timestamp_unix long, "
+        "formatted_time string, new_ext string")
+    side = spark.createDataFrame([(f"/r/{x}.json", '{"photoTakenTime": {"timestamp": "9"}}') for x in "abcde"],
+                                 "path string, content string")
+    files = spark.createDataFrame([("/r/a.z.MOV",), ("/r/a.HEIC",), ("/q/a.AAA",), ("/r/ab.jpg",), ("/r/a.JSON",)], "path string")
+    assert timestamps.backfill_timestamps(m, side, files)[1].count() == 0
+    new, report = timestamps.backfill_timestamps(m, side, files, retry_zero=True)
+    assert {r["row_id"]: (r["timestamp_unix"], r["new_ext"]) for r in report.collect()} == {
+        1: (9, ".heic"), 2: (9, ".png"), 5: (9, ".kept")}
+    assert {r["row_id"]: r["timestamp_unix"] for r in new.collect()} == {1: 9, 2: 9, 3: 7, 4: 0, 5: 9, 6: None}
+
+
+def test_reset_drops_verdicts_of_rows_without_a_group(spark):
+    from keepsake.operators import dedup
+    cols = "row_id long, media_path string, " + ", ".join(f"{c} string" for c in dedup.VERDICT_COLUMNS)
+    m = spark.createDataFrame([(1, "/a", "group_0000", "true", "x", "phash", "v"), (2, "/b", "", "", "", "", ""),
+                               (3, "", "group_0000", "false", "", "best_candidate", "w")], cols)
+    v = spark.createDataFrame([("/b", "group_0000", "false", "", "best_candidate", "z")],
+                              cols.replace("row_id long, ", ""))
+    got = lambda reset: {r["row_id"]: (r["dedup_group_id"], r["delete_flag"])          # noqa: E731
+                         for r in dedup.apply_verdicts(m, v, reset).collect()}
+    assert got(False) == {1: ("group_0000", "true"), 2: ("group_0000", "false"), 3: ("group_0000", "false")}
+    assert got(True) == {1: ("", ""), 2: ("group_0000", "false"), 3: ("", "")}
+
+
+def test_conversion_failures_are_not_the_notes(spark):
+    from keepsake.operators import reports
+    m = spark.createDataFrame([(1, "/a", "Recovered match"), (2, "/b", None), (3, "/c", "x"), (4, None, "y")],
+                              "row_id long, media_path string, notes string")
+    failed = spark.createDataFrame([("/a", "late"), ("/a", "early"), ("/b", None), (None, "z"), ("/nowhere", "n")],
+                                   "path string, reason string")
+    got = {tuple(r) for r in reports.conversion_failures(m, failed).collect()}
+    assert got == {(1, "/a", "early", True), (2, "/b", None, False)}
+
+
 def test_fingerprint_cache_cycle(spark):
     from keepsake.operators import dedup
     m = spark.createDataFrame([
