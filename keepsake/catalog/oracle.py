@@ -767,6 +767,16 @@ FROM manifest m JOIN failed f ON m.media_path = f.path"""
 SELECT m.row_id, m.media_path, coalesce(v.dedup_group_id, '') AS dedup_group_id,
        coalesce(v.delete_flag, '') AS delete_flag, coalesce(v.duplicate_of, '') AS duplicate_of, m.deletion_status
 FROM del1 m LEFT JOIN d2_v v ON m.media_path = v.media_path"""
+    out["tool_log_summary"] = BASE + """,
+calls AS (
+  SELECT 'run-' || printf('%05d', row_id // 500) || '.log' AS log, count(*) AS n,
+         count(*) FILTER (WHERE coalesce(formatted_time, '') = '') AS bad
+  FROM manifest WHERE media_path <> '' GROUP BY row_id // 500)
+SELECT log, 'progress' AS kind, CAST(NULL AS VARCHAR) AS line, n AS current, n AS total FROM calls
+UNION ALL SELECT log, 'summary', '1 directories scanned', NULL, NULL FROM calls
+UNION ALL SELECT log, 'summary', CAST(n - bad AS VARCHAR) || ' image files updated', NULL, NULL FROM calls
+UNION ALL SELECT log, 'summary', CAST(bad AS VARCHAR) || ' files weren''t updated due to errors', NULL, NULL
+          FROM calls WHERE bad > 0"""
     out["csv_widened"] = BASE + FP_MANIFEST + """
 SELECT CAST(row_id AS VARCHAR) AS row_id, media_path, notes, content_sha1, phash64,
        coalesce(CAST(hash_mtime AS VARCHAR), '') AS hash_mtime,

@@ -510,9 +510,10 @@ def q_tag_dump_pivot(spark, sf_dir):
 
 
 def q_tool_log_summary(spark, sf_dir):
-    session.configure(spark)
-    root = FS.tool_logs(spark, sf_dir, T.tag_csv(manifest(spark, sf_dir)))
-    return TX.tool_log_summary(TX.read_tool_log(spark, root))
+    """Last progress and closing counts of every log of the metadata writer."""
+    root = FS.tool_logs(spark, sf_dir, manifest(spark, sf_dir))
+    return TX.tool_log_summary(TX.read_tool_log(spark, root)).select(
+        P.basename("path").alias("log"), "kind", "line", "current", "total")
 
 
 def q_intake_stream(spark, sf_dir):

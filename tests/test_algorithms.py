@@ -41,7 +41,7 @@ def assert_first_free(order, wanted, got):
         assert got.get(sidecar) == (free[0] if free else None), sidecar
 
 
-def test_pairing_equals_greedy_loop(spark):
+def test_pairing_takes_the_first_free_media(spark):
     rnd = random.Random(11)
     files = []
     for i in range(600):
