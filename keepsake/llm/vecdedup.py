@@ -11,8 +11,11 @@ vectors reaches the threshold; pairs of all passes are united.
 A pass numbers the rows of each label in order (range partitions and offsets,
 hashes only), cuts them into cells of ``CELL`` numbers and hands each cell the
 ``window`` rows that follow it, so a hot label spreads over many tasks and no
-comparison depends on where partitions end. Cells whose last comparisons still
-find links go on with the next cell, then with the next 2, 4, ... cells.
+comparison depends on where partitions end. The rows of a cell are all compared
+with each other. Cells whose last comparisons still find links go on with the
+next cell, then with the next 2, 4, ... cells. A row carries its numbers in all
+passes, and a pair that an earlier pass compares in any case (one cell, or
+within the window there) is not emitted again.
 
 There are at least ``passes`` passes. Two rows at the threshold differ in a
 sign bit with probability q = acos(threshold) / pi and stand within the window
@@ -79,13 +82,14 @@ def passes_for(classes: int, threshold: float, passes: int, window: int) -> int:
     return passes if once >= 1 else max(passes, math.ceil(math.log(1 - RECALL) / math.log1p(-once)))
 
 
-def _links(u: np.ndarray, owners: int, threshold: float, window: int) -> tuple[np.ndarray, np.ndarray, bool]:
+def _links(u: np.ndarray, owners: int, threshold: float, window: int, least: int = 0) -> tuple[np.ndarray, np.ndarray, bool]:
     """:func:`links_in_order` of the first ``owners`` rows with those behind
-    them, and whether links are still found where the rows end."""
+    them (with the first ``least`` in any case), and whether links are still
+    found where the rows end."""
     a, b, n, more = [], [], len(u), False
     for lo in range(0, owners, BLOCK):
         hi = min(owners, lo + BLOCK)
-        to, upto = lo, min(n, hi + window)
+        to, upto = lo, min(n, max(hi + window, least))
         while to < upto:
             i, j = np.nonzero(u[lo:hi] @ u[to:upto].T >= threshold)
             i, j = i + lo, j + to
@@ -103,7 +107,17 @@ def links_in_order(u: np.ndarray, threshold: float, window: int) -> tuple[np.nda
     return _links(u, len(u), threshold, window)[:2]
 
 
-def _compare(threshold: float, window: int, first: bool):
+def _not_before(at: np.ndarray, i: np.ndarray, j: np.ndarray, p: int, window: int,
+                cell: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that no pass before ``p`` compares in any case; ``at``: the rows' numbers per pass."""
+    for q in range(p):
+        x, y = at[i, q], at[j, q]
+        new = (np.abs(x - y) > window) & (x // cell != y // cell)
+        i, j = i[new], j[new]
+    return i, j
+
+
+def _compare(threshold: float, window: int, first: bool, cell: int):
     """Links of each (pass, label, dim, cell, far): of the cell's own rows with
     each other and the rows behind them (far 0), or with those of the cell
     ``far`` cells later. A row with null ``a`` says that links are still found
@@ -119,11 +133,12 @@ def _compare(threshold: float, window: int, first: bool):
             x = matrix(pdf["v"])
             u, owners = x / np.linalg.norm(x, axis=1, keepdims=True), int(pdf["own"].sum())
             if first:
-                i, j, more = _links(u, owners, threshold, window)
+                i, j, more = _links(u, owners, threshold, window, owners)
             else:
                 i, j = np.nonzero(u[:owners] @ u[owners:].T >= threshold)
                 j, more = j + owners, False
                 more = bool((j >= len(u) - max(1, (len(u) - owners) // 4)).any())
+            i, j = _not_before(np.stack(pdf["ats"]), i, j, now[0], window, cell)
             rep, n = pdf["rep"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
             swap = rep[i] > rep[j]
             i, j = np.where(swap, j, i), np.where(swap, i, j)
@@ -160,13 +175,15 @@ def _pairs(classes: DataFrame, threshold: float, passes: int, window: int, seed:
     starts = numbered.groupBy(*PLACE).agg(F.min("at").alias("start"))
     places = written(numbered.join(starts, PLACE).withColumn("at", F.col("at") - F.col("start")).drop("start")
                      .withColumn("own_cell", F.expr(f"at div {CELL}")), "vector-places")
+    ats = places.groupBy(*kinds).agg(F.sort_array(F.collect_list(F.struct("p", "at")))["at"].alias("ats"))    # one per pass
+    known = written(classes.join(ats, kinds), "vector-places-seen")
     kind = "a long, b long, na long, nb long, p int, label long, dim int, cell long, far long"
 
     def compared(cells: DataFrame, first: bool) -> DataFrame:
-        rows = cells.join(classes, kinds).select(*PLACE, "cell", "far", "own", "at", "rep", "n", "v")
+        rows = cells.join(known, kinds).select(*PLACE, "cell", "far", "own", "at", "rep", "n", "v", "ats")
         rows = rows.repartition(shuffle_partitions(spark), *PLACE, "cell", "far") \
             .sortWithinPartitions(*PLACE, "cell", "far", F.desc("own"), "at")
-        return written(rows.mapInPandas(_compare(threshold, window, first), kind), "vector-links")
+        return written(rows.mapInPandas(_compare(threshold, window, first, CELL), kind), "vector-links")
 
     # a cell and the `window` rows behind it, over as many cells as that takes
     back = F.sequence(F.greatest(F.lit(0), F.expr(f"(at - {window}) div {CELL}")), F.col("own_cell"))

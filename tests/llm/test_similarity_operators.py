@@ -172,6 +172,12 @@ def test_a_dense_run_goes_on_over_many_cells(spark, monkeypatch):
     rows = [(i, [float(x) for x in (mid + rng.normal(size=16) * 0.005).astype(np.float32)], 1) for i in range(150)]
     got = vecdedup.near_vectors(vectors_table(spark, rows), passes=1, window=4).collect()
     assert len(near_pairs(rows)) == 150 * 149 // 2 and {r["n_links"] for r in got} == {149}
+    many = vecdedup.near_vectors(vectors_table(spark, rows), passes=6, window=4).collect()
+    assert sorted((r["vec_id"], r["n_links"]) for r in many) == sorted((r["vec_id"], r["n_links"]) for r in got)
+    # of the pairs found again, those that an earlier pass compares in any case go
+    at = np.array([[0, 40], [15, 3], [16, 2], [18, 60]])
+    i, j = vecdedup._not_before(at, np.array([0, 1, 1, 0, 2]), np.array([1, 2, 3, 3, 3]), 1, 2, 16)
+    assert list(zip(i.tolist(), j.tolist())) == [(1, 3), (0, 3)]
 
 
 def test_passes_grow_with_the_largest_label():
