@@ -53,9 +53,9 @@ class ChunkEncoder:
     hold a special token themselves go alone. A word with one closing mark is
     the word and the mark, which the vocabulary's pre-tokenizer parts anyway.
     Latin-1 texts are lower-cased beforehand, as the vocabulary does. Words of
-    small Latin-1 letters need no normalizer and no pattern: they go through
-    the same library and model with a blank between them, and the ids that
-    close a word (end-of-word suffix) mark the borders."""
+    small Latin-1 letters need no normalizer and no pattern: spelled in the
+    library's byte letters they go through the same model with a blank between
+    them, and the ids that close a word (end-of-word suffix) mark the borders."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -71,8 +71,9 @@ class ChunkEncoder:
             self.words = Tokenizer.from_file(path)
             self.words.no_truncation(), self.words.no_padding()
             self.words.normalizer = None
-            self.words.pre_tokenizer = pre_tokenizers.Sequence(
-                [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+            self.letters = {i: spell(chr(i))[0][0] for i in range(128, 256) if SMALL_LETTERS(chr(i))}
             self.closes = np.zeros(self.library.get_vocab_size() + 1, bool)
             self.closes[[i for token, i in self.library.get_vocab().items() if token.endswith(suffix)]] = True
         self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
@@ -95,7 +96,7 @@ class ChunkEncoder:
         plain = [w for w in words if SMALL_LETTERS(w)] if self.words else []
         for at in range(0, len(plain), 20_000):
             part = plain[at:at + 20_000]
-            ids = np.array(self.words.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.kind)
+            ids = np.array(self.words.encode_batch_fast([" ".join(part).translate(self.letters)], add_special_tokens=False)[0].ids, self.kind)
             self._store(part, ids, np.flatnonzero(self.closes[ids]) + 1, 0)
         odd = [w for w in words if w not in self.cache and (self.border is None or any(c in w for c in self.marks))]
         for w, e in zip(odd, self.library.encode_batch_fast(odd, add_special_tokens=False)):
