@@ -40,6 +40,57 @@ def test_archive_members_and_corrupt_zip(spark):
     assert [r["zip_path"].endswith("bad.zip") for r in got if r["error"] is not None] == [True]
 
 
+def _zip(path, names, comment=b"", before=b""):
+    with open(path, "wb") as fh:
+        fh.write(before)
+    with zipfile.ZipFile(path, "a") as z:
+        for k, name in enumerate(names):
+            info = zipfile.ZipInfo(name)
+            info.comment = b"PK\x01\x02" * (k % 3)          # looks like an entry and is none
+            z.writestr(info, b"x" * (k % 5))
+        z.comment = comment
+
+
+def test_archive_members_by_pieces_equal_the_whole_directory(spark):
+    d = tempfile.mkdtemp(prefix="ks-zip-")
+    names = [f"Photos from {2000 + k % 20}/{'ü' * (k % 4)}IMG_{k}" + "PK\x01\x02" * (k % 7) + "y" * (k * 37 % 90) for k in range(400)]
+    _zip(f"{d}/many.zip", names + ["folder/"])
+    _zip(f"{d}/noted.zip", names[:50], comment=b"a comment", before=b"runs by itself" * 9)
+    _zip(f"{d}/one long.zip", ["a", "b" * 60000, "c"])
+    _zip(f"{d}/empty.zip", [])
+    _zip(f"{d}/wide.zip", [f"{k}" for k in range(65600)])     # above 65,535 entries: 64-bit end record
+    paths = sorted(os.path.join(d, n) for n in os.listdir(d))
+    zips = spark.createDataFrame([(p,) for p in paths], "path string")
+    want = []
+    for p in paths:
+        with zipfile.ZipFile(p) as z:
+            want += [(p, i.filename, i.file_size) for i in z.infolist() if not i.is_dir()]
+    for piece in (97, 1000, 1 << 20, archives.PIECE):
+        small = zips if piece > 1000 else zips.where("path not like '%wide%'")
+        got = archives.archive_members(small, piece).collect()
+        assert all(r["error"] is None for r in got)
+        assert sorted((r["zip_path"], r["member"], r["size"]) for r in got) == sorted(
+            w for w in want if piece > 1000 or "wide" not in w[0])
+
+
+def test_archive_directory_that_breaks_off_is_one_error_row(spark):
+    d = tempfile.mkdtemp(prefix="ks-zip-")
+    _zip(f"{d}/a.zip", [f"IMG_{k}.jpg" for k in range(300)])
+    with open(f"{d}/a.zip", "rb") as fh:
+        data = bytearray(fh.read())
+    with open(f"{d}/a.zip", "rb") as fh:
+        first, end = archives.directory_range(fh)
+    at = data.index(b"IMG_150.jpg", first) - 46
+    data[at:at + 2] = b"??"
+    with open(f"{d}/a.zip", "wb") as fh:
+        fh.write(data)
+    zips = spark.createDataFrame([(f"{d}/a.zip",), (f"{d}/none.zip",), (None,)], "path string")
+    for piece in (500, archives.PIECE):
+        got = archives.archive_members(zips, piece).collect()
+        assert len(got) == 3 and all(r["error"] and r["member"] is None for r in got)
+    assert archives.archive_members(zips.limit(0)).count() == 0
+
+
 def test_headers_and_sidecar_documents(spark):
     d = tempfile.mkdtemp(prefix="ks-files-")
     os.makedirs(os.path.join(d, "Z001", "Photos from 2012"))
