@@ -540,10 +540,9 @@ def q_image_phash(spark, sf_dir):
 def q_guardrail_pixels(spark, sf_dir):
     session.configure(spark)
     root = FS.image_files(spark, sf_dir)
-    images = PX.read_images(spark, root)
-    orig = images.where(F.col("path").contains("/orig/")).select(F.col("path").alias("a_path"))
+    orig = SRC.inventory(spark, root).where(F.col("path").contains("/orig/")).select(F.col("path").alias("a_path"))
     pairs = orig.select("a_path", F.regexp_replace("a_path", "/orig/", "/copy/").alias("b_path"))
-    g = PX.guardrail(pairs, images, K.PIXEL_DIFF_SECOND_PASS, K.PHASH_DIST_SECOND_PASS, "to_min")
+    g = PX.guardrail(pairs, PX.read_images(spark, root), K.PIXEL_DIFF_SECOND_PASS, K.PHASH_DIST_SECOND_PASS, "to_min")
     return g.select(_below(root, "b_path").alias("file"),
                     F.round("diff", 3).alias("diff"), "hash_distance",
                     F.when(F.col("unflag"), K.REASON_UNCERTAIN).otherwise("keep_flag").alias("verdict"))
@@ -579,10 +578,9 @@ def q_restore_collision_plan(spark, sf_dir):
 def q_guardrail_first_pass(spark, sf_dir):
     session.configure(spark)
     root = FS.image_files(spark, sf_dir)
-    images = PX.read_images(spark, root)
-    orig = images.where(F.col("path").contains("/orig/")).select(F.col("path").alias("a_path"))
+    orig = SRC.inventory(spark, root).where(F.col("path").contains("/orig/")).select(F.col("path").alias("a_path"))
     pairs = orig.select("a_path", F.regexp_replace("a_path", "/orig/", "/copy/").alias("b_path"))
-    g = PX.guardrail(pairs, images, K.PIXEL_DIFF_FIRST_PASS, None, "to_first")
+    g = PX.guardrail(pairs, PX.read_images(spark, root), K.PIXEL_DIFF_FIRST_PASS, None, "to_first")
     return g.select(_below(root, "b_path").alias("file"), F.round("diff", 3).alias("diff"),
                     F.when(F.col("unflag"), K.REASON_UNCERTAIN).otherwise("keep_flag").alias("verdict"))
 

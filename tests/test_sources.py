@@ -155,6 +155,35 @@ def test_phash_and_pixel_guardrail(spark):
     assert not g["missing.png"]["unflag"]          # a missing file is skipped, never un-flagged
 
 
+def test_pixel_pairs_in_parts_equal_direct_comparison(spark, monkeypatch):
+    d = tempfile.mkdtemp(prefix="ks-img-")
+    rnd = np.random.default_rng(2)
+    kept = {f"{d}/{k}.png": np.round(embedding_image(rnd.normal(size=64), 64 + 32 * (k % 2))) for k in range(8)}
+    for n, a in kept.items():
+        with open(n, "wb") as fh:
+            fh.write(png_bytes(a))
+    names = list(kept)
+    pairs = [(names[0], n) for n in names] + [(n, names[0]) for n in names[3:6]] + [(names[1], names[2])] * 2 \
+        + [(names[0], f"{d}/gone.png"), (f"{d}/gone.png", names[1]), (names[0], None), (None, None)]
+    df = spark.createDataFrame(pairs, "a_path string, b_path string")
+    im = pixels.read_images(spark, d)
+    for policy in ("to_first", "to_min"):
+        def expect(a, b):
+            if a not in kept or b not in kept:
+                return 255.0, False
+            x, y = (np.repeat(kept[n][:, :, None], 3, axis=2) for n in (a, b))
+            return round(pixels.pixel_diff(x, y, policy), 6), True
+        want = sorted(((a or "", b or "", *expect(a, b)) for a, b in pairs))
+        for copies, limit in ((1000, 50_000), (2, 0)):
+            monkeypatch.setattr(pixels, "COPIES_PER_PART", copies)
+            monkeypatch.setattr(pixels, "BROADCAST_USES", limit)
+            out = pixels.pair_pixel_diff(df, im, policy, with_hashes=True)
+            rows = out.collect()
+            assert sorted((r["a_path"] or "", r["b_path"] or "", round(r["diff"], 6), r["present"]) for r in rows) == want
+            assert all((r["a_phash"] is not None) == (r["b_phash"] is not None) == r["present"] for r in rows)
+    assert pixels.pair_pixel_diff(df.limit(0), im).count() == 0
+
+
 def test_failed_moves_take_all_variants(spark):
     files_df = spark.createDataFrame([(p,) for p in [
         "/r/Z001/T/IMG_1.heic", "/r/Z001/T/IMG_1.heic.json", "/r/Z001/T/IMG_1.xmp", "/r/Z001/T/IMG_10.heic",
