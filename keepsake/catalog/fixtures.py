@@ -10,6 +10,7 @@ rules are written as SQL in ``oracle.py``.
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,13 +21,29 @@ ROOT = "/data/Processing"
 GPHOTOS = "Takeout/Google Photos"
 
 
-_TABLES: dict[tuple[str, str, str], DataFrame] = {}
+_TABLES: dict[tuple, DataFrame] = {}
+
+
+def input_key(spark: SparkSession, sf_dir: str, name: str) -> tuple:
+    """Key of what is derived from the tables of a folder once per session:
+    the session, the folder, ``name``, and the length and time of each entry
+    of the folder, so that a replaced or extended table starts anew. (A table
+    folder's time changes when files come or go.) A folder that cannot be
+    listed itself is taken as unchanged within the session."""
+    root = sf_dir.rstrip("/")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    try:
+        found = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listStatus(path)
+        state = tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found))
+    except Py4JJavaError:
+        state = ()
+    return spark.sparkContext.applicationId, root, name, state
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table (the DataFrame is reused within a session, so the
     parquet footer is read once)."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    key = input_key(spark, sf_dir, name)
     if key not in _TABLES:
         _TABLES[key] = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     return _TABLES[key]

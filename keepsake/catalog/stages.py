@@ -14,13 +14,14 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import session
+from .fixtures import input_key
 
-_WRITTEN: dict[tuple[str, str, str], str] = {}
+_WRITTEN: dict[tuple, str] = {}
 
 
 def stage(spark: SparkSession, sf_dir: str, name: str,
           build: Callable[[], DataFrame]) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    key = input_key(spark, sf_dir, name)
     path = _WRITTEN.get(key)
     if path is None:
         path = session.scratch_path(spark, name)

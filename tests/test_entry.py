@@ -46,3 +46,16 @@ def test_sample_matches_oracle(spark):
         assert cols == sorted(dcols), n
         assert len(srows) == len(drows), n
         assert digest(srows, cols)[0] == digest(drows, cols)[0], n
+
+
+def test_stage_tables_follow_replaced_tables(spark, tmp_path):
+    from keepsake.catalog import fixtures, stages
+    folder = str(tmp_path)
+
+    def build():
+        return fixtures.table(spark, folder, "t").selectExpr("x + 1 as y")
+    for rows in (3, 5):
+        spark.range(rows).selectExpr("id as x").write.mode("overwrite").parquet(f"{folder}/t.parquet")
+        first = stages.stage(spark, folder, "plus_one", build)
+        assert first.count() == rows
+        assert stages.stage(spark, folder, "plus_one", build).inputFiles() == first.inputFiles()
