@@ -88,7 +88,8 @@ def hamming_pairs(queries: DataFrame, candidates: DataFrame, threshold: int, ban
     parts = F.coalesce("_parts", F.lit(1))
     cb = cb.join(hot, spot, "left").withColumn("_part", F.pmod(F.xxhash64("c_id"), parts).cast("int")).drop("_parts")
     qb = qb.join(hot, spot, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
-    pairs = qb.join(cb, [*spot, "_part"])
+    # a small table, but many rows of it once exploded: neither side may be broadcast by its size before that
+    pairs = qb.join(cb.hint("merge"), [*spot, "_part"])
     d = S.hamming64(F.col("q_hash"), F.col("c_hash"))
     return (pairs.select("q_id", "c_id", d.alias("distance"), *keys)
             .where(F.col("distance") <= threshold)
@@ -193,7 +194,8 @@ def best_matches(manifest: DataFrame, unmatched_root: str, k: int = 1, threshold
     c = c.groupBy("c_id", "c_hash", "year").agg(F.min("c_order").alias("c_order"))
     q = materialize(q, "similarity-queries")
     asked, there = _classes(q, c, k)
-    asked, there = materialize(asked, "similarity-asked"), materialize(there, "similarity-there")
+    cores = q.sparkSession.sparkContext.defaultParallelism      # a class has hundreds of probes: the few bytes are read by all cores
+    asked, there = materialize(asked.repartition(cores), "similarity-asked"), materialize(there, "similarity-there")
     reach = threshold if threshold is not None else (RADIUS + 1) * bands - 1
     near = hamming_pairs(asked.select(F.col("q_hash").alias("q_id"), "q_hash", "year"),
                          there.select(F.col("c_hash").alias("c_id"), "c_hash", "year"), reach, bands, keys=("year",)) \

@@ -116,6 +116,16 @@ def test_hamming_pairs_equal_brute_force(spark):
         assert exp
 
 
+def test_probes_are_never_broadcast(spark):
+    """A query hash becomes hundreds of probes; its table looks small before that."""
+    q = spark.range(50).selectExpr("id AS q_id", "id * 7919 AS q_hash", "'y' AS year")
+    c = spark.range(50).selectExpr("id AS c_id", "id * 7907 AS c_hash", "'y' AS year")
+    for keys in ((), ("year",)):
+        plan = similarity.hamming_pairs(q, c, 10, keys=keys)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [band" in plan
+        assert all("LeftOuter" in line for line in plan.splitlines() if "BroadcastHashJoin [" in line)   # the hot values
+
+
 def brute_best(files, k, limit):
     """Per quarantined file the k nearest others of its year (of all years without one)."""
     year = lambda p: next((x for x in reversed(p.split("/")[:-1]) if x.startswith("Photos from ")), "")      # noqa: E731
