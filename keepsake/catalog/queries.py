@@ -51,11 +51,11 @@ def inventory(spark, sf_dir):
 
 
 def inventory_now(spark, sf_dir):
-    return stage(spark, sf_dir, "inventory_now", lambda: _spread(X.inventory_now(spark, sf_dir)))
+    return stage(spark, sf_dir, "inventory_now", lambda: X.inventory_now(inventory(spark, sf_dir)))
 
 
 def fingerprints(spark, sf_dir):
-    return stage(spark, sf_dir, "fingerprints", lambda: _spread(X.fingerprints(spark, sf_dir)))
+    return stage(spark, sf_dir, "fingerprints", lambda: X.fingerprints(inventory(spark, sf_dir)))
 
 
 def similarity_manifest(spark, sf_dir):

@@ -94,7 +94,9 @@ def build_manifest(inv: DataFrame, order_by: Sequence[str],
         inv = inv.withColumn("content", F.lit(None).cast("string"))
     files = describe_files(inv).where(F.col("year_folder") != "")
     key = F.when(F.col("is_json"), F.lower(N.sidecar_expected_media("name"))).otherwise(F.lower("name"))
-    files = files.withColumn("_k", key)
+    # names are taken apart once: the files are read again for hot keys and for either side
+    needed = dict.fromkeys(["path", "name", "content", "year_folder", "is_json", "_k", *order_by])
+    files = materialize(files.withColumn("_k", key).select(*needed), "manifest-files")
     keyed = files.where(F.col("_k").isNotNull())
     ranked = group_rank(keyed, ["year_folder", "_k", "is_json"], order_by, "_rk")
     ocols = list(order_by)
@@ -133,7 +135,7 @@ def build_manifest(inv: DataFrame, order_by: Sequence[str],
         .otherwise(F.concat(F.lit(K.NOTE_NO_JSON), F.col("year_folder"))).alias("notes"),
     )
     okeys = ["_section", "_yf"] + [f"_o{i}" for i in range(len(ocols))]
-    out = dense_index(out, okeys, name="row_id", start=1)
+    out = dense_index(out, okeys, name="row_id", start=1, materialize=True)
     return out.select("row_id", "row_type", "json_filename", "json_path", "original_media",
                       "media_path", "corrected_path", "timestamp_unix", "formatted_time",
                       "new_ext", "action_taken", "notes")
