@@ -91,6 +91,13 @@ def deduped_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
                  lambda: D.deduplicate(fingerprinted_manifest(spark, sf_dir)))
 
 
+def first_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deduplication stage table with the status of the deletions after it
+    (a second run reads it for its groups and for the rows they are written to)."""
+    return stage(spark, sf_dir, "first_run",
+                 lambda: D.deletion_status(deduped_manifest(spark, sf_dir), inventory_now(spark, sf_dir)))
+
+
 # ---------------------------------------------------------------- queries
 
 def q_pair_sidecars(spark, sf_dir):
@@ -122,7 +129,7 @@ def stale_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     and overwrites only the rows it groups; rows it no longer groups keep
     their first-run verdicts (group numbers get reused)."""
     def build():
-        first = D.deletion_status(deduped_manifest(spark, sf_dir), inventory_now(spark, sf_dir))
+        first = first_run(spark, sf_dir)
         live = first.where(~S.flag_is("deletion_status", "deleted"))
         return D.apply_verdicts(first, D.dedup_verdicts(live))
     return stage(spark, sf_dir, "stale", build)
@@ -180,7 +187,7 @@ def sidecars_now(spark, sf_dir):
 def q_dedup_reset(spark, sf_dir):
     """The second deduplication run of the stale manifest with ``reset``: rows
     that it no longer groups lose the first run's verdicts."""
-    first = D.deletion_status(deduped_manifest(spark, sf_dir), inventory_now(spark, sf_dir))
+    first = first_run(spark, sf_dir)
     live = first.where(~S.flag_is("deletion_status", "deleted"))
     return D.apply_verdicts(first, D.dedup_verdicts(live), reset=True).select(
         "row_id", "media_path", "dedup_group_id", "delete_flag", "duplicate_of", "deletion_status")
@@ -361,7 +368,7 @@ def q_stage_stats(spark, sf_dir):
             .select("r.*")
 
     kind, every = F.col("row_type"), F.lit(True)
-    status = D.deletion_status(d, inventory_now(spark, sf_dir))
+    status = first_run(spark, sf_dir)
     parts = [
         counts(inv, media_files=~F.col("is_json"), sidecar_files=F.col("is_json")),
         counts(m, matched=kind == "matched", unmatched_json=kind == "unmatched_json", unmatched_media=kind == "unmatched_media",
