@@ -669,8 +669,10 @@ def q_audit_events(spark, sf_dir):
         "clear": row_events(E.clear_column(m, "notes")[1], "cell cleared", detail="old_value"),
         "quarantine": row_events(E.quarantine_unmatched(m, X.ROOT)[1], "path updated", path="media_path", detail="notes"),
     }
+    # a stage's report is one table, which every run (and its replay) records
+    reports = {name: session.materialize(events, f"report-{name}") for name, events in stages.items()}
     for run in ("r1", "r2", "r2"):
-        for name, events in stages.items():
+        for name, events in reports.items():
             record_events(events, out, run, name)
     return spark.read.parquet(out).select("run", "stage", "event", "row_id", "column_name", "path", "detail")
 
