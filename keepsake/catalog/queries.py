@@ -359,7 +359,6 @@ def q_search_names_exact(spark, sf_dir):
 def q_stage_stats(spark, sf_dir):
     inv = pairing.describe_files(inventory(spark, sf_dir)).where(F.col("year_folder") != "")
     m = manifest(spark, sf_dir)
-    d = deduped_manifest(spark, sf_dir)
 
     def counts(df, **metrics):
         """One aggregate over a table, one row per metric."""
